@@ -23,7 +23,7 @@ from seamline import schema
 from seamline.functions import golang as go
 from seamline.operators.assembly import asm_functions
 from seamline.operators.bounds import broadcast_if_small, is_small
-from seamline.operators.segments import BEFORE, IDENT_ONLY, SO_FAR, WHOLE_FILE, segments
+from seamline.operators.segments import IDENT_ONLY, before, segments, so_far, whole_file
 
 DIR_KEY = ["module", "version", "dir"]
 TEXT_FIELDS = ["variable_name", "command", "method_invoked", "type_passed", "pattern"]
@@ -200,7 +200,7 @@ def _mark_hits(rows: DataFrame, wanted: list[str]) -> DataFrame:
     in_file = {k: F.col(f"file_{k}") if k in flags else F.lit(False) for k in
                ("methods", "new_chain", "any_chain", "interface_body", "own_statement")}
     rows = rows.select("*", *[
-        F.max(F.coalesce(c, F.lit(False))).over(WHOLE_FILE).alias(f"file_{k}") for k, c in flags.items()])
+        F.max(F.coalesce(c, F.lit(False))).over(whole_file()).alias(f"file_{k}") for k, c in flags.items()])
     if "interface" in wanted:
         rows = rows.withColumn("hit_interface", hits["interface"] & in_file["methods"])
     rows = rows.withColumn("needs_levels", in_file["new_chain"] | (
@@ -217,7 +217,7 @@ def _mark_hits(rows: DataFrame, wanted: list[str]) -> DataFrame:
 def _first_import(rows: DataFrame) -> DataFrame:
     """Of several imports in one declaration, only the first counts."""
     hit, decl = F.col("hit_reflect"), F.col("stmt").pos
-    seen = F.last(F.when(hit, decl), ignorenulls=True).over(BEFORE)
+    seen = F.last(F.when(hit, decl), ignorenulls=True).over(before())
     return rows.withColumn("hit_reflect", hit & ~F.coalesce(seen == decl, F.lit(False)))
 
 
@@ -337,7 +337,7 @@ def _number_specs(rows: DataFrame) -> DataFrame:
     grouped = F.coalesce(F.col("stmt").bare & F.col("stmt").word.isin("var", "const"), F.lit(False))
     ends = F.col("starts") & ((F.col("level") == 0) | (grouped & (F.col("level") == 1)))
     return rows.withColumn("ends_spec", ends).withColumn(
-        "spec", F.sum(ends.cast("int")).over(SO_FAR))
+        "spec", F.sum(ends.cast("int")).over(so_far()))
 
 
 def _spec_events() -> list[Column]:

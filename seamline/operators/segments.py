@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from seamline.functions import golang as go
@@ -20,10 +21,22 @@ from seamline.functions import golang as go
 IDENT_ONLY = rf"^[ \t\r\n]*+({go.IDENT})\s*+$"
 DECL_WORDS = "package|import|var|const|type|func"
 
-BY_FILE = W.partitionBy("path").orderBy("pos")
-SO_FAR = BY_FILE.rowsBetween(W.unboundedPreceding, 0)
-BEFORE = BY_FILE.rowsBetween(W.unboundedPreceding, -1)
-WHOLE_FILE = BY_FILE.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+def by_file(start: int, end: int) -> WindowSpec:
+    """Frame over a file's rows in text order. All frames over files share this order."""
+    return W.partitionBy("path").orderBy("pos").rowsBetween(start, end)
+
+
+def so_far() -> WindowSpec:
+    return by_file(W.unboundedPreceding, 0)
+
+
+def before() -> WindowSpec:
+    return by_file(W.unboundedPreceding, -1)
+
+
+def whole_file() -> WindowSpec:
+    return by_file(W.unboundedPreceding, W.unboundedFollowing)
 
 
 def segments(files: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -31,7 +44,8 @@ def segments(files: DataFrame, partitions: int | None = None) -> DataFrame:
 
     ``files`` has the columns of ``schema.FILES_SCHEMA``. ``partitions`` is the number of hash
     partitions by path; the session's ``spark.sql.shuffle.partitions`` if not given. 16 to 32 MB of
-    source per partition keeps the sort in memory.
+    source per partition keeps the sort in memory. 0 is for a table already bucketed by path, which
+    needs no exchange.
 
     Columns: the file's module, version, dir, path and name; ``pos``; ``core``, the bracket or one
     of ``reflect``, ``note``, ``eof``; ``code``, the text before it without comments and literals;
@@ -44,7 +58,7 @@ def segments(files: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """Segments with the properties that depend on their own text only."""
-    n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")) if partitions is None else partitions
     content = F.concat(F.regexp_replace("content", "^\ufeff", ""), F.lit("\n"))
     raw = F.col("raw")
     last = F.right(raw, F.lit(1))
@@ -59,9 +73,9 @@ def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
         .otherwise("error"))
     core_length = (F.when(F.col("core") == "note", F.length("note")).when(F.col("core") == "reflect", 9)
                    .when(F.col("core") == "eof", 0).otherwise(1))
+    sources = files.filter((F.col("ext") == ".go") & go.well_encoded(F.col("content")))
     return (
-        files.filter((F.col("ext") == ".go") & go.well_encoded(F.col("content")))
-        .repartition(n, "path")
+        (sources.repartition(n, "path") if n else sources)
         .select("module", "version", "dir", "path", "name",
                 F.posexplode(F.regexp_extract_all(content, F.lit(go.SEGMENT), 0)).alias("pos", "raw"))
         .withColumn("note", note)
@@ -83,9 +97,9 @@ def structured(lexed_rows: DataFrame) -> DataFrame:
 
     nested = lexed_rows.select(
         "*",
-        (F.sum("nl").over(SO_FAR) + 1).cast("int").alias("line"),
-        (F.sum(step).over(SO_FAR) - step).cast("int").alias("level"),
-        F.last(tail, ignorenulls=True).over(BEFORE).alias("prev"))
+        (F.sum("nl").over(so_far()) + 1).cast("int").alias("line"),
+        (F.sum(step).over(so_far()) - step).cast("int").alias("level"),
+        F.last(tail, ignorenulls=True).over(before()).alias("prev"))
 
     # Statements: `text` starts with the character the previous statement may have ended at.
     prev = F.col("prev")
@@ -113,7 +127,7 @@ def structured(lexed_rows: DataFrame) -> DataFrame:
     stray = (level == 0) & (
         F.col("text").rlike(rf"{go.STATEMENT_END}\s*+(?!(?:{DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])|;|\z)")
         | (go.is_opener(core) & F.col("starts") & (F.col("rest") == "")))
-    kind_sums = [F.sum(F.when(core == o, 1).when(core == c, -1).otherwise(0)).over(WHOLE_FILE)
+    kind_sums = [F.sum(F.when(core == o, 1).when(core == c, -1).otherwise(0)).over(whole_file())
                  for o, c in ("()", "[]", "{}")]
     own_package = F.nullif(
         F.regexp_extract(code, rf"^\s*+package\s++({go.IDENT})[ \t\r]*+(?:[;\n]|\z)", 1), F.lit(""))
@@ -123,11 +137,11 @@ def structured(lexed_rows: DataFrame) -> DataFrame:
 
     framed = nested.select(
         "*",
-        F.last(stmt, ignorenulls=True).over(SO_FAR).alias("stmt"),
-        F.last(stmt, ignorenulls=True).over(BEFORE).alias("prev_stmt"),
-        F.first(first_code, ignorenulls=True).over(WHOLE_FILE).alias("own_package"),
-        F.coalesce(F.last(line_shift(), ignorenulls=True).over(BEFORE), F.lit(0)).alias("shift"),
-        F.max(F.coalesce(error, F.lit(False))).over(WHOLE_FILE).alias("error"),
+        F.last(stmt, ignorenulls=True).over(so_far()).alias("stmt"),
+        F.last(stmt, ignorenulls=True).over(before()).alias("prev_stmt"),
+        F.first(first_code, ignorenulls=True).over(whole_file()).alias("own_package"),
+        F.coalesce(F.last(line_shift(), ignorenulls=True).over(before()), F.lit(0)).alias("shift"),
+        F.max(F.coalesce(error, F.lit(False))).over(whole_file()).alias("error"),
         *[s.alias(f"open{i}") for i, s in enumerate(kind_sums)])
 
     broken = (F.col("error") | (F.coalesce("own_package", F.lit("")) == "")

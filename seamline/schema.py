@@ -57,8 +57,6 @@ EXEC_RULES = [
 ASM_EXTENSIONS = [".s", ".S", ".sx"]
 CATALOG_RUN_SIZE = 600
 
-VECTOR_SCHEMA = "vector string, code string, label string, report_label string, ord int, `group` string"
-
 FILES_SCHEMA = T.StructType([
     T.StructField("module", T.StringType()),
     T.StructField("version", T.StringType()),
