@@ -69,6 +69,10 @@ def is_closer(c: Column) -> Column:
     return c.isin(")", "]", "}")
 
 
+def is_bracket(c: Column) -> Column:
+    return c.isin("(", "[", "{", ")", "]", "}")
+
+
 def is_opener(c: Column) -> Column:
     return c.isin("(", "[", "{")
 

@@ -1,7 +1,7 @@
 """The twelve detectors, run together over one pass of the segment table.
 
-Most detectors need nothing but one segment row, so they are conditions on it and every wanted one
-adds at most one struct to the array that is exploded into occurrences. Three need neighbours:
+Most detectors need nothing but one segment row: they are conditions on it, and the row is exploded
+into the vectors whose condition it meets. The others need neighbours:
 
 * a call on a chain such as ``f(x).New()`` reports the line its whole chain starts at, and
   ``New()`` inside an interface body is a declaration: both are found with a window by
@@ -23,7 +23,9 @@ from seamline import schema
 from seamline.functions import golang as go
 from seamline.operators.assembly import asm_functions
 from seamline.operators.bounds import broadcast_if_small, is_small
-from seamline.operators.segments import IDENT_ONLY, before, segments, so_far, whole_file
+from seamline.operators.segments import (
+    INTERFACE, before, continues_brackets, first_in_group, lexed, own_statement, segments, so_far,
+    statement_text, structured)
 
 DIR_KEY = ["module", "version", "dir"]
 TEXT_FIELDS = ["variable_name", "command", "method_invoked", "type_passed", "pattern"]
@@ -60,17 +62,14 @@ def detect(files: DataFrame, vectors: list[str] | None = None, *,
 
 def _single_pass(files: DataFrame, wanted: list[str], asm: DataFrame | None,
                  partitions: int | None) -> DataFrame:
-    rows = with_calls(segments(_prefilter(files, wanted, asm), partitions))
+    rows = lexed(_prefilter(files, wanted, asm), partitions)
     if "assembly" in wanted:
-        names = F.broadcast(asm.withColumnRenamed("name", "call_name").withColumn("in_asm", F.lit(True)))
-        rows = rows.join(names, [*DIR_KEY, "call_name"], "left")
-    rows = _mark_hits(rows, wanted)
-    if {"constructor", "interface", "assembly"} & set(wanted):
-        rows = _resolve_chains(rows, wanted)
-    events = _events(rows, wanted)
+        names = F.broadcast(asm.withColumnRenamed("name", "head").withColumn("in_asm", F.lit(True)))
+        rows = rows.join(names, [*DIR_KEY, "head"], "left")
+    events = _events(_candidates(structured(rows), wanted), wanted)
     if {"interface", "global"} & set(wanted):
         events = _resolve_by_key(events)
-    return _as_occurrences(events)
+    return events.select(*DIR_KEY, "vector", "file_path", "line_number", *TEXT_FIELDS)
 
 
 def _prefilter(files: DataFrame, wanted: list[str], asm: DataFrame | None) -> DataFrame:
@@ -103,273 +102,193 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-# --- calls and declarations -----------------------------------------------------------------
-
-
-def with_calls(rows: DataFrame) -> DataFrame:
-    """Add what the text before a bracket calls or declares.
-
-    ``call_name`` is the called name; ``qualifier`` the plain identifier before its dot, if that is
-    all there is; ``selector`` tells ``x.name(`` from a bare ``name(``. ``func_name`` and
-    ``is_method`` describe a top-level function declared here.
-    """
-    chain, code = F.col("chain"), F.col("code")
-    parts = F.split(chain, r"\.")
-    name = F.element_at(parts, -1)
-    selector = F.contains(chain, F.lit("."))
-    declared_here = code.rlike(rf"{go.NOT_IN_IDENT}func\s++{go.IDENT}\s*+$")
-    after_receiver = (F.col("prev") == ")") & code.rlike(rf"^[ \t]*+{go.IDENT}[ \t]*+$")
-    is_call = (chain != "") & (selector | ~(declared_here | after_receiver | chain.isin(go.KEYWORDS)))
-
-    stmt = F.col("stmt")
-    function = F.when(
-        F.col("core").isin("(", "[") & (F.col("level") == 0) & F.col("starts") & (stmt.word == "func"),
-        F.regexp_extract("rest", rf"^func\s++({go.IDENT})\s*+$", 1))
-    method = F.when(
-        (F.col("core") == "(") & (F.col("level") == 0) & ~F.col("starts")
-        & (stmt.word == "func") & stmt.bare & (F.col("prev") == ")"),
-        F.regexp_extract(code, IDENT_ONLY, 1))
-    declared = F.nullif(F.coalesce(function, method), F.lit(""))
-    return (
-        rows
-        .withColumn("selector", is_call & selector)
-        .withColumn("call_name", F.when(is_call, name))
-        .withColumn("qualifier", F.when(
-            is_call & selector & (F.size(parts) == 2), F.nullif(F.element_at(parts, 1), F.lit(""))))
-        .withColumn("func_name", F.when(~declared.isin(go.KEYWORDS), declared))
-        .withColumn("is_method", F.coalesce(method != "", F.lit(False)))
-        .withColumn("decl_line", (stmt.line + F.col("shift")).cast("int")))
+# --- candidate rows -------------------------------------------------------------------------
 
 
 def _conditions(wanted: list[str]) -> dict[str, Column]:
-    """Row condition of every wanted vector that one row decides, plus the rows others need."""
-    call, qualifier = F.col("call_name"), F.col("qualifier")
-    bare = call.isNotNull() & ~F.col("selector")
-    import_row = (
-        (F.col("core") == "reflect") & (F.col("stmt").word == "import")
-        & (((F.col("level") == 0) & F.col("rest").rlike(rf"^import\s*+(?:{go.IDENT}|\.)?\s*+$"))
-           | ((F.col("level") == 1) & F.col("stmt").bare
-              & F.coalesce(F.col("rest"), F.lit("")).rlike(rf"^(?:{go.IDENT}|\.)?\s*+$"))))
+    """Which rows each wanted vector is found on, or needs for the decision."""
+    call, qualifier, selector = F.col("call_name"), F.col("qualifier"), F.col("selector")
+    alias = rf"(?:{go.IDENT}|\.)?\s*+$"
+    stmt = F.col("stmt")
+    imported = (F.col("core") == "reflect") & (stmt == "import") & (
+        ((F.col("level") == 0) & F.col("rest").rlike(rf"^import\s*+{alias}"))
+        | ((F.col("level") == 1) & F.col("stmt_bare") & F.coalesce("rest", F.lit("")).rlike(f"^{alias}")))
     every = {
-        "generate": F.startswith("note", F.lit("//go:generate")),
-        "test": (F.endswith("path", F.lit("_test.go"))
-                 & F.col("func_name").rlike("^(?:Test|Benchmark|Example|Fuzz)")),
-        "init": F.col("func_name") == "init",
-        "constructor": (F.col("selector") & F.startswith(call, F.lit("New"))) | (bare & (call == "New")),
-        "reflect": import_row,
-        "unsafe": (qualifier == "unsafe") & (call == "Pointer"),
-        "cgo": qualifier == "C",
-        "plugin": (qualifier == "plugin") & (call == "Open"),
-        "exec": F.concat(qualifier, F.lit("."), call).isin([f"{p}.{f}" for p, f in schema.EXEC_RULES]),
-        "interface": F.col("is_method") | F.col("selector"),
-        "assembly": bare & F.col("in_asm") if "assembly" in wanted else F.lit(False),
-        "global": _in_global_spec(),
+        "generate": lambda: F.startswith("note", F.lit("//go:generate")),
+        "test": lambda: (F.endswith("path", F.lit("_test.go"))
+                         & F.col("func_name").rlike("^(?:Test|Benchmark|Example|Fuzz)")),
+        "init": lambda: F.col("func_name") == "init",
+        "constructor": lambda: F.startswith(call, F.lit("New")) & (selector | (call == "New")),
+        "reflect": lambda: imported,
+        "unsafe": lambda: (qualifier == "unsafe") & (call == "Pointer"),
+        "cgo": lambda: qualifier == "C",
+        "plugin": lambda: (qualifier == "plugin") & (call == "Open"),
+        "exec": lambda: F.col("chain").isin([f"{p}.{f}" for p, f in schema.EXEC_RULES]),
+        "interface": lambda: (F.col("is_method") | selector) & F.col("file_methods"),
+        "assembly": lambda: call.isNotNull() & ~selector & F.col("in_asm"),
+        "global": lambda: (F.coalesce(_spec_part("stmt"), F.lit(False))
+                           | F.coalesce(_spec_part("prev_stmt"), F.lit(False))),
     }
-    return {v: F.coalesce(every[v], F.lit(False)) for v in wanted}
-
-
-def _in_global_spec() -> Column:
-    """Rows that carry a piece of a top-level ``var`` or ``const`` specification."""
-    return F.coalesce(_spec_part("prev_stmt"), F.lit(False)) | F.coalesce(_spec_part("stmt"), F.lit(False))
+    return {v: F.coalesce(every[v](), F.lit(False)) for v in wanted}
 
 
 def _spec_part(stmt: str) -> Column:
-    """Whether the row's text, or the bracket it closes, lies at the level of ``stmt``'s values."""
-    spec_level = F.when(F.col(stmt).bare, 1).otherwise(0)
+    """Whether the row's text, or the bracket it closes, lies at the level of the values of a
+    top-level ``var`` or ``const``."""
+    spec_level = F.when(F.col(f"{stmt}_bare"), 1).otherwise(0)
     at_level = F.col("level") == spec_level
     closes_to_level = go.is_closer(F.col("core")) & (F.col("level") == spec_level + 1)
-    return F.col(stmt).word.isin("var", "const") & (at_level | closes_to_level)
+    return F.col(stmt).isin("var", "const") & (at_level | closes_to_level)
 
 
-def _mark_hits(rows: DataFrame, wanted: list[str]) -> DataFrame:
-    """Keep rows some wanted vector needs, with per-file flags; drop the bulk of the segments.
-
-    The windows here share the order by (path, pos) that ``segments`` left, so none of them sorts.
-    """
-    hits = {v: F.col(f"hit_{v}") for v in wanted}
+def _candidates(rows: DataFrame, wanted: list[str]) -> DataFrame:
+    """Rows that some wanted vector needs, flagged ``hit_<vector>``; the bulk of the segments goes."""
     rows = rows.select("*", *[c.alias(f"hit_{v}") for v, c in _conditions(wanted).items()])
-    flags = {"methods": F.col("is_method")}
-    if "constructor" in wanted:
-        flags["new_chain"] = hits["constructor"] & _continues_brackets()
-    if "interface" in wanted:
-        flags["any_chain"] = F.col("selector") & _continues_brackets()
-    if {"constructor", "assembly"} & set(wanted):
-        flags["interface_body"] = _opens_interface()
-        flags["own_statement"] = _may_be_interface_method() & _any(
-            [hits[v] for v in ("constructor", "assembly") if v in wanted])
-    in_file = {k: F.col(f"file_{k}") if k in flags else F.lit(False) for k in
-               ("methods", "new_chain", "any_chain", "interface_body", "own_statement")}
-    rows = rows.select("*", *[
-        F.max(F.coalesce(c, F.lit(False))).over(whole_file()).alias(f"file_{k}") for k, c in flags.items()])
-    if "interface" in wanted:
-        rows = rows.withColumn("hit_interface", hits["interface"] & in_file["methods"])
-    rows = rows.withColumn("needs_levels", in_file["new_chain"] | (
-        in_file["any_chain"] & in_file["methods"]) | (in_file["interface_body"] & in_file["own_statement"]))
-    context = F.col("needs_levels") & (go.is_opener(F.col("core")) | _first_in_group())
-    rows = rows.filter(_any([*hits.values(), context]))
-    if "reflect" in wanted:
-        rows = _first_import(rows)
-    if "global" in wanted:
-        rows = _number_specs(rows)
+    hits = [F.col(f"hit_{v}") for v in wanted]
+    needs_levels = _any(
+        [F.col("file_new_chain")] * ("constructor" in wanted)
+        + [F.col("file_any_chain") & F.col("file_methods")] * ("interface" in wanted)
+        + [F.col("file_interface") & F.col("file_own_new")] * ("constructor" in wanted)
+        + [F.col("file_interface") & F.col("file_own_asm")] * ("assembly" in wanted))
+    rows = rows.withColumn("needs_levels", needs_levels)
+    context = F.col("needs_levels") & (go.is_opener(F.col("core")) | first_in_group())
+    rows = rows.filter(_any([*hits, context]))
+    if {"reflect", "global"} & set(wanted):
+        rows = _number_in_order(rows, wanted)
+    if {"constructor", "interface", "assembly"} & set(wanted):
+        rows = _resolve_chains(rows, wanted)
     return rows
 
 
-def _first_import(rows: DataFrame) -> DataFrame:
-    """Of several imports in one declaration, only the first counts."""
-    hit, decl = F.col("hit_reflect"), F.col("stmt").pos
-    seen = F.last(F.when(hit, decl), ignorenulls=True).over(before())
-    return rows.withColumn("hit_reflect", hit & ~F.coalesce(seen == decl, F.lit(False)))
-
-
-# --- chains and interface bodies ------------------------------------------------------------
-
+def _number_in_order(rows: DataFrame, wanted: list[str]) -> DataFrame:
+    """What depends on the candidates before a row; both windows keep the order by (path, pos).
 
-def _continues_brackets() -> Column:
-    return F.startswith("chain", F.lit(".")) & go.is_closer(F.col("prev"))
-
-
-def _first_in_group() -> Column:
-    return F.coalesce(F.col("prev").isin("(", "[", "{", "interface{"), F.lit(False))
-
-
-def _opens_interface() -> Column:
-    return F.coalesce((F.col("core") == "{") & F.col("code").rlike(
-        rf"{go.NOT_IN_IDENT}interface[ \t]*+$"), F.lit(False))
-
-
-def _may_be_interface_method() -> Column:
-    """A bare call that is a statement of its own below the top level."""
-    alone = F.col("code").rlike(rf"^[ \t]*+{go.IDENT}[ \t]*+$") & _first_in_group()
-    after_end = F.concat("prev", "code").rlike(rf"{go.STATEMENT_END}\s*+{go.IDENT}[ \t]*+$")
-    group_start = F.col("code").rlike(rf"^\s*+{go.IDENT}[ \t]*+$") & _first_in_group()
-    return (~F.col("selector") & (F.col("level") > 0)
-            & F.coalesce(alone | after_end | group_start, F.lit(False)))
+    Of several imports in one declaration only the first counts. Specifications are numbered by
+    counting statement ends at the level of the values.
+    """
+    columns = ["*"]
+    if "reflect" in wanted:
+        seen = F.last(F.when(F.col("hit_reflect"), F.col("stmt_pos")), ignorenulls=True).over(before())
+        columns.append(seen.alias("import_seen"))
+    if "global" in wanted:
+        in_group = (F.col("level") == 1) & F.col("stmt_bare") & F.col("stmt").isin("var", "const")
+        ends = F.coalesce(F.col("starts") & ((F.col("level") == 0) | in_group), F.lit(False))
+        rows = rows.withColumn("ends_spec", ends)
+        columns.append(F.sum(F.col("ends_spec").cast("int")).over(so_far()).alias("spec"))
+    rows = rows.select(*columns)
+    if "reflect" in wanted:
+        again = F.coalesce(F.col("import_seen") == F.col("stmt_pos"), F.lit(False))
+        rows = rows.withColumn("hit_reflect", F.col("hit_reflect") & ~again)
+    return rows
 
 
 def _resolve_chains(rows: DataFrame, wanted: list[str]) -> DataFrame:
     """Line of the start of every bracketed chain; drop method signatures of interface bodies."""
-    code, prev, core = F.col("code"), F.col("prev"), F.col("core")
+    code, prev, core, needed = F.col("code"), F.col("prev"), F.col("core"), F.col("needs_levels")
     type_text = rf"^[ \t]*+(?:\*[ \t]*+)*+{go.IDENT}(?:\.{go.IDENT})*+[ \t]*+$"
+    dotted = rf"^[ \t]*+\.\s*+(?:{go.IDENT}(?:[ \t]*+\.\s*+{go.IDENT})*+)?[ \t]*+$"
     continues = go.is_closer(prev) & (
-        code.rlike(r"^[ \t]*+$")
-        | code.rlike(rf"^[ \t]*+\.\s*+(?:{go.IDENT}(?:[ \t]*+\.\s*+{go.IDENT})*+)?[ \t]*+$")
-        | ((prev == "]") & code.rlike(type_text))
-        | ((prev == ")") & (core == "{") & code.rlike(type_text)))
-    head = F.regexp_extract(code, go.CHAIN_AT_END, 0)
-    own_line = (F.col("line") - go.newlines(head)).cast("int")
-    starts_at = F.when(go.is_opener(core) & ~F.coalesce(continues, F.lit(False)), own_line)
-    group = F.when(_first_in_group(), F.col("prev"))
+        code.rlike(r"^[ \t]*+$") | code.rlike(dotted)
+        | (((prev == "]") | ((prev == ")") & (core == "{"))) & code.rlike(type_text)))
+    own_line = F.col("line") - go.newlines(F.regexp_extract(code, go.CHAIN_AT_END, 0))
+    starts_at = F.when(needed & go.is_opener(core) & ~F.coalesce(continues, F.lit(False)), own_line)
+    group = F.when(needed & first_in_group(), prev)
     running = W.partitionBy("path", "level").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.select(
         "*",
-        F.last(F.when(F.col("needs_levels"), starts_at), ignorenulls=True).over(running).alias("chain_start"),
-        F.last(F.when(F.col("needs_levels"), group), ignorenulls=True).over(running).alias("group"))
+        F.last(starts_at, ignorenulls=True).over(running).alias("chain_start"),
+        F.last(group, ignorenulls=True).over(running).alias("group"))
     rows = rows.withColumn("start_line", F.when(
-        F.col("needs_levels") & _continues_brackets(), F.coalesce("chain_start", "start_line"))
-        .otherwise(F.col("start_line")))
-    in_interface = F.coalesce(
-        F.col("needs_levels") & (F.col("group") == "interface{") & _may_be_interface_method(), F.lit(False))
+        needed & continues_brackets(), F.coalesce("chain_start", "start_line")).otherwise(F.col("start_line")))
+    signature = F.coalesce(needed & (F.col("group") == INTERFACE) & own_statement(), F.lit(False))
     for v in {"constructor", "assembly"} & set(wanted):
-        rows = rows.withColumn(f"hit_{v}", F.col(f"hit_{v}") & ~in_interface)
+        rows = rows.withColumn(f"hit_{v}", F.col(f"hit_{v}") & ~signature)
     return rows
 
 
 # --- events ---------------------------------------------------------------------------------
 
 
-def _event(condition: Column, vector: str, line: Column, **fields: Column) -> Column:
-    """A struct of occurrence fields where the condition holds; ``key`` and ``piece`` are internal."""
-    empty = F.lit("")
-    return F.when(condition, F.struct(
-        F.lit(vector).alias("vector"),
-        line.cast("int").alias("line_number"),
-        fields.get("file_path", F.col("path")).alias("file_path"),
-        *[fields.get(c, empty).alias(c) for c in TEXT_FIELDS],
-        fields.get("key", F.lit(None).cast("string")).alias("key"),
-        fields.get("piece", F.lit(None).cast("string")).alias("piece"),
-        fields.get("declared", F.lit(False)).alias("declared")))
-
-
 def _events(rows: DataFrame, wanted: list[str]) -> DataFrame:
-    line, call = F.col("start_line"), F.col("call_name")
-    qualified = F.concat("qualifier", F.lit("."), call)
-    note = F.replace(F.col("note"), F.lit("\r"), F.lit(""))
-    hit = lambda v: F.col(f"hit_{v}")
-    makers = {
-        "generate": lambda: [_event(
-            hit("generate"), "generate", F.col("line"),
-            command=F.regexp_replace(note, "^//go:generate ", ""))],
-        "test": lambda: [_event(
-            hit("test"), "test", F.col("decl_line"), method_invoked=F.col("func_name"),
-            file_path=F.concat("path", F.lit("/"), "own_package"))],
-        "init": lambda: [_event(hit("init"), "init", F.col("decl_line"))],
-        "constructor": lambda: [_event(
-            hit("constructor"), "constructor", line, method_invoked=call,
-            pattern=F.when(F.col("selector"), "factory function").otherwise("New() function"))],
-        "reflect": lambda: [_event(
-            hit("reflect"), "reflect", F.col("line") - go.newlines(F.coalesce(_alias_text(), F.lit(""))))],
-        "unsafe": lambda: [_event(hit("unsafe"), "unsafe", line, method_invoked=qualified)],
-        "cgo": lambda: [_event(hit("cgo"), "cgo", line, method_invoked=qualified)],
-        "plugin": lambda: [_event(hit("plugin"), "plugin", line, method_invoked=call)],
-        "exec": lambda: [_event(hit("exec"), "exec", line, method_invoked=qualified)],
-        "assembly": lambda: [_event(hit("assembly"), "assembly", line, method_invoked=call)],
-        "interface": lambda: [
-            _event(hit("interface") & F.col("is_method"), "interface", line,
-                   key=F.col("func_name"), declared=F.lit(True)),
-            _event(hit("interface") & F.col("selector"), "interface", line, key=call,
-                   method_invoked=call, type_passed=F.coalesce("qualifier", F.lit("")))],
-        "global": _spec_events,
-    }
-    structs = [s for v in wanted for s in makers[v]()]
-    return rows.select(*DIR_KEY, "path", "pos", F.inline(F.array_compact(F.array(*structs))))
-
+    """One row per candidate and vector, with the occurrence fields the row itself knows.
 
-def _alias_text() -> Column:
-    """Text from the alias of an import to its path; the position of an import is its alias's."""
-    return F.nullif(F.regexp_extract(F.regexp_replace("rest", r"^import\s++", ""), r"(?s)^(\S.*)$", 1), F.lit(""))
+    ``key`` and ``piece`` belong to ``interface`` and ``global``, which are decided per key later:
+    ``interface`` rows carry the method name, declarations as vector ``method``; ``global`` rows
+    carry pieces of specifications. A row where a statement ends has two: what stands before the
+    end closes a specification (``closing``), what stands after it opens the next one.
+    """
+    false = F.lit(False)
+    names = {v: F.col(f"hit_{v}") for v in wanted}
+    if "interface" in wanted:
+        names["interface"] = F.col("hit_interface") & F.col("selector")
+        names["method"] = F.col("hit_interface") & F.col("is_method")
+    if "global" in wanted:
+        prev_level = F.when(F.col("prev_stmt_bare"), 1).otherwise(0)
+        names["global"] = F.col("hit_global") & F.coalesce(_spec_part("stmt"), false)
+        names["closing"] = F.col("hit_global") & F.col("ends_spec") & F.coalesce(
+            F.col("prev_stmt").isin("var", "const") & (F.col("level") == prev_level), false)
+    listed = F.concat_ws(",", *[F.when(c, v) for v, c in names.items()])
+    rows = rows.withColumn("vector", F.explode(F.split(listed, ","))).filter(F.col("vector") != "")
+
+    vector, call, name = F.col("vector"), F.col("call_name"), F.col("func_name")
+    blank = F.lit("")
+    of = lambda *vectors: vector.isin(*vectors)
+    alias_lines = go.newlines(F.coalesce(
+        F.regexp_extract("rest", r"(?s)^(?:import\s++)?(.*)$", 1), blank))
+    line = (
+        F.when(of("test", "init"), F.col("decl_line"))
+        .when(vector == "reflect", F.col("line") - alias_lines)
+        .when(of("generate", "global", "closing"), F.col("line"))
+        .otherwise(F.col("start_line")))
+    command = F.regexp_replace(F.replace("note", F.lit("\r"), blank), "^//go:generate ", "")
+    method = (
+        F.when(vector == "test", name)
+        .when(of("unsafe", "cgo", "exec"), F.col("chain"))
+        .when(of("constructor", "plugin", "assembly", "interface"), call)
+        .otherwise(blank))
+    pattern = F.when(vector == "constructor",
+                     F.when(F.col("selector"), "factory function").otherwise("New() function")).otherwise(blank)
+    none = F.lit(None).cast("string")
+    key, piece = none, none
+    if "interface" in wanted:
+        key = F.when(vector == "interface", call).when(vector == "method", name)
+    if "global" in wanted:
+        number = F.col("spec") - F.when(vector == "closing", 1).otherwise(0)
+        key = F.when(of("global", "closing"), F.concat(F.lit("0:"), number.cast("string"))).otherwise(key)
+        piece = F.when(vector == "closing", _closing_piece()).when(vector == "global", _open_piece())
+    return rows.select(
+        *DIR_KEY, "path", "pos", "vector",
+        F.when(vector == "test", F.concat("path", F.lit("/"), "own_package"))
+        .otherwise(F.col("path")).alias("file_path"),
+        line.cast("int").alias("line_number"),
+        blank.alias("variable_name"),
+        F.when(vector == "generate", command).otherwise(blank).alias("command"),
+        method.alias("method_invoked"),
+        F.when(vector == "interface", F.coalesce("qualifier", blank)).otherwise(blank).alias("type_passed"),
+        pattern.alias("pattern"),
+        key.alias("key"), piece.alias("piece"))
 
 
 # --- global initialisers --------------------------------------------------------------------
 
 
-def _number_specs(rows: DataFrame) -> DataFrame:
-    """Number the specifications: a count of statement ends at the level of the values."""
-    grouped = F.coalesce(F.col("stmt").bare & F.col("stmt").word.isin("var", "const"), F.lit(False))
-    ends = F.col("starts") & ((F.col("level") == 0) | (grouped & (F.col("level") == 1)))
-    return rows.withColumn("ends_spec", ends).withColumn(
-        "spec", F.sum(ends.cast("int")).over(so_far()))
-
-
-def _spec_events() -> list[Column]:
-    """Pieces of specifications: the end of the current one and the beginning of the next.
+def _open_piece() -> Column:
+    """This row's part of the specification at its end.
 
     Text at the level of the values is kept, nested text is dropped and its brackets stay, so
-    ``f(x).g(y)`` becomes ``f().g()``. ``line`` of a piece is that of its core.
+    ``f(x).g(y)`` becomes ``f().g()``.
     """
-    core, code, rest = F.col("core"), F.col("code"), F.coalesce("rest", F.lit(""))
-    spec_level = F.when(F.col("stmt").bare, 1).otherwise(0)
-    prev_level = F.when(F.col("prev_stmt").bare, 1).otherwise(0)
-    at_level = F.col("level") == spec_level
-    bracket = F.when(go.is_opener(core) | go.is_closer(core), core).when(core == "reflect", '"').otherwise("")
-    closing_out = go.is_closer(core) & at_level  # the ) that ends a var ( group
-    before_end = F.regexp_extract(
-        F.col("text"), rf"(?s)^.(.*?){go.STATEMENT_END}", 1)
-    key = lambda n: F.concat(F.lit("0:"), n.cast("string"))
-    ends = F.col("ends_spec")
-    hit = F.col("hit_global")
-    continued = F.when(at_level, F.concat(code, F.when(closing_out, "").otherwise(bracket))).otherwise(bracket)
-    return [
-        # No statement ends here: the whole text belongs to the current specification.
-        _event(hit & ~ends & F.coalesce(_spec_part("stmt"), F.lit(False)), "global", F.col("line"),
-               key=key(F.col("spec")), piece=continued),
-        # A statement ends: what stands before the end closes the previous specification ...
-        _event(hit & ends & F.coalesce(
-            F.col("prev_stmt").word.isin("var", "const") & (F.col("level") == prev_level), F.lit(False)),
-            "global", F.col("line"), key=key(F.col("spec") - 1), piece=before_end),
-        # ... and what stands after it opens the next one.
-        _event(hit & ends & F.coalesce(_spec_part("stmt"), F.lit(False)), "global", F.col("line"),
-               key=key(F.col("spec")), piece=F.concat(rest, F.when(closing_out, "").otherwise(bracket))),
-    ]
+    core = F.col("core")
+    at_level = F.col("level") == F.when(F.col("stmt_bare"), 1).otherwise(0)
+    ends_group = go.is_closer(core) & at_level
+    bracket = (F.when(ends_group, "").when(go.is_bracket(core), core).when(core == "reflect", '"').otherwise(""))
+    own_text = F.when(F.col("ends_spec"), F.coalesce("rest", F.lit(""))).otherwise(F.col("code"))
+    return F.concat(F.when(at_level, own_text).otherwise(""), bracket)
+
+
+def _closing_piece() -> Column:
+    """The text before the first statement end, which belongs to the specification before it."""
+    return F.regexp_extract(statement_text(), rf"(?s)^.(.*?){go.STATEMENT_END}", 1)
 
 
 # Shapes of a first value, nested text removed. Fixed by the three callee kinds that count.
@@ -384,51 +303,49 @@ _LITERAL_CALL = r"^func\s*+\(\)(?:(?:interface|struct)\s*+\{\}|[^{}=])*?\{\}\s*+
 
 
 def _resolve_by_key(events: DataFrame) -> DataFrame:
-    """Decide ``interface`` and ``global`` from all candidate rows of one (path, key)."""
+    """Decide ``interface`` and ``global`` from all candidate rows of one (path, key).
+
+    A call counts for ``interface`` if its name is a method declared in the file. A specification
+    counts for ``global`` if its first value is a call of a name, a selector or a function literal;
+    it is reported at the line of that value.
+    """
+    vector = F.col("vector")
     group = W.partitionBy("path", "key").orderBy("pos", "vector").rowsBetween(
         W.unboundedPreceding, W.unboundedFollowing)
     piece = F.when(F.col("piece").isNotNull(), F.struct("piece", "line_number"))
     events = events.select(
         "*",
-        F.max("declared").over(group).alias("name_declared"),
+        F.max(vector == "method").over(group).alias("declared"),
         F.collect_list(piece).over(group).alias("pieces"),
-        F.row_number().over(group.rowsBetween(W.unboundedPreceding, 0)).alias("nth"))
-
-    pieces = F.col("pieces")
-    shape = F.array_join(F.transform(pieces, lambda p: p.piece), "")
-    spec = rf"(?s)^\s*+(?:(?:var|const)\s++)?({_NAME})[^=]*?="
-    value = F.regexp_extract("shape", rf"{spec}\s*+([^,]*)", 2)
+        F.first("pos").over(group).alias("first_pos"))
+    is_global = vector == "global"
+    kept = (
+        F.when(vector.isin("method", "closing"), False)
+        .when(vector == "interface", F.col("declared"))
+        .when(is_global, F.col("pos") == F.col("first_pos"))
+        .otherwise(True))
+    pieces, value = F.col("pieces"), F.col("value")
+    spec = rf"(?s)^\s*+(?:(?:var|const)\s++)?({go.IDENT})[^=]*?="
     # The value starts in the piece with the first `=`; its line is that of the piece's core.
     value_piece = F.element_at(F.filter(pieces, lambda p: F.contains(p.piece, F.lit("="))), 1)
-    value_text = F.regexp_extract(value_piece.piece, r"(?s)^[^=]*+=\s*+(.*)$", 1)
-    is_global = F.col("vector") == "global"
-    plain, select, literal = (F.col("value").rlike(p) for p in (_PLAIN_CALL, _SELECTOR_CALL, _LITERAL_CALL))
-    plain = plain & ~F.regexp_extract("value", _PLAIN_CALL, 1).isin(go.KEYWORDS)
+    value_text = F.regexp_extract(value_piece.piece, r"(?s)^[^=]*+=\s+(.*)$|^[^=]*+=(\S.*)$", 1)
+    plain = F.nullif(F.regexp_extract(value, _PLAIN_CALL, 1), F.lit(""))
+    select = F.nullif(F.regexp_extract(value, _SELECTOR_CALL, 1), F.lit(""))
     method = (
-        F.when(plain, F.concat(F.regexp_extract("value", _PLAIN_CALL, 1), F.lit("()")))
-        .when(literal, F.lit("anonym func"))
-        .when(select, F.concat(F.regexp_extract("value", _SELECTOR_CALL, 1), F.lit("()"))))
-    first_piece = is_global & (F.col("nth") == 1) & (F.size(pieces) > 0)
-    resolved = (
-        events
-        .filter(F.when(is_global, first_piece)
-                .when(F.col("vector") == "interface", F.col("name_declared") & ~F.col("declared"))
-                .otherwise(True))
-        .withColumn("shape", F.when(is_global, shape))
-        .withColumn("value", F.when(is_global, value))
+        F.when(plain.isNotNull() & ~plain.isin(go.KEYWORDS), F.concat(plain, F.lit("()")))
+        .when(value.rlike(_LITERAL_CALL), "anonym func")
+        .when(select.isNotNull(), F.concat(select, F.lit("()"))))
+    return (
+        events.filter(kept)
+        .withColumn("shape", F.when(is_global, F.array_join(F.transform(pieces, lambda p: p.piece), "")))
+        .withColumn("value", F.when(is_global, F.regexp_extract("shape", rf"{spec}\s*+([^,]*)", 2)))
         .withColumn("method_invoked", F.when(is_global, method).otherwise(F.col("method_invoked")))
+        .filter(F.col("method_invoked").isNotNull())
         .withColumn("variable_name", F.when(is_global, F.regexp_extract("shape", spec, 1))
                     .otherwise(F.col("variable_name")))
         .withColumn("line_number", F.when(
             is_global, value_piece.line_number - go.newlines(value_text)).otherwise(F.col("line_number"))
-            .cast("int"))
-        .filter(F.col("method_invoked").isNotNull()))
-    return resolved
-
-
-def _as_occurrences(events: DataFrame) -> DataFrame:
-    return events.select(
-        *DIR_KEY, "vector", "file_path", "line_number", *[F.col(c) for c in TEXT_FIELDS])
+            .cast("int")))
 
 
 # --- detectors that need a join -------------------------------------------------------------
@@ -436,16 +353,17 @@ def _as_occurrences(events: DataFrame) -> DataFrame:
 
 def _shuffled_assembly(files: DataFrame, asm: DataFrame, partitions: int | None) -> DataFrame:
     """``assembly`` where the names are too many to broadcast: a shuffled semi-join of the calls."""
-    rows = with_calls(segments(files, partitions)).withColumn("in_asm", F.lit(True))
-    rows = _resolve_chains(_mark_hits(rows, ["assembly"]), ["assembly"])
-    calls = _as_occurrences(_events(rows, ["assembly"]))
+    rows = structured(lexed(files, partitions).withColumn("in_asm", F.lit(True)))
+    calls = _events(_candidates(rows, ["assembly"]), ["assembly"]).select(
+        *DIR_KEY, "vector", "file_path", "line_number", *TEXT_FIELDS)
     names = asm.withColumnRenamed("name", "method_invoked")
     return calls.join(names, [*DIR_KEY, "method_invoked"], "left_semi").select(calls.columns)
 
 
 def _exec_by_rules(files: DataFrame, rules: DataFrame, partitions: int | None) -> DataFrame:
+    """``exec`` with rules from a table."""
     rules = broadcast_if_small(rules.select(
         F.col("pkg").alias("qualifier"), F.col("func").alias("call_name")).distinct())
-    rows = with_calls(segments(files, partitions)).filter(F.col("qualifier").isNotNull())
+    rows = segments(files, partitions).filter(F.col("qualifier").isNotNull())
     rows = rows.join(rules, ["qualifier", "call_name"], "left_semi").withColumn("hit_exec", F.lit(True))
-    return _as_occurrences(_events(rows, ["exec"]))
+    return _events(rows, ["exec"]).select(*DIR_KEY, "vector", "file_path", "line_number", *TEXT_FIELDS)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline import schema
-from seamline.operators.detectors import DIR_KEY, TEXT_FIELDS, with_calls
+from seamline.operators.detectors import DIR_KEY, TEXT_FIELDS
 from seamline.operators.segments import segments
 
 
@@ -61,7 +61,7 @@ def vector_rows() -> list[tuple]:
 
 
 def run(name: str, files: DataFrame, partitions: int | None = None) -> DataFrame:
-    found = _DETECTORS[name].fn(with_calls(segments(files, partitions)))
+    found = _DETECTORS[name].fn(segments(files, partitions))
     defaults = {
         "file_path": F.col("path"),
         "line_number": F.col("start_line"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import golang as go
 
-IDENT_ONLY = rf"^[ \t\r\n]*+({go.IDENT})\s*+$"
+INTERFACE = "interface{"
 DECL_WORDS = "package|import|var|const|type|func"
 
 
@@ -47,113 +47,178 @@ def segments(files: DataFrame, partitions: int | None = None) -> DataFrame:
     source per partition keeps the sort in memory. 0 is for a table already bucketed by path, which
     needs no exchange.
 
-    Columns: the file's module, version, dir, path and name; ``pos``; ``core``, the bracket or one
-    of ``reflect``, ``note``, ``eof``; ``code``, the text before it without comments and literals;
-    ``prev``, the last character before this text; ``level`` of the text; ``line`` of the core;
-    ``chain``, the selector chain in front of ``(``, with ``start_line``; ``stmt`` and
-    ``prev_stmt``, the top-level statement at the end and at the start of the text.
+    Columns of a row, next to the file's module, version, dir and path:
+
+    * ``pos``, its number; ``core``, the bracket it ends with, or ``reflect``, ``note``, ``eof``;
+      ``code``, the text before that without comments and literals; ``note``, a directive comment;
+    * ``prev``, the last character before the text; ``level`` of the text; ``line`` of the core;
+    * ``starts``, whether a statement ends in the text, and ``rest``, what follows it (both only
+      down to level 1); ``stmt`` and ``prev_stmt``, the word that begins the top-level statement
+      after and before it, with ``_bare`` if only a bracket follows that word, and ``stmt_pos``;
+    * ``chain``, the selector chain called here, and ``start_line``; its last name ``call_name``;
+      ``selector``, whether it has a dot; ``qualifier``, the plain identifier before the only dot;
+    * ``func_name``, a top-level function or method declared here, ``is_method`` and ``decl_line``;
+    * ``file_*``, what occurs anywhere in the file.
     """
-    return structured(lexed(files, partitions)).filter(~F.col("broken")).drop("broken")
+    return structured(lexed(files, partitions))
 
 
 def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """Segments with the properties that depend on their own text only."""
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")) if partitions is None else partitions
+    sources = files.filter((F.col("ext") == ".go") & go.well_encoded(F.col("content")))
     content = F.concat(F.regexp_replace("content", "^\ufeff", ""), F.lit("\n"))
-    raw = F.col("raw")
+    raw, core = F.col("raw"), F.col("core")
     last = F.right(raw, F.lit(1))
     may_be_note = (F.contains(raw, F.lit("//go:generate")) | F.contains(raw, F.lit("//line "))
                    | F.contains(raw, F.lit("/*line ")))
-    note = F.when(may_be_note, F.nullif(F.regexp_extract(raw, go.SEGMENT_NOTE, 1), F.lit("")))
-    core = (
-        F.when(F.col("note").isNotNull(), "note")
-        .when(go.is_opener(last) | go.is_closer(last), last)
-        .when(F.endswith(raw, F.lit('"reflect"')), "reflect")
-        .when(last == "\n", "eof")
-        .otherwise("error"))
-    core_length = (F.when(F.col("core") == "note", F.length("note")).when(F.col("core") == "reflect", 9)
-                   .when(F.col("core") == "eof", 0).otherwise(1))
-    sources = files.filter((F.col("ext") == ".go") & go.well_encoded(F.col("content")))
+    core_length = (F.when(core == "note", F.length("note")).when(core == "reflect", 9)
+                   .when(core == "eof", 0).otherwise(1))
     return (
         (sources.repartition(n, "path") if n else sources)
-        .select("module", "version", "dir", "path", "name",
+        .select("module", "version", "dir", "path",
                 F.posexplode(F.regexp_extract_all(content, F.lit(go.SEGMENT), 0)).alias("pos", "raw"))
-        .withColumn("note", note)
-        .withColumn("core", core)
-        .withColumn("nl", go.newlines(raw))
-        .withColumn("code", go.blank_literals(F.left(raw, F.length(raw) - core_length)))
-        .drop("raw"))
+        .withColumn("note", F.when(
+            may_be_note, F.nullif(F.regexp_extract(raw, go.SEGMENT_NOTE, 1), F.lit(""))))
+        .withColumn("core", F.when(F.col("note").isNotNull(), "note")
+                    .when(go.is_bracket(last), last)
+                    .when(F.endswith(raw, F.lit('"reflect"')), "reflect")
+                    .when(last == "\n", "eof")
+                    .otherwise("error"))
+        .withColumn("own", F.left(raw, F.length(raw) - core_length))
+        .withColumn("code", go.blank_literals(F.col("own")))
+        .select("module", "version", "dir", "path", "pos", "note", "core", "code",
+                go.newlines(raw).alias("nl"),
+                F.when(core == "(", F.regexp_extract("code", go.CHAIN_AT_END, 0)).otherwise("").alias("head")))
 
 
 def structured(lexed_rows: DataFrame) -> DataFrame:
-    core, code, level = F.col("core"), F.col("code"), F.col("level")
-    step = F.when(go.is_opener(core), 1).when(go.is_closer(core), -1).otherwise(0)
-    last_of_code = F.nullif(F.regexp_extract(code, r"(\S)\s*+$", 1), F.lit(""))
+    """Add nesting, lines, statements, calls and declarations; drop ill-formed files."""
+    rows = _with_nesting(lexed_rows)
+    rows = _with_statement_ends(rows)
+    rows = _with_calls(rows)
+    return _with_file_context(rows)
+
+
+def _with_nesting(rows: DataFrame) -> DataFrame:
+    core, code = F.col("core"), F.col("code")
+    opens_interface = (core == "{") & code.rlike(rf"{go.NOT_IN_IDENT}interface[ \t]*+$")
     tail = (
-        F.when((core == "{") & code.rlike(rf"{go.NOT_IN_IDENT}interface[ \t]*+$"), "interface{")
-        .when(go.is_opener(core) | go.is_closer(core), core)
+        F.when(opens_interface, INTERFACE)
+        .when(go.is_bracket(core), core)
         .when(core == "reflect", '"')
-        .otherwise(last_of_code))
+        .otherwise(F.nullif(F.regexp_extract(code, r"(\S)\s*+$", 1), F.lit(""))))
+    return (
+        rows.withColumn("step", F.when(go.is_opener(core), 1).when(go.is_closer(core), -1).otherwise(0))
+        .withColumn("tail", tail)
+        .select(
+            "*",
+            (F.sum("nl").over(so_far()) + 1).cast("int").alias("line"),
+            (F.sum("step").over(so_far()) - F.col("step")).cast("int").alias("level"),
+            F.last("tail", ignorenulls=True).over(before()).alias("prev"))
+        .drop("nl"))
 
-    nested = lexed_rows.select(
-        "*",
-        (F.sum("nl").over(so_far()) + 1).cast("int").alias("line"),
-        (F.sum(step).over(so_far()) - step).cast("int").alias("level"),
-        F.last(tail, ignorenulls=True).over(before()).alias("prev"))
-
-    # Statements: `text` starts with the character the previous statement may have ended at.
-    prev = F.col("prev")
-    after_opener = prev.isNull() | prev.isin("(", "[", "{", "interface{")
-    text = F.concat(F.when(after_opener, ";").otherwise(prev), code)
-    outer = level <= 1
-    nested = (
-        nested
-        .withColumn("text", F.when(outer, text))
-        .withColumn("starts", F.coalesce(F.col("text").rlike(go.STATEMENT_END), F.lit(False)))
+
+def first_in_group() -> Column:
+    """Whether the text follows an opening bracket or starts the file."""
+    return F.col("prev").isNull() | F.col("prev").isin("(", "[", "{", INTERFACE)
+
+
+def statement_text() -> Column:
+    """The text behind the character at which the statement before it may have ended."""
+    return F.concat(F.when(first_in_group(), ";").otherwise(F.col("prev")), "code")
+
+
+def _with_statement_ends(rows: DataFrame) -> DataFrame:
+    text, rest = F.col("text"), F.col("rest")
+    word = F.regexp_extract(rest, rf"^({DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])", 1)
+    return (
+        rows.withColumn("text", F.when(F.col("level") <= 1, statement_text()))
+        .withColumn("starts", F.coalesce(text.rlike(go.STATEMENT_END), F.lit(False)))
         .withColumn("rest", F.when(
-            F.col("starts"), F.regexp_extract("text", rf"(?s)^.*{go.STATEMENT_END}\s*+(.*)$", 1)))
-        .withColumn("word", F.when(
-            (level == 0) & F.col("starts"),
-            F.regexp_extract("rest", rf"^({DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])", 1)))
-        .withColumn("chain", F.when(core == "(", F.regexp_extract(code, go.CHAIN_AT_END, 0)).otherwise("")))
-
-    stmt = F.when(
-        (level == 0) & F.col("starts") & (F.col("rest") != ""),
-        F.struct(
-            F.col("word"),
-            (F.rtrim(F.col("rest")) == F.col("word")).alias("bare"),
-            (F.col("line") - go.newlines(F.col("rest"))).cast("int").alias("line"),
-            F.col("pos")))
+            F.col("starts"), F.regexp_extract(text, rf"(?s)^.*{go.STATEMENT_END}\s*+(.*)$", 1)))
+        .withColumn("word", F.when((F.col("level") == 0) & (rest != ""), word)))
+
+
+def _with_calls(rows: DataFrame) -> DataFrame:
+    core, code, level = F.col("core"), F.col("code"), F.col("level")
+    chain = F.col("chain")
+    declared_here = code.rlike(rf"{go.NOT_IN_IDENT}func\s++{go.IDENT}\s*+$")
+    after_receiver = (F.col("prev") == ")") & code.rlike(rf"^[ \t]*+{go.IDENT}[ \t]*+$")
+    bare = (chain != "") & ~F.coalesce(declared_here | after_receiver | chain.isin(go.KEYWORDS), F.lit(False))
+    function = F.when(core.isin("(", "[") & (F.col("word") == "func"),
+                      F.regexp_extract("rest", rf"^func\s++({go.IDENT})\s*+$", 1))
+    # At the top level, `) Name (` without a statement end in between occurs in methods only.
+    method = F.when((core == "(") & (level == 0) & after_receiver & ~chain.isin(go.KEYWORDS), chain)
+    return (
+        rows.withColumn("chain", F.regexp_replace("head", r"\s+", ""))
+        .withColumn("selector", F.contains(chain, F.lit(".")))
+        .withColumn("call_name", F.when(F.col("selector") | bare, F.substring_index(chain, ".", -1)))
+        .withColumn("qualifier", F.when(chain.rlike(r"^[^.]++\.[^.]++$"), F.substring_index(chain, ".", 1)))
+        .withColumn("is_method", method.isNotNull())
+        .withColumn("func_name", F.coalesce(method, F.nullif(function, F.lit("")))))
+
+
+def continues_brackets() -> Column:
+    """A called chain that goes on after a closing bracket, as in ``f(x).name(``."""
+    return F.startswith("chain", F.lit(".")) & go.is_closer(F.col("prev"))
+
+
+def own_statement() -> Column:
+    """A bare call that is a statement below the top level; a method signature looks the same."""
+    named = rf"\s*+{go.IDENT}[ \t]*+$"
+    alone = F.when(first_in_group(), F.col("code").rlike("^" + named)).otherwise(
+        F.concat("prev", "code").rlike(go.STATEMENT_END + named))
+    return ~F.col("selector") & F.col("call_name").isNotNull() & (F.col("level") > 0) & alone
+
+
+def _with_file_context(rows: DataFrame) -> DataFrame:
+    core, code, level, rest = F.col("core"), F.col("code"), F.col("level"), F.col("rest")
+    stmt = {
+        "": F.col("word"),
+        "_bare": F.rtrim(rest) == F.col("word"),
+        "_line": F.col("line") - go.newlines(rest),
+        "_pos": F.col("pos"),
+    }
+    stmt = {k: F.when((level == 0) & (rest != ""), c) for k, c in stmt.items()}
     stray = (level == 0) & (
         F.col("text").rlike(rf"{go.STATEMENT_END}\s*+(?!(?:{DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])|;|\z)")
-        | (go.is_opener(core) & F.col("starts") & (F.col("rest") == "")))
-    kind_sums = [F.sum(F.when(core == o, 1).when(core == c, -1).otherwise(0)).over(whole_file())
-                 for o, c in ("()", "[]", "{}")]
-    own_package = F.nullif(
-        F.regexp_extract(code, rf"^\s*+package\s++({go.IDENT})[ \t\r]*+(?:[;\n]|\z)", 1), F.lit(""))
-    first_code = F.when((level == 0) & code.rlike(r"\S"), F.coalesce(own_package, F.lit("")))
-    error = ((core == "error") | code.rlike(go.STRAY_CHARACTER) | (level + step < 0) | stray
+        | (go.is_opener(core) & (rest == "")))
+    error = ((core == "error") | code.rlike(go.STRAY_CHARACTER) | (level + F.col("step") < 0) | stray
              | bad_line_note())
-
-    framed = nested.select(
+    own_package = F.regexp_extract(code, rf"^\s*+package\s++({go.IDENT})[ \t\r]*+(?:[;\n]|\z)", 1)
+    first_code = F.when((level == 0) & code.rlike(r"\S"), own_package)
+    balance = [F.when(core == o, 1).when(core == c, -1).otherwise(0) for o, c in ("()", "[]", "{}")]
+    is_new = F.startswith("call_name", F.lit("New"))
+    flags = {
+        "error": error,
+        "file_methods": F.col("is_method"),
+        "file_new_chain": is_new & continues_brackets(),
+        "file_any_chain": continues_brackets(),
+        "file_interface": F.col("tail") == INTERFACE,
+        "file_own_new": (F.col("call_name") == "New") & own_statement(),
+    }
+    if "in_asm" in rows.columns:
+        flags["file_own_asm"] = F.col("in_asm") & own_statement()
+    false = F.lit(False)
+    framed = rows.select(
         "*",
-        F.last(stmt, ignorenulls=True).over(so_far()).alias("stmt"),
-        F.last(stmt, ignorenulls=True).over(before()).alias("prev_stmt"),
+        *[F.last(c, ignorenulls=True).over(so_far()).alias(f"stmt{k}") for k, c in stmt.items()],
+        *[F.last(stmt[k], ignorenulls=True).over(before()).alias(f"prev_stmt{k}") for k in ("", "_bare")],
+        F.last(line_shift(), ignorenulls=True).over(before()).alias("shift"),
         F.first(first_code, ignorenulls=True).over(whole_file()).alias("own_package"),
-        F.coalesce(F.last(line_shift(), ignorenulls=True).over(before()), F.lit(0)).alias("shift"),
-        F.max(F.coalesce(error, F.lit(False))).over(whole_file()).alias("error"),
-        *[s.alias(f"open{i}") for i, s in enumerate(kind_sums)])
-
-    broken = (F.col("error") | (F.coalesce("own_package", F.lit("")) == "")
-              | (F.col("open0") != 0) | (F.col("open1") != 0) | (F.col("open2") != 0))
-    shifted = lambda c: (c + F.col("shift")).cast("int")
-    return framed.select(
-        "module", "version", "dir", "path", "name", "pos", "core", "code", "note", "prev", "level",
-        "text", "starts", "rest", "stmt", "prev_stmt", "own_package", "shift",
-        shifted(F.col("line")).alias("line"),
-        F.regexp_replace("chain", r"\s+", "").alias("chain"),
-        shifted(F.col("line") - go.newlines(F.col("chain"))).alias("start_line"),
-        broken.alias("broken"))
+        *[F.sum(b).over(whole_file()).alias(f"open{i}") for i, b in enumerate(balance)],
+        *[F.max(F.coalesce(c, false)).over(whole_file()).alias(k) for k, c in flags.items()])
+    well_formed = (~F.col("error") & (F.col("own_package") != "")
+                   & (F.col("open0") == 0) & (F.col("open1") == 0) & (F.col("open2") == 0))
+    shifted = lambda c: (c + F.coalesce("shift", F.lit(0))).cast("int")
+    return (
+        framed.filter(well_formed)
+        .withColumn("start_line", shifted(F.col("line") - go.newlines(F.col("head"))))
+        .withColumn("decl_line", shifted(F.col("stmt_line")))
+        .withColumn("line", shifted(F.col("line")))
+        .drop("error", "open0", "open1", "open2", "text", "word", "head", "tail", "step", "shift",
+              "stmt_line"))
 
 
 def line_shift() -> Column:

@@ -216,7 +216,8 @@ def oracle_sql() -> dict[str, str]:
               FROM (UNPIVOT (SELECT module, version, {', '.join(
                   f'n_{v} AS "{v}"' for v in schema.VECTOR_NAMES)} FROM overview)
                     ON {', '.join(f'"{v}"' for v in schema.VECTOR_NAMES)} INTO NAME vector VALUE n))
-            SELECT *, n - lag(n) OVER (PARTITION BY module, vector ORDER BY version_ord) AS delta FROM long""",
+            SELECT *, CAST(COALESCE(n - lag(n) OVER (PARTITION BY module, vector ORDER BY version_ord), 0) AS BIGINT) AS delta
+            FROM long""",
         "custom_detector": f"""{_rows([("helper_call", "id % 12 <> 0", 19, {"method_invoked": "'other'"})])}
             SELECT * FROM occ""",
         "exec_rules_custom": f"""{_rows([

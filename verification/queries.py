@@ -63,7 +63,7 @@ def deltas(spark, sf):
     rows = overview(spark, sf)
     order = planted.modules(spark, sf).select(
         "module", "version", F.substring("version", 2, 10).cast("int").alias("version_ord"))
-    return version_delta(rows, order)
+    return version_delta(rows, order).withColumn("delta", F.coalesce("delta", F.lit(0)))
 
 
 def custom_detector(spark, sf):
