@@ -66,15 +66,16 @@ def newlines(text: Column) -> Column:
 
 
 def is_closer(c: Column) -> Column:
-    return c.isin(")", "]", "}")
+    return F.contains(F.lit(")]}"), c)
 
 
-def is_bracket(c: Column) -> Column:
-    return c.isin("(", "[", "{", ")", "]", "}")
+def is_opener(c: Column) -> Column:
+    """An opening bracket; ``{{`` stands for the one that opens an interface body."""
+    return F.contains(F.lit("([{{"), c)
 
 
-def is_opener(c: Column) -> Column:
-    return c.isin("(", "[", "{")
+def is_bracket(c: Column) -> Column:
+    return F.contains(F.lit("()[]{}"), c)
 
 
 def blank_literals(text: Column) -> Column:
@@ -97,9 +98,8 @@ def code_lines(text: Column) -> Column:
 
 
 def first_package_word(text: Column) -> Column:
-    """Word after the first ``package`` anywhere in the raw text, or NULL (ASCII word classes)."""
-    return F.nullif(
-        F.regexp_extract(text, r"(?<![A-Za-z0-9_])package[\t\n\f\r ]+([A-Za-z0-9_]+)", 1), F.lit(""))
+    """Word after the first ``package`` anywhere in the raw text, else blank (ASCII word classes)."""
+    return F.regexp_extract(text, r"(?<![A-Za-z0-9_])package[\t\n\f\r ]+([A-Za-z0-9_]+)", 1)
 
 
 def well_encoded(text: Column) -> Column:

@@ -24,8 +24,8 @@ from seamline.functions import golang as go
 from seamline.operators.assembly import asm_functions
 from seamline.operators.bounds import broadcast_if_small, is_small
 from seamline.operators.segments import (
-    INTERFACE, before, continues_brackets, first_in_group, lexed, own_statement, segments, so_far,
-    statement_text, structured)
+    ANY_CHAIN, INTERFACE, INTERFACES, METHODS, NEW_CHAIN, OWN_ASM, OWN_NEW, continues_brackets, first_in_group,
+    in_file, lexed, own_statement, segments, statement_text, structured)
 
 DIR_KEY = ["module", "version", "dir"]
 TEXT_FIELDS = ["variable_name", "command", "method_invoked", "type_passed", "pattern"]
@@ -64,10 +64,10 @@ def _single_pass(files: DataFrame, wanted: list[str], asm: DataFrame | None,
                  partitions: int | None) -> DataFrame:
     rows = lexed(_prefilter(files, wanted, asm), partitions)
     if "assembly" in wanted:
-        names = F.broadcast(asm.withColumnRenamed("name", "head").withColumn("in_asm", F.lit(True)))
-        rows = rows.join(names, [*DIR_KEY, "head"], "left")
+        names = F.broadcast(asm.withColumnRenamed("name", "chain").withColumn("in_asm", F.lit(True)))
+        rows = rows.join(names, [*DIR_KEY, "chain"], "left")
     events = _events(_candidates(structured(rows), wanted), wanted)
-    if {"interface", "global"} & set(wanted):
+    if {"interface", "global", "reflect"} & set(wanted):
         events = _resolve_by_key(events)
     return events.select(*DIR_KEY, "vector", "file_path", "line_number", *TEXT_FIELDS)
 
@@ -106,13 +106,18 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def _conditions(wanted: list[str]) -> dict[str, Column]:
-    """Which rows each wanted vector is found on, or needs for the decision."""
-    call, qualifier, selector = F.col("call_name"), F.col("qualifier"), F.col("selector")
-    alias = rf"(?:{go.IDENT}|\.)?\s*+$"
-    stmt = F.col("stmt")
-    imported = (F.col("core") == "reflect") & (stmt == "import") & (
+    """Which rows each wanted vector is found on.
+
+    Two vectors need rows of other kinds for the decision: ``interface`` the declared methods
+    (``method``), and ``global`` the text before a statement end, which closes the specification
+    before (``closing``), next to the text that opens or continues the current one (``global``).
+    """
+    call, chain, selector = F.col("call_name"), F.col("chain"), F.col("selector")
+    alias = rf'(?:{go.IDENT}|\.)?\s*+"\s*+$'
+    imported = (F.col("core") == "reflect") & F.startswith("stmt", F.lit("import")) & (
         ((F.col("level") == 0) & F.col("rest").rlike(rf"^import\s*+{alias}"))
-        | ((F.col("level") == 1) & F.col("stmt_bare") & F.coalesce("rest", F.lit("")).rlike(f"^{alias}")))
+        | ((F.col("level") == 1) & (F.col("stmt") == "import(")
+           & F.coalesce("rest", F.lit("")).rlike(f"^{alias}")))
     every = {
         "generate": lambda: F.startswith("note", F.lit("//go:generate")),
         "test": lambda: (F.endswith("path", F.lit("_test.go"))
@@ -120,70 +125,57 @@ def _conditions(wanted: list[str]) -> dict[str, Column]:
         "init": lambda: F.col("func_name") == "init",
         "constructor": lambda: F.startswith(call, F.lit("New")) & (selector | (call == "New")),
         "reflect": lambda: imported,
-        "unsafe": lambda: (qualifier == "unsafe") & (call == "Pointer"),
-        "cgo": lambda: qualifier == "C",
-        "plugin": lambda: (qualifier == "plugin") & (call == "Open"),
-        "exec": lambda: F.col("chain").isin([f"{p}.{f}" for p, f in schema.EXEC_RULES]),
-        "interface": lambda: (F.col("is_method") | selector) & F.col("file_methods"),
+        "unsafe": lambda: chain == "unsafe.Pointer",
+        "cgo": lambda: chain.rlike(r"^C\.[^.]++$"),
+        "plugin": lambda: chain == "plugin.Open",
+        "exec": lambda: chain.isin([f"{p}.{f}" for p, f in schema.EXEC_RULES]),
+        "interface": lambda: selector & in_file(METHODS),
+        "method": lambda: F.col("is_method"),
         "assembly": lambda: call.isNotNull() & ~selector & F.col("in_asm"),
-        "global": lambda: (F.coalesce(_spec_part("stmt"), F.lit(False))
-                           | F.coalesce(_spec_part("prev_stmt"), F.lit(False))),
+        "global": lambda: _spec_part(),
+        "closing": lambda: F.col("starts") & (F.col("level") == spec_level("prev_stmt")),
     }
-    return {v: F.coalesce(every[v](), F.lit(False)) for v in wanted}
+    helpers = ["method"] * ("interface" in wanted) + ["closing"] * ("global" in wanted)
+    return {v: every[v]() for v in [*wanted, *helpers]}
 
 
-def _spec_part(stmt: str) -> Column:
-    """Whether the row's text, or the bracket it closes, lies at the level of the values of a
-    top-level ``var`` or ``const``."""
-    spec_level = F.when(F.col(f"{stmt}_bare"), 1).otherwise(0)
-    at_level = F.col("level") == spec_level
-    closes_to_level = go.is_closer(F.col("core")) & (F.col("level") == spec_level + 1)
-    return F.col(stmt).isin("var", "const") & (at_level | closes_to_level)
+def spec_level(stmt: str) -> Column:
+    """Level of the values of a ``var`` or ``const`` statement, one more in a group; else NULL."""
+    statement = F.col(stmt)
+    return F.when(statement.isin("var", "const"), 0).when(statement.isin("var(", "const("), 1)
 
 
-def _candidates(rows: DataFrame, wanted: list[str]) -> DataFrame:
-    """Rows that some wanted vector needs, flagged ``hit_<vector>``; the bulk of the segments goes."""
-    rows = rows.select("*", *[c.alias(f"hit_{v}") for v, c in _conditions(wanted).items()])
-    hits = [F.col(f"hit_{v}") for v in wanted]
-    needs_levels = _any(
-        [F.col("file_new_chain")] * ("constructor" in wanted)
-        + [F.col("file_any_chain") & F.col("file_methods")] * ("interface" in wanted)
-        + [F.col("file_interface") & F.col("file_own_new")] * ("constructor" in wanted)
-        + [F.col("file_interface") & F.col("file_own_asm")] * ("assembly" in wanted))
-    rows = rows.withColumn("needs_levels", needs_levels)
-    context = F.col("needs_levels") & (go.is_opener(F.col("core")) | first_in_group())
-    rows = rows.filter(_any([*hits, context]))
-    if {"reflect", "global"} & set(wanted):
-        rows = _number_in_order(rows, wanted)
-    if {"constructor", "interface", "assembly"} & set(wanted):
-        rows = _resolve_chains(rows, wanted)
-    return rows
+def _spec_part() -> Column:
+    """Whether the row's text, or the bracket it closes, lies at the level of the values."""
+    above = F.col("level") - spec_level("stmt")
+    return (above == 0) | ((above == 1) & go.is_closer(F.col("core")))
 
 
-def _number_in_order(rows: DataFrame, wanted: list[str]) -> DataFrame:
-    """What depends on the candidates before a row; both windows keep the order by (path, pos).
+def _candidates(rows: DataFrame, wanted: list[str]) -> DataFrame:
+    """One row per segment and ``vector`` it may be found as; the bulk of the segments goes.
 
-    Of several imports in one declaration only the first counts. Specifications are numbered by
-    counting statement ends at the level of the values.
+    In files in which chains or interface bodies have to be told apart, the rows that show them stay
+    as context, with a blank vector, until that is done.
     """
-    columns = ["*"]
-    if "reflect" in wanted:
-        seen = F.last(F.when(F.col("hit_reflect"), F.col("stmt_pos")), ignorenulls=True).over(before())
-        columns.append(seen.alias("import_seen"))
-    if "global" in wanted:
-        in_group = (F.col("level") == 1) & F.col("stmt_bare") & F.col("stmt").isin("var", "const")
-        ends = F.coalesce(F.col("starts") & ((F.col("level") == 0) | in_group), F.lit(False))
-        rows = rows.withColumn("ends_spec", ends)
-        columns.append(F.sum(F.col("ends_spec").cast("int")).over(so_far()).alias("spec"))
-    rows = rows.select(*columns)
-    if "reflect" in wanted:
-        again = F.coalesce(F.col("import_seen") == F.col("stmt_pos"), F.lit(False))
-        rows = rows.withColumn("hit_reflect", F.col("hit_reflect") & ~again)
+    levels = (
+        [in_file(NEW_CHAIN) | (in_file(INTERFACES) & in_file(OWN_NEW))] * ("constructor" in wanted)
+        + [in_file(ANY_CHAIN) & in_file(METHODS)] * ("interface" in wanted)
+        + [in_file(INTERFACES) & in_file(OWN_ASM)] * ("assembly" in wanted))
+    found = F.concat_ws(",", *[F.when(c, v) for v, c in _conditions(wanted).items()])
+    context = F.col("needs_levels") & (go.is_opener(F.col("core")) | first_in_group())
+    rows = (
+        rows.withColumn("needs_levels", _any(levels))
+        .withColumn("vector", F.explode(F.split(found, ",")))
+        .filter((F.col("vector") != "") | context))
+    if levels:
+        rows = _resolve_chains(rows)
+        signature = F.col("vector").isin("constructor", "assembly") & F.col("signature")
+        rows = rows.filter((F.col("vector") != "") & ~signature)
     return rows
 
 
-def _resolve_chains(rows: DataFrame, wanted: list[str]) -> DataFrame:
-    """Line of the start of every bracketed chain; drop method signatures of interface bodies."""
+def _resolve_chains(rows: DataFrame) -> DataFrame:
+    """Line of the start of every bracketed chain; mark method signatures of interface bodies."""
     code, prev, core, needed = F.col("code"), F.col("prev"), F.col("core"), F.col("needs_levels")
     type_text = rf"^[ \t]*+(?:\*[ \t]*+)*+{go.IDENT}(?:\.{go.IDENT})*+[ \t]*+$"
     dotted = rf"^[ \t]*+\.\s*+(?:{go.IDENT}(?:[ \t]*+\.\s*+{go.IDENT})*+)?[ \t]*+$"
@@ -198,12 +190,12 @@ def _resolve_chains(rows: DataFrame, wanted: list[str]) -> DataFrame:
         "*",
         F.last(starts_at, ignorenulls=True).over(running).alias("chain_start"),
         F.last(group, ignorenulls=True).over(running).alias("group"))
-    rows = rows.withColumn("start_line", F.when(
-        needed & continues_brackets(), F.coalesce("chain_start", "start_line")).otherwise(F.col("start_line")))
-    signature = F.coalesce(needed & (F.col("group") == INTERFACE) & own_statement(), F.lit(False))
-    for v in {"constructor", "assembly"} & set(wanted):
-        rows = rows.withColumn(f"hit_{v}", F.col(f"hit_{v}") & ~signature)
-    return rows
+    return (
+        rows.withColumn("start_line", F.when(
+            needed & continues_brackets(), F.coalesce("chain_start", "start_line"))
+            .otherwise(F.col("start_line")))
+        .withColumn("signature", F.coalesce(
+            needed & (F.col("group") == INTERFACE) & own_statement(), F.lit(False))))
 
 
 # --- events ---------------------------------------------------------------------------------
@@ -212,24 +204,8 @@ def _resolve_chains(rows: DataFrame, wanted: list[str]) -> DataFrame:
 def _events(rows: DataFrame, wanted: list[str]) -> DataFrame:
     """One row per candidate and vector, with the occurrence fields the row itself knows.
 
-    ``key`` and ``piece`` belong to ``interface`` and ``global``, which are decided per key later:
-    ``interface`` rows carry the method name, declarations as vector ``method``; ``global`` rows
-    carry pieces of specifications. A row where a statement ends has two: what stands before the
-    end closes a specification (``closing``), what stands after it opens the next one.
+    ``key`` and ``piece`` belong to ``interface``, ``reflect`` and ``global``, which are decided per key later.
     """
-    false = F.lit(False)
-    names = {v: F.col(f"hit_{v}") for v in wanted}
-    if "interface" in wanted:
-        names["interface"] = F.col("hit_interface") & F.col("selector")
-        names["method"] = F.col("hit_interface") & F.col("is_method")
-    if "global" in wanted:
-        prev_level = F.when(F.col("prev_stmt_bare"), 1).otherwise(0)
-        names["global"] = F.col("hit_global") & F.coalesce(_spec_part("stmt"), false)
-        names["closing"] = F.col("hit_global") & F.col("ends_spec") & F.coalesce(
-            F.col("prev_stmt").isin("var", "const") & (F.col("level") == prev_level), false)
-    listed = F.concat_ws(",", *[F.when(c, v) for v, c in names.items()])
-    rows = rows.withColumn("vector", F.explode(F.split(listed, ","))).filter(F.col("vector") != "")
-
     vector, call, name = F.col("vector"), F.col("call_name"), F.col("func_name")
     blank = F.lit("")
     of = lambda *vectors: vector.isin(*vectors)
@@ -252,9 +228,10 @@ def _events(rows: DataFrame, wanted: list[str]) -> DataFrame:
     key, piece = none, none
     if "interface" in wanted:
         key = F.when(vector == "interface", call).when(vector == "method", name)
+    if "reflect" in wanted:
+        key = F.when(vector == "reflect", F.concat(F.lit("import "), F.col("stmt_pos").cast("string"))).otherwise(key)
     if "global" in wanted:
-        number = F.col("spec") - F.when(vector == "closing", 1).otherwise(0)
-        key = F.when(of("global", "closing"), F.concat(F.lit("0:"), number.cast("string"))).otherwise(key)
+        key = F.when(of("global", "closing"), _spec_key(vector == "closing")).otherwise(key)
         piece = F.when(vector == "closing", _closing_piece()).when(vector == "global", _open_piece())
     return rows.select(
         *DIR_KEY, "path", "pos", "vector",
@@ -264,7 +241,8 @@ def _events(rows: DataFrame, wanted: list[str]) -> DataFrame:
         blank.alias("variable_name"),
         F.when(vector == "generate", command).otherwise(blank).alias("command"),
         method.alias("method_invoked"),
-        F.when(vector == "interface", F.coalesce("qualifier", blank)).otherwise(blank).alias("type_passed"),
+        F.when((vector == "interface") & F.col("chain").rlike(r"^[^.]++\.[^.]++$"),
+               F.substring_index("chain", ".", 1)).otherwise(blank).alias("type_passed"),
         pattern.alias("pattern"),
         key.alias("key"), piece.alias("piece"))
 
@@ -272,6 +250,19 @@ def _events(rows: DataFrame, wanted: list[str]) -> DataFrame:
 # --- global initialisers --------------------------------------------------------------------
 
 
+def _spec_key(closing: Column) -> Column:
+    """Number of the specification, or of the one before it if this row closes that one.
+
+    A specification is numbered by the statement ends before it, at its own level; one in a group
+    by those at level 0 too.
+    """
+    back = F.when(closing, 1).otherwise(0)
+    grouped = spec_level("stmt") == 1
+    grouped = F.when(closing, F.col("level") == 1).otherwise(grouped)
+    return F.when(grouped, F.concat_ws(" ", F.lit("spec"), "ends0", F.col("ends1") - back)).otherwise(
+        F.concat_ws(" ", F.lit("spec"), F.col("ends0") - back))
+
+
 def _open_piece() -> Column:
     """This row's part of the specification at its end.
 
@@ -279,10 +270,10 @@ def _open_piece() -> Column:
     ``f(x).g(y)`` becomes ``f().g()``.
     """
     core = F.col("core")
-    at_level = F.col("level") == F.when(F.col("stmt_bare"), 1).otherwise(0)
+    at_level = F.col("level") == spec_level("stmt")
     ends_group = go.is_closer(core) & at_level
-    bracket = (F.when(ends_group, "").when(go.is_bracket(core), core).when(core == "reflect", '"').otherwise(""))
-    own_text = F.when(F.col("ends_spec"), F.coalesce("rest", F.lit(""))).otherwise(F.col("code"))
+    bracket = (F.when(ends_group, "").when(go.is_bracket(core), core).otherwise(""))
+    own_text = F.coalesce("rest", "code")
     return F.concat(F.when(at_level, own_text).otherwise(""), bracket)
 
 
@@ -296,16 +287,16 @@ _NAME = go.IDENT
 _OPERAND = (rf"(?:func\s*+\(\)(?:(?:interface|struct)\s*+\{{\}}|[^{{}}=])*?\{{\}}"
             rf"|(?:\[\]|map\s*+\[\]|\*|\s)*+(?:struct\s*+\{{\}}|interface\s*+\{{\}}|{_NAME})"
             rf"|\(\)|[\"'`]|{go.NUMBER})")
-_PLAIN_CALL = rf"^({_NAME})\s*+\(\)\s*$"
+_PLAIN_CALL = rf"^(?!(?:{'|'.join(go.KEYWORDS)})\b){_NAME}\s*+\(\)\s*$"
 _SELECTOR_CALL = (rf"^(?!\*){_OPERAND}(?:\s*\.\s*{_NAME}|\s*\.\s*\(\)|\s*\(\)|\s*\[\]|\s*\{{\}})*"
-                  rf"\s*\.\s*({_NAME})\s*\(\)\s*$")
+                  rf"\s*\.\s*{_NAME}\s*\(\)\s*$")
 _LITERAL_CALL = r"^func\s*+\(\)(?:(?:interface|struct)\s*+\{\}|[^{}=])*?\{\}\s*+\(\)\s*$"
 
 
 def _resolve_by_key(events: DataFrame) -> DataFrame:
     """Decide ``interface`` and ``global`` from all candidate rows of one (path, key).
 
-    A call counts for ``interface`` if its name is a method declared in the file. A specification
+    Of several imports in one declaration only the first counts for ``reflect``. A call counts for ``interface`` if its name is a method declared in the file. A specification
     counts for ``global`` if its first value is a call of a name, a selector or a function literal;
     it is reported at the line of that value.
     """
@@ -322,25 +313,22 @@ def _resolve_by_key(events: DataFrame) -> DataFrame:
     kept = (
         F.when(vector.isin("method", "closing"), False)
         .when(vector == "interface", F.col("declared"))
-        .when(is_global, F.col("pos") == F.col("first_pos"))
+        .when(is_global | (vector == "reflect"), F.col("pos") == F.col("first_pos"))
         .otherwise(True))
     pieces, value = F.col("pieces"), F.col("value")
     spec = rf"(?s)^\s*+(?:(?:var|const)\s++)?({go.IDENT})[^=]*?="
     # The value starts in the piece with the first `=`; its line is that of the piece's core.
     value_piece = F.element_at(F.filter(pieces, lambda p: F.contains(p.piece, F.lit("="))), 1)
     value_text = F.regexp_extract(value_piece.piece, r"(?s)^[^=]*+=\s+(.*)$|^[^=]*+=(\S.*)$", 1)
-    plain = F.nullif(F.regexp_extract(value, _PLAIN_CALL, 1), F.lit(""))
-    select = F.nullif(F.regexp_extract(value, _SELECTOR_CALL, 1), F.lit(""))
-    method = (
-        F.when(plain.isNotNull() & ~plain.isin(go.KEYWORDS), F.concat(plain, F.lit("()")))
-        .when(value.rlike(_LITERAL_CALL), "anonym func")
-        .when(select.isNotNull(), F.concat(select, F.lit("()"))))
+    counts = value.rlike(_PLAIN_CALL) | value.rlike(_SELECTOR_CALL) | value.rlike(_LITERAL_CALL)
+    called = F.when(value.rlike(_LITERAL_CALL), "anonym func").otherwise(
+        F.concat(F.regexp_extract(value, rf"({go.IDENT})\s*+\(\)\s*$", 1), F.lit("()")))
     return (
         events.filter(kept)
         .withColumn("shape", F.when(is_global, F.array_join(F.transform(pieces, lambda p: p.piece), "")))
         .withColumn("value", F.when(is_global, F.regexp_extract("shape", rf"{spec}\s*+([^,]*)", 2)))
-        .withColumn("method_invoked", F.when(is_global, method).otherwise(F.col("method_invoked")))
-        .filter(F.col("method_invoked").isNotNull())
+        .filter(~is_global | counts)
+        .withColumn("method_invoked", F.when(is_global, called).otherwise(F.col("method_invoked")))
         .withColumn("variable_name", F.when(is_global, F.regexp_extract("shape", spec, 1))
                     .otherwise(F.col("variable_name")))
         .withColumn("line_number", F.when(
@@ -362,8 +350,8 @@ def _shuffled_assembly(files: DataFrame, asm: DataFrame, partitions: int | None)
 
 def _exec_by_rules(files: DataFrame, rules: DataFrame, partitions: int | None) -> DataFrame:
     """``exec`` with rules from a table."""
-    rules = broadcast_if_small(rules.select(
-        F.col("pkg").alias("qualifier"), F.col("func").alias("call_name")).distinct())
-    rows = segments(files, partitions).filter(F.col("qualifier").isNotNull())
-    rows = rows.join(rules, ["qualifier", "call_name"], "left_semi").withColumn("hit_exec", F.lit(True))
+    rules = broadcast_if_small(
+        rules.select(F.concat("pkg", F.lit("."), "func").alias("chain")).distinct())
+    rows = segments(files, partitions).filter(F.col("selector"))
+    rows = rows.join(rules, "chain", "left_semi").withColumn("vector", F.lit("exec"))
     return _events(rows, ["exec"]).select(*DIR_KEY, "vector", "file_path", "line_number", *TEXT_FIELDS)

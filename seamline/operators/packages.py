@@ -16,12 +16,13 @@ def packages(files: DataFrame) -> DataFrame:
     The first file by name whose raw text mentions ``package <word>`` names the whole directory.
     A minimum per directory, combined before the shuffle, so a huge directory costs one row per task.
     """
+    word = F.col("word")
     return (
         files.filter(F.col("ext") == ".go")
-        .withColumn("word", go.first_package_word(F.col("content")))
-        .filter(F.col("word").isNotNull())
+        .select(*DIR_KEY, "name", go.first_package_word(F.col("content")).alias("word"))
         .groupBy(DIR_KEY)
-        .agg(F.min_by("word", "name").alias("package_name")))
+        .agg(F.min_by(word, F.when(word != "", F.col("name"))).alias("package_name"))
+        .filter(F.col("package_name") != ""))
 
 
 def loc(files: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from seamline.functions import golang as go
 
-INTERFACE = "interface{"
+INTERFACE = "{{"  # `prev` of the first row inside an interface body
+KEYWORD_LIST = f" {' '.join(go.KEYWORDS)} "
 DECL_WORDS = "package|import|var|const|type|func"
 
 
@@ -50,15 +51,16 @@ def segments(files: DataFrame, partitions: int | None = None) -> DataFrame:
     Columns of a row, next to the file's module, version, dir and path:
 
     * ``pos``, its number; ``core``, the bracket it ends with, or ``reflect``, ``note``, ``eof``;
-      ``code``, the text before that without comments and literals; ``note``, a directive comment;
+      ``code``, the text without that bracket and comments, literals cut down to a quote; ``note``, a directive comment;
     * ``prev``, the last character before the text; ``level`` of the text; ``line`` of the core;
     * ``starts``, whether a statement ends in the text, and ``rest``, what follows it (both only
       down to level 1); ``stmt`` and ``prev_stmt``, the word that begins the top-level statement
-      after and before it, with ``_bare`` if only a bracket follows that word, and ``stmt_pos``;
+      after and before it, with ``(`` if only that follows, and ``stmt_pos``, its row;
     * ``chain``, the selector chain called here, and ``start_line``; its last name ``call_name``;
-      ``selector``, whether it has a dot; ``qualifier``, the plain identifier before the only dot;
+      ``selector``, whether it has a dot;
     * ``func_name``, a top-level function or method declared here, ``is_method`` and ``decl_line``;
-    * ``file_*``, what occurs anywhere in the file.
+    * ``ends0`` and ``ends1``, the number of texts so far in which a statement of level 0 or 1 ends;
+    * ``file_flags``, what occurs anywhere in the file.
     """
     return structured(lexed(files, partitions))
 
@@ -72,8 +74,6 @@ def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
     last = F.right(raw, F.lit(1))
     may_be_note = (F.contains(raw, F.lit("//go:generate")) | F.contains(raw, F.lit("//line "))
                    | F.contains(raw, F.lit("/*line ")))
-    core_length = (F.when(core == "note", F.length("note")).when(core == "reflect", 9)
-                   .when(core == "eof", 0).otherwise(1))
     return (
         (sources.repartition(n, "path") if n else sources)
         .select("module", "version", "dir", "path",
@@ -85,11 +85,22 @@ def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
                     .when(F.endswith(raw, F.lit('"reflect"')), "reflect")
                     .when(last == "\n", "eof")
                     .otherwise("error"))
-        .withColumn("own", F.left(raw, F.length(raw) - core_length))
-        .withColumn("code", go.blank_literals(F.col("own")))
-        .select("module", "version", "dir", "path", "pos", "note", "core", "code",
+        .withColumn("code", go.blank_literals(raw))
+        .withColumn("code", F.when(go.is_bracket(core), F.left("code", F.length("code") - 1))
+                    .otherwise(F.col("code")))
+        .withColumn("head", F.when(core == "(", F.regexp_extract("code", go.CHAIN_AT_END, 0)).otherwise(""))
+        .withColumn("note_line", F.when(F.col("note").isNotNull(), _note_line()))
+        .select("module", "version", "dir", "path", "pos", "note", "note_line", "core", "code", "head",
                 go.newlines(raw).alias("nl"),
-                F.when(core == "(", F.regexp_extract("code", go.CHAIN_AT_END, 0)).otherwise("").alias("head")))
+                F.regexp_replace("head", r"\s+", "").alias("chain"),
+                F.when(go.is_bracket(core), _kind_weight(core)).alias("weight")))
+
+
+def _kind_weight(core: Column) -> Column:
+    """A different power of 2^20 for each kind of bracket, so one sum tells whether all balance."""
+    kind = F.element_at(F.array(*[F.lit(1 << (20 * i)) for i in range(3)]),
+                        ((F.instr(F.lit("()[]{}"), core) + 1) / 2).cast("int"))
+    return F.when(go.is_opener(core), kind).otherwise(-kind)
 
 
 def structured(lexed_rows: DataFrame) -> DataFrame:
@@ -106,10 +117,9 @@ def _with_nesting(rows: DataFrame) -> DataFrame:
     tail = (
         F.when(opens_interface, INTERFACE)
         .when(go.is_bracket(core), core)
-        .when(core == "reflect", '"')
         .otherwise(F.nullif(F.regexp_extract(code, r"(\S)\s*+$", 1), F.lit(""))))
     return (
-        rows.withColumn("step", F.when(go.is_opener(core), 1).when(go.is_closer(core), -1).otherwise(0))
+        rows.withColumn("step", F.coalesce(F.sign("weight").cast("int"), F.lit(0)))
         .withColumn("tail", tail)
         .select(
             "*",
@@ -119,9 +129,17 @@ def _with_nesting(rows: DataFrame) -> DataFrame:
         .drop("nl"))
 
 
+# Bits of ``file_flags``: what occurs anywhere in the file.
+ERROR, METHODS, NEW_CHAIN, ANY_CHAIN, INTERFACES, OWN_NEW, OWN_ASM = (1 << i for i in range(7))
+
+
+def in_file(flag: int) -> Column:
+    return F.col("file_flags").bitwiseAND(flag) != 0
+
+
 def first_in_group() -> Column:
     """Whether the text follows an opening bracket or starts the file."""
-    return F.col("prev").isNull() | F.col("prev").isin("(", "[", "{", INTERFACE)
+    return F.coalesce(go.is_opener(F.col("prev")), F.lit(True))
 
 
 def statement_text() -> Column:
@@ -145,18 +163,19 @@ def _with_calls(rows: DataFrame) -> DataFrame:
     chain = F.col("chain")
     declared_here = code.rlike(rf"{go.NOT_IN_IDENT}func\s++{go.IDENT}\s*+$")
     after_receiver = (F.col("prev") == ")") & code.rlike(rf"^[ \t]*+{go.IDENT}[ \t]*+$")
-    bare = (chain != "") & ~F.coalesce(declared_here | after_receiver | chain.isin(go.KEYWORDS), F.lit(False))
-    function = F.when(core.isin("(", "[") & (F.col("word") == "func"),
-                      F.regexp_extract("rest", rf"^func\s++({go.IDENT})\s*+$", 1))
+    keyword = F.contains(F.lit(KEYWORD_LIST), F.concat(F.lit(" "), chain, F.lit(" ")))
+    bare = (chain != "") & ~(declared_here | F.col("after_receiver") | keyword)
+    function = F.when(F.contains(F.lit("(["), core) & (F.col("word") == "func"),
+                      F.nullif(F.regexp_extract("rest", rf"^func\s++({go.IDENT})\s*+$", 1), F.lit("")))
     # At the top level, `) Name (` without a statement end in between occurs in methods only.
-    method = F.when((core == "(") & (level == 0) & after_receiver & ~chain.isin(go.KEYWORDS), chain)
+    method = F.when(F.col("is_method"), chain)
     return (
-        rows.withColumn("chain", F.regexp_replace("head", r"\s+", ""))
+        rows
         .withColumn("selector", F.contains(chain, F.lit(".")))
+        .withColumn("after_receiver", F.coalesce(after_receiver, F.lit(False)))
+        .withColumn("is_method", (core == "(") & (level == 0) & F.col("after_receiver") & ~keyword)
         .withColumn("call_name", F.when(F.col("selector") | bare, F.substring_index(chain, ".", -1)))
-        .withColumn("qualifier", F.when(chain.rlike(r"^[^.]++\.[^.]++$"), F.substring_index(chain, ".", 1)))
-        .withColumn("is_method", method.isNotNull())
-        .withColumn("func_name", F.coalesce(method, F.nullif(function, F.lit("")))))
+        .withColumn("func_name", F.coalesce(method, function)))
 
 
 def continues_brackets() -> Column:
@@ -174,78 +193,71 @@ def own_statement() -> Column:
 
 def _with_file_context(rows: DataFrame) -> DataFrame:
     core, code, level, rest = F.col("core"), F.col("code"), F.col("level"), F.col("rest")
-    stmt = {
-        "": F.col("word"),
-        "_bare": F.rtrim(rest) == F.col("word"),
-        "_line": F.col("line") - go.newlines(rest),
-        "_pos": F.col("pos"),
-    }
+    # The word that begins a statement, with a bracket if nothing else stands before the core.
+    head = F.when(F.rtrim(rest) == F.col("word"), F.concat("word", core)).otherwise(F.col("word"))
+    stmt = {"stmt": head, "stmt_line": F.col("line") - go.newlines(rest), "stmt_pos": F.col("pos")}
     stmt = {k: F.when((level == 0) & (rest != ""), c) for k, c in stmt.items()}
     stray = (level == 0) & (
         F.col("text").rlike(rf"{go.STATEMENT_END}\s*+(?!(?:{DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])|;|\z)")
         | (go.is_opener(core) & (rest == "")))
     error = ((core == "error") | code.rlike(go.STRAY_CHARACTER) | (level + F.col("step") < 0) | stray
-             | bad_line_note())
+             | F.coalesce(F.col("note_line") == 0, F.lit(False)))
     own_package = F.regexp_extract(code, rf"^\s*+package\s++({go.IDENT})[ \t\r]*+(?:[;\n]|\z)", 1)
     first_code = F.when((level == 0) & code.rlike(r"\S"), own_package)
-    balance = [F.when(core == o, 1).when(core == c, -1).otherwise(0) for o, c in ("()", "[]", "{}")]
     is_new = F.startswith("call_name", F.lit("New"))
+    in_asm = F.col("in_asm") if "in_asm" in rows.columns else F.lit(False)
     flags = {
-        "error": error,
-        "file_methods": F.col("is_method"),
-        "file_new_chain": is_new & continues_brackets(),
-        "file_any_chain": continues_brackets(),
-        "file_interface": F.col("tail") == INTERFACE,
-        "file_own_new": (F.col("call_name") == "New") & own_statement(),
+        ERROR: error,
+        METHODS: F.col("is_method"),
+        NEW_CHAIN: is_new & continues_brackets(),
+        ANY_CHAIN: continues_brackets(),
+        INTERFACES: F.col("tail") == INTERFACE,
+        OWN_NEW: (F.col("call_name") == "New") & own_statement(),
+        OWN_ASM: in_asm & own_statement(),
     }
-    if "in_asm" in rows.columns:
-        flags["file_own_asm"] = F.col("in_asm") & own_statement()
-    false = F.lit(False)
+    bits = sum((F.when(c, bit).otherwise(0) for bit, c in flags.items()), F.lit(0))
     framed = rows.select(
         "*",
-        *[F.last(c, ignorenulls=True).over(so_far()).alias(f"stmt{k}") for k, c in stmt.items()],
-        *[F.last(stmt[k], ignorenulls=True).over(before()).alias(f"prev_stmt{k}") for k in ("", "_bare")],
-        F.last(line_shift(), ignorenulls=True).over(before()).alias("shift"),
+        *[F.last(c, ignorenulls=True).over(so_far()).alias(k) for k, c in stmt.items()],
+        F.last(stmt["stmt"], ignorenulls=True).over(before()).alias("prev_stmt"),
+        F.last(_line_shift(), ignorenulls=True).over(before()).alias("shift"),
         F.first(first_code, ignorenulls=True).over(whole_file()).alias("own_package"),
-        *[F.sum(b).over(whole_file()).alias(f"open{i}") for i, b in enumerate(balance)],
-        *[F.max(F.coalesce(c, false)).over(whole_file()).alias(k) for k, c in flags.items()])
-    well_formed = (~F.col("error") & (F.col("own_package") != "")
-                   & (F.col("open0") == 0) & (F.col("open1") == 0) & (F.col("open2") == 0))
+        *[F.sum(F.when(F.col("starts") & (level == i), 1).otherwise(0)).over(so_far()).alias(f"ends{i}")
+          for i in (0, 1)],
+        F.sum("weight").over(whole_file()).alias("balance"),
+        F.bit_or(bits).over(whole_file()).alias("file_flags"))
+    well_formed = (F.col("file_flags").bitwiseAND(ERROR) == 0) & (F.col("own_package") != "") & (
+        F.coalesce("balance", F.lit(0)) == 0)
     shifted = lambda c: (c + F.coalesce("shift", F.lit(0))).cast("int")
     return (
         framed.filter(well_formed)
         .withColumn("start_line", shifted(F.col("line") - go.newlines(F.col("head"))))
         .withColumn("decl_line", shifted(F.col("stmt_line")))
         .withColumn("line", shifted(F.col("line")))
-        .drop("error", "open0", "open1", "open2", "text", "word", "head", "tail", "step", "shift",
+        .drop("balance", "weight", "after_receiver", "text", "word", "head", "tail", "step", "shift",
               "stmt_line"))
 
 
-def line_shift() -> Column:
-    """Difference between reported and physical line from this directive on, else NULL.
+def _note_line() -> Column:
+    """The line a ``//line name:N`` or ``/*line name:N*/`` comment gives, NULL if it gives none.
 
-    ``//line name:N`` names the line after it and counts only at the start of a line;
-    ``/*line name:N*/`` names the line it ends on. Either may have a column after the line.
+    Either may have a column after the line. A last field that is no number from 1 to 2^30 makes the
+    file ill-formed, which is told by a 0.
     """
-    number = F.coalesce(_line_field(2), _line_field(1))
-    below = F.when(F.startswith("note", F.lit("//")), 1).otherwise(0)
-    return F.when(_is_line_note(), number.cast("int") - F.col("line") - below)
-
-
-def bad_line_note() -> Column:
-    """A line directive whose last field is no number from 1 to 2^30 makes the file ill-formed."""
-    valid = lambda c: c.between(1, 1 << 30)
-    return _is_line_note() & F.contains("note", F.lit(":")) & ~(
-        F.coalesce(valid(_line_field(1)), F.lit(False)) & F.coalesce(valid(_line_field(2)), F.lit(True)))
+    note = F.col("note")
+    at_line_start = F.col("code").rlike(r"\n $") | ((F.col("pos") == 0) & (F.col("code") == " "))
+    directive = F.startswith(note, F.lit("/*line ")) | (F.startswith(note, F.lit("//line ")) & at_line_start)
+    fields = r"(?s)^.*?(?::0*(\d{1,10}))?:0*(\d{1,10})\r?(?:\*/)?$"
+    first, last = (F.regexp_extract(note, fields, i) for i in (1, 2))
+    number = lambda c: F.when((c != "") & (c.cast("long") <= 1 << 30), c.cast("int")).otherwise(0)
+    return F.when(directive & F.contains(note, F.lit(":")), F.when(
+        (first == "") | (number(last) == 0), number(last)).otherwise(number(first)))
 
 
-def _is_line_note() -> Column:
-    at_line_start = F.col("code").rlike(r"\n$") | ((F.col("pos") == 0) & (F.col("code") == ""))
-    return (F.startswith("note", F.lit("/*line ")) | (F.startswith("note", F.lit("//line ")) & at_line_start))
+def _line_shift() -> Column:
+    """Difference between reported and physical line from a line directive on.
 
-
-def _line_field(from_end: int) -> Column:
-    """The field before the ``from_end``-th last colon-separated end, where it is a number."""
-    skip = r"(?::\d+)" * (from_end - 1)
-    found = F.regexp_extract("note", rf"(?s):(\d+){skip}\r?(?:\*/)?$", 1)
-    return F.try_to_number(F.nullif(found, F.lit("")), F.lit("9" * 30)).cast("decimal(30,0)")
+    ``//line`` names the line after it, ``/*line */`` the line it ends on.
+    """
+    below = F.when(F.startswith("note", F.lit("//")), 1).otherwise(0)
+    return F.col("note_line") - F.col("line") - below
