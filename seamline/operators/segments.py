@@ -89,8 +89,7 @@ def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
         .withColumn("code", F.when(go.is_bracket(core), F.left("code", F.length("code") - 1))
                     .otherwise(F.col("code")))
         .withColumn("head", F.when(core == "(", F.regexp_extract("code", go.CHAIN_AT_END, 0)).otherwise(""))
-        .withColumn("note_line", F.when(F.col("note").isNotNull(), _note_line()))
-        .select("module", "version", "dir", "path", "pos", "note", "note_line", "core", "code", "head",
+        .select("module", "version", "dir", "path", "pos", "note", "core", "code", "head",
                 go.newlines(raw).alias("nl"),
                 F.regexp_replace("head", r"\s+", "").alias("chain"),
                 F.when(go.is_bracket(core), _kind_weight(core)).alias("weight")))
@@ -152,6 +151,7 @@ def _with_statement_ends(rows: DataFrame) -> DataFrame:
     word = F.regexp_extract(rest, rf"^({DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])", 1)
     return (
         rows.withColumn("text", F.when(F.col("level") <= 1, statement_text()))
+        .withColumn("note_line", F.when(F.col("note").isNotNull(), _note_line()))
         .withColumn("starts", F.coalesce(text.rlike(go.STATEMENT_END), F.lit(False)))
         .withColumn("rest", F.when(
             F.col("starts"), F.regexp_extract(text, rf"(?s)^.*{go.STATEMENT_END}\s*+(.*)$", 1)))
@@ -234,7 +234,7 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
         .withColumn("start_line", shifted(F.col("line") - go.newlines(F.col("head"))))
         .withColumn("decl_line", shifted(F.col("stmt_line")))
         .withColumn("line", shifted(F.col("line")))
-        .drop("balance", "weight", "after_receiver", "text", "word", "head", "tail", "step", "shift",
+        .drop("balance", "weight", "after_receiver", "text", "word", "head", "note_line", "tail", "step", "shift",
               "stmt_line"))
 
 
@@ -247,11 +247,9 @@ def _note_line() -> Column:
     note = F.col("note")
     at_line_start = F.col("code").rlike(r"\n $") | ((F.col("pos") == 0) & (F.col("code") == " "))
     directive = F.startswith(note, F.lit("/*line ")) | (F.startswith(note, F.lit("//line ")) & at_line_start)
-    fields = r"(?s)^.*?(?::0*(\d{1,10}))?:0*(\d{1,10})\r?(?:\*/)?$"
-    first, last = (F.regexp_extract(note, fields, i) for i in (1, 2))
-    number = lambda c: F.when((c != "") & (c.cast("long") <= 1 << 30), c.cast("int")).otherwise(0)
-    return F.when(directive & F.contains(note, F.lit(":")), F.when(
-        (first == "") | (number(last) == 0), number(last)).otherwise(number(first)))
+    number = F.regexp_extract(note, r":0*(\d{1,10})(?::0*[1-9]\d{0,9})?\r?(?:\*/)?$", 1).try_cast("int")
+    return F.when(directive & F.contains(note, F.lit(":")),
+                  F.coalesce(F.when(number <= 1 << 30, number), F.lit(0)))
 
 
 def _line_shift() -> Column:
