@@ -43,7 +43,7 @@ _FILLER = "|".join([
 _CORE = "|".join([r"[()\[\]{}]", r'"reflect"', LINE_COMMENT, BLOCK_COMMENT, r"""["'`]""", r"/\*", r"\z"])
 SEGMENT = rf"(?s)(?!\z)(?:{_FILLER})*+(?:{_CORE})"
 # The directive comment a segment ends with, where it ends with one.
-SEGMENT_NOTE = rf"(?s)^(?:{_FILLER})*+({LINE_COMMENT}|{BLOCK_COMMENT})$"
+SEGMENT_NOTE = rf"(?s)^(?:{_FILLER})*+({LINE_COMMENT}|{BLOCK_COMMENT})\z"
 # A character that Go allows nowhere outside literals and comments.
 STRAY_CHARACTER = r"""[^\p{L}\p{Nd}_ \t\r\n"'`!%&*+,\-./:;<=>^|~]"""
 
@@ -55,7 +55,7 @@ _BLANKED = "|".join([
 ])
 
 # The selector chain right before an opening bracket; a leading dot means it continues an operand.
-CHAIN_AT_END = rf"(?:\.\s*|{NOT_IN_IDENT}){IDENT}(?:[ \t]*+\.\s*{IDENT})*+[ \t]*+$"
+CHAIN_AT_END = rf"(?:\.\s*|{NOT_IN_IDENT}){IDENT}(?:[ \t]*+\.\s*{IDENT})*+[ \t]*+\z"
 
 # End of a statement: a semicolon, or a newline after a token that Go ends a statement at.
 STATEMENT_END = r"""(?:;|(?<=[\p{L}\p{Nd}_"'`)\]}])[ \t\r]*+\n)"""

@@ -37,7 +37,7 @@ def repo_name(url: Column) -> Column:
         .rlike(r"%(?![0-9A-Fa-f]{2})")
         | url.rlike(r"^:")
         | (~before_fragment.rlike(scheme) & before_fragment.rlike(r"^[^/?]*:"))
-        | after_scheme.rlike(r"^//[^/]*:[^/]*[^0-9/\]][^/]*$")
+        | after_scheme.rlike(r"^//(?:[^/@]*@)?(?:\[[^\]/]*\]|[^/:]*):[0-9]*[^0-9/]")
         | after_scheme.rlike(r"^//[^/]*[ <>\"]"))
     trimmed = F.regexp_replace(path, r"/+$", "")
     return (

@@ -113,7 +113,7 @@ def _conditions(wanted: list[str]) -> dict[str, Column]:
     before (``closing``), next to the text that opens or continues the current one (``global``).
     """
     call, chain, selector = F.col("call_name"), F.col("chain"), F.col("selector")
-    alias = rf'(?:{go.IDENT}|\.)?\s*+"\s*+$'
+    alias = rf'(?:{go.IDENT}|\.)?\s*+"\s*+\z'
     imported = (F.col("core") == "reflect") & F.startswith("stmt", F.lit("import")) & (
         ((F.col("level") == 0) & F.col("rest").rlike(rf"^import\s*+{alias}"))
         | ((F.col("level") == 1) & (F.col("stmt") == "import(")
@@ -126,7 +126,7 @@ def _conditions(wanted: list[str]) -> dict[str, Column]:
         "constructor": lambda: F.startswith(call, F.lit("New")) & (selector | (call == "New")),
         "reflect": lambda: imported,
         "unsafe": lambda: chain == "unsafe.Pointer",
-        "cgo": lambda: chain.rlike(r"^C\.[^.]++$"),
+        "cgo": lambda: chain.rlike(r"^C\.[^.]++\z"),
         "plugin": lambda: chain == "plugin.Open",
         "exec": lambda: chain.isin([f"{p}.{f}" for p, f in schema.EXEC_RULES]),
         "interface": lambda: selector & in_file(METHODS),
@@ -177,10 +177,10 @@ def _candidates(rows: DataFrame, wanted: list[str]) -> DataFrame:
 def _resolve_chains(rows: DataFrame) -> DataFrame:
     """Line of the start of every bracketed chain; mark method signatures of interface bodies."""
     code, prev, core, needed = F.col("code"), F.col("prev"), F.col("core"), F.col("needs_levels")
-    type_text = rf"^[ \t]*+(?:\*[ \t]*+)*+{go.IDENT}(?:\.{go.IDENT})*+[ \t]*+$"
-    dotted = rf"^[ \t]*+\.\s*+(?:{go.IDENT}(?:[ \t]*+\.\s*+{go.IDENT})*+)?[ \t]*+$"
+    type_text = rf"^[ \t]*+(?:\*[ \t]*+)*+{go.IDENT}(?:\.{go.IDENT})*+[ \t]*+\z"
+    dotted = rf"^[ \t]*+\.\s*+(?:{go.IDENT}(?:[ \t]*+\.\s*+{go.IDENT})*+)?[ \t]*+\z"
     continues = go.is_closer(prev) & (
-        code.rlike(r"^[ \t]*+$") | code.rlike(dotted)
+        code.rlike(r"^[ \t]*+\z") | code.rlike(dotted)
         | (((prev == "]") | ((prev == ")") & (core == "{"))) & code.rlike(type_text)))
     own_line = F.col("line") - go.newlines(F.regexp_extract(code, go.CHAIN_AT_END, 0))
     starts_at = F.when(needed & go.is_opener(core) & ~F.coalesce(continues, F.lit(False)), own_line)
@@ -210,7 +210,7 @@ def _events(rows: DataFrame, wanted: list[str]) -> DataFrame:
     blank = F.lit("")
     of = lambda *vectors: vector.isin(*vectors)
     alias_lines = go.newlines(F.coalesce(
-        F.regexp_extract("rest", r"(?s)^(?:import\s++)?(.*)$", 1), blank))
+        F.regexp_extract("rest", r"(?s)^(?:import\s++)?(.*)\z", 1), blank))
     line = (
         F.when(of("test", "init"), F.col("decl_line"))
         .when(vector == "reflect", F.col("line") - alias_lines)
@@ -241,7 +241,7 @@ def _events(rows: DataFrame, wanted: list[str]) -> DataFrame:
         blank.alias("variable_name"),
         F.when(vector == "generate", command).otherwise(blank).alias("command"),
         method.alias("method_invoked"),
-        F.when((vector == "interface") & F.col("chain").rlike(r"^[^.]++\.[^.]++$"),
+        F.when((vector == "interface") & F.col("chain").rlike(r"^[^.]++\.[^.]++\z"),
                F.substring_index("chain", ".", 1)).otherwise(blank).alias("type_passed"),
         pattern.alias("pattern"),
         key.alias("key"), piece.alias("piece"))
@@ -287,10 +287,10 @@ _NAME = go.IDENT
 _OPERAND = (rf"(?:func\s*+\(\)(?:(?:interface|struct)\s*+\{{\}}|[^{{}}=])*?\{{\}}"
             rf"|(?:\[\]|map\s*+\[\]|\*|\s)*+(?:struct\s*+\{{\}}|interface\s*+\{{\}}|{_NAME})"
             rf"|\(\)|[\"'`]|{go.NUMBER})")
-_PLAIN_CALL = rf"^(?!(?:{'|'.join(go.KEYWORDS)})\b){_NAME}\s*+\(\)\s*$"
+_PLAIN_CALL = rf"^(?!(?:{'|'.join(go.KEYWORDS)})\b){_NAME}\s*+\(\)\s*\z"
 _SELECTOR_CALL = (rf"^(?!\*){_OPERAND}(?:\s*\.\s*{_NAME}|\s*\.\s*\(\)|\s*\(\)|\s*\[\]|\s*\{{\}})*"
-                  rf"\s*\.\s*{_NAME}\s*\(\)\s*$")
-_LITERAL_CALL = r"^func\s*+\(\)(?:(?:interface|struct)\s*+\{\}|[^{}=])*?\{\}\s*+\(\)\s*$"
+                  rf"\s*\.\s*{_NAME}\s*\(\)\s*\z")
+_LITERAL_CALL = r"^func\s*+\(\)(?:(?:interface|struct)\s*+\{\}|[^{}=])*?\{\}\s*+\(\)\s*\z"
 
 
 def _resolve_by_key(events: DataFrame) -> DataFrame:
@@ -319,10 +319,10 @@ def _resolve_by_key(events: DataFrame) -> DataFrame:
     spec = rf"(?s)^\s*+(?:(?:var|const)\s++)?({go.IDENT})[^=]*?="
     # The value starts in the piece with the first `=`; its line is that of the piece's core.
     value_piece = F.element_at(F.filter(pieces, lambda p: F.contains(p.piece, F.lit("="))), 1)
-    value_text = F.regexp_extract(value_piece.piece, r"(?s)^[^=]*+=\s+(.*)$|^[^=]*+=(\S.*)$", 1)
+    value_text = F.regexp_extract(value_piece.piece, r"(?s)^[^=]*+=\s*+(.*)\z", 1)
     counts = value.rlike(_PLAIN_CALL) | value.rlike(_SELECTOR_CALL) | value.rlike(_LITERAL_CALL)
     called = F.when(value.rlike(_LITERAL_CALL), "anonym func").otherwise(
-        F.concat(F.regexp_extract(value, rf"({go.IDENT})\s*+\(\)\s*$", 1), F.lit("()")))
+        F.concat(F.regexp_extract(value, rf"({go.IDENT})\s*+\(\)\s*\z", 1), F.lit("()")))
     return (
         events.filter(kept)
         .withColumn("shape", F.when(is_global, F.array_join(F.transform(pieces, lambda p: p.piece), "")))

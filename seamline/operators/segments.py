@@ -112,11 +112,11 @@ def structured(lexed_rows: DataFrame) -> DataFrame:
 
 def _with_nesting(rows: DataFrame) -> DataFrame:
     core, code = F.col("core"), F.col("code")
-    opens_interface = (core == "{") & code.rlike(rf"{go.NOT_IN_IDENT}interface[ \t]*+$")
+    opens_interface = (core == "{") & code.rlike(rf"{go.NOT_IN_IDENT}interface[ \t]*+\z")
     tail = (
         F.when(opens_interface, INTERFACE)
         .when(go.is_bracket(core), core)
-        .otherwise(F.nullif(F.regexp_extract(code, r"(\S)\s*+$", 1), F.lit(""))))
+        .otherwise(F.nullif(F.regexp_extract(code, r"(\S)\s*+\z", 1), F.lit(""))))
     return (
         rows.withColumn("step", F.coalesce(F.sign("weight").cast("int"), F.lit(0)))
         .withColumn("tail", tail)
@@ -154,19 +154,19 @@ def _with_statement_ends(rows: DataFrame) -> DataFrame:
         .withColumn("note_line", F.when(F.col("note").isNotNull(), _note_line()))
         .withColumn("starts", F.coalesce(text.rlike(go.STATEMENT_END), F.lit(False)))
         .withColumn("rest", F.when(
-            F.col("starts"), F.regexp_extract(text, rf"(?s)^.*{go.STATEMENT_END}\s*+(.*)$", 1)))
+            F.col("starts"), F.regexp_extract(text, rf"(?s)^.*{go.STATEMENT_END}\s*+(.*)\z", 1)))
         .withColumn("word", F.when((F.col("level") == 0) & (rest != ""), word)))
 
 
 def _with_calls(rows: DataFrame) -> DataFrame:
     core, code, level = F.col("core"), F.col("code"), F.col("level")
     chain = F.col("chain")
-    declared_here = code.rlike(rf"{go.NOT_IN_IDENT}func\s++{go.IDENT}\s*+$")
-    after_receiver = (F.col("prev") == ")") & code.rlike(rf"^[ \t]*+{go.IDENT}[ \t]*+$")
+    declared_here = code.rlike(rf"{go.NOT_IN_IDENT}func\s++{go.IDENT}\s*+\z")
+    after_receiver = (F.col("prev") == ")") & code.rlike(rf"^[ \t]*+{go.IDENT}[ \t]*+\z")
     keyword = F.contains(F.lit(KEYWORD_LIST), F.concat(F.lit(" "), chain, F.lit(" ")))
     bare = (chain != "") & ~(declared_here | F.col("after_receiver") | keyword)
     function = F.when(F.contains(F.lit("(["), core) & (F.col("word") == "func"),
-                      F.nullif(F.regexp_extract("rest", rf"^func\s++({go.IDENT})\s*+$", 1), F.lit("")))
+                      F.nullif(F.regexp_extract("rest", rf"^func\s++({go.IDENT})\s*+\z", 1), F.lit("")))
     # At the top level, `) Name (` without a statement end in between occurs in methods only.
     method = F.when(F.col("is_method"), chain)
     return (
@@ -185,7 +185,7 @@ def continues_brackets() -> Column:
 
 def own_statement() -> Column:
     """A bare call that is a statement below the top level; a method signature looks the same."""
-    named = rf"\s*+{go.IDENT}[ \t]*+$"
+    named = rf"\s*+{go.IDENT}[ \t]*+\z"
     alone = F.when(first_in_group(), F.col("code").rlike("^" + named)).otherwise(
         F.concat("prev", "code").rlike(go.STATEMENT_END + named))
     return ~F.col("selector") & F.col("call_name").isNotNull() & (F.col("level") > 0) & alone
@@ -245,9 +245,9 @@ def _note_line() -> Column:
     file ill-formed, which is told by a 0.
     """
     note = F.col("note")
-    at_line_start = F.col("code").rlike(r"\n $") | ((F.col("pos") == 0) & (F.col("code") == " "))
+    at_line_start = F.col("code").rlike(r"\n \z") | ((F.col("pos") == 0) & (F.col("code") == " "))
     directive = F.startswith(note, F.lit("/*line ")) | (F.startswith(note, F.lit("//line ")) & at_line_start)
-    number = F.regexp_extract(note, r":0*(\d{1,10})(?::0*[1-9]\d{0,9})?\r?(?:\*/)?$", 1).try_cast("int")
+    number = F.regexp_extract(note, r":0*(\d{1,10})(?::0*[1-9]\d{0,9})?\r?(?:\*/)?\z", 1).try_cast("int")
     return F.when(directive & F.contains(note, F.lit(":")),
                   F.coalesce(F.when(number <= 1 << 30, number), F.lit(0)))
 
