@@ -1,7 +1,8 @@
-"""Size checks before a broadcast."""
+"""Size checks before a broadcast, and results that are computed once."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +17,10 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table marked for broadcast if it is small; otherwise unchanged, to be shuffled."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute the rows once: into the cluster's checkpoint folder, or the cache if it names none."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

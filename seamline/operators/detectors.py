@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from seamline import schema
 from seamline.functions import golang as go
 from seamline.operators.assembly import asm_functions
-from seamline.operators.bounds import broadcast_if_small, is_small
+from seamline.operators.bounds import broadcast_if_small, is_small, settle
 from seamline.operators.segments import (
     ANY_CHAIN, INTERFACE, INTERFACES, METHODS, NEW_CHAIN, OWN_ASM, OWN_NEW, continues_brackets, first_in_group,
     in_file, lexed, own_statement, segments, statement_text, structured)
@@ -46,7 +46,7 @@ def detect(files: DataFrame, vectors: list[str] | None = None, *,
     """
     wanted = list(vectors or schema.VECTOR_NAMES)
     late = []
-    asm = asm_functions(files) if "assembly" in wanted else None
+    asm = settle(asm_functions(files)) if "assembly" in wanted else None
     if asm is not None and not is_small(asm):
         wanted.remove("assembly")
         late.append(_shuffled_assembly(files, asm, partitions))

@@ -12,13 +12,15 @@ from seamline.operators.packages import packages
 
 
 def occurrences(files: DataFrame, vectors: list[str] | None = None, *,
-                exec_rules: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+                exec_rules: DataFrame | None = None, facts: DataFrame | None = None,
+                partitions: int | None = None) -> DataFrame:
     """One row per place where a vector occurs, duplicates kept.
 
     Directories that name no package are not analysed. Names are joined to the few occurrences, not
     to the files, so the text of a large directory is never shuffled by directory. Function
     literals called at initialisation carry no package name.
 
+    ``facts`` is ``file_facts(files)`` where that is at hand; it saves a scan of the text.
     ``vectors`` may name registered detectors too; by default all built-in and registered ones run.
     """
     names = vectors or [*schema.VECTOR_NAMES, *registry.names()]
@@ -30,7 +32,7 @@ def occurrences(files: DataFrame, vectors: list[str] | None = None, *,
         rows = rows.unionByName(more)
     literal = (F.col("vector") == "global") & (F.col("method_invoked") == "anonym func")
     return (
-        rows.join(packages(files), DIR_KEY, "inner")
+        rows.join(packages(files if facts is None else facts), DIR_KEY, "inner")
         .withColumn("package_name", F.when(literal, "").otherwise(F.col("package_name")))
         .select(schema.OCCURRENCE_COLUMNS))
 

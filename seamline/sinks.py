@@ -29,8 +29,12 @@ def write_catalog(catalog: DataFrame, path: str) -> None:
 
 
 def write_bucketed_files(files: DataFrame, table: str, buckets: int) -> None:
-    """Files as a table bucketed by path, so that analysing it needs no exchange."""
-    (files.repartition(buckets, "path").write.mode("overwrite").bucketBy(buckets, "path").saveAsTable(table))
+    """Files as a table bucketed by path, so that analysing it needs no exchange.
+
+    Partitioned by extension, so that looking up assembly functions reads no Go text.
+    """
+    (files.repartition(buckets, "path").write.mode("overwrite").partitionBy("ext")
+     .bucketBy(buckets, "path").saveAsTable(table))
 
 
 def show_summary(summary_rows: DataFrame, module: str, version: str) -> None:

@@ -76,7 +76,9 @@ def _files(df: DataFrame, name: Column, ext: str, content: Column) -> DataFrame:
         .select(
             F.col("source").alias("module"), "version", "dir",
             F.concat("dir", F.lit("/"), "name").alias("path"),
-            "name", F.lit(ext).alias("ext"), content.alias("content")))
+            "name", F.lit(ext).alias("ext"),
+            # Exploding one element keeps filters on the text from repeating the expression.
+            F.explode(F.array(content)).alias("content")))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

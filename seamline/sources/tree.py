@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline import schema
+from seamline.operators.bounds import settle
 
 EXTENSIONS = (".go", *schema.ASM_EXTENSIONS)
 _BATCH_BYTES = 32 << 20
@@ -56,13 +56,6 @@ def list_tree(modules: DataFrame, partitions: int) -> DataFrame:
         failed, ["module", "version"], "left_anti")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute the rows once: into the cluster's checkpoint folder, or the cache if it names none."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def read_hadoop_tree(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root``, laid out as ``<root>/<module>@<version>/...``."""
     raw = (

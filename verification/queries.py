@@ -13,9 +13,8 @@ from seamline.operators import registry
 from seamline.operators.assembly import asm_functions
 from seamline.operators.packages import loc, packages
 from seamline.operators.tokens import tokens
-from seamline.plans import report
+from seamline.plans.analysis import Analysis
 from seamline.plans.occurrences import occurrences, unique_counts
-from seamline.plans.versions import version_delta
 from seamline.sources import modules as module_side
 from seamline.sources import planted
 
@@ -44,26 +43,14 @@ def _vector(vector: str) -> Query:
     return lambda spark, sf: occurrences(_files(spark, sf), [vector])
 
 
-def counts(spark, sf):
-    return unique_counts(occurrences(_files(spark, sf)))
-
-
-def overview(spark, sf):
-    files = _files(spark, sf)
-    return report.overview(_modules(spark, sf), loc(files), unique_counts(occurrences(files)))
-
-
-def module_details(spark, sf):
-    files = _files(spark, sf)
-    found = occurrences(files).persist()
-    return report.module_details(_modules(spark, sf), loc(files), unique_counts(found), found)
+def _analysis(spark, sf) -> Analysis:
+    return Analysis(_files(spark, sf), _modules(spark, sf))
 
 
 def deltas(spark, sf):
-    rows = overview(spark, sf)
     order = planted.modules(spark, sf).select(
         "module", "version", F.substring("version", 2, 10).cast("int").alias("version_ord"))
-    return version_delta(rows, order).withColumn("delta", F.coalesce("delta", F.lit(0)))
+    return _analysis(spark, sf).version_delta(order).withColumn("delta", F.coalesce("delta", F.lit(0)))
 
 
 def custom_detector(spark, sf):
@@ -119,7 +106,7 @@ def pending_modules(spark, sf):
 
 def queries() -> dict[str, Query]:
     return {
-        "overview": overview,
+        "overview": lambda spark, sf: _analysis(spark, sf).overview(),
         "source_files": source_files,
         "packages": lambda spark, sf: packages(_files(spark, sf)),
         "asm_functions": lambda spark, sf: asm_functions(_files(spark, sf)),
@@ -127,12 +114,12 @@ def queries() -> dict[str, Query]:
         "tokens": token_counts,
         **{f"vec_{v}": _vector(v) for v in schema.VECTOR_NAMES},
         "occurrences": lambda spark, sf: occurrences(_files(spark, sf)),
-        "unique_counts": counts,
-        "density": lambda spark, sf: report.density(overview(spark, sf)),
-        "summary": lambda spark, sf: report.summary(counts(spark, sf)),
-        "detail_lines": lambda spark, sf: report.detail_lines(occurrences(_files(spark, sf))),
-        "module_details": module_details,
-        "occurrence_json": lambda spark, sf: report.occurrence_json(occurrences(_files(spark, sf))),
+        "unique_counts": lambda spark, sf: unique_counts(occurrences(_files(spark, sf))),
+        "density": lambda spark, sf: _analysis(spark, sf).density(),
+        "summary": lambda spark, sf: _analysis(spark, sf).summary(),
+        "detail_lines": lambda spark, sf: _analysis(spark, sf).detail_lines(),
+        "module_details": lambda spark, sf: _analysis(spark, sf).details(),
+        "occurrence_json": lambda spark, sf: _analysis(spark, sf).json(),
         "version_delta": deltas,
         "custom_detector": custom_detector,
         "exec_rules_custom": custom_exec_rules,
