@@ -225,7 +225,7 @@ def _events(rows: DataFrame, wanted: list[str]) -> DataFrame:
     pattern = F.when(vector == "constructor",
                      F.when(F.col("selector"), "factory function").otherwise("New() function")).otherwise(blank)
     none = F.lit(None).cast("string")
-    key, piece = none, none
+    key, piece, stop = none, none, F.lit(None).cast("int")
     if "interface" in wanted:
         key = F.when(vector == "interface", call).when(vector == "method", name)
     if "reflect" in wanted:
@@ -233,6 +233,7 @@ def _events(rows: DataFrame, wanted: list[str]) -> DataFrame:
     if "global" in wanted:
         key = F.when(of("global", "closing"), _spec_key(vector == "closing")).otherwise(key)
         piece = F.when(vector == "closing", _closing_piece()).when(vector == "global", _open_piece())
+        stop = F.when((vector == "global") & ~F.col("starts") & _ends_first_value(), F.col("pos"))
     return rows.select(
         *DIR_KEY, "path", "pos", "vector",
         F.when(vector == "test", F.concat("path", F.lit("/"), "own_package"))
@@ -244,7 +245,7 @@ def _events(rows: DataFrame, wanted: list[str]) -> DataFrame:
         F.when((vector == "interface") & F.col("chain").rlike(r"^[^.]++\.[^.]++\z"),
                F.substring_index("chain", ".", 1)).otherwise(blank).alias("type_passed"),
         pattern.alias("pattern"),
-        key.alias("key"), piece.alias("piece"))
+        key.alias("key"), piece.alias("piece"), stop.alias("stop"))
 
 
 # --- global initialisers --------------------------------------------------------------------
@@ -277,20 +278,28 @@ def _open_piece() -> Column:
     return F.concat(F.when(at_level, own_text).otherwise(""), bracket)
 
 
+def _ends_first_value() -> Column:
+    """Text after which a specification holds nothing that matters: a comma ends the first value, an
+    operator makes it no call. Keeps the pieces of long lists and sums out of the final decision."""
+    at_level = F.col("level") == spec_level("stmt")
+    return at_level & F.col("code").rlike(r"[,+/%|^&!>]") & ~F.contains("code", F.lit("="))
+
+
 def _closing_piece() -> Column:
     """The text before the first statement end, which belongs to the specification before it."""
     return F.regexp_extract(statement_text(), rf"(?s)^.(.*?){go.STATEMENT_END}", 1)
 
 
-# Shapes of a first value, nested text removed. Fixed by the three callee kinds that count.
+# Shapes of a first value, nested text removed and `interface{}` and `struct{}` written as a name.
+# Fixed by the three kinds of callee that count; loops are possessive, however long the chain.
 _NAME = go.IDENT
-_OPERAND = (rf"(?:func\s*+\(\)(?:(?:interface|struct)\s*+\{{\}}|[^{{}}=])*?\{{\}}"
-            rf"|(?:\[\]|map\s*+\[\]|\*|\s)*+(?:struct\s*+\{{\}}|interface\s*+\{{\}}|{_NAME})"
-            rf"|\(\)|[\"'`]|{go.NUMBER})")
-_PLAIN_CALL = rf"^(?!(?:{'|'.join(go.KEYWORDS)})\b){_NAME}\s*+\(\)\s*\z"
-_SELECTOR_CALL = (rf"^(?!\*){_OPERAND}(?:\s*\.\s*{_NAME}|\s*\.\s*\(\)|\s*\(\)|\s*\[\]|\s*\{{\}})*"
-                  rf"\s*\.\s*{_NAME}\s*\(\)\s*\z")
-_LITERAL_CALL = r"^func\s*+\(\)(?:(?:interface|struct)\s*+\{\}|[^{}=])*?\{\}\s*+\(\)\s*\z"
+_LITERAL = r"func\s*+\(\)[^{}=]*+\{\}"
+_PLAIN_CALL = rf"^(?!(?:{'|'.join(go.KEYWORDS)})\b){_NAME}\s*+\(\)\s*+\z"
+_LITERAL_CALL = rf"^{_LITERAL}\s*+\(\)\s*+\z"
+_OPERAND_CHAIN = (
+    rf"^(?!\*)(?:{_LITERAL}|(?:\[\]|map\s*+\[\]|\*|\s)*+{_NAME}|\(\)|[\"'`]|{go.NUMBER})"
+    rf"(?:\s*+\.\s*+(?:{_NAME}|\(\))|\s*+\(\)|\s*+\[\]|\s*+\{{\}})*+\s*+\z")
+_SELECTOR_AT_END = rf"\.\s*+{_NAME}\s*+\(\)\s*+\z"
 
 
 def _resolve_by_key(events: DataFrame) -> DataFrame:
@@ -304,7 +313,8 @@ def _resolve_by_key(events: DataFrame) -> DataFrame:
     group = W.partitionBy("path", "key").orderBy("pos", "vector").rowsBetween(
         W.unboundedPreceding, W.unboundedFollowing)
     piece = F.when(F.col("piece").isNotNull(), F.struct("piece", "line_number"))
-    events = events.select(
+    events = events.select("*", F.min("stop").over(group).alias("stop_at"))
+    events = events.filter(F.coalesce(F.col("pos") <= F.col("stop_at"), F.lit(True))).select(
         "*",
         F.max(vector == "method").over(group).alias("declared"),
         F.collect_list(piece).over(group).alias("pieces"),
@@ -316,17 +326,19 @@ def _resolve_by_key(events: DataFrame) -> DataFrame:
         .when(is_global | (vector == "reflect"), F.col("pos") == F.col("first_pos"))
         .otherwise(True))
     pieces, value = F.col("pieces"), F.col("value")
-    spec = rf"(?s)^\s*+(?:(?:var|const)\s++)?({go.IDENT})[^=]*?="
+    spec = rf"(?s)^\s*+(?:(?:var|const)\s++)?({go.IDENT})[^=]*+="
     # The value starts in the piece with the first `=`; its line is that of the piece's core.
     value_piece = F.element_at(F.filter(pieces, lambda p: F.contains(p.piece, F.lit("="))), 1)
     value_text = F.regexp_extract(value_piece.piece, r"(?s)^[^=]*+=\s*+(.*)\z", 1)
-    counts = value.rlike(_PLAIN_CALL) | value.rlike(_SELECTOR_CALL) | value.rlike(_LITERAL_CALL)
+    counts = value.rlike(_PLAIN_CALL) | value.rlike(_LITERAL_CALL) | (
+        value.rlike(_SELECTOR_AT_END) & value.rlike(_OPERAND_CHAIN))
     called = F.when(value.rlike(_LITERAL_CALL), "anonym func").otherwise(
         F.concat(F.regexp_extract(value, rf"({go.IDENT})\s*+\(\)\s*\z", 1), F.lit("()")))
     return (
         events.filter(kept)
         .withColumn("shape", F.when(is_global, F.array_join(F.transform(pieces, lambda p: p.piece), "")))
-        .withColumn("value", F.when(is_global, F.regexp_extract("shape", rf"{spec}\s*+([^,]*)", 2)))
+        .withColumn("value", F.when(is_global, F.regexp_replace(
+            F.regexp_extract("shape", rf"{spec}\s*+([^,]*+)", 2), r"\b(?:interface|struct)\s*+\{\}", "T")))
         .filter(~is_global | counts)
         .withColumn("method_invoked", F.when(is_global, called).otherwise(F.col("method_invoked")))
         .withColumn("variable_name", F.when(is_global, F.regexp_extract("shape", spec, 1))

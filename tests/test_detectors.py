@@ -1,5 +1,9 @@
 """Constructs and near misses, one small Go file each."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from seamline.plans.occurrences import occurrences
@@ -108,6 +112,11 @@ CASES = {
                      [("global", 3, "a f()"), ("global", 5, "c anonym func"), ("global", 9, "d F()"),
                       ("global", 17, "m C()"), ("global", 20, "n f()"), ("global", 20, "o g()"),
                       ("global", 21, "q f()")]),
+    "global_types": ("package p\nvar a = func() interface{} { return 1 }()\nvar b = func() map[string]struct{} {\n"
+                     "\treturn nil\n}()\nvar c = struct{}{}.M()\nvar d = func() func() int { return f }()\n"
+                     "var e = [2]struct{}{}\nvar g chan<- int = f()\nvar h =x.\n\ty()\n",
+                     [("global", 2, "a anonym func"), ("global", 3, "b anonym func"), ("global", 6, "c M()"),
+                      ("global", 7, "d anonym func"), ("global", 9, "g f()"), ("global", 10, "h y()")]),
     # lexing
     "quotes": (body("x := '\"'", "exec.Command(`a", "b(`, \"\\\"(\", '\\'', '(')", "exec.Command()"),
                [("exec", 4, "exec.Command"), ("exec", 6, "exec.Command")]),
@@ -205,3 +214,25 @@ def test_long_text_needs_no_deep_stack(files_of):
             + "var t = a" + " + b" * 100_000 + "\nfunc init() {}\nvar u = " + "f(" * 3000 + ")" * 3000 + "\n")
     rows = {(r.vector, r.line_number, r.variable_name) for r in occurrences(files_of({"m/a/a.go": text})).collect()}
     assert rows == {("init", 50_006, ""), ("global", 50_007, "u")}
+
+
+def test_long_specifications(files_of):
+    text = ("package p\nvar a = " + " + ".join(["f(1)"] * 30_000) + "\nvar b, c = f(), " + ", ".join(["g(1)"] * 30_000)
+            + "\nvar d = x" + ".y(1)" * 3000 + ".last()\nvar e = h(1) - " + " * ".join(["g()"] * 2000) + "\n")
+    rows = {(r.line_number, r.variable_name, r.method_invoked)
+            for r in occurrences(files_of({"m/a/a.go": text}), ["global"]).collect()}
+    assert rows == {(3, "b", "f()"), (4, "d", "last()")}
+
+
+def test_checkpoint_folder(tmp_path):
+    """Where the session names a checkpoint folder, results are settled there."""
+    script = f"""
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", "{tmp_path}").getOrCreate())
+from seamline.operators.bounds import settle
+df = settle(spark.range(10))
+assert df.count() == 10 and "LogicalRDD" in df._jdf.queryExecution().optimizedPlan().toString()
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=os.path.dirname(os.path.dirname(__file__)), timeout=120)
+    assert done.returncode == 0 and list(tmp_path.rglob("*part-00000*"))
