@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+PARTITION_BYTES = 24 << 20  # of source text; its segments then sort in memory
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -19,6 +20,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def partitions_for(text_bytes: int, at_least: int) -> int:
+    """Hash partitions for so much source text, and no fewer than the session asks for."""
+    return max(at_least, -(-text_bytes // PARTITION_BYTES))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute the rows once: into the cluster's checkpoint folder, or the cache if it names none."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)

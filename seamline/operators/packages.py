@@ -11,13 +11,13 @@ DIR_KEY = ["module", "version", "dir"]
 
 
 def file_facts(files: DataFrame) -> DataFrame:
-    """(module, version, dir, name, package_word, code_lines) of every Go file, found in one scan.
+    """(module, version, dir, name, size, package_word, code_lines) of every Go file, in one scan.
 
     A hundred bytes or so per file. ``packages`` and ``loc`` take this table in place of the files,
     so that both together read the text once.
     """
     return files.filter(F.col("ext") == ".go").select(
-        *DIR_KEY, "name",
+        *DIR_KEY, "name", F.octet_length("content").cast("long").alias("size"),
         go.first_package_word(F.col("content")).alias("package_word"),
         go.code_lines(F.col("content")).alias("code_lines"))
 

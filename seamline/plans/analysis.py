@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from seamline.operators.bounds import settle
+from seamline.operators.bounds import partitions_for, settle
 from seamline.operators.packages import file_facts, loc
 from seamline.plans import report
 from seamline.plans.occurrences import occurrences, unique_counts
@@ -25,7 +26,7 @@ class Analysis:
     def __init__(self, files: DataFrame, modules: DataFrame | None = None, *,
                  exec_rules: DataFrame | None = None, partitions: int | None = None):
         self.files, self.modules = files, modules
-        self._options = {"exec_rules": exec_rules, "partitions": partitions}
+        self._exec_rules, self._partitions = exec_rules, partitions
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -33,7 +34,15 @@ class Analysis:
 
     @cached_property
     def occurrences(self) -> DataFrame:
-        return settle(occurrences(self.files, facts=self.facts, **self._options))
+        return settle(occurrences(
+            self.files, facts=self.facts, exec_rules=self._exec_rules, partitions=self._text_partitions()))
+
+    def _text_partitions(self) -> int:
+        """As asked for, else sized by the text, whose volume the facts tell."""
+        if self._partitions is not None:
+            return self._partitions
+        total = self.facts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        return partitions_for(total, int(self.files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     @cached_property
     def counts(self) -> DataFrame:

@@ -177,3 +177,15 @@ def test_bucketed_files_need_no_exchange(spark, files_of, tmp_path):
     finally:
         spark.sql("drop database b cascade")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_partitions_follow_the_text(spark, files_of, monkeypatch):
+    from seamline.operators import bounds
+    from seamline.plans.analysis import Analysis
+    assert bounds.partitions_for(0, 8) == 8 and bounds.partitions_for(100 << 40, 8) == (100 << 40) // (24 << 20) + 1
+    monkeypatch.setattr(bounds, "PARTITION_BYTES", 10)
+    files = files_of({"m/a.go": "package p\nfunc init() {}\n", "m/b.go": "package p\n" + "// x\n" * 20})
+    a = Analysis(files)
+    assert a._text_partitions() == 14
+    assert a.counts.first().n == 1 and a.summary().count() == 12
+    assert Analysis(files, partitions=3)._text_partitions() == 3
