@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seamline.llm import quality
 from seamline.llm.jaccard import ngram_join
 from seamline.llm.shared import Scratch
 
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf, "labels")))
+
+
 def ngram_links(spark: SparkSession, sf: str) -> DataFrame:
     with Scratch(spark) as scratch:
         return ngram_join(table(spark, sf, "documents"), scratch)
@@ -23,6 +29,7 @@ def ngram_links(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_scores": quality_scores,
         "op3_ngram_links": ngram_links,
     }
 
