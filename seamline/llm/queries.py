@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seamline.llm import quality
+from seamline.llm import pii, quality
 from seamline.llm.jaccard import ngram_join
 from seamline.llm.shared import Scratch
 
@@ -27,10 +28,17 @@ def ngram_links(spark: SparkSession, sf: str) -> DataFrame:
         return ngram_join(table(spark, sf, "documents"), scratch)
 
 
+def personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return pii.find(docs, pii.train(docs)).select(
+        "doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_scores": quality_scores,
         "op3_ngram_links": ngram_links,
+        "op10_personal_data": personal_data,
     }
 
 
