@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import pii, quality
+from seamline.llm import mixing, packing, pii, quality
 from seamline.llm.jaccard import ngram_join
 from seamline.llm.shared import Scratch
 
@@ -28,6 +29,17 @@ def ngram_links(spark: SparkSession, sf: str) -> DataFrame:
         return ngram_join(table(spark, sf, "documents"), scratch)
 
 
+def sequences(spark: SparkSession, sf: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch)
+
+
+def training_order(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf, "documents")).withColumn("first_position", F.get("passes", F.lit(0))["position"])
+    return mixing.by_position(mixed, "first_position").select(
+        "doc_id", "size", "source_size", "target", "taken", "first_position", F.get("passes", F.lit(1))["position"].alias("second_position"))
+
+
 def personal_data(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return pii.find(docs, pii.train(docs)).select(
@@ -38,6 +50,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_scores": quality_scores,
         "op3_ngram_links": ngram_links,
+        "op5_sequences": sequences,
+        "op6_training_order": training_order,
         "op10_personal_data": personal_data,
     }
 

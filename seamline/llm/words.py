@@ -120,3 +120,25 @@ def ngrams(words: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.
         h = h * np.uint64(0xA0761D6478BD642F) + words[k: m + k]
     inside = text[:m] == text[n - 1:]
     return mix(h[inside]), text[:m][inside]
+
+
+def word_counts(column: pa.Array) -> np.ndarray:
+    """Number of words of each text."""
+    out = np.zeros(len(column), dtype=np.int64)
+    data, offsets = text_buffers(column)
+    first = 0
+    while first < len(column):
+        last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1
+        last = min(max(last, first + 1), len(column))
+        lo, hi = offsets[first], offsets[last]
+        if hi > lo:
+            space = _SPACE[data[lo:hi]]
+            begins = ~space
+            begins[1:] &= space[:-1]
+            local = offsets[first: last + 1] - lo
+            edge = local[:-1][local[:-1] < hi - lo]
+            begins[edge] = ~space[edge]
+            running = np.r_[0, np.cumsum(begins)]
+            out[first:last] = running[local[1:]] - running[local[:-1]]
+        first = last
+    return out
