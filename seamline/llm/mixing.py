@@ -40,15 +40,20 @@ SOURCE = ["missing", "name"]
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(word_counts(batch.column(2)))],
-                              names=["doc_id", "source", "size"])
+        yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(word_counts(batch.column(3)))],
+                              names=["doc_id", "source", "content", "size"])
+
+
+def _content(docs: DataFrame):
+    """A hash of a whole row, which tells rows apart that share a doc_id or have none."""
+    return F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size of every row."""
+    """doc_id, source, content (a hash of the row), size of every row."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       F.col("text").cast("string").alias("text")).mapInArrow(
-        _sizes, "doc_id bigint, source string, size bigint")
+                       _content(docs).alias("content"), F.col("text").cast("string").alias("text")).mapInArrow(
+        _sizes, "doc_id bigint, source string, content bigint, size bigint")
 
 
 def _in_turn(values, rank):
@@ -100,7 +105,7 @@ def position(share, schedule: str = "schedule", knots=KNOTS):
 
 def mix(docs: DataFrame, whole: bool = False, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST,
         schedules=SCHEDULES) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, and passes.
+    """One row per document: doc_id, source, content, size, source_size, target, taken, and passes.
 
     ``passes`` is an array of (words, position), one for each time the document is used. The document at which a source's
     demand ends gives only the words still missing; with ``whole`` it is used whole if more than half is wanted.
@@ -111,7 +116,7 @@ def mix(docs: DataFrame, whole: bool = False, weights=WEIGHTS, budget: float = B
 def assign(sized: DataFrame, whole: bool = False, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST,
            schedules=SCHEDULES) -> DataFrame:
     keyed = sized.select("*", F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"),
-                         F.xxhash64("doc_id", F.lit("mix")).alias("order"), F.struct("doc_id", "size").alias("tie"))
+                         F.xxhash64("doc_id", F.lit("mix")).alias("order"), F.struct("doc_id", "content").alias("tie"))
     placed = running_total(keyed, SOURCE, "order", "size", "before").drop("tie")
     joined = placed.join(targets(keyed, weights, budget, most, schedules), SOURCE)
     demand = F.round("target").cast("bigint")
@@ -129,7 +134,7 @@ def assign(sized: DataFrame, whole: bool = False, weights=WEIGHTS, budget: float
         "passes", F.filter(passes, lambda p: p["words"] > 0))
     return rows.withColumn("passes", F.transform("passes", lambda p: F.struct(
         p["words"].alias("words"), position(F.least(middle(p["n"], p["words"]), F.lit(1.0))).alias("position")))).select(
-        "doc_id", "source", "size", "source_size", "target", "taken", "passes")
+        "doc_id", "source", "content", "size", "source_size", "target", "taken", "passes")
 
 
 def by_position(rows: DataFrame, column: str) -> DataFrame:
@@ -141,9 +146,10 @@ def by_position(rows: DataFrame, column: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix uses them, each row once per use, whole, in training order; same columns."""
-    plan = mix(docs, whole=True).select(F.col("doc_id").alias("_id"), "source", "size", F.posexplode("passes.position").alias("_pass", "_at"))
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_source", F.col("source").cast("string"))
-    uses = plan.select("_id", F.col("source").alias("_source"), "_pass", "_at").distinct()
-    used = keyed.join(uses, keyed["_id"].eqNullSafe(uses["_id"]) & keyed["_source"].eqNullSafe(uses["_source"])).select(
-        *[keyed[c] for c in docs.columns], uses["_at"])
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
+    uses = mix(docs, whole=True).select(key.alias("_id"), F.col("content").alias("_content"), F.explode("passes.position").alias("_at"))
+    keyed = docs.withColumn("_id", key).withColumn("_content", _content(docs))
+    # rows that agree in every column are one text, used as often as all of them
+    one = F.row_number().over(Window.partitionBy("_id", "_content").orderBy("_id"))
+    used = keyed.withColumn("_row", one).filter("_row = 1").join(uses, ["_id", "_content"]).select(*docs.columns, "_at")
     return by_position(used, "_at").drop("_at")

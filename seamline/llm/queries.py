@@ -46,6 +46,12 @@ def personal_data(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository; it imports this package
+
+    return corpus_pipeline.run(spark, sf)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_scores": quality_scores,
@@ -53,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op5_sequences": sequences,
         "op6_training_order": training_order,
         "op10_personal_data": personal_data,
+        "pipeline": pipeline,
     }
 
 
