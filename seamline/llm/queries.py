@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import mixing, packing, pii, quality
+from seamline.llm import mixing, neardup, packing, pii, quality
 from seamline.llm.jaccard import ngram_join
 from seamline.llm.shared import Scratch
 
@@ -40,6 +40,11 @@ def training_order(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "first_position", F.get("passes", F.lit(1))["position"].alias("second_position"))
 
 
+def vector_links(spark: SparkSession, sf: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return neardup.near_duplicates(table(spark, sf, "embeddings"), scratch)
+
+
 def personal_data(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return pii.find(docs, pii.train(docs)).select(
@@ -58,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op3_ngram_links": ngram_links,
         "op5_sequences": sequences,
         "op6_training_order": training_order,
+        "op7_vector_links": vector_links,
         "op10_personal_data": personal_data,
         "pipeline": pipeline,
     }
