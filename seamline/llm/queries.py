@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import mixing, neardup, packing, pii, quality
+from seamline.llm import ann, mixing, neardup, packing, pii, quality
 from seamline.llm.jaccard import ngram_join
 from seamline.llm.shared import Scratch
 
@@ -45,6 +45,11 @@ def vector_links(spark: SparkSession, sf: str) -> DataFrame:
         return neardup.near_duplicates(table(spark, sf, "embeddings"), scratch)
 
 
+def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return ann.nearest(table(spark, sf, "embeddings"), scratch, lambda vec_id: vec_id % 20 == 0)
+
+
 def personal_data(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return pii.find(docs, pii.train(docs)).select(
@@ -64,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op5_sequences": sequences,
         "op6_training_order": training_order,
         "op7_vector_links": vector_links,
+        "op8_nearest_vectors": nearest_vectors,
         "op10_personal_data": personal_data,
         "pipeline": pipeline,
     }
