@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.shared import Scratch, doc_texts, running_total
-from seamline.llm.tokens import SpacedEncoder, encoder
+from seamline.llm.tokens import encoder
 
 CAPACITY = 2048
 END = 0
@@ -48,13 +48,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(SpacedEncoder, path)
-        end = END.to_bytes(4, "little")
+        encode = encoder(path, spaced=True).encode
         for batch in batches:
+            ids, offsets = encode(batch.column(1))
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                out += [(doc, k, s, n, zlib.crc32(ids[4 * s: 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
+            for k, doc in enumerate(batch.column(0).to_pylist()):
+                one = np.append(ids[offsets[k]: offsets[k + 1]], np.uint32(END)).astype("<u4")
+                out += [(doc, p, s, n, zlib.crc32(one[s: s + n].data)) for p, (s, n) in enumerate(cut(len(one), capacity))]
             doc, piece, start, length, crc = zip(*out) if out else ((),) * 5
             yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                                    pa.array(length, pa.int64()), pa.array(crc, pa.int64())],

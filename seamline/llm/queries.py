@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import ann, mixing, neardup, packing, pii, quality
+from seamline.llm import ann, mixing, neardup, packing, pii, quality, tokenio
 from seamline.llm.jaccard import ngram_join
-from seamline.llm.shared import Scratch
+from seamline.llm.shared import Scratch, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +51,13 @@ def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
         return ann.nearest(table(spark, sf, "embeddings"), scratch, lambda vec_id: vec_id % 20 == 0)
 
 
+def token_files(spark: SparkSession, sf: str) -> DataFrame:
+    directory = f"{shared_folder(spark)}/seamline-ids-{uuid.uuid4().hex}"
+    tokenio.write(table(spark, sf, "documents"), directory, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenio.read(spark, directory).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def personal_data(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return pii.find(docs, pii.train(docs)).select(
@@ -70,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op6_training_order": training_order,
         "op7_vector_links": vector_links,
         "op8_nearest_vectors": nearest_vectors,
+        "op9_token_files": token_files,
         "op10_personal_data": personal_data,
         "pipeline": pipeline,
     }

@@ -1,110 +1,199 @@
-"""Token ids of whole texts by the tokenizers library, with each different piece of text encoded once per worker.
+"""Token ids of whole texts by the tokenizers library, each different piece of text encoded once per worker.
 
-Texts are cut where the tokenizer itself always cuts: at white space, with the space that precedes a word kept where
-the vocabulary wants it. Pieces of plain letters and marks go straight to the library's BPE model, all others through
-its whole encoder; texts with unusual white space or special strings are encoded whole. Ids are bytes of
-little-endian unsigned 32-bit integers.
+Texts are cut where the tokenizer itself always cuts, at white space. Pieces are told apart by 64-bit hashes, computed on
+whole Arrow columns; a piece not seen lately is encoded by the library: plain letters and marks, many at a time, by
+its BPE model, anything else by its whole encoder. Texts with special strings or white space beyond ASCII are encoded
+whole. The store of seen pieces is bounded and starts anew when full, which changes speed alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
+from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
-CACHE = 300_000
+from seamline.llm.words import Words, mix, words_of
+
+STORE = 2_500_000
+CHUNK_BYTES = 6 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r".,;:!?|*&$%#()\-"
+_SPACES = r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
-class _Pieces(dict):
-    """Ids of pieces seen lately: two generations of at most ``limit`` entries."""
-
-    def __init__(self, encode, limit: int):
-        super().__init__()
-        self.encode, self.limit, self.old = encode, limit, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
+class Encoder:
+    """Encodes columns of texts.
 
+    ``spaced``: the vocabulary keeps the space before a word and all other white space (byte-level vocabularies).
+    Otherwise it drops white space and lower-cases.
+    """
 
-def _bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
-
-
-class _Encoder:
-    def __init__(self, path: str, plain: str, cache: int = CACHE):
+    def __init__(self, path: str, spaced: bool, store: int = STORE):
+        self.spaced, self.store = spaced, store
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.parts = Tokenizer(self.tokenizer.model)
+        self.parts.pre_tokenizer = WhitespaceSplit()
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = [chr(c) for c in range(0x20, 0x100) if re.match(f"[ {_LETTERS}{_MARKS}]", chr(c))]
-        self.as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
-        self.plain = re.compile(plain)
-        self.pieces = _Pieces(self._piece, cache)
-
-    def whole(self, text: str) -> bytes:
-        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _normal(self, part: str) -> str:
-        return part
-
-    def _piece(self, piece: str) -> bytes:
-        m = self.plain.fullmatch(piece)
-        if m is None:
-            return self.whole(piece)
-        return _bytes([t.id for part in m.groups() if part
-                       for t in self.model.tokenize(self._normal(part).translate(self.as_bytes))])
-
-
-class SpacedEncoder(_Encoder):
-    """For byte-level vocabularies whose pieces hold the space before a word."""
-
-    _unusual = re.compile(r"\s\s\s|\s\s\Z|<\|")
-
-    def __init__(self, path: str, cache: int = CACHE):
-        super().__init__(path, rf"( ?[{_LETTERS}]+)?( ?[{_MARKS}]+)?", cache)
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self._unusual.search(text):
-            return self.whole(text)
-        parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else [text]
-        return b"".join(map(self.pieces.__getitem__, parts))
-
-
-class WordEncoder(_Encoder):
-    """For vocabularies that lower-case, drop white space and end every word."""
-
-    _unusual = re.compile("[\x1c-\x1f\x85]|<\\|")
-
-    def __init__(self, path: str, cache: int = CACHE):
-        super().__init__(path, rf"([{_LETTERS}]+)?([{_MARKS}]+)?", cache)
-
-    def _normal(self, part: str) -> str:
-        return part.lower()
-
-    def __call__(self, text: str) -> bytes:
-        if self._unusual.search(text):
-            return self.whole(text)
-        return b"".join(map(self.pieces.__getitem__, text.split()))
-
-
-_encoders: dict[tuple[type, str], _Encoder] = {}
-
-
-def encoder(kind: type, path: str) -> _Encoder:
+        plain = [chr(c) for c in range(0x20, 0x100) if re.match(f"[ {_LETTERS}{_MARKS}]", chr(c))]
+        self.as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in plain}
+        before = " ?" if spaced else ""
+        self.plain = re.compile(f"({before}[{_LETTERS}]+)?({before}[{_MARKS}]+)?")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token.removesuffix("</w>")) if not spaced else len(token)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.empty(0, dtype=np.uint64)  # sorted
+        self.slots = np.empty(0, dtype=np.int64)
+        self.begin = np.zeros(1, dtype=np.int64)  # of each slot's ids in the pool, and its end
+        self.pool = np.empty(0, dtype=np.uint32)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column (null: empty), and the offset of each text's ids and of their end."""
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        pattern = rf"[{_SPACES}]|<\|" if self.spaced else r"<\|"
+        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(column, pattern)))
+        usual = column
+        if len(odd):
+            mask = np.zeros(len(column), dtype=bool)
+            mask[odd] = True
+            usual = pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), column)
+        done = [self._chunk(chunk) for chunk in words_of(usual, CHUNK_BYTES)]
+        counts = np.concatenate([n for _, n in done]) if done else np.empty(0, dtype=np.int64)
+        flat = [i for i, _ in done]
+        if len(odd):
+            joined, begin = np.concatenate(flat), np.r_[0, np.cumsum(counts)]
+            flat, at = [], 0
+            for k in odd:
+                own = self.whole(column[int(k)].as_py())
+                flat += [joined[at: begin[k]], own]
+                counts[k] = len(own)
+                at = begin[k]
+            flat.append(joined[at:])
+        return np.concatenate(flat) if flat else np.empty(0, dtype=np.uint32), np.r_[0, np.cumsum(counts)].astype(np.int64)
+
+    def _chunk(self, chunk: Words) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, text, keys = chunk.starts, chunk.ends, chunk.text, chunk.hashes(exact=self.spaced)
+        known: dict[int, str] = {}
+        if self.spaced:
+            starts, ends, text, keys = self._with_spaces(chunk, keys, known)
+        if not len(keys):
+            return np.empty(0, dtype=np.uint32), np.zeros(chunk.n_texts, dtype=np.int64)
+        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.keys) + len(unique) > self.store:
+            self._clear()
+        at = np.searchsorted(self.keys, unique)
+        new = np.ones(len(unique), dtype=bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != unique
+        if new.any():
+            self._learn(unique[new], at[new], self._pieces(chunk.data, unique[new], starts[first[new]], ends[first[new]], known))
+            at = np.searchsorted(self.keys, unique)
+        slot = self.slots[at][inverse]
+        lengths = self.begin[slot + 1] - self.begin[slot]
+        ends_at = np.cumsum(lengths)
+        place = np.arange(ends_at[-1]) + np.repeat(self.begin[slot] - (ends_at - lengths), lengths)
+        return self.pool[place], np.bincount(text, weights=lengths, minlength=chunk.n_texts).astype(np.int64)
+
+    def _with_spaces(self, chunk: Words, keys: np.ndarray, known: dict[int, str]):
+        """Pieces with the white space they hold: `` word``, and the pieces that the pattern makes of other white space.
+
+        A run of white space before a word gives all but its last character as one piece; the last goes to the word if it
+        is a space, else it is a piece. A run at the end of a text is one piece.
+        """
+        data, offsets, starts, text = chunk.data, chunk.offsets, chunk.starts, chunk.text
+        first = np.r_[True, text[1:] != text[:-1]] if len(text) else np.empty(0, dtype=bool)
+        gap_start = np.where(first, offsets[text], np.r_[0, chunk.ends[:-1]]) if len(text) else starts
+        gap = starts - gap_start
+        last = np.where(gap > 0, data[np.maximum(starts - 1, 0)], 0) if len(text) else starts
+        space = last == 0x20
+        piece_starts = starts - space
+        keys = np.where(space, mix(keys + np.uint64(0x51ED270B)), keys)
+        extra: list[tuple[int, int, int, int]] = []  # position, end, text, key
+        lines = np.flatnonzero((gap == 1) & (last == 0x0A))
+        newline = self._named("\n", known)
+        for i in np.flatnonzero(((gap == 1) & ~space & (last != 0x0A)) | (gap > 1)):
+            run = data[gap_start[i]: starts[i]].tobytes().decode()
+            at = int(gap_start[i])
+            for part in (run[:-1], "" if space[i] else run[-1]):
+                if part:
+                    extra.append((at, at + len(part), int(text[i]), self._named(part, known)))
+                    at += len(part)
+        ends_of = offsets[:-1].copy()
+        np.maximum.at(ends_of, text, chunk.ends)
+        for i in np.flatnonzero(offsets[1:] > ends_of):
+            run = data[ends_of[i]: offsets[i + 1]].tobytes().decode()
+            extra.append((int(ends_of[i]), int(offsets[i + 1]), int(i), self._named(run, known)))
+        if not len(lines) and not extra:
+            return piece_starts, chunk.ends, text, keys
+        more = np.array([e[:3] for e in extra], dtype=np.int64).reshape(-1, 3)
+        pos = np.r_[piece_starts, starts[lines] - 1, more[:, 0]]
+        order = np.argsort(pos, kind="stable")
+        return (pos[order], np.r_[chunk.ends, starts[lines], more[:, 1]][order], np.r_[text, text[lines], more[:, 2]][order],
+                np.r_[keys, np.full(len(lines), newline, dtype=np.uint64), np.array([e[3] for e in extra], dtype=np.uint64)][order])
+
+    @staticmethod
+    def _named(piece: str, known: dict[int, str]) -> int:
+        key = int.from_bytes(hashlib.blake2b(piece.encode(), digest_size=8).digest(), "little")
+        known[key] = piece
+        return key
+
+    def _pieces(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: dict[int, str]) -> list[np.ndarray]:
+        """Ids of each new piece."""
+        out: list[np.ndarray | None] = [None] * len(keys)
+        raw = data.tobytes()
+        plain: list[str] = []
+        owner: list[int] = []
+        for k, (key, i, j) in enumerate(zip(keys.tolist(), starts.tolist(), ends.tolist())):
+            piece = known.get(key) or raw[i:j].decode()
+            m = self.plain.fullmatch(piece)
+            if m is None:
+                out[k] = self.whole(piece)
+                continue
+            for part in m.groups():
+                if part:
+                    plain.append((part if self.spaced else part.lower()).translate(self.as_bytes))
+                    owner.append(k)
+        if plain:
+            groups = [plain[i: i + 2000] for i in range(0, len(plain), 2000)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.parts.encode_batch_fast(
+                [" ".join(g) for g in groups], add_special_tokens=False)])
+            token_ends = np.cumsum(self.width[ids])
+            sizes = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain))
+            cuts = np.searchsorted(token_ends, np.cumsum(sizes)) + 1
+            owners = np.array(owner)
+            last = np.r_[np.flatnonzero(owners[1:] != owners[:-1]), len(owners) - 1]
+            at = 0
+            for k, end in zip(owners[last].tolist(), cuts[last].tolist()):
+                out[k] = ids[at:end]
+                at = end
+        return out
+
+    def _learn(self, keys: np.ndarray, at: np.ndarray, ids: list[np.ndarray]) -> None:
+        slots = len(self.begin) - 1 + np.arange(len(keys))
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(sizes)]
+        self.pool = np.concatenate([self.pool, *ids])
+        self.keys = np.insert(self.keys, at, keys)
+        self.slots = np.insert(self.slots, at, slots)
+
+
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, spaced: bool) -> Encoder:
     """One encoder per worker process."""
-    if (kind, path) not in _encoders:
-        _encoders[kind, path] = kind(path)
-    return _encoders[kind, path]
+    if (path, spaced) not in _encoders:
+        _encoders[path, spaced] = Encoder(path, spaced)
+    return _encoders[path, spaced]

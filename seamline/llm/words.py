@@ -16,8 +16,9 @@ CHUNK_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.random.default_rng(20_240_601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[ord("A"): ord("Z") + 1] = _BYTE[ord("a"): ord("z") + 1]
+_EXACT = np.random.default_rng(20_240_601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLDED = _EXACT.copy()
+_FOLDED[ord("A"): ord("Z") + 1] = _FOLDED[ord("a"): ord("z") + 1]
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
@@ -62,12 +63,13 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.bincount(self.text, minlength=self.n_texts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, exact: bool = False) -> np.ndarray:
+        """A hash of each word, blind to the case of A-Z unless ``exact``."""
         if not len(self.starts):
             return np.empty(0, dtype=np.uint64)
         up, down = _power_tables(len(self.data))
         total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=total[1:])
+        np.cumsum((_EXACT if exact else _FOLDED)[self.data] * up[: len(self.data)], out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * down[self.starts])
 
 
