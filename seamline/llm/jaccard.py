@@ -244,14 +244,15 @@ def ngram_join(docs: DataFrame, scratch: Scratch, n: int = NGRAM, threshold: flo
     chosen = buckets.groupBy("members", "lo", "hi", "x1", "x2").agg(
         F.min_by(F.struct("bucket", "band", "grams"), "band").alias("b")).select(
         "b.bucket", "b.band", F.ceil(F.col("b.grams") / block_grams).cast("int").alias("blocks"))
-    members = spread.drop("band").join(chosen, "bucket").withColumn(
+    # joined by shuffle at every size: neither table is bounded
+    members = spread.drop("band").join(chosen.hint("shuffle_hash"), "bucket").withColumn(
         "block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int"))
     placed = scratch.settle(members.select("bucket", "band", "node", "block", F.explode(
         F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "bucket", "band", "node", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
         (F.col("block") > F.col("other")).alias("side")))
     wanted = placed.select(F.col("node").alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(
+    sets = texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(
         _sets(n, bands, rows), "node bigint, grams binary, keys binary").groupBy("node").agg(
         F.first("grams").alias("grams"), F.first("keys").alias("keys"))
     sets = sets.join(classes.groupBy("node").agg(F.sum("copies").alias("copies")), "node")
