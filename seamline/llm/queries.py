@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import ann, mixing, neardup, packing, pii, quality, tokenio
+from seamline.llm import ann, lm, mixing, neardup, packing, pii, quality, tokenio
 from seamline.llm.jaccard import ngram_join
 from seamline.llm.shared import Scratch, shared_folder
 
@@ -30,6 +30,10 @@ def ngram_links(spark: SparkSession, sf: str) -> DataFrame:
         return ngram_join(table(spark, sf, "documents"), scratch)
 
 
+def language_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.language_scores(table(spark, sf, "documents"))
+
+
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     with Scratch(spark) as scratch:
         return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch)
@@ -74,6 +78,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_scores": quality_scores,
         "op3_ngram_links": ngram_links,
+        "op4_language_scores": language_scores,
         "op5_sequences": sequences,
         "op6_training_order": training_order,
         "op7_vector_links": vector_links,
