@@ -33,7 +33,7 @@ from seamline.llm.shared import doc_texts, held_out, shuffle_partitions
 from seamline.llm.words import mix, words_of
 
 ORDER = 3
-STRENGTH = (8.0, 8.0)
+STRENGTH = (500.0, 0.5)
 FOLDS = 10
 PRIOR = 0.1
 PART_BYTES = 16 << 20

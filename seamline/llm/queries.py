@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import ann, lm, mixing, neardup, packing, pii, quality, tokenio
+from seamline.llm import ann, licenses, lm, mixing, neardup, packing, pii, quality, tokenio
 from seamline.llm.jaccard import ngram_join
 from seamline.llm.shared import Scratch, shared_folder
 
@@ -25,6 +25,19 @@ def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf, "labels")))
 
 
+def license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files source/lang/<fifty ids>/<id>; every fiftieth is the licence file of its directory or, of these,
+    every tenth that of the directory above."""
+    docs = table(spark, sf, "documents")
+    number = F.col("doc_id")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")),
+                       F.when(number % 500 != 0, (number / 50).cast("bigint").cast("string")),
+                       F.when(number % 50 == 0, F.concat(F.lit("LICENSE."), number)).otherwise(F.coalesce(number.cast("string"), F.lit("none"))))
+    files = docs.select(path.alias("path"), "text")
+    found = licenses.inherit(licenses.scan(files, licenses.fit(files)))
+    return found.withColumn("doc_id", F.try_to_number(F.regexp_extract("path", "([0-9]+)$", 1), F.lit("999999999999999999")).cast("bigint"))
+
+
 def ngram_links(spark: SparkSession, sf: str) -> DataFrame:
     with Scratch(spark) as scratch:
         return ngram_join(table(spark, sf, "documents"), scratch)
@@ -77,6 +90,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_scores": quality_scores,
+        "op2_license_scan": license_scan,
         "op3_ngram_links": ngram_links,
         "op4_language_scores": language_scores,
         "op5_sequences": sequences,

@@ -82,8 +82,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def words_of(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words]:
-    """The words of all texts of a column, in chunks of whole texts of about ``chunk_bytes``."""
+def words_of(column: pa.Array, chunk_bytes: int = CHUNK_BYTES, separators: np.ndarray = _SPACE) -> Iterator[Words]:
+    """The words of all texts of a column, in chunks of whole texts of about ``chunk_bytes``.
+
+    ``separators`` tells for each byte whether it ends a word; white space by default.
+    """
     if not len(column):
         return
     data, offsets = text_buffers(column)
@@ -91,16 +94,16 @@ def words_of(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words
     while first < len(column):
         last = int(np.searchsorted(offsets, offsets[first] + chunk_bytes, "right")) - 1
         last = min(max(last, first + 1), len(column))
-        yield _spans(first, data[offsets[first]: offsets[last]], offsets[first: last + 1] - offsets[first])
+        yield _spans(first, data[offsets[first]: offsets[last]], offsets[first: last + 1] - offsets[first], separators)
         first = last
 
 
-def _spans(first: int, data: np.ndarray, offsets: np.ndarray) -> Words:
+def _spans(first: int, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Words:
     n = len(data)
     if not n:
         none = np.empty(0, dtype=np.int64)
         return Words(first, data, offsets, none, none, none)
-    space = _SPACE[data]
+    space = separators[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
     before = cut[:-1].copy()
