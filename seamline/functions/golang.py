@@ -58,7 +58,17 @@ _BLANKED = "|".join([
 CHAIN_AT_END = rf"(?:\.\s*|{NOT_IN_IDENT}){IDENT}(?:[ \t]*+\.\s*{IDENT})*+[ \t]*+\z"
 
 # End of a statement: a semicolon, or a newline after a token that Go ends a statement at.
-STATEMENT_END = r"""(?:;|(?<=[\p{L}\p{Nd}_"'`)\]}])[ \t\r]*+\n)"""
+# The token may be a number that ends in a dot, but not a selector that goes on in the next line.
+_NUMBER_DOT = r"(?<=\.)(?<=(?<![\p{L}\p{Nd}_])[0-9][0-9_]{0,99}\.)"
+STATEMENT_END = rf"""(?:;|(?=[ \t\r\n])(?:(?<=[\p{{L}}\p{{Nd}}_"'`)\]}}])|{_NUMBER_DOT})[ \t\r]*+\n)"""
+
+# Ill-formed wherever they stand: two assignment operators in a row, and at the top level a
+# declaration of names alone, with neither type nor value.
+DOUBLE_ASSIGNMENT = r"(?::=|(?<![=!<>:])=)\s++(?::=|=)|:=\s*+(?::=|=)"
+_END_OF_WORD = r"(?![\p{L}\p{Nd}_])"
+IMPORT = rf"{STATEMENT_END}\s*+import{_END_OF_WORD}"
+LATE_IMPORT = rf"(?s){STATEMENT_END}\s*+(?:var|const|type|func){_END_OF_WORD}.*{IMPORT}"
+INCOMPLETE_SPEC = (rf"(?:^|{STATEMENT_END})\s*+(?:var|const)\s++{IDENT}(?:[ \t]*+,\s*+{IDENT})*+[ \t\r]*+(?:;|\n)")
 
 
 def newlines(text: Column) -> Column:

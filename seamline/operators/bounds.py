@@ -1,25 +1,13 @@
-"""Size checks before a broadcast, and results that are computed once."""
+"""Sizes of partitions, and results that are computed once."""
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
 PARTITION_BYTES = 24 << 20  # of source text; its segments then sort in memory
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows; stops reading once it has seen more."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table marked for broadcast if it is small; otherwise unchanged, to be shuffled."""
-    return F.broadcast(df) if is_small(df, rows) else df
-
-
 def partitions_for(text_bytes: int, at_least: int) -> int:
     """Hash partitions for so much source text, and no fewer than the session asks for."""
     return max(at_least, -(-text_bytes // PARTITION_BYTES))

@@ -8,13 +8,18 @@ into the vectors whose condition it meets. The others need neighbours:
   (path, level) over the few files and rows where the question arises;
 * ``interface`` asks whether the called name is a method declared in the same file, and ``global``
   needs all pieces of a specification: both with one window by (path, key) over the candidate rows;
-* ``assembly`` matches called names with those defined in the directory's assembly files.
+* ``assembly`` matches called names with those defined in the directory's assembly files, and
+  ``exec`` with rules from a table if there is one: both are one ordinary join of the few rows found
+  with the listed names, which the optimiser sizes.
 
-All windows start with the path, so they reuse the one exchange of ``segments``.
+Registered detectors that are conditions on a segment are found in the same pass. All windows start
+with the file, so they reuse the one exchange of ``segments``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,10 +27,9 @@ from pyspark.sql import functions as F
 from seamline import schema
 from seamline.functions import golang as go
 from seamline.operators.assembly import asm_functions
-from seamline.operators.bounds import broadcast_if_small, is_small, settle
 from seamline.operators.segments import (
-    ANY_CHAIN, INTERFACE, INTERFACES, METHODS, NEW_CHAIN, OWN_ASM, OWN_NEW, continues_brackets, first_in_group,
-    in_file, lexed, own_statement, segments, statement_text, structured)
+    ANY_CHAIN, FILE_KEY, INTERFACE, INTERFACES, METHODS, NEW_CHAIN, OWN_CALL, OWN_NEW, continues_brackets,
+    first_in_group, in_file, lexed, own_statement, statement_text, structured)
 
 DIR_KEY = ["module", "version", "dir"]
 TEXT_FIELDS = ["variable_name", "command", "method_invoked", "type_passed", "pattern"]
@@ -38,47 +42,63 @@ _REQUIRED_TEXT = {
 }
 
 
-def detect(files: DataFrame, vectors: list[str] | None = None, *,
-           exec_rules: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Found:
+    """A registered detector that is a condition on one segment, and the occurrence fields it sets."""
+
+    where: Column
+    fields: dict[str, Column]
+
+
+def detect(files: DataFrame, vectors: list[str] | None = None, *, exec_rules: DataFrame | None = None,
+           custom: dict[str, Found] | None = None, partitions: int | None = None) -> DataFrame:
     """Occurrences of the wanted vectors (all by default), duplicates kept, without package names.
 
     ``exec_rules(pkg, func)`` replaces the built-in process-starting functions.
     """
-    wanted = list(vectors or schema.VECTOR_NAMES)
-    late = []
-    asm = settle(asm_functions(files)) if "assembly" in wanted else None
-    if asm is not None and not is_small(asm):
-        wanted.remove("assembly")
-        late.append(_shuffled_assembly(files, asm, partitions))
-    if exec_rules is not None and "exec" in wanted:
-        wanted.remove("exec")
-        late.append(_exec_by_rules(files, exec_rules, partitions))
-    found = [_single_pass(files, wanted, asm, partitions)] if wanted else []
-    out = (found + late)[0]
-    for more in (found + late)[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _single_pass(files: DataFrame, wanted: list[str], asm: DataFrame | None,
-                 partitions: int | None) -> DataFrame:
-    rows = lexed(_prefilter(files, wanted, asm), partitions)
-    if "assembly" in wanted:
-        names = F.broadcast(asm.withColumnRenamed("name", "chain").withColumn("in_asm", F.lit(True)))
-        rows = rows.join(names, [*DIR_KEY, "chain"], "left")
-    events = _events(_candidates(structured(rows), wanted), wanted)
+    custom = custom or {}
+    wanted = [*(schema.VECTOR_NAMES if vectors is None else vectors), *custom]
+    by_table = exec_rules is not None and "exec" in wanted
+    rows = structured(lexed(_prefilter(files, wanted, by_table), partitions))
+    events = _events(_candidates(rows, wanted, custom, by_table), wanted, custom)
     if {"interface", "global", "reflect"} & set(wanted):
         events = _resolve_by_key(events)
+    listed = []
+    if "assembly" in wanted:
+        listed.append(asm_functions(files).select(_listed_name("assembly", *DIR_KEY, "name").alias("listed_name")))
+    if by_table:
+        listed.append(exec_rules.select(_listed_name("exec", F.concat("pkg", F.lit("."), "func")).alias("listed_name")))
+    if listed:
+        events = _keep_listed(events, listed, ["assembly"] * ("assembly" in wanted) + ["exec"] * by_table)
     return events.select(*DIR_KEY, "vector", "file_path", "line_number", *TEXT_FIELDS)
 
 
-def _prefilter(files: DataFrame, wanted: list[str], asm: DataFrame | None) -> DataFrame:
+def _listed_name(vector: str, *parts) -> Column:
+    return F.concat_ws("\1", F.lit(vector), *parts)
+
+
+def _keep_listed(events: DataFrame, listed: list[DataFrame], vectors: list[str]) -> DataFrame:
+    """Drops rows of ``vectors`` whose name is in no list. Rows of other vectors get a name of their own,
+    which no list has, so that they spread over the join."""
+    names = listed[0]
+    for more in listed[1:]:
+        names = names.unionByName(more)
+    own = F.concat_ws("\1", F.lit(""), *FILE_KEY, F.col("pos").cast("string"), "vector")
+    name = own
+    if "assembly" in vectors:
+        name = F.when(F.col("vector") == "assembly", _listed_name("assembly", *DIR_KEY, "method_invoked")).otherwise(name)
+    if "exec" in vectors:
+        name = F.when(F.col("vector") == "exec", _listed_name("exec", "method_invoked")).otherwise(name)
+    names = names.distinct().withColumn("is_listed", F.lit(True))
+    return events.withColumn("listed_name", name).join(names, "listed_name", "left").filter(
+        ~F.col("vector").isin(vectors) | F.col("is_listed"))
+
+
+def _prefilter(files: DataFrame, wanted: list[str], by_table: bool) -> DataFrame:
     """Keep only files that can hold a wanted construct, before their text is shuffled."""
     if wanted == ["test"]:
         files = files.filter(F.endswith("path", F.lit("_test.go")))
-    if wanted == ["assembly"]:
-        files = files.join(F.broadcast(asm.select(DIR_KEY).distinct()), DIR_KEY, "left_semi")
-    if wanted == ["exec"]:
+    if wanted == ["exec"] and not by_table:
         pairs = [F.contains("content", F.lit(p)) & F.contains("content", F.lit(f))
                  for p, f in schema.EXEC_RULES]
         return files.filter(_any(pairs))
@@ -105,7 +125,7 @@ def _all(conditions: list[Column]) -> Column:
 # --- candidate rows -------------------------------------------------------------------------
 
 
-def _conditions(wanted: list[str]) -> dict[str, Column]:
+def _conditions(wanted: list[str], custom: dict[str, Found], by_table: bool) -> dict[str, Column]:
     """Which rows each wanted vector is found on.
 
     Two vectors need rows of other kinds for the decision: ``interface`` the declared methods
@@ -128,15 +148,16 @@ def _conditions(wanted: list[str]) -> dict[str, Column]:
         "unsafe": lambda: chain == "unsafe.Pointer",
         "cgo": lambda: chain.rlike(r"^C\.[^.]++\z"),
         "plugin": lambda: chain == "plugin.Open",
-        "exec": lambda: chain.isin([f"{p}.{f}" for p, f in schema.EXEC_RULES]),
+        "exec": lambda: (chain.rlike(r"^[^.]++\.[^.]++\z") if by_table
+                         else chain.isin([f"{p}.{f}" for p, f in schema.EXEC_RULES])),
         "interface": lambda: selector & in_file(METHODS),
         "method": lambda: F.col("is_method"),
-        "assembly": lambda: call.isNotNull() & ~selector & F.col("in_asm"),
+        "assembly": lambda: call.isNotNull() & ~selector,
         "global": lambda: _spec_part(),
         "closing": lambda: F.col("starts") & (F.col("level") == spec_level("prev_stmt")),
     }
     helpers = ["method"] * ("interface" in wanted) + ["closing"] * ("global" in wanted)
-    return {v: every[v]() for v in [*wanted, *helpers]}
+    return {v: custom[v].where if v in custom else every[v]() for v in [*wanted, *helpers]}
 
 
 def spec_level(stmt: str) -> Column:
@@ -151,7 +172,7 @@ def _spec_part() -> Column:
     return (above == 0) | ((above == 1) & go.is_closer(F.col("core")))
 
 
-def _candidates(rows: DataFrame, wanted: list[str]) -> DataFrame:
+def _candidates(rows: DataFrame, wanted: list[str], custom: dict[str, Found], by_table: bool) -> DataFrame:
     """One row per segment and ``vector`` it may be found as; the bulk of the segments goes.
 
     In files in which chains or interface bodies have to be told apart, the rows that show them stay
@@ -160,8 +181,8 @@ def _candidates(rows: DataFrame, wanted: list[str]) -> DataFrame:
     levels = (
         [in_file(NEW_CHAIN) | (in_file(INTERFACES) & in_file(OWN_NEW))] * ("constructor" in wanted)
         + [in_file(ANY_CHAIN) & in_file(METHODS)] * ("interface" in wanted)
-        + [in_file(INTERFACES) & in_file(OWN_ASM)] * ("assembly" in wanted))
-    found = F.concat_ws(",", *[F.when(c, v) for v, c in _conditions(wanted).items()])
+        + [in_file(INTERFACES) & in_file(OWN_CALL)] * ("assembly" in wanted))
+    found = F.concat_ws(",", *[F.when(c, v) for v, c in _conditions(wanted, custom, by_table).items()])
     context = F.col("needs_levels") & (go.is_opener(F.col("core")) | first_in_group())
     rows = (
         rows.withColumn("needs_levels", _any(levels))
@@ -185,7 +206,7 @@ def _resolve_chains(rows: DataFrame) -> DataFrame:
     own_line = F.col("line") - go.newlines(F.regexp_extract(code, go.CHAIN_AT_END, 0))
     starts_at = F.when(needed & go.is_opener(core) & ~F.coalesce(continues, F.lit(False)), own_line)
     group = F.when(needed & first_in_group(), prev)
-    running = W.partitionBy("path", "level").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    running = W.partitionBy(*FILE_KEY, "level").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.select(
         "*",
         F.last(starts_at, ignorenulls=True).over(running).alias("chain_start"),
@@ -201,7 +222,7 @@ def _resolve_chains(rows: DataFrame) -> DataFrame:
 # --- events ---------------------------------------------------------------------------------
 
 
-def _events(rows: DataFrame, wanted: list[str]) -> DataFrame:
+def _events(rows: DataFrame, wanted: list[str], custom: dict[str, Found]) -> DataFrame:
     """One row per candidate and vector, with the occurrence fields the row itself knows.
 
     ``key`` and ``piece`` belong to ``interface``, ``reflect`` and ``global``, which are decided per key later.
@@ -234,17 +255,21 @@ def _events(rows: DataFrame, wanted: list[str]) -> DataFrame:
         key = F.when(of("global", "closing"), _spec_key(vector == "closing")).otherwise(key)
         piece = F.when(vector == "closing", _closing_piece()).when(vector == "global", _open_piece())
         stop = F.when((vector == "global") & ~F.col("starts") & _ends_first_value(), F.col("pos"))
+    fields = {
+        "file_path": F.when(vector == "test", F.concat("path", F.lit("/"), "own_package")).otherwise(F.col("path")),
+        "line_number": line,
+        "variable_name": blank,
+        "command": F.when(vector == "generate", command).otherwise(blank),
+        "method_invoked": method,
+        "type_passed": F.when((vector == "interface") & F.col("chain").rlike(r"^[^.]++\.[^.]++\z"),
+                              F.substring_index("chain", ".", 1)).otherwise(blank),
+        "pattern": pattern,
+    }
+    for name_, found in custom.items():
+        fields |= {c: F.when(vector == name_, own).otherwise(fields[c]) for c, own in found.fields.items()}
+    fields["line_number"] = fields["line_number"].cast("int")
     return rows.select(
-        *DIR_KEY, "path", "pos", "vector",
-        F.when(vector == "test", F.concat("path", F.lit("/"), "own_package"))
-        .otherwise(F.col("path")).alias("file_path"),
-        line.cast("int").alias("line_number"),
-        blank.alias("variable_name"),
-        F.when(vector == "generate", command).otherwise(blank).alias("command"),
-        method.alias("method_invoked"),
-        F.when((vector == "interface") & F.col("chain").rlike(r"^[^.]++\.[^.]++\z"),
-               F.substring_index("chain", ".", 1)).otherwise(blank).alias("type_passed"),
-        pattern.alias("pattern"),
+        *DIR_KEY, "path", "pos", "vector", *[c.alias(k) for k, c in fields.items()],
         key.alias("key"), piece.alias("piece"), stop.alias("stop"))
 
 
@@ -290,7 +315,8 @@ def _closing_piece() -> Column:
     return F.regexp_extract(statement_text(), rf"(?s)^.(.*?){go.STATEMENT_END}", 1)
 
 
-# Shapes of a first value, nested text removed and `interface{}` and `struct{}` written as a name.
+# Shapes of a first value, nested text removed and `interface{}` and `struct{}` written as a keyword,
+# which is no callee of its own but may lead a chain.
 # Fixed by the three kinds of callee that count; loops are possessive, however long the chain.
 _NAME = go.IDENT
 _LITERAL = r"func\s*+\(\)[^{}=]*+\{\}"
@@ -310,15 +336,21 @@ def _resolve_by_key(events: DataFrame) -> DataFrame:
     it is reported at the line of that value.
     """
     vector = F.col("vector")
-    group = W.partitionBy("path", "key").orderBy("pos", "vector").rowsBetween(
-        W.unboundedPreceding, W.unboundedFollowing)
-    piece = F.when(F.col("piece").isNotNull(), F.struct("piece", "line_number"))
-    events = events.select("*", F.min("stop").over(group).alias("stop_at"))
-    events = events.filter(F.coalesce(F.col("pos") <= F.col("stop_at"), F.lit(True))).select(
-        "*",
-        F.max(vector == "method").over(group).alias("declared"),
-        F.collect_list(piece).over(group).alias("pieces"),
-        F.first("pos").over(group).alias("first_pos"))
+    fields = [c for c in events.columns if c not in (*FILE_KEY, "key")]
+    # Rows without a key are groups of their own. A group is gathered once, not once for each of its rows.
+    group = F.coalesce("key", F.concat_ws(" ", F.lit("row"), F.col("pos").cast("string"), "vector"))
+    groups = events.groupBy(*FILE_KEY, group.alias("group")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "vector", *[c for c in fields if c not in ("pos", "vector")]))).alias("rows"),
+        F.max(vector == "method").alias("declared"), F.min("stop").alias("stop_at"))
+    within = F.filter("rows", lambda r: F.coalesce(r["pos"] <= F.col("stop_at"), F.lit(True)))
+    groups = groups.withColumn("rows", within).withColumn("first_pos", F.col("rows")[0]["pos"]).withColumn(
+        "pieces", F.transform(F.filter("rows", lambda r: r["piece"].isNotNull()), lambda r: F.struct(
+            r["piece"].alias("piece"), r["line_number"].alias("line_number"))))
+    # Of a specification, an import declaration and a method only what decides them goes on.
+    rows = F.filter("rows", lambda r: ~r["vector"].isin("method", "closing") & (
+        ~r["vector"].isin("global", "reflect") | (r["pos"] == F.col("first_pos"))))
+    events = groups.select(*FILE_KEY, "declared", "first_pos", F.when(
+        F.exists("rows", lambda r: r["vector"] == "global"), F.col("pieces")).alias("pieces"), F.inline(rows))
     is_global = vector == "global"
     kept = (
         F.when(vector.isin("method", "closing"), False)
@@ -338,7 +370,7 @@ def _resolve_by_key(events: DataFrame) -> DataFrame:
         events.filter(kept)
         .withColumn("shape", F.when(is_global, F.array_join(F.transform(pieces, lambda p: p.piece), "")))
         .withColumn("value", F.when(is_global, F.regexp_replace(
-            F.regexp_extract("shape", rf"{spec}\s*+([^,]*+)", 2), r"\b(?:interface|struct)\s*+\{\}", "T")))
+            F.regexp_extract("shape", rf"{spec}\s*+([^,]*+)", 2), r"\b(?:interface|struct)\s*+\{\}", "struct")))
         .filter(~is_global | counts)
         .withColumn("method_invoked", F.when(is_global, called).otherwise(F.col("method_invoked")))
         .withColumn("variable_name", F.when(is_global, F.regexp_extract("shape", spec, 1))
@@ -346,24 +378,3 @@ def _resolve_by_key(events: DataFrame) -> DataFrame:
         .withColumn("line_number", F.when(
             is_global, value_piece.line_number - go.newlines(value_text)).otherwise(F.col("line_number"))
             .cast("int")))
-
-
-# --- detectors that need a join -------------------------------------------------------------
-
-
-def _shuffled_assembly(files: DataFrame, asm: DataFrame, partitions: int | None) -> DataFrame:
-    """``assembly`` where the names are too many to broadcast: a shuffled semi-join of the calls."""
-    rows = structured(lexed(files, partitions).withColumn("in_asm", F.lit(True)))
-    calls = _events(_candidates(rows, ["assembly"]), ["assembly"]).select(
-        *DIR_KEY, "vector", "file_path", "line_number", *TEXT_FIELDS)
-    names = asm.withColumnRenamed("name", "method_invoked")
-    return calls.join(names, [*DIR_KEY, "method_invoked"], "left_semi").select(calls.columns)
-
-
-def _exec_by_rules(files: DataFrame, rules: DataFrame, partitions: int | None) -> DataFrame:
-    """``exec`` with rules from a table."""
-    rules = broadcast_if_small(
-        rules.select(F.concat("pkg", F.lit("."), "func").alias("chain")).distinct())
-    rows = segments(files, partitions).filter(F.col("selector"))
-    rows = rows.join(rules, "chain", "left_semi").withColumn("vector", F.lit("exec"))
-    return _events(rows, ["exec"]).select(*DIR_KEY, "vector", "file_path", "line_number", *TEXT_FIELDS)

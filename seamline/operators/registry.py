@@ -1,4 +1,4 @@
-"""User-defined detectors: a function from the segment table to occurrences.
+"""User-defined detectors: a condition on a segment, or a function from the segment table to occurrences.
 
 A registered detector takes part in ``occurrences``, the distinct counts and the reports like the
 built-in ones.
@@ -9,36 +9,40 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline import schema
-from seamline.operators.detectors import DIR_KEY, TEXT_FIELDS
+from seamline.operators.detectors import DIR_KEY, TEXT_FIELDS, Found
 from seamline.operators.segments import segments
 
 
 @dataclass(frozen=True)
 class Detector:
-    fn: Callable[[DataFrame], DataFrame]
+    found: Callable[[DataFrame], DataFrame] | Column
     key_columns: list[str]
     code: str
     label: str
+    fields: dict[str, Column]
 
 
 _DETECTORS: dict[str, Detector] = {}
 
 
-def register_detector(name: str, fn: Callable[[DataFrame], DataFrame], key_columns: list[str],
-                      code: str, label: str) -> None:
+def register_detector(name: str, found: Callable[[DataFrame], DataFrame] | Column, key_columns: list[str],
+                      code: str, label: str, fields: dict[str, Column] | None = None) -> None:
     """Add a detector.
 
-    ``fn`` gets the segments with their calls and declarations and returns the rows found. Missing
+    ``found`` is a condition on the columns of a segment, with ``fields`` for the occurrence columns it
+    sets; all such detectors share the one pass of the built-in ones. Or it is a function that gets the
+    segments with their calls and declarations and returns the rows found, for detectors with windows
+    or joins of their own; each of these costs another pass. Missing
     occurrence columns are filled in: the path, the line of the call, and empty text.
     ``key_columns`` are the occurrence columns that tell two occurrences apart.
     """
     if name in schema.VECTOR_NAMES:
         raise ValueError(f"{name} is a built-in vector")
-    _DETECTORS[name] = Detector(fn, list(key_columns), code, label)
+    _DETECTORS[name] = Detector(found, list(key_columns), code, label, dict(fields or {}))
 
 
 def unregister_detector(name: str) -> None:
@@ -60,8 +64,13 @@ def vector_rows() -> list[tuple]:
             for i, (name, d) in enumerate(_DETECTORS.items())]
 
 
+def conditions(wanted: list[str]) -> dict[str, Found]:
+    """The wanted detectors that are conditions."""
+    return {n: Found(d.found, d.fields) for n, d in _DETECTORS.items() if n in wanted and isinstance(d.found, Column)}
+
+
 def run(name: str, files: DataFrame, partitions: int | None = None) -> DataFrame:
-    found = _DETECTORS[name].fn(segments(files, partitions))
+    found = _DETECTORS[name].found(segments(files, partitions))
     defaults = {
         "file_path": F.col("path"),
         "line_number": F.col("start_line"),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import golang as go
 
+FILE_KEY = ["module", "version", "path"]
 INTERFACE = "{{"  # `prev` of the first row inside an interface body
 KEYWORD_LIST = f" {' '.join(go.KEYWORDS)} "
 DECL_WORDS = "package|import|var|const|type|func"
@@ -25,7 +26,7 @@ DECL_WORDS = "package|import|var|const|type|func"
 
 def by_file(start: int, end: int) -> WindowSpec:
     """Frame over a file's rows in text order. All frames over files share this order."""
-    return W.partitionBy("path").orderBy("pos").rowsBetween(start, end)
+    return W.partitionBy(*FILE_KEY).orderBy("pos").rowsBetween(start, end)
 
 
 def so_far() -> WindowSpec:
@@ -75,7 +76,7 @@ def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
     may_be_note = (F.contains(raw, F.lit("//go:generate")) | F.contains(raw, F.lit("//line "))
                    | F.contains(raw, F.lit("/*line ")))
     return (
-        (sources.repartition(n, "path") if n else sources)
+        (sources.repartition(n, *FILE_KEY) if n else sources)
         .select("module", "version", "dir", "path",
                 F.posexplode(F.regexp_extract_all(content, F.lit(go.SEGMENT), 0)).alias("pos", "raw"))
         .withColumn("note", F.when(
@@ -92,22 +93,37 @@ def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
         .select("module", "version", "dir", "path", "pos", "note", "core", "code", "head",
                 go.newlines(raw).alias("nl"),
                 F.regexp_replace("head", r"\s+", "").alias("chain"),
-                F.when(go.is_bracket(core), _kind_weight(core)).alias("weight")))
+                F.when(go.is_bracket(core), F.when(go.is_opener(core), 1).otherwise(-1)).otherwise(0).alias("step")))
 
 
-def _kind_weight(core: Column) -> Column:
-    """A different power of 2^20 for each kind of bracket, so one sum tells whether all balance."""
-    kind = F.element_at(F.array(*[F.lit(1 << (20 * i)) for i in range(3)]),
-                        ((F.instr(F.lit("()[]{}"), core) + 1) / 2).cast("int"))
-    return F.when(go.is_opener(core), kind).otherwise(-kind)
+def _bracket_weight() -> Column:
+    """A number for the kind and depth of a bracket, positive if it opens. All of a file add up to 0
+    if at every depth as many brackets of each kind open as close."""
+    depth = F.when(F.col("step") > 0, F.col("level") + 1).otherwise(F.col("level"))
+    kind = F.translate("core", ")]}", "([{")
+    return F.when(F.col("step") != 0, F.col("step") * F.pmod(F.xxhash64(kind, depth), F.lit(1 << 31)))
 
 
 def structured(lexed_rows: DataFrame) -> DataFrame:
     """Add nesting, lines, statements, calls and declarations; drop ill-formed files."""
-    rows = _with_nesting(lexed_rows)
-    rows = _with_statement_ends(rows)
-    rows = _with_calls(rows)
-    return _with_file_context(rows)
+    return _of_well_formed(_framed(lexed_rows))
+
+
+def failures(files: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(module, version, path, reason) of Go files that give no occurrences because they cannot be analysed."""
+    unread = files.filter((F.col("ext") == ".go") & ~F.coalesce(go.well_encoded(F.col("content")), F.lit(False))).select(
+        *FILE_KEY, F.when(F.col("content").isNull(), "unreadable").otherwise("not text").alias("reason"))
+    rows = _framed(lexed(files, partitions)).groupBy(*FILE_KEY).agg(F.bool_and(_well_formed()).alias("good"))
+    return rows.filter(~F.col("good")).select(*FILE_KEY, F.lit("ill-formed").alias("reason")).unionByName(unread)
+
+
+def _framed(lexed_rows: DataFrame) -> DataFrame:
+    return _with_file_context(_with_calls(_with_statement_ends(_with_nesting(lexed_rows))))
+
+
+def _well_formed() -> Column:
+    return ((F.col("file_flags").bitwiseAND(ERROR) == 0) & (F.coalesce("own_package", F.lit("")) != "")
+            & (F.coalesce("balance", F.lit(0)) == 0) & F.coalesce(F.col("last_import") < F.col("first_decl"), F.lit(True)))
 
 
 def _with_nesting(rows: DataFrame) -> DataFrame:
@@ -118,8 +134,7 @@ def _with_nesting(rows: DataFrame) -> DataFrame:
         .when(go.is_bracket(core), core)
         .otherwise(F.nullif(F.regexp_extract(code, r"(\S)\s*+\z", 1), F.lit(""))))
     return (
-        rows.withColumn("step", F.coalesce(F.sign("weight").cast("int"), F.lit(0)))
-        .withColumn("tail", tail)
+        rows.withColumn("tail", tail)
         .select(
             "*",
             (F.sum("nl").over(so_far()) + 1).cast("int").alias("line"),
@@ -129,7 +144,7 @@ def _with_nesting(rows: DataFrame) -> DataFrame:
 
 
 # Bits of ``file_flags``: what occurs anywhere in the file.
-ERROR, METHODS, NEW_CHAIN, ANY_CHAIN, INTERFACES, OWN_NEW, OWN_ASM = (1 << i for i in range(7))
+ERROR, METHODS, NEW_CHAIN, ANY_CHAIN, INTERFACES, OWN_NEW, OWN_CALL = (1 << i for i in range(7))
 
 
 def in_file(flag: int) -> Column:
@@ -200,12 +215,13 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
     stray = (level == 0) & (
         F.col("text").rlike(rf"{go.STATEMENT_END}\s*+(?!(?:{DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])|;|\z)")
         | (go.is_opener(core) & (rest == "")))
-    error = ((core == "error") | code.rlike(go.STRAY_CHARACTER) | (level + F.col("step") < 0) | stray
+    error = ((core == "error") | code.rlike(go.STRAY_CHARACTER) | code.rlike(go.DOUBLE_ASSIGNMENT)
+             | ((level == 0) & F.col("text").rlike(go.INCOMPLETE_SPEC))
+             | ((level == 0) & F.contains("text", F.lit("import")) & F.col("text").rlike(go.LATE_IMPORT)) | (level + F.col("step") < 0) | stray
              | F.coalesce(F.col("note_line") == 0, F.lit(False)))
     own_package = F.regexp_extract(code, rf"^\s*+package\s++({go.IDENT})[ \t\r]*+(?:[;\n]|\z)", 1)
     first_code = F.when((level == 0) & code.rlike(r"\S"), own_package)
     is_new = F.startswith("call_name", F.lit("New"))
-    in_asm = F.col("in_asm") if "in_asm" in rows.columns else F.lit(False)
     flags = {
         ERROR: error,
         METHODS: F.col("is_method"),
@@ -213,10 +229,10 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
         ANY_CHAIN: continues_brackets(),
         INTERFACES: F.col("tail") == INTERFACE,
         OWN_NEW: (F.col("call_name") == "New") & own_statement(),
-        OWN_ASM: in_asm & own_statement(),
+        OWN_CALL: own_statement(),
     }
     bits = sum((F.when(c, bit).otherwise(0) for bit, c in flags.items()), F.lit(0))
-    framed = rows.select(
+    return rows.select(
         "*",
         *[F.last(c, ignorenulls=True).over(so_far()).alias(k) for k, c in stmt.items()],
         F.last(stmt["stmt"], ignorenulls=True).over(before()).alias("prev_stmt"),
@@ -224,17 +240,21 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
         F.first(first_code, ignorenulls=True).over(whole_file()).alias("own_package"),
         *[F.sum(F.when(F.col("starts") & (level == i), 1).otherwise(0)).over(so_far()).alias(f"ends{i}")
           for i in (0, 1)],
-        F.sum("weight").over(whole_file()).alias("balance"),
+        F.sum(_bracket_weight()).over(whole_file()).alias("balance"),
+        F.min(F.when(F.col("word").isin("var", "const", "type", "func"), F.col("pos"))).over(whole_file()).alias("first_decl"),
+        F.max(F.when((level == 0) & F.contains("text", F.lit("import")) & F.col("text").rlike(go.IMPORT), F.col("pos")))
+        .over(whole_file()).alias("last_import"),
         F.bit_or(bits).over(whole_file()).alias("file_flags"))
-    well_formed = (F.col("file_flags").bitwiseAND(ERROR) == 0) & (F.col("own_package") != "") & (
-        F.coalesce("balance", F.lit(0)) == 0)
+
+
+def _of_well_formed(framed: DataFrame) -> DataFrame:
     shifted = lambda c: (c + F.coalesce("shift", F.lit(0))).cast("int")
     return (
-        framed.filter(well_formed)
+        framed.filter(_well_formed())
         .withColumn("start_line", shifted(F.col("line") - go.newlines(F.col("head"))))
         .withColumn("decl_line", shifted(F.col("stmt_line")))
         .withColumn("line", shifted(F.col("line")))
-        .drop("balance", "weight", "after_receiver", "text", "word", "head", "note_line", "tail", "step", "shift",
+        .drop("balance", "first_decl", "last_import", "after_receiver", "text", "word", "head", "note_line", "tail", "step", "shift",
               "stmt_line"))
 
 

@@ -60,7 +60,7 @@ class Analysis:
         return report.density(self.overview())
 
     def summary(self) -> DataFrame:
-        return report.summary(self.counts)
+        return report.summary(self.counts, self.loc if self.modules is None else self.modules)
 
     def details(self) -> DataFrame:
         return report.module_details(self.modules, self.loc, self.counts, self.occurrences)

@@ -25,8 +25,9 @@ def occurrences(files: DataFrame, vectors: list[str] | None = None, *,
     """
     names = vectors or [*schema.VECTOR_NAMES, *registry.names()]
     builtin = [v for v in names if v in schema.VECTOR_NAMES]
-    found = [detect(files, builtin, exec_rules=exec_rules, partitions=partitions)] if builtin else []
-    found += [registry.run(v, files, partitions) for v in names if v not in schema.VECTOR_NAMES]
+    custom = registry.conditions(names)
+    found = [detect(files, builtin, exec_rules=exec_rules, custom=custom, partitions=partitions)] if builtin or custom else []
+    found += [registry.run(v, files, partitions) for v in names if v not in schema.VECTOR_NAMES and v not in custom]
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)

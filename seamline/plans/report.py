@@ -44,15 +44,19 @@ def density(overview_rows: DataFrame) -> DataFrame:
         *[per_line(F.col(f"n_{v}"), F.col("loc")).alias(f"d_{v}") for v in vector_names()])
 
 
-def summary(counts: DataFrame) -> DataFrame:
-    """One row per module-version and vector in report order, zeros shown, count right-aligned."""
-    grid = counts.select(MODULE_KEY).distinct().select(
-        *MODULE_KEY, F.inline(text.vector_rows(registry.vector_rows())))
+def summary(counts: DataFrame, modules: DataFrame) -> DataFrame:
+    """One row per module-version and vector in report order, zeros shown, count right-aligned.
+
+    Every row of ``modules`` (module, version) gets its lines, whether anything was found there or not.
+    """
+    grid = modules.select(MODULE_KEY).distinct().select(
+        *MODULE_KEY, text.module_label(F.concat("module", F.lit("@"), "version")).alias("module_label"),
+        F.inline(text.vector_rows(registry.vector_rows())))
     return (
         grid.join(counts, [*MODULE_KEY, "vector"], "left")
         .withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
         .select(
-            *MODULE_KEY, "ord", "vector",
+            *MODULE_KEY, "module_label", "ord", "vector",
             F.concat(F.lit("["), "code", F.lit("] "), "label", F.lit(":")).alias("label"),
             "n", F.format_string("%10d", "n").alias("shown")))
 

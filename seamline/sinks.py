@@ -39,5 +39,5 @@ def write_bucketed_files(files: DataFrame, table: str, buckets: int) -> None:
 
 def show_summary(summary_rows: DataFrame, module: str, version: str) -> None:
     """Print the twelve lines of one module-version."""
-    (summary_rows.filter((F.col("module") == module) & (F.col("version") == version))
-     .orderBy("ord").select("label", "shown").show(1000, truncate=False))
+    lines = summary_rows.filter((F.col("module") == module) & (F.col("version") == version)).orderBy("ord").select("label", "shown")
+    lines.show(lines.count(), truncate=False)

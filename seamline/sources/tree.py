@@ -30,9 +30,21 @@ def read_tree(modules: DataFrame, partitions: int | None = None) -> DataFrame:
     and by file, so one huge module uses every task.
     """
     n = partitions or int(modules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    content = list_tree(modules, n).repartition(n, "dir", "name").mapInArrow(
-        _read_files, "module string, version string, dir string, name string, content binary")
-    return _as_files(content)
+    listed = list_tree(modules, n)
+    return _by_extension(lambda ext: listed.filter(F.endswith("name", F.lit(ext))).repartition(n, "dir", "name").mapInArrow(
+        _read_files, "module string, version string, dir string, name string, content binary"))
+
+
+def _by_extension(read) -> DataFrame:
+    """One branch for each extension, whose name is a constant there: a filter on ``ext`` drops whole
+    branches before anything is read."""
+    out = None
+    for ext in EXTENSIONS:
+        branch = read(ext).select(
+            "module", "version", "dir", F.concat("dir", F.lit("/"), "name").alias("path"), "name",
+            F.lit(ext).alias("ext"), F.col("content").cast("string").alias("content"))
+        out = branch if out is None else out.unionByName(branch)
+    return out
 
 
 def list_tree(modules: DataFrame, partitions: int) -> DataFrame:
@@ -58,14 +70,14 @@ def list_tree(modules: DataFrame, partitions: int) -> DataFrame:
 
 def read_hadoop_tree(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root``, laid out as ``<root>/<module>@<version>/...``."""
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{go,s,S,sx}").load(root))
+    def raw(ext: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ext}").load(root)
+
     full = F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", "")
     prefix = root.rstrip("/").split(":", 1)[-1].replace("//", "/")
     relative = F.expr(f"substring(full, length({_sql_text(prefix)}) + 2)")
-    return _as_files(
-        raw.withColumn("full", full).withColumn("relative", relative)
+    return _by_extension(
+        lambda ext: raw(ext).withColumn("full", full).withColumn("relative", relative)
         .withColumn("module", F.regexp_extract("relative", r"^(.*?)@[^/]*(?:/|$)", 1))
         .withColumn("version", F.regexp_extract("relative", r"^.*?@([^/]*)", 1))
         .withColumn("dir", F.regexp_extract("full", r"^(.*)/[^/]*$", 1))
@@ -76,13 +88,6 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _as_files(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        "module", "version", "dir", F.concat("dir", F.lit("/"), "name").alias("path"), "name",
-        F.regexp_extract("name", r"(\.(?:go|s|S|sx))$", 1).alias("ext"),
-        F.col("content").cast("string").alias("content"))
-
-
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Entries of each directory in bounded chunks; directory links are not followed."""
     for batch in batches:

@@ -6,6 +6,9 @@ import sys
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from seamline.operators.segments import failures
 from seamline.plans.occurrences import occurrences
 
 FIELDS = ["variable_name", "command", "method_invoked", "type_passed", "pattern"]
@@ -191,15 +194,46 @@ def test_assembly(files_of):
         ("m/a/a.go", 4, "asmFn"), ("m/a/a.go", 5, "second"), ("m/a/a.go", 7, "asmFn")]
 
 
-def test_assembly_without_broadcast(files_of, monkeypatch):
-    from seamline.operators import detectors
-    monkeypatch.setattr(detectors, "is_small", lambda df: False)
+def test_assembly_without_broadcast(spark, files_of):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     go = "package p\nfunc f() {\n\tasmFn(1)\n}\ntype I interface {\n\tasmFn()\n}\n"
     files = files_of({"m/a/a.go": go, "m/a/x.s": "TEXT ·asmFn(SB)\n", "m/b/b.go": go})
-    rows = occurrences(files, ["assembly", "init"]).collect()
+    try:
+        rows = occurrences(files, ["assembly", "init"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [(r.file_path, r.line_number) for r in rows] == [("m/a/a.go", 3)]
 
 
+def test_statement_after_a_number_that_ends_in_a_dot(files_of):
+    text = ("package p\nvar a = 3.\nfunc init() {}\nconst A = 1_0.\nvar b = f()\nvar (\n\tx = 1.\n\ty = f()\n\tz = g.h()\n)\n"
+            "var w = x1.\n\tF()\n")
+    rows = sorted((r.vector, r.line_number, r.variable_name) for r in occurrences(files_of({"m/a/a.go": text}), ["init", "global"]).collect())
+    assert rows == [("global", 5, "b"), ("global", 8, "y"), ("global", 9, "z"), ("global", 11, "w"), ("init", 3, "")]
+
+
+def test_conversions_to_type_literals_are_no_calls(files_of):
+    text = ("package p\nvar a = interface{}(y)\nvar b = interface{ M() }(y)\nvar c = struct{ A int }(y)\n"
+            "var d = T(y)\nvar e = interface{}(y).F()\n")
+    rows = [(r.variable_name, r.method_invoked) for r in occurrences(files_of({"m/a/a.go": text}), ["global"]).collect()]
+    assert sorted(rows) == [("d", "T()"), ("e", "F()")]
+
+
+@pytest.mark.parametrize("text", [
+    "func init() { x := := 3 }", "func init() { x = = 3 }", "func f() {}\nimport \"fmt\"\nfunc init() {}", "var x\nfunc init() {}",
+    "const x, y\nfunc init() {}", "func init() { x[(]) }", "func init() { f(} ){ }"])
+def test_ill_formed(files_of, text):
+    files = files_of({"m/a/a.go": f"package p\n{text}\n", "m/a/b.go": "package p\nfunc init() { a, b := f(x[1]); c == d; e <= 1 }\n"})
+    assert [r.file_path for r in occurrences(files, ["init"]).collect()] == ["m/a/b.go"]
+    assert [(r.path, r.reason) for r in failures(files).collect()] == [("m/a/a.go", "ill-formed")]
+
+
+def test_equal_paths_in_two_modules(files_of):
+    good, bad = "package p\nfunc init() {}\n", "package p\nfunc init() {\n"
+    files = files_of({"m/a.go": good, "n/a.go": good, "o/a.go": bad}).withColumn("path", F.lit("a.go"))
+    assert sorted(r.module for r in occurrences(files, ["init"]).collect()) == ["m", "n"]
+
+
 def test_single_vectors_agree_with_one_pass(files_of):
     from seamline import schema
     files = files_of({f"m/{n}/{n}.go": t for n, (t, _) in CASES.items()})

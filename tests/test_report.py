@@ -51,7 +51,8 @@ def test_reports(spark):
     assert wide["m"].n_init == 1 and wide["m"].n_exec == 1 and wide["m"].n_cgo == 0 and wide["empty"].n_init == 0
     dense = {r.module: r for r in report.density(report.overview(modules, lines, counts)).collect()}
     assert dense["m"].d_init == 0.125 and dense["empty"].d_init == 0.0 and dense["zero"].d_init is None
-    shown = report.summary(counts).orderBy("ord").collect()
+    shown = report.summary(counts, modules).filter("module = 'm'").orderBy("ord").collect()
+    assert report.summary(counts, modules).count() == 4 * len(schema.VECTOR_NAMES)
     assert [r.vector for r in shown] == schema.VECTOR_NAMES
     assert (shown[3].label, shown[3].shown) == ("[I2] init() Functions:", "         1")
     details = report.module_details(modules, lines, counts, found).filter("module = 'm'").orderBy("ord").collect()
@@ -81,7 +82,7 @@ def test_sinks(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "d")).count() == 2
     sinks.write_table(unique_counts(found), str(tmp_path / "t"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "t")).first().n == "2"
-    sinks.show_summary(report.summary(unique_counts(found)), "m", "v1")
+    sinks.show_summary(report.summary(unique_counts(found), found), "m", "v1")
     assert "[I2] init() Functions:" in capsys.readouterr().out
 
 
@@ -133,7 +134,7 @@ def test_registered_detector(spark, files_of):
         assert sorted((r.vector, r.line_number) for r in found.collect()) == [("panic", 3), ("panic", 5), ("panic", 5)]
         counts = unique_counts(found)
         assert {r.vector: r.n for r in counts.collect()} == {"panic": 2}
-        assert report.summary(counts).filter("vector = 'panic'").first().label == "[X1] Panics:"
+        assert report.summary(counts, counts).filter("vector = 'panic'").first().label == "[X1] Panics:"
         modules = spark.createDataFrame([("m", "v1", 1)], "module string, version string, dependants long")
         assert report.overview(modules, loc(files), counts).first().n_panic == 2
         with pytest.raises(ValueError):
@@ -142,14 +143,14 @@ def test_registered_detector(spark, files_of):
         registry.unregister_detector("panic")
 
 
-def test_exec_rules(spark, files_of, monkeypatch):
-    from seamline.operators import bounds
+def test_exec_rules(spark, files_of):
     files = files_of({"m/a.go": "package p\nfunc f() {\n\tos.Remove(1)\n\texec.Command(2)\n\ta.os.Remove()\n}\n"})
     rules = spark.createDataFrame([("os", "Remove"), ("os", "Remove")], "pkg string, func string")
-    for small in (True, False):
-        monkeypatch.setattr(bounds, "is_small", lambda df, rows=0: small)
+    for threshold in (-1, 10_000_000):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         got = occurrences(files, ["exec"], exec_rules=rules).collect()
         assert [(r.line_number, r.method_invoked) for r in got] == [(3, "os.Remove")]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def plan(df):
@@ -162,7 +163,16 @@ def test_one_exchange_by_path(spark, files_of):
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 1
     assert len(re.findall(r"\bSort \[", text)) == 1
     whole = plan(occurrences(files, ["constructor", "interface", "global", "init", "exec"]))
-    assert len(re.findall(r"Exchange hashpartitioning\(path", whole)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(module#\w+, version#\w+, path", whole)) == 1
+    for i, word in enumerate(("a", "b", "c")):
+        registry.register_detector(word, F.col("call_name") == word, ["file_path"], f"X{i}", word)
+    try:
+        rules = spark.createDataFrame([("os", "Remove")], "pkg string, func string")
+        every = plan(occurrences(files, exec_rules=rules))
+        assert len(re.findall(r"Exchange hashpartitioning\(module#\w+, version#\w+, path", every)) == 1
+    finally:
+        for word in ("a", "b", "c"):
+            registry.unregister_detector(word)
     assert "CartesianProduct" not in whole and "BroadcastNestedLoopJoin" not in whole
 
 

@@ -5,7 +5,25 @@ The planted corpus fixes the line of every construct, so no second analyser is n
 
 from __future__ import annotations
 
-from seamline import schema
+# Fixed values, stated here on their own: what tells two occurrences apart, and the report's lines.
+_KEYS = {
+    "init": "file_path line_number", "global": "variable_name file_path line_number",
+    "exec": "method_invoked file_path line_number", "plugin": "file_path method_invoked line_number",
+    "generate": "command file_path line_number", "test": "command file_path method_invoked line_number",
+    "unsafe": "method_invoked file_path line_number", "cgo": "method_invoked file_path line_number",
+    "interface": "method_invoked type_passed file_path line_number", "reflect": "method_invoked file_path line_number",
+    "constructor": "file_path pattern line_number", "assembly": "method_invoked file_path line_number",
+}
+_VECTORS = [
+    ("generate", "P1", "Static Code Generation", "Static Code Generation"), ("test", "P2", "Testing Functions", "Testing Functions"),
+    ("global", "I1", "Global Variable Initialization", "Global Variable Initialization"),
+    ("init", "I2", "init() Functions", "Initialization Hooks"), ("constructor", "E1", "Constructor Methods", "Constructor Methods"),
+    ("reflect", "E2", "Reflection", "Reflection"), ("interface", "E3", "Interfaces", "Interfaces"),
+    ("unsafe", "E4", "Unsafe Pointers", "Unsafe Pointers"), ("cgo", "E5", "CGO Functions", "CGO Functions"),
+    ("assembly", "E6", "Assembly Functions", "Assembly Functions"), ("plugin", "E7", "Dynamic Plugins", "Dynamic Plugins"),
+    ("exec", "E8", "External Execution", "External Execution"),
+]
+_NAMES = [v[0] for v in _VECTORS]
 
 _FILE = """
   SELECT doc_id AS id, doc_id % 3 AS vn, lang, source AS module, 'v' || (doc_id % 3) AS version,
@@ -57,8 +75,8 @@ _OCC = _rows(_PLANTED)
 
 def _key_sql() -> str:
     cases = []
-    for vector, columns in schema.DISTINCT_KEYS.items():
-        key = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+    for vector, columns in _KEYS.items():
+        key = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in columns.split())
         cases.append(f"WHEN '{vector}' THEN {key}")
     return f"CASE vector {' '.join(cases)} END"
 
@@ -76,13 +94,13 @@ _MODULES = """
   FROM (SELECT DISTINCT module, version FROM f) m JOIN part p ON m.module = 'src' || p.p_partkey"""
 
 _VECTOR_VALUES = ", ".join(
-    f"('{v}', '{code}', '{label}', '{report}', {ord_})" for v, code, label, report, ord_, _ in schema.VECTORS)
+    f"('{v}', '{code}', '{label}', '{report}', {i + 1})" for i, (v, code, label, report) in enumerate(_VECTORS))
 _DIM = f"dim(vector, code, label, report_label, ord) AS (VALUES {_VECTOR_VALUES})"
 
 _OVERVIEW = f"""{_COUNTS}, loc AS ({_LOC}), modules AS ({_MODULES}), overview AS (
   SELECT m.module, m.version, m.dependants, l.loc, {', '.join(
       f"CAST(COALESCE(SUM(CASE WHEN c.vector = '{v}' THEN c.n END), 0) AS BIGINT) AS n_{v}"
-      for v in schema.VECTOR_NAMES)}
+      for v in _NAMES)}
   FROM modules m JOIN loc l USING (module, version) LEFT JOIN counts c USING (module, version)
   GROUP BY m.module, m.version, m.dependants, l.loc)"""
 
@@ -172,6 +190,10 @@ _CATALOG = """
   FROM part"""
 
 
+def _of(vector: str) -> list[tuple]:
+    return [p for p in _PLANTED if p[0] == vector]
+
+
 def oracle_sql() -> dict[str, str]:
     f = f"WITH f AS ({_FILES})"
     out = {
@@ -190,11 +212,14 @@ def oracle_sql() -> dict[str, str]:
         "unique_counts": f"{_COUNTS} SELECT * FROM counts",
         "overview": f"{_OVERVIEW} SELECT * FROM overview",
         "density": f"""{_OVERVIEW} SELECT module, version, dependants, loc, {', '.join(
-            f'CASE WHEN loc > 0 THEN CAST(n_{v} AS DOUBLE) / loc END AS d_{v}' for v in schema.VECTOR_NAMES)}
+            f'CASE WHEN loc > 0 THEN CAST(n_{v} AS DOUBLE) / loc END AS d_{v}' for v in _NAMES)}
             FROM overview""",
         "summary": f"""{_COUNTS}, {_DIM}, grid AS (
-              SELECT * FROM (SELECT DISTINCT module, version FROM counts) CROSS JOIN dim)
-            SELECT g.module, g.version, g.ord, g.vector, '[' || g.code || '] ' || g.label || ':' AS label,
+              SELECT *, module || '@' || version AS module_label FROM (SELECT DISTINCT module, version FROM f) CROSS JOIN dim
+              UNION ALL
+              SELECT module || '/none' AS module, version, dim.*, module AS module_label
+              FROM (SELECT DISTINCT module, version FROM f) CROSS JOIN dim)
+            SELECT g.module, g.version, g.module_label, g.ord, g.vector, '[' || g.code || '] ' || g.label || ':' AS label,
                    COALESCE(c.n, 0) AS n, lpad(CAST(COALESCE(c.n, 0) AS VARCHAR), 10, ' ') AS shown
             FROM grid g LEFT JOIN counts c USING (module, version, vector)""",
         "detail_lines": f"""{_OCC}, {_DIM}
@@ -214,12 +239,21 @@ def oracle_sql() -> dict[str, str]:
         "version_delta": f"""{_OVERVIEW}, long AS (
               SELECT module, version, CAST(substr(version, 2) AS INTEGER) AS version_ord, vector, n
               FROM (UNPIVOT (SELECT module, version, {', '.join(
-                  f'n_{v} AS "{v}"' for v in schema.VECTOR_NAMES)} FROM overview)
-                    ON {', '.join(f'"{v}"' for v in schema.VECTOR_NAMES)} INTO NAME vector VALUE n))
-            SELECT *, CAST(COALESCE(n - lag(n) OVER (PARTITION BY module, vector ORDER BY version_ord), 0) AS BIGINT) AS delta
+                  f'n_{v} AS "{v}"' for v in _NAMES)} FROM overview)
+                    ON {', '.join(f'"{v}"' for v in _NAMES)} INTO NAME vector VALUE n))
+            SELECT *, CAST(n - lag(n) OVER (PARTITION BY module, vector ORDER BY version_ord) AS BIGINT) AS delta
             FROM long""",
         "custom_detector": f"""{_rows([("helper_call", "id % 12 <> 0", 19, {"method_invoked": "'other'"})])}
             SELECT * FROM occ""",
+        "custom_detectors_and_rules": f"""{_rows([
+            *_of("assembly"), ("helper_call", "id % 12 <> 0", 19, {"method_invoked": "'other'"}),
+            ("local_new", "id % 7 > 1", 18, {"method_invoked": "'NewLocal'"}),
+            ("methods", "true", 11, {"method_invoked": "'Run'"}),
+            ("exec", "id % 8 <> 0", 16, {"method_invoked": "'unsafe.Sizeof'"}),
+            ("exec", "id % 7 = 0", 18, {"method_invoked": "'lib.NewThing'"})])} SELECT * FROM occ""",
+        "equal_paths": f"""{_rows([*_of("exec"), *_of("global")])} SELECT * FROM occ
+            UNION ALL SELECT module || '-copy', * EXCLUDE (module) FROM occ""",
+        "failures": f"{f} SELECT module, version, path, 'ill-formed' AS reason FROM f WHERE id % 17 < 5",
         "exec_rules_custom": f"""{_rows([
             ("exec", "id % 8 <> 0", 16, {"method_invoked": "'unsafe.Sizeof'"}),
             ("exec", "id % 7 = 0", 18, {"method_invoked": "'lib.NewThing'"})])} SELECT * FROM occ""",
@@ -231,7 +265,7 @@ def oracle_sql() -> dict[str, str]:
         "module_list": f"WITH {_LIST} SELECT page_id, repo_url, version, name FROM named",
         "module_catalog": _CATALOG,
         "top_modules": f"""SELECT name, import_path, dependents_count FROM ({_CATALOG})
-            ORDER BY dependents_count DESC, name LIMIT {schema.CATALOG_RUN_SIZE}""",
+            ORDER BY dependents_count DESC, name LIMIT 600""",
         "dependents_lookup": f"""{f}, m AS (SELECT DISTINCT module, version FROM f)
             SELECT m.module, m.version, 'https://github.com/planted/' || m.module AS repo_url,
                    'github.com%2Fplanted%2F' || m.module AS dependents_key,
@@ -242,6 +276,6 @@ def oracle_sql() -> dict[str, str]:
             WHERE NOT EXISTS (SELECT 1 FROM named d WHERE d.repo_url LIKE 'http://%'
                               AND d.name = n.name AND d.version = n.version)""",
     }
-    for vector in schema.VECTOR_NAMES:
+    for vector in _NAMES:
         out[f"vec_{vector}"] = f"{_rows([p for p in _PLANTED if p[0] == vector])} SELECT * FROM occ"
     return out

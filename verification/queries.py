@@ -12,6 +12,7 @@ from seamline.functions import text
 from seamline.operators import registry
 from seamline.operators.assembly import asm_functions
 from seamline.operators.packages import loc, packages
+from seamline.operators.segments import failures
 from seamline.operators.tokens import tokens
 from seamline.plans.analysis import Analysis
 from seamline.plans.occurrences import occurrences, unique_counts
@@ -50,7 +51,10 @@ def _analysis(spark, sf) -> Analysis:
 def deltas(spark, sf):
     order = planted.modules(spark, sf).select(
         "module", "version", F.substring("version", 2, 10).cast("int").alias("version_ord"))
-    return _analysis(spark, sf).version_delta(order).withColumn("delta", F.coalesce("delta", F.lit(0)))
+    return _analysis(spark, sf).version_delta(order)
+
+
+KEY = ["method_invoked", "file_path", "line_number"]
 
 
 def custom_detector(spark, sf):
@@ -58,14 +62,54 @@ def custom_detector(spark, sf):
         return rows.filter((F.col("call_name") == "other") & ~F.col("selector")).withColumn(
             "method_invoked", F.col("call_name"))
 
-    registry.register_detector(
-        "helper_call", helper_calls, ["method_invoked", "file_path", "line_number"], "X1", "Helper Calls")
+    registry.register_detector("helper_call", helper_calls, KEY, "X1", "Helper Calls")
     try:
         return occurrences(_files(spark, sf), ["helper_call"])
     finally:
         registry.unregister_detector("helper_call")
 
 
+def custom_detectors_and_rules(spark, sf):
+    """Three detectors that are conditions and a table of rules, all in one pass."""
+    rules = spark.createDataFrame([("unsafe", "Sizeof"), ("lib", "NewThing")], "pkg string, func string")
+    bare = ~F.col("selector")
+    call = {"method_invoked": F.col("call_name")}
+    found = {
+        "helper_call": (bare & (F.col("call_name") == "other"), call),
+        "local_new": (bare & (F.col("call_name") == "NewLocal"), call),
+        "methods": (F.col("is_method"), {"method_invoked": F.col("func_name"), "line_number": F.col("decl_line")}),
+    }
+    for i, (name, (where, fields)) in enumerate(found.items()):
+        registry.register_detector(name, where, KEY, f"X{i}", name, fields)
+    try:
+        return occurrences(_files(spark, sf), ["exec", "assembly", *found], exec_rules=rules)
+    finally:
+        for name in found:
+            registry.unregister_detector(name)
+
+
+def equal_paths(spark, sf):
+    """The corpus twice, as two sets of modules whose files have the same paths."""
+    files = _files(spark, sf)
+    return occurrences(files.unionByName(files.withColumn("module", F.concat("module", F.lit("-copy")))), ["exec", "global"])
+
+
+def ill_formed_files(spark, sf):
+    """Files that lack a bracket, cross brackets, assign twice, or import too late, by turns of the path's number."""
+    number = F.regexp_extract("name", "([0-9]+)", 1).cast("bigint") % 17
+    bad = F.when(number == 0, "}\n").when(number == 1, "func bad() { x[(]) }\n").when(
+        number == 2, "func bad() { x := := 3 }\n").when(number == 3, 'import "late"\n').when(number == 4, "var alone\n")
+    files = _files(spark, sf).filter("ext = '.go'")
+    return failures(files.withColumn("content", F.concat("content", F.lit("\n"), F.coalesce(bad, F.lit("")))))
+
+
+def summaries(spark, sf):
+    """Modules of the corpus, and as many in which nothing is found."""
+    modules = planted.modules(spark, sf)
+    nothing = modules.withColumn("module", F.concat("module", F.lit("/none")))
+    return Analysis(_files(spark, sf), modules.unionByName(nothing)).summary()
+
+
 def custom_exec_rules(spark, sf):
     rules = spark.createDataFrame([("unsafe", "Sizeof"), ("lib", "NewThing")], "pkg string, func string")
     return occurrences(_files(spark, sf), ["exec"], exec_rules=rules)
@@ -116,12 +160,15 @@ def queries() -> dict[str, Query]:
         "occurrences": lambda spark, sf: occurrences(_files(spark, sf)),
         "unique_counts": lambda spark, sf: unique_counts(occurrences(_files(spark, sf))),
         "density": lambda spark, sf: _analysis(spark, sf).density(),
-        "summary": lambda spark, sf: _analysis(spark, sf).summary(),
+        "summary": summaries,
         "detail_lines": lambda spark, sf: _analysis(spark, sf).detail_lines(),
         "module_details": lambda spark, sf: _analysis(spark, sf).details(),
         "occurrence_json": lambda spark, sf: _analysis(spark, sf).json(),
         "version_delta": deltas,
         "custom_detector": custom_detector,
+        "custom_detectors_and_rules": custom_detectors_and_rules,
+        "equal_paths": equal_paths,
+        "failures": ill_formed_files,
         "exec_rules_custom": custom_exec_rules,
         "line_column": line_column,
         "module_list": module_list,
