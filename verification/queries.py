@@ -96,7 +96,7 @@ def equal_paths(spark, sf):
 
 def ill_formed_files(spark, sf):
     """Files that lack a bracket, cross brackets, assign twice, or import too late, by turns of the path's number."""
-    number = F.regexp_extract("name", "([0-9]+)", 1).cast("bigint") % 17
+    number = F.regexp_extract("name", "([0-9]+)", 1).try_cast("bigint") % 17
     bad = F.when(number == 0, "}\n").when(number == 1, "func bad() { x[(]) }\n").when(
         number == 2, "func bad() { x := := 3 }\n").when(number == 3, 'import "late"\n').when(number == 4, "var alone\n")
     files = _files(spark, sf).filter("ext = '.go'")
