@@ -36,7 +36,7 @@ ORDER = 3
 STRENGTH = (500.0, 0.5)
 FOLDS = 10
 PRIOR = 0.1
-PART_BYTES = 16 << 20
+PART_BYTES = 6 << 20
 _END, _START = np.uint64(0x8F1BBCDC5A827999), np.uint64(0x6ED9EBA1CA62C1D6)
 
 COUNTED = "bucket int, part int, level int, n bigint, keys binary, counts binary"
@@ -100,8 +100,8 @@ class Part:
         self.lengths = np.concatenate(lengths) if lengths else np.empty(0, dtype=np.int64)
         self.tokens = np.concatenate(tokens) if tokens else np.empty(0, dtype=np.uint64)
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]].astype(np.int64) if len(self.lengths) else np.empty(0, dtype=np.int64)
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.place = np.arange(len(self.tokens)) - self.starts[self.doc]
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        place = (np.arange(len(self.tokens)) - self.starts[self.doc]).astype(np.int32)
         train = ~self.held[self.doc]
         # per order: different keys, first position and counts of each, and the key of each position (-1: none)
         self.keys, self.first, self.own, self.at = [], [], [], []
@@ -110,9 +110,9 @@ class Part:
             if n > 1:
                 whole = mix(np.r_[np.uint64(0), whole[:-1]] * np.uint64(0xA0761D6478BD642F) + self.tokens + np.uint64(n))
             # the start mark is a context and never predicted; contexts do not reach before it
-            there = np.flatnonzero(self.place >= max(n - 1, 1))
+            there = np.flatnonzero(place >= max(n - 1, 1))
             keys, first, inverse = np.unique(whole[there], return_index=True, return_inverse=True)
-            at = np.full(len(whole), -1, dtype=np.int64)
+            at = np.full(len(whole), -1, dtype=np.int32)
             at[there] = inverse
             self.keys.append(keys)
             self.first.append(there[first])
