@@ -11,7 +11,7 @@ carries a state, takes failure arcs until the state has an arc for the token, an
 
 The model grows with the corpus, so it is never in one place. Documents are dealt into parts of about ``PART_BYTES``.
 Each part counts its own n-grams, once each, and sends keys and counts, packed by key range, to the range's bucket. A
-bucket adds up and replies to each part with the totals of the keys that other parts have, too. The part then has
+bucket adds up and replies to each part with the totals, a byte or so each, in the order of the part's keys. The part then has
 all counts that its documents ask for, and builds just that piece of the automaton. From order 3 on, a part asks only for
 n-grams whose two shorter ones occur elsewhere too: no other can. Nothing is pruned or sampled.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from seamline.llm.shared import doc_texts, held_out, shuffle_partitions
 from seamline.llm.words import mix, words_of
 
-ORDER = 3
+ORDER = 2
 STRENGTH = (500.0, 0.5)
 FOLDS = 10
 PRIOR = 0.1
@@ -40,7 +40,7 @@ PART_BYTES = 6 << 20
 _END, _START = np.uint64(0x8F1BBCDC5A827999), np.uint64(0x6ED9EBA1CA62C1D6)
 
 COUNTED = "bucket int, part int, level int, n bigint, keys binary, counts binary"
-REPLIES = "part int, level int, n bigint, keys binary, counts binary"
+REPLIES = "part int, level int, bucket int, n bigint, totals binary, shared binary"
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -68,13 +68,14 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    top = int(counts.max()) if len(counts) else 0
-    kind = "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u8"
-    return kind[1:].encode() + counts.astype(kind).tobytes()
+    """A byte each; those of 255 and more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
 
 
-def unpack_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype="<" + data[:2].decode(), offset=2).astype(np.int64)
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, dtype=np.uint8, count=n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, dtype="<u8", offset=n)
+    return counts
 
 
 # --- the tokens and n-grams of a part ---------------------------------------------------------------
@@ -122,17 +123,22 @@ class Part:
         self.shared = [np.zeros(len(k), dtype=bool) for k in self.keys]
         self.all_tokens = self.all_words = 0
 
-    def hear(self, replies: pa.Table) -> None:
-        """Takes in the totals that buckets have sent."""
-        for row in replies.to_pylist():
-            level, keys = row["level"], row["keys"]
-            if level == 0:
+    def hear(self, replies: pa.Table, buckets: int) -> None:
+        """Takes in the totals that buckets have sent, in the order of what was asked of them."""
+        rows = replies.to_pylist()
+        for row in rows:
+            if row["level"] == 0:
                 self.all_tokens += row["n"]
-                self.all_words += unpack_counts(row["counts"])[0]
-            elif level <= len(self.keys):
-                where = np.searchsorted(self.keys[level - 1], unpack_keys(keys))
-                self.total[level - 1][where] = unpack_counts(row["counts"])
-                self.shared[level - 1][where] = True
+                self.all_words += int(unpack_counts(row["totals"], 1)[0])
+        for level in range(1, len(self.keys) + 1):
+            asked = None
+            for row in rows:
+                if row["level"] == level:
+                    if asked is None:
+                        asked, cuts = self.asked(level, buckets)
+                    where = asked[cuts[row["bucket"]]: cuts[row["bucket"] + 1]]
+                    self.total[level - 1][where] = unpack_counts(row["totals"], row["n"])
+                    self.shared[level - 1][where] = np.unpackbits(np.frombuffer(row["shared"], dtype=np.uint8), count=row["n"])
 
     def wanted(self, level: int) -> np.ndarray:
         """Which n-grams to ask for: all of one or two words; longer ones if both shorter ones occur elsewhere."""
@@ -142,14 +148,18 @@ class Part:
         shorter, shared = self.at[level - 2], self.shared[level - 2]
         return shared[shorter[last]] & shared[shorter[last - 1]]
 
+    def asked(self, level: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the wanted n-grams, by key, and where those of each bucket begin."""
+        some = np.flatnonzero(self.wanted(level))
+        bucket = (self.keys[level - 1][some] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        return some, np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
+
     def requests(self, part: int, levels: list[int], buckets: int) -> list[dict]:
         out = []
         for level in levels:
-            some = self.wanted(level)
+            some, cuts = self.asked(level, buckets)
             keys, own = self.keys[level - 1][some], self.own[level - 1][some]
-            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.unique(bucket) if level > 1 else range(buckets):
+            for b in np.flatnonzero(np.diff(cuts)) if level > 1 else range(buckets):
                 i, j = cuts[b], cuts[b + 1]
                 out.append({"bucket": int(b), "part": part, "level": level, "n": int(j - i),
                             "keys": pack_keys(keys[i:j]), "counts": pack_counts(own[i:j])})
@@ -246,7 +256,7 @@ class Automaton:
 # --- the steps as Spark sees them ---------------------------------------------------------------------
 
 _COUNTED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-_REPLIES = pa.schema(list(_COUNTED)[1:])
+_REPLIES = pa.schema([("part", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("totals", pa.binary()), ("shared", pa.binary())])
 
 
 def _count(order: int, buckets: int):
@@ -260,33 +270,34 @@ def _count_longer(level: int, buckets: int):
         if not docs.num_rows:
             return _COUNTED.empty_table()
         part = Part(docs, level)
-        part.hear(replies)
+        part.hear(replies, buckets)
         return pa.Table.from_pylist(part.requests(key[0].as_py(), [level], buckets), schema=_COUNTED)
     return run
 
 
 def _reply(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Totals of the keys that several parts have, for each of these parts; and the bucket's share of N and V."""
-    level = key[1].as_py()
+    """For each part the totals of its keys, in its order, and which of them others have; and the bucket's share of N and V."""
+    bucket, level = key[0].as_py(), key[1].as_py()
     rows = rows.to_pylist()
     keys = [unpack_keys(r["keys"]) for r in rows]
-    counts = [unpack_counts(r["counts"]) for r in rows]
+    counts = [unpack_counts(r["counts"], r["n"]) for r in rows]
     unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(unique)).astype(np.int64)
     several = np.bincount(inverse, minlength=len(unique)) > 1
     out, at = [], 0
     for row, k in zip(rows, keys):
-        mine = total[inverse[at: at + len(k)]]
+        mine = inverse[at: at + len(k)]
         at += len(k)
-        other = several[inverse[at - len(k): at]]
-        if other.any():
-            out.append({"part": row["part"], "level": level, "n": int(other.sum()), "keys": pack_keys(k[other]), "counts": pack_counts(mine[other])})
+        if len(k):
+            out.append({"part": row["part"], "level": level, "bucket": bucket, "n": len(k), "totals": pack_counts(total[mine]),
+                        "shared": np.packbits(several[mine]).tobytes()})
         if level == 1:
-            out.append({"part": row["part"], "level": 0, "n": int(total.sum()), "keys": b"", "counts": pack_counts(np.array([(total > 0).sum()]))})
+            out.append({"part": row["part"], "level": 0, "bucket": bucket, "n": int(total.sum()),
+                        "totals": pack_counts(np.array([(total > 0).sum()])), "shared": b""})
     return pa.Table.from_pylist(out, schema=_REPLIES)
 
 
-def _score(order: int, strength: tuple[float, ...]):
+def _score(order: int, strength: tuple[float, ...], buckets: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -294,7 +305,7 @@ def _score(order: int, strength: tuple[float, ...]):
         if not docs.num_rows:
             return schema.empty_table()
         part = Part(docs, order)
-        part.hear(replies)
+        part.hear(replies, buckets)
         automaton = Automaton(part, strength)
         word = part.at[0]
         real = word >= 0
@@ -323,4 +334,4 @@ def language_scores(docs: DataFrame, order: int = ORDER, strength: tuple[float,
     for level in range(3, order + 1):
         longer = dealt.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_count_longer(level, parts), COUNTED)
         replies = replies.unionByName(answered(longer))
-    return dealt.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_score(order, strength), SCORED)
+    return dealt.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_score(order, strength, parts), SCORED)
