@@ -177,24 +177,27 @@ def _class(c: str) -> str:
     return "_" if c.isspace() else c if ord(c) < 128 else "?"
 
 
-def candidates(window: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
-    """Tokens, and (first, last + 1, features) of every segment that may be an entity.
+def segments_from(window: str, toks: list[tuple[int, int]], i: int) -> Iterator[tuple[int, list[int]]]:
+    """(last + 1, features) of every segment from token ``i`` that may be an entity.
 
-    A segment holds an anchor, does not begin or end with white space, and does not cut a run of letters or digits.
+    A segment holds an anchor, does not begin or end with white space, and does not cut a run of letters and digits.
     """
+    start = toks[i][0]
+    if window[start].isspace() or (start and window[start].isalnum() and window[start - 1].isalnum()):
+        return
+    seen = False
+    for j in range(i, min(len(toks), i + MAX_TOKENS)):
+        s, end = toks[j]
+        seen = seen or window[s] == "@" or window[s].isdigit() or (window[s] in "([" and _ANCHOR.match(window, s) is not None)
+        last = window[end - 1]
+        if seen and not last.isspace() and not (end < len(window) and last.isalnum() and window[end].isalnum()):
+            yield j + 1, span_features(window, start, end)
+
+
+def candidates(window: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
+    """Tokens, and (first, last + 1, features) of every segment that may be an entity."""
     toks = tokens(window)
-    anchored = [bool(_ANCHOR.match(window, s)) or window[s] in "@" or window[s].isdigit() for s, _ in toks]
-    blank = [window[s].isspace() for s, _ in toks]
-    out = []
-    for i in range(len(toks)):
-        if blank[i]:
-            continue
-        seen = False
-        for j in range(i, min(len(toks), i + MAX_TOKENS)):
-            seen = seen or anchored[j]
-            if seen and not blank[j]:
-                out.append((i, j + 1, span_features(window, toks[i][0], toks[j][1])))
-    return toks, out
+    return toks, [(i, j, f) for i in range(len(toks)) for j, f in segments_from(window, toks, i)]
 
 
 # --- the model ----------------------------------------------------------------------------------
@@ -210,24 +213,19 @@ def _forward(n: int, by_end: list[list[tuple[int, np.ndarray]]]) -> np.ndarray:
     return alpha
 
 
-def _by_end(n: int, spans: list, weights: np.ndarray) -> list[list]:
-    out: list[list] = [[] for _ in range(n + 1)]
-    for i, j, f in spans:
-        out[j].append((i, weights[:, f].sum(axis=1) + weights[:, _FEATURES]))
-    return out
-
-
 def decode(window: str, weights: np.ndarray) -> list[Span]:
-    """The best segmentation of a window: (start, kind, end) of its entities."""
-    toks, spans = candidates(window)
+    """The best segmentation of a window: (start, kind, end) of its entities. Holds one start's segments at a time."""
+    toks = tokens(window)
     n = len(toks)
-    table = _by_end(n, spans, weights)
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, scores in table[j]:
+    best: list[float] = [0.0] + [-math.inf] * n
+    back: list[tuple[int, int] | None] = [None] * (n + 1)
+    for i in range(n):
+        if best[i] >= best[i + 1]:
+            best[i + 1], back[i + 1] = best[i], None
+        for j, f in segments_from(window, toks, i):
+            scores = weights[:, f].sum(axis=1) + weights[:, _FEATURES]
             k = int(scores.argmax())
-            if best[i] + scores[k] > best[j]:
+            if best[i] + scores[k] > max(best[j], best[i]):
                 best[j], back[j] = best[i] + float(scores[k]), (i, k)
     out, j = [], n
     while j:
