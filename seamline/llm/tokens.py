@@ -19,8 +19,8 @@ from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
 from seamline.llm.words import Words, mix, words_of
 
-STORE = 2_500_000
-CHUNK_BYTES = 6 << 20
+STORE = 1_500_000
+CHUNK_BYTES = 3 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r".,;:!?|*&$%#()\-"
