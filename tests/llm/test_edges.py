@@ -11,7 +11,7 @@ from seamline.llm import ann, jaccard, licenses, lm, mixing, neardup, packing, p
 from seamline.llm.shared import Scratch
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-LONG = " ".join(f"w{i % 977} x{i}" for i in range(60_000))
+LONG = " ".join(f"w{i % 977} x{i}" for i in range(15_000))
 CLASHING = ["node", "rank", "order", "tie", "size", "target", "score", "part", "label", "bucket", "one", "_range", "path", "h"]
 TEXTS = [(1, "a b c d e f g", "en", "s1", 13), (2, "a b c d e f g", "en", "s1", 13), (2, "a b c d e f g", "en", "s1", 13),
          (3, "", "de", "s2", 0), (4, None, None, None, None), (None, "p q r s t u", "en", "s1", 11), (5, LONG, "en", "s2", len(LONG)),
