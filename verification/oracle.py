@@ -241,7 +241,7 @@ def oracle_sql() -> dict[str, str]:
               FROM (UNPIVOT (SELECT module, version, {', '.join(
                   f'n_{v} AS "{v}"' for v in _NAMES)} FROM overview)
                     ON {', '.join(f'"{v}"' for v in _NAMES)} INTO NAME vector VALUE n))
-            SELECT *, CAST(n - lag(n) OVER (PARTITION BY module, vector ORDER BY version_ord) AS BIGINT) AS delta
+            SELECT *, CAST(n - lag(n) OVER (PARTITION BY module, vector ORDER BY version_ord) AS DOUBLE) AS delta
             FROM long""",
         "custom_detector": f"""{_rows([("helper_call", "id % 12 <> 0", 19, {"method_invoked": "'other'"})])}
             SELECT * FROM occ""",

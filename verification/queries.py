@@ -51,7 +51,8 @@ def _analysis(spark, sf) -> Analysis:
 def deltas(spark, sf):
     order = planted.modules(spark, sf).select(
         "module", "version", F.substring("version", 2, 10).cast("int").alias("version_ord"))
-    return _analysis(spark, sf).version_delta(order)
+    # As a double, which has the same form on both sides of the comparison where it is NULL.
+    return _analysis(spark, sf).version_delta(order).withColumn("delta", F.col("delta").cast("double"))
 
 
 KEY = ["method_invoked", "file_path", "line_number"]
