@@ -48,7 +48,22 @@ def _by_extension(read) -> DataFrame:
 
 
 def list_tree(modules: DataFrame, partitions: int) -> DataFrame:
-    """(module, version, dir, name) of the wanted files, found one directory level at a time.
+    """(module, version, dir, name) of the wanted files; modules with a directory that cannot be listed are left out."""
+    found = _walk(modules, partitions)
+    failed = found.filter(F.col("kind") == "error").select("module", "version").distinct()
+    return found.filter(F.col("kind") == "file").drop("kind").join(
+        failed, ["module", "version"], "left_anti")
+
+
+def unlisted(modules: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(module, version, path, reason) of the directories for which ``read_tree`` leaves their module out."""
+    n = partitions or int(modules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _walk(modules, n).filter(F.col("kind") == "error").select(
+        "module", "version", F.col("dir").alias("path"), F.lit("directory cannot be listed").alias("reason"))
+
+
+def _walk(modules: DataFrame, partitions: int) -> DataFrame:
+    """Entries (module, version, dir, name, kind) of all directories, found one level at a time.
 
     Every level is a Spark job over all directories of that depth, whichever module they are in.
     """
@@ -63,9 +78,7 @@ def list_tree(modules: DataFrame, partitions: int) -> DataFrame:
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
-    failed = found.filter(F.col("kind") == "error").select("module", "version").distinct()
-    return found.filter(F.col("kind") == "file").drop("kind").join(
-        failed, ["module", "version"], "left_anti")
+    return found
 
 
 def read_hadoop_tree(spark: SparkSession, root: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from seamline import schema, sinks
 from seamline.functions import text
 from seamline.sources import modules as m
-from seamline.sources.tree import read_hadoop_tree, read_tree
+from seamline.sources.tree import read_hadoop_tree, read_tree, unlisted
 
 
 def column(spark, values, expression, kind="string"):
@@ -110,6 +110,9 @@ def test_read_tree(spark, tree):
         "x@v1/bytes.go", "x@v1/dangling.go", "y@v2/deep/er/f.go"}
     assert rows["x@v1/asm.S"].ext == ".S" and rows["y@v2/deep/er/f.go"].module == "y"
     contents = {r.path.rsplit("/", 1)[1]: r.h for r in files.select("path", F.hex("content").alias("h")).collect()}
+    assert [(r.module, r.path) for r in unlisted(modules).collect()] == [("gone", f"{tree}/gone")]
+    assembly = files.filter(F.col("ext").isin(schema.ASM_EXTENSIONS))._jdf.queryExecution().optimizedPlan().toString()
+    assert assembly.count("MapInArrow") == len(schema.ASM_EXTENSIONS)  # nothing reads the Go files
     assert contents["bytes.go"] == b"package x\n// \xff\n".hex().upper() and contents["dangling.go"] is None
 
 
