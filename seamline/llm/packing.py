@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from seamline.llm.shared import Scratch, doc_texts, running_total
 from seamline.llm.tokens import encoder
+from seamline.llm.words import SLICE_ROWS
 
 CAPACITY = 2048
 END = 0
@@ -49,7 +50,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, spaced=True).encode
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             ids, offsets = encode(batch.column(1))
             out: list[tuple] = []
             for k, doc in enumerate(batch.column(0).to_pylist()):

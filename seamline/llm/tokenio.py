@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from seamline.llm import coder
 from seamline.llm.shared import doc_texts, shuffle_partitions
 from seamline.llm.tokens import encoder
+from seamline.llm.words import SLICE_ROWS
 
 END = 2
 BLOCK_IDS = 1 << 20
@@ -91,7 +92,7 @@ def _writer(directory: str, tokenizer: str, end: int, block_ids: int):
             at += len(block)
             docs, held, size = [], [], 0
 
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             ids, offsets = encode(batch.column(1))
             for k, doc in enumerate(batch.column(0).to_pylist()):
                 one = np.append(ids[offsets[k]: offsets[k + 1]], np.uint32(end))

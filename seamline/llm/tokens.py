@@ -19,7 +19,7 @@ from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
 from seamline.llm.words import Words, mix, words_of
 
-STORE = 1_500_000
+STORE = 1_000_000
 CHUNK_BYTES = 3 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"

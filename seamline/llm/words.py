@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 21
+SLICE_ROWS = 1024  # rows of a column that are copied at a time
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -87,15 +88,15 @@ def words_of(column: pa.Array, chunk_bytes: int = CHUNK_BYTES, separators: np.nd
 
     ``separators`` tells for each byte whether it ends a word; white space by default.
     """
-    if not len(column):
-        return
-    data, offsets = text_buffers(column)
-    first = 0
-    while first < len(column):
-        last = int(np.searchsorted(offsets, offsets[first] + chunk_bytes, "right")) - 1
-        last = min(max(last, first + 1), len(column))
-        yield _spans(first, data[offsets[first]: offsets[last]], offsets[first: last + 1] - offsets[first], separators)
-        first = last
+    for row in range(0, len(column), SLICE_ROWS):
+        part = column.slice(row, SLICE_ROWS)
+        data, offsets = text_buffers(part)
+        first = 0
+        while first < len(part):
+            last = int(np.searchsorted(offsets, offsets[first] + chunk_bytes, "right")) - 1
+            last = min(max(last, first + 1), len(part))
+            yield _spans(row + first, data[offsets[first]: offsets[last]], offsets[first: last + 1] - offsets[first], separators)
+            first = last
 
 
 def _spans(first: int, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Words:
