@@ -24,15 +24,18 @@ count repeatedly. Without training documents every count is 0 and both scores ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.shared import doc_texts, held_out, shuffle_partitions
 from seamline.llm.words import mix, words_of
 
-ORDER = 2
+ORDER = 3
 STRENGTH = (500.0, 0.5)
 FOLDS = 10
 PRIOR = 0.1
@@ -41,50 +44,90 @@ _END, _START = np.uint64(0x8F1BBCDC5A827999), np.uint64(0x6ED9EBA1CA62C1D6)
 
 COUNTED = "bucket int, part int, level int, n bigint, keys binary, counts binary"
 REPLIES = "part int, level int, bucket int, n bigint, totals binary, shared binary"
+DEALT = "part int, doc_ids array<bigint>, held array<boolean>, lengths array<bigint>, texts binary"
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 # --- packed keys and counts -----------------------------------------------------------------------
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted different keys as differences, in as few bytes each as the largest takes (first byte says how many)."""
+    """Sorted different keys: the low bits of each as they are, the high bits as marks in a row (about log2(range / n) + 2 bits a key)."""
     if not len(keys):
         return b""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    first, steps = steps[:1], steps[1:]
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([width]) + first.tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    n, above = len(keys), keys - keys[0]
+    low = max(0, (int(above[-1]) // n).bit_length() - 1)
+    high = (above >> np.uint64(low)).astype(np.int64)
+    marks = np.zeros(int(high[-1]) + n, dtype=np.uint8)
+    marks[high + np.arange(n)] = 1
+    bits = np.unpackbits(above.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - low:]
+    return bytes([low]) + np.uint32(n).tobytes() + keys[:1].tobytes() + np.packbits(bits).tobytes() + np.packbits(marks).tobytes()
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
     if not data:
         return np.empty(0, dtype=np.uint64)
-    width = data[0]
-    rest = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(-1, width)
-    steps = np.zeros((len(rest) + 1, 8), dtype=np.uint8)
-    steps[0] = np.frombuffer(data, dtype=np.uint8, offset=1, count=8)
-    steps[1:, :width] = rest
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+    low, n = data[0], int(np.frombuffer(data, dtype="<u4", offset=1, count=1)[0])
+    size = -(-n * low // 8)
+    bits = np.zeros((n, 64), dtype=np.uint8)
+    bits[:, 64 - low:] = np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=13, count=size), count=n * low).reshape(n, low)
+    marks = np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=13 + size))
+    high = (np.flatnonzero(marks)[:n] - np.arange(n)).astype(np.uint64)
+    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64) + (high << np.uint64(low)) + np.frombuffer(data, dtype="<u8", offset=5, count=1)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """A byte each; those of 255 and more follow in full."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+    """A byte each, compressed; those of 255 and more follow in full."""
+    small = pa.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
+    return np.uint32(len(small)).tobytes() + small + counts[counts >= 255].astype("<u8").tobytes()
 
 
 def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    counts = np.frombuffer(data, dtype=np.uint8, count=n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data, dtype="<u8", offset=n)
+    size = int(np.frombuffer(data, dtype="<u4", count=1)[0])
+    counts = np.frombuffer(pa.decompress(data[4: 4 + size], n, codec="zstd", asbytes=True), dtype=np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, dtype="<u8", offset=4 + size)
     return counts
 
 
+# --- the documents of a part ------------------------------------------------------------------------
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each part in a batch as one row, with their texts compressed together."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = batch.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(np.diff(part[order])) + 1]
+        sorted_rows = batch.take(pa.array(order))
+        ends = np.r_[cuts, len(order)].astype(np.int32)
+        texts = sorted_rows.column("text").cast(pa.large_binary())
+        lengths = pc.binary_length(texts).cast(pa.int64())
+        whole = [b"".join(texts.slice(i, j - i).to_pylist()) for i, j in zip(ends[:-1], ends[1:])]
+        listed = lambda column: pa.ListArray.from_arrays(pa.array(ends), column)
+        yield pa.record_batch([
+            pa.array(part[order][cuts]), listed(sorted_rows.column("doc_id")), listed(sorted_rows.column("held_out")), listed(lengths),
+            pa.array([pa.compress(w, codec="zstd", asbytes=True) for w in whole], pa.binary())],
+            names=["part", "doc_ids", "held", "lengths", "texts"])
+
+
+def _dealt(rows: pa.Table) -> pa.Table:
+    """doc_id, held_out, text of the documents of a part."""
+    pieces = []
+    for row in rows.to_pylist():
+        ends = np.r_[0, np.cumsum(row["lengths"])].astype(np.int64)
+        text = pa.decompress(row["texts"], int(ends[-1]), codec="zstd")
+        column = pa.LargeStringArray.from_buffers(len(row["doc_ids"]), pa.py_buffer(ends.tobytes()), text)
+        pieces.append(pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), column], names=["doc_id", "held_out", "text"]))
+    return pa.concat_tables(pieces)
+
+
 # --- the tokens and n-grams of a part ---------------------------------------------------------------
 
 class Part:
     """Tokens of a part's documents, each document led by a start mark, and their n-grams of every order."""
 
-    def __init__(self, docs: pa.Table, order: int):
-        docs = docs.combine_chunks()
+    def __init__(self, dealt: pa.Table, order: int):
+        docs = _dealt(dealt)
         self.doc_ids = docs.column("doc_id").to_pylist()
         self.held = np.array(docs.column("held_out").to_pylist(), dtype=bool)
         tokens, lengths = [], []
@@ -324,11 +367,11 @@ def language_scores(docs: DataFrame, order: int = ORDER, strength: tuple[float,
     texts = doc_texts(docs)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), -(-size // part_bytes))
-    dealt = texts.select("doc_id", "text", held_out("doc_id", folds).alias("held_out"),
-                         F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part")).repartition(parts, "part")
+    dealt = texts.select("doc_id", "text", held_out("doc_id", folds).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast(
+        "int").alias("part")).mapInArrow(_deal, DEALT).repartition(parts, "part")  # one exchange, which every step reads again
 
     def answered(counted: DataFrame) -> DataFrame:
-        return counted.groupBy("bucket", "level").applyInArrow(_reply, REPLIES)
+        return counted.groupBy("bucket", "level").applyInArrow(_reply, REPLIES).repartition(parts, "part")
 
     replies = answered(dealt.groupBy("part").applyInArrow(_count(order, parts), COUNTED))
     for level in range(3, order + 1):

@@ -165,6 +165,14 @@ def test_language_model(docs, order):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(counts[(x,)] > 0 for x in w), total)
 
 
+def test_language_query_has_contexts_of_two_words(spark):
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    scores = [{r.doc_id: r.score for r in rows.collect()} for rows in (
+        queries()["op4_language_scores"](spark, SMALL), lm.language_scores(table, 3), lm.language_scores(table, 2))]
+    assert max(abs(scores[0][i] - scores[1][i]) for i in scores[1]) < 1e-6
+    assert any(abs(scores[0][i] - scores[2][i]) > 1 for i in scores[2])
+
+
 def test_packed_keys():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000):
