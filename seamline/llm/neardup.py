@@ -2,8 +2,8 @@
 
 Centroids are fitted on a bounded sample (``FIT_VECTORS`` rows by hash, ``FIT_VALUES`` numbers in all). Every vector
 belongs to the cell of its nearest centroid, and is a guest of each later cell that its partners may belong to: a
-partner differs from it by at most sqrt(2 - 2 threshold), and across the plane between two centroids by at most
-``SPREADS`` standard deviations of such a difference in a random direction (never more than the whole of it). Products
+partner lies within the angle whose cosine is the threshold, so beyond the plane between two centroids only if the
+distance to that plane is at most the sine of that angle. No link is lost, whatever the vectors. Products
 are computed within a cell, home by home and home by guest, so each pair is compared once. One row per
 group, the smallest vec_id, is kept.
 
@@ -33,7 +33,7 @@ FIT_VECTORS = 20_000
 FIT_VALUES = 4_000_000
 CELL_ROWS = 150
 MAX_CELLS = 1024
-SPREADS = 4.5
+PLACED_BYTES = 32 << 20  # of copies made at a time
 BLOCK = 1024
 SEED = 7
 
@@ -96,18 +96,19 @@ def _assign(model, reach: float):
             if not n:
                 continue
             x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), dtype=np.float64).reshape(n, -1)
-            near = x @ centroids.T
-            home = near.argmax(axis=1)
-            own = near[np.arange(n), home]
-            later = np.arange(len(centroids))[None, :] > home[:, None]
-            guest_row, guest_cell = np.nonzero(later & (own[:, None] - near <= reach * gaps[home]))
-            row = np.r_[np.arange(n), guest_row]
-            cell = np.r_[home, guest_cell].astype(np.int32)
-            take = pa.array(row)
-            yield pa.record_batch([
-                pa.array(cell), pa.array(np.r_[np.zeros(n, bool), np.ones(len(guest_row), bool)]),
-                batch.column("node").take(take), batch.column("copies").take(take), batch.column("unit").take(take)],
-                names=["cell", "guest", "node", "copies", "unit"])
+            step = max(1, PLACED_BYTES // (8 * x.shape[1] * len(centroids)))
+            for at in range(0, n, step):
+                near = x[at: at + step] @ centroids.T
+                m = len(near)
+                home = near.argmax(axis=1)
+                own = near[np.arange(m), home]
+                later = np.arange(len(centroids))[None, :] > home[:, None]
+                guest_row, guest_cell = np.nonzero(later & (own[:, None] - near <= reach * gaps[home] + 1e-9))
+                take = pa.array(at + np.r_[np.arange(m), guest_row])
+                yield pa.record_batch([
+                    pa.array(np.r_[home, guest_cell].astype(np.int32)), pa.array(np.r_[np.zeros(m, bool), np.ones(len(guest_row), bool)]),
+                    batch.column("node").take(take), batch.column("copies").take(take), batch.column("unit").take(take)],
+                    names=["cell", "guest", "node", "copies", "unit"])
     return run
 
 
@@ -140,7 +141,7 @@ def _products(threshold: float):
 
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS,
-                    max_cells: int = MAX_CELLS, spreads: float = SPREADS, block: int = BLOCK) -> DataFrame:
+                    max_cells: int = MAX_CELLS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     parts = shuffle_partitions(spark)
@@ -156,8 +157,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THR
     centroids = spherical_kmeans(sample, cells) if len(sample) else np.eye(1, dim)
     gaps = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-12))
     model = spark.sparkContext.broadcast((centroids, gaps))  # at most max_cells rows
-    apart = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    reach = min(apart, spreads * apart / dim**0.5) + 1e-9
+    reach = float(np.sqrt(max(0.0, 1 - threshold**2))) if threshold > 0 else 1.0
     placed = scratch.settle(distinct.mapInArrow(
         _assign(model, reach), "cell int, guest boolean, node bigint, copies bigint, unit binary"))
 

@@ -286,6 +286,32 @@ def test_near_duplicates(spark, block):
     assert [(r.n_links, r.component_id, r.kept) for r in rows] == [(links[k], want[k], want[k] == k) for k in range(len(x))]
 
 
+def low_rank_pairs(n, dim, rank, seed):
+    """Vectors in pairs that differ along ``rank`` directions only, and by a cosine of about 0.951."""
+    rng = np.random.default_rng(seed)
+    x = np.zeros((n, dim))
+    x[:, :rank] = rng.normal(size=(n, rank))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = np.zeros_like(x)
+    y[:, :rank] = rng.normal(size=(n, rank))
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+    return np.concatenate([x, 0.951 * x + math.sqrt(1 - 0.951**2) * y]) @ turn
+
+
+@pytest.mark.parametrize("dim", [64, 384])
+def test_near_duplicates_along_few_directions(spark, dim):
+    x = low_rank_pairs(600, dim, 4, 3)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.95, 1))
+    links = np.bincount(np.r_[i, j], minlength=len(x))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    with Scratch(spark) as scratch:
+        rows = neardup.near_duplicates(table, scratch, cell_rows=20).orderBy("vec_id").collect()
+    assert [r.n_links for r in rows] == links.tolist()
+
+
 def test_nearest_recall(spark):
     table = spark.read.parquet(f"{LARGE}/embeddings.parquet")
     pdf = table.toPandas()
