@@ -8,7 +8,7 @@ at most ``COPIES``, leaving out a centroid that is nearer to one chosen before t
 best-first search in a graph of centroids held in memory, and its lists by distance: those within ``(1 + RATIO)``
 times the nearest, and as many as hold ``LEAST`` members. Members of those lists are compared exactly. Recall against brute force: tests and README.
 
-Skew: of equal vectors the smallest ids suffice, so no more than one more than ``k`` of each are indexed. Lists and the queries of a list
+Skew: of equal vectors the smallest ids suffice, so no more than one more than ``k`` different ids of each are indexed. Lists and the queries of a list
 are cut into blocks by a hash; a block of queries meets a block of members in one product. A task keeps the best ``k``
 of each query over all its lists, and passes on what exceeds a bounded buffer.
 
@@ -202,9 +202,13 @@ def _compare(k: int):
         q, qid, x, xid = x[ask], ids[ask], x[~ask], ids[~ask]
         score = q @ x.T
         score[qid[:, None] == xid[None, :]] = -np.inf
-        most = min(k, len(xid))
+        # an id may have several vectors: its best one counts, once
+        by = np.argsort(xid, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(xid[by]) != 0])
+        tops = np.maximum.reduceat(score[:, by], first, axis=1)
+        most = min(k, len(first))
         # all that may be among the k best once scores are exact
-        edge = np.partition(score, len(xid) - most, axis=1)[:, len(xid) - most]
+        edge = np.partition(tops, len(first) - most, axis=1)[:, len(first) - most]
         size = np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max())
         i, j = np.nonzero((score >= (edge - 1e-12 * size)[:, None]) & np.isfinite(score))
         return best(qid[i], xid[j], (q[i] * x[j]).sum(axis=1), k)
@@ -256,7 +260,7 @@ def nearest(vectors: DataFrame, scratch: Scratch, is_query, k: int = K, copies:
 
     few = Window.partitionBy("digest", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     fewer = Window.partitionBy("digest").orderBy("vec_id")
-    indexed = usable.withColumn("_n", F.row_number().over(few)).filter(F.col("_n") <= k + 1).withColumn(
+    indexed = usable.dropDuplicates(["digest", "vec_id"]).withColumn("_n", F.row_number().over(few)).filter(F.col("_n") <= k + 1).withColumn(
         "_n", F.row_number().over(fewer)).filter(F.col("_n") <= k + 1)
     members = scratch.settle(indexed.mapInArrow(_lists(model, closure, copies), "list int, vec_id bigint, vector binary"), keep=True)
     sizes = np.zeros(len(centroids), dtype=np.int64)

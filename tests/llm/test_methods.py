@@ -344,6 +344,24 @@ def test_nearest_by_inner_product_with_small_blocks(spark):
         assert [r.vec_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r["rank"])] == want
 
 
+@pytest.mark.parametrize("times", [3, 30])
+def test_nearest_among_repeated_rows(spark, times):
+    x = np.random.default_rng(4).normal(size=(200, 8))
+    x[:60] = 3 * x[0]
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x) for _ in range(times)], "vec_id bigint, embedding array<double>")
+    with Scratch(spark) as scratch:
+        rows = ann.nearest(table, scratch, lambda v: v == 0, k=20).orderBy("rank").collect()
+    assert [r.vec_id for r in rows] == list(range(1, 21))
+
+
+def test_best_vector_of_an_id_counts_once(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [5.0 + i / 100, 0.0]) for i in range(50)] + [(i, [4.0 - i / 10, 0.0]) for i in range(2, 8)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    with Scratch(spark) as scratch:
+        got = ann.nearest(table, scratch, lambda v: v == 0, k=5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
+
+
 # --- 9 ------------------------------------------------------------------------------------------
 
 def test_coder_round_trip():
