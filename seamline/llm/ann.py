@@ -12,9 +12,10 @@ Skew: of equal vectors the smallest ids suffice, so no more than one more than `
 are cut into blocks by a hash; a block of queries meets a block of members in one product. A task keeps the best ``k``
 of each query over all its lists, and passes on what exceeds a bounded buffer.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those of another
-dimension than the most frequent one, are neither queries nor candidates; so are rows without an id. Ties go to the
-smaller id. Rows that share the id of a query are not its candidates; a repeated query id is one query.
+Vectors of each dimension have centroids, lists and norm of their own; a query's candidates are those of its size.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components are neither queries nor
+candidates; so are rows without an id. Ties go to the smaller id. Rows that share the id of a query are not its candidates; a repeated query id is one query.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.llm.grouping import groups_of, vectors_of
-from seamline.llm.neardup import sample_of
+from seamline.llm.neardup import by_dim, sample_of
 from seamline.llm.shared import Scratch, shuffle_partitions
 
 K = 20
@@ -131,12 +132,10 @@ def centroid_graph(centroids: np.ndarray, degree: int = DEGREE) -> np.ndarray:
 
 def _lists(model, closure: float, copies: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = model.value
-        c = index.centroids
-        between = np.sqrt(np.maximum((c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * c @ c.T, 0))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for dim, batch in by_dim(batches):
+            index = model.value[dim]
+            c = index.centroids
+            between = np.sqrt(np.maximum((c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * c @ c.T, 0))
             x = lifted(_matrix(batch.column("vector")), index.norm)
             distance = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * x @ c.T, 0))
             order = np.argsort(distance, axis=1, kind="stable")[:, :copies]
@@ -151,17 +150,15 @@ def _lists(model, closure: float, copies: int):
                 rows += [i] * len(chosen)
                 lists += chosen
             take = pa.array(rows)
-            yield pa.record_batch([pa.array(lists, pa.int32()), batch.column("vec_id").take(take), batch.column("vector").take(take)],
-                                  names=["list", "vec_id", "vector"])
+            yield pa.record_batch([batch.column("dim").take(take), pa.array(lists, pa.int32()), batch.column("vec_id").take(take),
+                                   batch.column("vector").take(take)], names=["dim", "list", "vec_id", "vector"])
     return run
 
 
 def _probes(model, ratio: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = model.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for dim, batch in by_dim(batches):
+            index = model.value[dim]
             x = _matrix(batch.column("vector"))
             x = np.hstack([x * (index.norm / np.sqrt((x * x).sum(axis=1)))[:, None], np.zeros((len(x), 1))])
             rows, lists = [], []
@@ -170,8 +167,8 @@ def _probes(model, ratio: float, least: int):
                 rows += [i] * len(some)
                 lists += some
             take = pa.array(rows)
-            yield pa.record_batch([pa.array(lists, pa.int32()), batch.column("vec_id").take(take), batch.column("vector").take(take)],
-                                  names=["list", "vec_id", "vector"])
+            yield pa.record_batch([batch.column("dim").take(take), pa.array(lists, pa.int32()), batch.column("vec_id").take(take),
+                                   batch.column("vector").take(take)], names=["dim", "list", "vec_id", "vector"])
     return run
 
 
@@ -222,7 +219,7 @@ def _compare(k: int):
         def out(rows):
             return pa.record_batch([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2])], names=["query_id", "vec_id", "score"])
 
-        for _, rows in groups_of(batches, ["list", "block", "queries"]):
+        for _, rows in groups_of(batches, ["dim", "list", "block", "queries"]):
             found = one(rows)
             if found is None:
                 continue
@@ -248,40 +245,41 @@ def nearest(vectors: DataFrame, scratch: Scratch, is_query, k: int = K, copies:
     read = scratch.settle(vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding"))
                           .mapInArrow(_read, "vec_id bigint, dim bigint, norm double, digest binary, vector binary"), keep=True)
     valid = read.filter("vec_id is not null and dim > 0")
-    shape = valid.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).orderBy(F.desc("n"), "dim").first()
-    if shape is None:
+    shapes = valid.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).orderBy("dim").collect()  # a row per dimension
+    if not shapes:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim, total, norm = shape["dim"], shape["n"], shape["norm"]
-    usable = valid.filter(F.col("dim") == dim)
-
-    sample = lifted(sample_of(usable, total, dim, FIT_VECTORS, FIT_VALUES, "vector"), norm)
-    centroids = balanced_kmeans(sample, max(1, min(max_lists, total // LIST_ROWS))) if len(sample) else np.zeros((1, dim + 1))
-    model = spark.sparkContext.broadcast(Index(centroids, centroid_graph(centroids), norm))  # at most max_lists rows
+    usable, total, indexes = valid, sum(r["n"] for r in shapes), {}
+    for r in shapes:  # at most max_lists centroids in all, and one more of each dimension
+        dim, n, norm = r["dim"], r["n"], r["norm"]
+        lists = max(1, min(max_lists * n // total, n // LIST_ROWS))
+        sample = sample_of(valid.filter(F.col("dim") == dim), n, dim, FIT_VECTORS, FIT_VALUES, "vector") if lists > 1 else ()
+        centroids = balanced_kmeans(lifted(sample, norm), lists) if len(sample) else np.zeros((1, dim + 1))
+        indexes[dim] = Index(centroids, centroid_graph(centroids), norm, np.zeros(len(centroids), dtype=np.int64))
+    model = spark.sparkContext.broadcast(indexes)
 
     few = Window.partitionBy("digest", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     fewer = Window.partitionBy("digest").orderBy("vec_id")
     indexed = usable.dropDuplicates(["digest", "vec_id"]).withColumn("_n", F.row_number().over(few)).filter(F.col("_n") <= k + 1).withColumn(
         "_n", F.row_number().over(fewer)).filter(F.col("_n") <= k + 1)
-    members = scratch.settle(indexed.mapInArrow(_lists(model, closure, copies), "list int, vec_id bigint, vector binary"), keep=True)
-    sizes = np.zeros(len(centroids), dtype=np.int64)
-    for row in members.groupBy("list").count().collect():  # at most max_lists rows
-        sizes[row["list"]] = row["count"]
-    sized = spark.sparkContext.broadcast(Index(centroids, model.value.graph, norm, sizes))
+    members = scratch.settle(indexed.mapInArrow(_lists(model, closure, copies), "dim bigint, list int, vec_id bigint, vector binary"), keep=True)
+    for row in members.groupBy("dim", "list").count().collect():  # a row per list
+        indexes[row["dim"]].sizes[row["list"]] = row["count"]
+    sized = spark.sparkContext.broadcast(indexes)
     asked = scratch.settle(usable.filter(is_query(F.col("vec_id"))).mapInArrow(
-        _probes(sized, ratio, least), "list int, vec_id bigint, vector binary"), keep=True)
+        _probes(sized, ratio, least), "dim bigint, list int, vec_id bigint, vector binary"), keep=True)
 
     # at most max_lists rows: how many blocks of members and of queries a list has
-    blocks = members.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(
-        asked.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("query_blocks")), "list")
+    blocks = members.groupBy("dim", "list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(
+        asked.groupBy("dim", "list").agg(F.ceil(F.count("*") / block).cast("int").alias("query_blocks")), ["dim", "list"])
     salt = F.xxhash64("vec_id", F.lit("block"))
-    split_members = members.join(F.broadcast(blocks), "list").select(
-        "list", F.pmod(salt, "blocks").cast("int").alias("block"),
+    split_members = members.join(F.broadcast(blocks), ["dim", "list"]).select(
+        "dim", "list", F.pmod(salt, "blocks").cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("queries"), F.lit(False).alias("query"), "vec_id", "vector")
-    split_queries = asked.join(F.broadcast(blocks), "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+    split_queries = asked.join(F.broadcast(blocks), ["dim", "list"]).select(
+        "dim", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(salt, "query_blocks").cast("int").alias("queries"), F.lit(True).alias("query"), "vec_id", "vector")
-    found = split_members.unionByName(split_queries).repartition(parts, "list", "block", "queries").sortWithinPartitions(
-        "list", "block", "queries").mapInArrow(_compare(k), "query_id bigint, vec_id bigint, score double")
+    found = split_members.unionByName(split_queries).repartition(parts, "dim", "list", "block", "queries").sortWithinPartitions(
+        "dim", "list", "block", "queries").mapInArrow(_compare(k), "query_id bigint, vec_id bigint, score double")
     ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn(
         "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,8 +10,9 @@ group, the smallest vec_id, is kept.
 Skew: equal vectors are collapsed before any product. A cell of any size is cut into blocks of ``BLOCK`` rows by a
 hash, and pairs of blocks are multiplied; what leaves a product is a count and one edge per vector, never the pairs.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so
-do vectors of another dimension than the most frequent one. A row without vec_id takes no part: no links, no
+Vectors of each dimension have centroids and cells of their own, and link with those of their size only.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing. A row without vec_id takes no part: no links, no
 component, not kept. Repeated rows are equal vectors and link with each other. Labels and other columns are ignored.
 """
 
@@ -88,13 +89,19 @@ def sample_of(table: DataFrame, total: int, dim: int, fit_vectors: int, fit_valu
     return np.frombuffer(b"".join(v for _, v in rows), dtype=np.float64).reshape(len(rows), dim)
 
 
+def by_dim(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each batch by dimension."""
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            yield int(dim), batch.take(pa.array(np.flatnonzero(dims == dim)))
+
+
 def _assign(model, reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, gaps = model.value
-        for batch in batches:
+        for dim, batch in by_dim(batches):
+            centroids, gaps = model.value[dim]
             n = batch.num_rows
-            if not n:
-                continue
             x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), dtype=np.float64).reshape(n, -1)
             step = max(1, PLACED_BYTES // (8 * x.shape[1] * len(centroids)))
             for at in range(0, n, step):
@@ -106,9 +113,9 @@ def _assign(model, reach: float):
                 guest_row, guest_cell = np.nonzero(later & (own[:, None] - near <= reach * gaps[home] + 1e-9))
                 take = pa.array(at + np.r_[np.arange(m), guest_row])
                 yield pa.record_batch([
-                    pa.array(np.r_[home, guest_cell].astype(np.int32)), pa.array(np.r_[np.zeros(m, bool), np.ones(len(guest_row), bool)]),
+                    batch.column("dim").take(take), pa.array(np.r_[home, guest_cell].astype(np.int32)), pa.array(np.r_[np.zeros(m, bool), np.ones(len(guest_row), bool)]),
                     batch.column("node").take(take), batch.column("copies").take(take), batch.column("unit").take(take)],
-                    names=["cell", "guest", "node", "copies", "unit"])
+                    names=["dim", "cell", "guest", "node", "copies", "unit"])
     return run
 
 
@@ -133,7 +140,7 @@ def _products(threshold: float):
                                names=["node", "n_links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, left, right), rows in groups_of(batches, ["cell", "left", "right"]):
+        for (_, _, left, right), rows in groups_of(batches, ["dim", "cell", "left", "right"]):
             out = one(rows, left == right)
             if out is not None:
                 yield out
@@ -146,38 +153,39 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THR
     spark = vectors.sparkSession
     parts = shuffle_partitions(spark)
     units = scratch.settle(units_of(vectors), keep=True)
-    sizes = units.filter("vec_id is not null and dim > 0").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    dim, total = (sizes["dim"], sizes["count"]) if sizes else (1, 0)
-    usable = (F.col("dim") == dim) & F.col("vec_id").isNotNull()
-    distinct = scratch.settle(units.filter(usable).groupBy("digest").agg(
+    usable = (F.col("dim") > 0) & F.col("vec_id").isNotNull()
+    sizes = units.filter(usable).groupBy("dim").count().orderBy("dim").collect()  # a row per dimension
+    total, fitted = sum(r["count"] for r in sizes), {}
+    distinct = scratch.settle(units.filter(usable).groupBy("dim", "digest").agg(
         F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("unit").alias("unit")), keep=True)
-
-    sample = sample_of(distinct, total, dim, FIT_VECTORS, FIT_VALUES) if total else np.zeros((0, dim))
-    cells = max(1, min(max_cells, total // cell_rows, len(sample)))
-    centroids = spherical_kmeans(sample, cells) if len(sample) else np.eye(1, dim)
-    gaps = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-12))
-    model = spark.sparkContext.broadcast((centroids, gaps))  # at most max_cells rows
+    for r in sizes:  # at most max_cells centroids in all, and one more of each dimension
+        dim, n = r["dim"], r["count"]
+        cells = max(1, min(max_cells * n // total, n // cell_rows))
+        sample = sample_of(distinct.filter(F.col("dim") == dim), n, dim, FIT_VECTORS, FIT_VALUES) if cells > 1 else ()
+        centroids = spherical_kmeans(sample, cells) if len(sample) else np.zeros((1, dim))
+        fitted[dim] = centroids, np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-12))
+    model = spark.sparkContext.broadcast(fitted)
     reach = float(np.sqrt(max(0.0, 1 - threshold**2))) if threshold > 0 else 1.0
     placed = scratch.settle(distinct.mapInArrow(
-        _assign(model, reach), "cell int, guest boolean, node bigint, copies bigint, unit binary"))
+        _assign(model, reach), "dim bigint, cell int, guest boolean, node bigint, copies bigint, unit binary"))
 
     # blocks of a cell: its home rows in blocks from 0, its guests in blocks after them
-    counts = placed.groupBy("cell").agg(
+    counts = placed.groupBy("dim", "cell").agg(
         F.ceil(F.count_if(~F.col("guest")) / block).cast("int").alias("homes"),
         F.ceil(F.count_if("guest") / block).cast("int").alias("guests"))
     spread = F.xxhash64("node", F.lit("block"))
-    blocked = placed.join(counts, "cell").withColumn("block", F.when(
+    blocked = placed.join(counts, ["dim", "cell"]).withColumn("block", F.when(
         F.col("guest"), F.col("homes") + F.pmod(spread, F.greatest("guests", F.lit(1)))).otherwise(
         F.pmod(spread, F.greatest("homes", F.lit(1)))).cast("int"))
     # a home block meets every block, a guest block every home block
     others = F.when(F.col("homes") == 0, F.array().cast("array<int>")).when(
         F.col("guest"), F.sequence(F.lit(0), F.col("homes") - 1)).otherwise(
         F.sequence(F.lit(0), F.col("homes") + F.col("guests") - 1))
-    paired = blocked.select("cell", "block", "node", "copies", "unit", F.explode(others).alias("other")).select(
-        "cell", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
+    paired = blocked.select("dim", "cell", "block", "node", "copies", "unit", F.explode(others).alias("other")).select(
+        "dim", "cell", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
         (F.col("block") > F.col("other")).alias("right_side"), "node", "copies", "unit")
-    found = scratch.settle(paired.repartition(parts, "cell", "left", "right").sortWithinPartitions(
-        "cell", "left", "right").mapInArrow(_products(threshold), "node bigint, n_links bigint, root bigint"), keep=True)
+    found = scratch.settle(paired.repartition(parts, "dim", "cell", "left", "right").sortWithinPartitions(
+        "dim", "cell", "left", "right").mapInArrow(_products(threshold), "node bigint, n_links bigint, root bigint"), keep=True)
 
     links = found.groupBy("node").agg(F.sum("n_links").alias("links"))
     linked = scratch.settle(components(scratch, found.select(F.col("node").alias("a"), F.col("root").alias("b"))), keep=True)

@@ -286,6 +286,25 @@ def test_near_duplicates(spark, block):
     assert [(r.n_links, r.component_id, r.kept) for r in rows] == [(links[k], want[k], want[k] == k) for k in range(len(x))]
 
 
+def test_vectors_of_two_sizes(spark):
+    parts = [clustered(120, dim, dim) for dim in (16, 24)]
+    rows = [(1000 * p + k, v.tolist()) for p, x in enumerate(parts) for k, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    with Scratch(spark) as scratch:
+        links = {r.vec_id: r.n_links for r in neardup.near_duplicates(table, scratch, cell_rows=20).collect()}
+        near: dict = {}
+        for r in ann.nearest(table, scratch, lambda v: v % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+            near.setdefault(r.query_id, []).append(r.vec_id)
+    for p, x in enumerate(parts):
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+        assert want.sum() > 50 and [links[1000 * p + k] for k in range(len(x))] == want.tolist()
+        for q in range(0, len(x), 20):
+            score = x @ x[q]
+            score[q] = -np.inf
+            assert near[1000 * p + q] == (1000 * p + np.argsort(-score)[:5]).tolist()
+
+
 def low_rank_pairs(n, dim, rank, seed):
     """Vectors in pairs that differ along ``rank`` directions only, and by a cosine of about 0.951."""
     rng = np.random.default_rng(seed)
