@@ -32,7 +32,7 @@ from seamline.llm.shared import Scratch, components, shuffle_partitions
 THRESHOLD = 0.95
 FIT_VECTORS = 20_000
 FIT_VALUES = 4_000_000
-CELL_ROWS = 150
+CELL_ROWS = 1024  # about a block: fewer cells, fewer copies; results do not depend on it
 MAX_CELLS = 1024
 PLACED_BYTES = 32 << 20  # of copies made at a time
 BLOCK = 1024
