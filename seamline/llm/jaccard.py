@@ -6,7 +6,7 @@ together. Every such pair is verified on the full n-gram sets, once, in the firs
 counts follow from the recall wanted at the threshold (``choose_bands``).
 
 Skew: copies are collapsed before any pairing. A bucket of any size is cut into blocks of bounded total n-gram
-count by a hash, and pairs of blocks are compared; what leaves a comparison is a count per class and one edge per
+count and number of members by a hash, and pairs of blocks are compared; what leaves a comparison is a count per class and one edge per
 class, never the pairs. Buckets of several bands with the same members are compared once.
 
 Defined results: null or empty texts (no words) link with nothing. A text of fewer than ``n`` words has one
@@ -32,6 +32,8 @@ RECALL = 0.99999
 HASHES = 160
 #: n-grams of all members of a block together
 BLOCK_GRAMS = 400_000
+#: members of a block; matrices of two blocks have four times its square
+BLOCK_ROWS = 1000
 SEED = 3
 
 
@@ -218,6 +220,11 @@ def _verify(threshold: float, n_bands: int):
     return run
 
 
+def blocks_of(members, grams, block_grams: int = BLOCK_GRAMS, block_rows: int = BLOCK_ROWS):
+    """How many blocks a bucket is cut into."""
+    return F.greatest(F.ceil(F.col(grams) / block_grams), F.ceil(F.col(members) / block_rows)).cast("int")
+
+
 def ngram_join(docs: DataFrame, scratch: Scratch, n: int = NGRAM, threshold: float = THRESHOLD,
                recall: float = RECALL, hashes: int = HASHES, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """doc_id, class_id (smallest doc_id reachable by links), copy_id (smallest with the same words), n_links.
@@ -242,8 +249,8 @@ def ngram_join(docs: DataFrame, scratch: Scratch, n: int = NGRAM, threshold: flo
         F.min("node").alias("lo"), F.max("node").alias("hi"),
         F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).filter("members > 1")
     chosen = buckets.groupBy("members", "lo", "hi", "x1", "x2").agg(
-        F.min_by(F.struct("bucket", "band", "grams"), "band").alias("b")).select(
-        "b.bucket", "b.band", F.ceil(F.col("b.grams") / block_grams).cast("int").alias("blocks"))
+        F.min_by(F.struct("bucket", "band", "grams", "members"), "band").alias("b")).select(
+        "b.bucket", "b.band", blocks_of("b.members", "b.grams", block_grams).alias("blocks"))
     # joined by shuffle at every size: neither table is bounded
     members = spread.drop("band").join(chosen.hint("shuffle_hash"), "bucket").withColumn(
         "block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int"))

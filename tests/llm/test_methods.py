@@ -133,6 +133,12 @@ def test_components(spark):
     assert got == dict(zip(names.tolist(), want.tolist()))
 
 
+def test_blocks_are_bounded_by_members_too(spark):
+    row = spark.createDataFrame([(40_000, 400_000), (3, 900_000), (2, 20)], "members bigint, grams bigint").select(
+        jaccard.blocks_of("members", "grams").alias("b")).collect()
+    assert [r.b for r in row] == [40, 3, 1]
+
+
 # --- 4 ------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("order", [1, 2, 3])
