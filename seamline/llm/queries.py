@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import ann, licenses, lm, mixing, neardup, packing, pii, quality, tokenio
+from seamline.llm import ann, chat, divergence, licenses, lm, mixing, neardup, negatives, packing, pii, quality, tokenio
 from seamline.llm.jaccard import ngram_join
 from seamline.llm.shared import Scratch, shared_folder
 
@@ -81,6 +82,29 @@ def personal_data(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """Each row of conversations as a record of its own; conversation -1 is one record with a list of messages."""
+    told = table(spark, sf, "conversations")
+    records = told.select("conv_id", F.to_json(F.struct("turn", "role", "text")).alias("record"))
+    own = json.dumps({"messages": [{"role": role, "content": chat.END + chat.START + "assistant ok"} for role in ("user", "assistant")]})
+    records = records.unionByName(spark.createDataFrame([(-1, own)], "conv_id bigint, record string"))
+    directory = f"{shared_folder(spark)}/seamline-chat-{uuid.uuid4().hex}"
+    chat.write(chat.canonical_turns(records), directory)
+    return chat.digests(chat.read_pieces(spark, directory))
+
+
+def source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return divergence.audit(table(spark, sf, "documents"), scratch)
+
+
+def hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return negatives.hard_negatives(
+            table(spark, sf, "embeddings"), scratch, lambda vec_id: vec_id % 100 == 0,
+            lambda vec_id, label: F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; it imports this package
 
@@ -99,9 +123,89 @@ def queries() -> dict[str, Query]:
         "op8_nearest_vectors": nearest_vectors,
         "op9_token_files": token_files,
         "op10_personal_data": personal_data,
+        "op11_chat_format": chat_format,
+        "op12_source_divergence": source_divergence,
+        "op13_hard_negatives": hard_negatives,
         "pipeline": pipeline,
     }
 
 
+#: The template's escape: one backslash more between ``<`` and ``|``.
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+
+_CHAT = rf"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+told as (
+    select *, {_ESCAPED.format("text")} as body,
+           {_ESCAPED.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")} as head from turns)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length('<|im_start|>' || head || chr(10) || body || '<|im_end|>' || chr(10)))::bigint as formatted_chars
+from told group by conv_id"""
+
+_DIVERGENCE = r"""
+with docs as (
+    select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+words as (
+    select doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+per_doc as (select doc, lang, source, term, count(*)::hugeint as n from words group by all),
+kept as (select lang, term, sum(n)::hugeint as n from per_doc group by lang, term having count(*) >= 30),
+sizes as (select lang, count(*)::hugeint as v, sum(n)::hugeint as total from kept group by lang),
+found as (select lang, source, term, sum(per_doc.n)::hugeint as n from per_doc join kept using (lang, term) group by lang, source, term),
+found_sizes as (select lang, source, sum(n)::hugeint as total from found group by lang, source),
+groups as (
+    select d.lang, d.source, coalesce(f.total, 0)::hugeint as total, coalesce(s.v, 0)::hugeint as v
+    from (select distinct lang, source from docs) d left join found_sizes f on d.lang = f.lang and d.source = f.source
+    left join sizes s on d.lang = s.lang),
+weights as (
+    select g.lang, g.source, k.term, coalesce(f.n, 0) as n, 1 + (1000000000 * (coalesce(f.n, 0) + 5)) // (g.total + 5 * g.v) as p
+    from groups g join kept k on g.lang = k.lang
+    left join found f on f.lang = g.lang and f.source = g.source and f.term = k.term),
+apart as (
+    select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+    from weights a join weights b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+marked as (
+    select w.lang, w.source, 'term' as part, w.term as item,
+           (w.p - (1 + (1000000000 * (k.n + 5)) // (s.total + 5 * s.v)))::bigint as value
+    from weights w join kept k on w.lang = k.lang and w.term = k.term join sizes s on s.lang = w.lang where w.n > 0),
+ranked as (
+    select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank
+    from (select * from pairs union all select * from marked where value > 0))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50"""
+
+_NEGATIVES = """
+with scaled as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding from embeddings
+    where label is not null and embedding is not null),
+parts as (
+    select vec_id, label, generate_subscripts(embedding, 1) as j, unnest(embedding)::double as x from scaled),
+good as (select vec_id from parts group by vec_id having count(*) = count(*) filter (where x is not null and isfinite(x))),
+whole as (select vec_id, label, j, floor(256 * x)::bigint as c from parts join good using (vec_id)),
+scored as (
+    select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, sum(a.c * b.c)::bigint as score
+    from whole a join whole b on a.j = b.j and a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+    group by a.vec_id, b.vec_id, a.label = b.label),
+positives as (
+    select anchor_id, other_id as positive_id, score as positive_score from (
+        select *, row_number() over (partition by anchor_id order by score desc, other_id) as r from scored where same) where r <= 5),
+ranked as (
+    select p.anchor_id, p.positive_id, s.other_id as negative_id, p.positive_score, s.score as negative_score,
+           row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id)::integer as rank
+    from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+    where 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express at the scale of the check."""
+    return {"op11_chat_format": _CHAT, "op12_source_divergence": _DIVERGENCE, "op13_hard_negatives": _NEGATIVES}
