@@ -9,9 +9,13 @@ Skew: copies are collapsed before any pairing. A bucket of any size is cut into
 count and number of members by a hash, and pairs of blocks are compared; what leaves a comparison is a count per class and one edge per
 class, never the pairs. Buckets of several bands with the same members are compared once.
 
+A class is known by two hashes of its words, never by a doc_id: one doc_id may stand on any number of rows and
+texts. Texts are fetched by doc_id and hashes, and each task passes on one of equal rows.
+
 Defined results: null or empty texts (no words) link with nothing. A text of fewer than ``n`` words has one
-n-gram, all its words. A row without doc_id belongs to no class and has no links. A doc_id that occurs with several
-texts stands for one of them. Repeated rows are copies of each other. Other columns are ignored.
+n-gram, all its words. A row without doc_id belongs to no class and has no links. Rows that share a doc_id have the classes of
+their own texts; a linked group is named by its smallest doc_id. Repeated rows are copies of each other. Ties between classes with one
+doc_id go to the smaller hashes. Very long texts are one row in one task. An empty table gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seamline.llm.shared import Scratch, components, doc_texts, shuffle_partitions
+from seamline.llm.shared import Scratch, components, doc_texts, shuffle_partitions, struct_of
 from seamline.llm.words import mix, ngrams, words_of
 
 NGRAM = 5
@@ -34,6 +39,8 @@ HASHES = 160
 BLOCK_GRAMS = 400_000
 #: members of a block; matrices of two blocks have four times its square
 BLOCK_ROWS = 1000
+#: (doc_id, class) pairs a task remembers
+SEEN = 200_000
 SEED = 3
 
 
@@ -92,6 +99,41 @@ def _minhashes(grams: np.ndarray, text: np.ndarray, bands: int, rows: int) -> tu
     return text[first], keys
 
 
+def _class_keys(chunk, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the word sequence of each text."""
+    begin = np.r_[0, np.cumsum(chunk.counts())]
+    place = np.arange(len(words), dtype=np.uint64) - begin[chunk.text].astype(np.uint64)
+    a = np.r_[np.uint64(0), np.cumsum(mix(words + place * np.uint64(0x9E3779B97F4A7C15)))]
+    b = np.r_[np.uint64(0), np.cumsum(mix(words ^ mix(place + np.uint64(7))))]
+    return (a[begin[1:]] - a[begin[:-1]]).view(np.int64), (b[begin[1:]] - b[begin[:-1]]).view(np.int64)
+
+
+def _keyed(text_of, once: bool):
+    """Rows with the class hashes k1, k2 and n_words of their text; ``once``: of equal (doc_id, class), the first a task sees.
+
+    What a task has seen is a set of bounded size, forgotten when full.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            for chunk in words_of(text_of(batch).cast(pa.string())):
+                k1, k2 = _class_keys(chunk, chunk.hashes())
+                part = batch.slice(chunk.first, chunk.n_texts)
+                out = pa.record_batch([*part.columns, pa.array(k1), pa.array(k2), pa.array(chunk.counts().astype(np.int64))],
+                                      names=[*part.schema.names, "k1", "k2", "n_words"])
+                if once:
+                    new = []
+                    for i, key in enumerate(zip(part.column("doc_id").to_pylist(), k1.tolist(), k2.tolist())):
+                        if key not in seen:
+                            new.append(i)
+                            seen.add(key)
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    out = out.take(pa.array(new, pa.int64()))
+                yield out
+    return run
+
+
 def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,23 +144,16 @@ def _signatures(n: int, bands: int, rows: int):
                 m = chunk.n_texts
                 full = np.zeros((m, bands), dtype=np.uint64)
                 full[owners] = keys
-                counts = chunk.counts()
-                begin = np.r_[0, np.cumsum(counts)]
-                place = np.arange(len(words), dtype=np.uint64) - begin[chunk.text].astype(np.uint64)
-                a = np.r_[np.uint64(0), np.cumsum(mix(words + place * np.uint64(0x9E3779B97F4A7C15)))]
-                b = np.r_[np.uint64(0), np.cumsum(mix(words ^ mix(place + np.uint64(7))))]
+                k1, k2 = _class_keys(chunk, words)
                 yield pa.record_batch([
-                    ids.slice(chunk.first, m),
-                    pa.array((a[begin[1:]] - a[begin[:-1]]).view(np.int64)),
-                    pa.array((b[begin[1:]] - b[begin[:-1]]).view(np.int64)),
-                    pa.array(counts.astype(np.int64)),
+                    ids.slice(chunk.first, m), pa.array(k1), pa.array(k2), pa.array(chunk.counts().astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * bands), pa.array(full.ravel().view(np.int64))),
                 ], names=["doc_id", "k1", "k2", "n_words", "bands"])
     return run
 
 
 def _sets(n: int, bands: int, rows: int):
-    """Sorted distinct n-grams of each text, and its band hashes, as little-endian bytes."""
+    """Sorted distinct n-grams of each text (node, text, copies), and its band hashes, as little-endian bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in words_of(batch.column(1)):
@@ -127,10 +162,10 @@ def _sets(n: int, bands: int, rows: int):
                 ends = np.searchsorted(text, owners, "right")
                 begins = np.searchsorted(text, owners, "left")
                 yield pa.record_batch([
-                    batch.column(0).take(pa.array(owners + chunk.first)),
+                    batch.column(0).take(pa.array(owners + chunk.first)), batch.column(2).take(pa.array(owners + chunk.first)),
                     pa.array([np.unique(grams[i:j]).tobytes() for i, j in zip(begins, ends)], pa.binary()),
                     pa.array([k.tobytes() for k in keys], pa.binary()),
-                ], names=["node", "grams", "keys"])
+                ], names=["node", "copies", "grams", "keys"])
     return run
 
 
@@ -227,7 +262,8 @@ def blocks_of(members, grams, block_grams: int = BLOCK_GRAMS, block_rows: int =
 
 def ngram_join(docs: DataFrame, scratch: Scratch, n: int = NGRAM, threshold: float = THRESHOLD,
                recall: float = RECALL, hashes: int = HASHES, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """doc_id, class_id (smallest doc_id reachable by links), copy_id (smallest with the same words), n_links.
+    """doc_id, class_id (smallest doc_id reachable by links), copy_id (smallest with the same words), n_links; also k1, k2 (the class
+    of the row) and stands (whether its doc_id and class stand for the group).
 
     ``n_links`` counts the other rows whose n-gram sets have a Jaccard similarity of ``threshold`` or more,
     copies included.
@@ -238,9 +274,10 @@ def ngram_join(docs: DataFrame, scratch: Scratch, n: int = NGRAM, threshold: flo
     signed = scratch.settle(texts.mapInArrow(
         _signatures(n, bands, rows), "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, bands array<bigint>"), keep=True)
     usable = signed.filter("doc_id is not null and n_words > 0")
+    # A class has a number for the pairing, given once, in the settled table.
     classes = scratch.settle(usable.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands"),
-        F.first("n_words").alias("n_words")), keep=True)
+        F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"),
+        F.first("n_words").alias("n_words")).withColumn("node", F.monotonically_increasing_id()), keep=True)
 
     spread = classes.select("node", "n_words", F.posexplode("bands").alias("band", "key")).select(
         F.xxhash64("band", "key").alias("bucket"), "band", "node", "n_words").repartition(parts, "bucket")
@@ -258,29 +295,46 @@ def ngram_join(docs: DataFrame, scratch: Scratch, n: int = NGRAM, threshold: flo
         F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "bucket", "band", "node", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
         (F.col("block") > F.col("other")).alias("side")))
-    wanted = placed.select(F.col("node").alias("doc_id")).distinct()
-    sets = texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(
-        _sets(n, bands, rows), "node bigint, grams binary, keys binary").groupBy("node").agg(
-        F.first("grams").alias("grams"), F.first("keys").alias("keys"))
-    sets = sets.join(classes.groupBy("node").agg(F.sum("copies").alias("copies")), "node")
+    wanted = placed.select("node").distinct().join(classes.select("node", "k1", "k2", F.col("least").alias("doc_id"), "copies"), "node")
+    keyed = texts.mapInArrow(_keyed(lambda b: b.column("text"), once=True), "doc_id bigint, text string, k1 bigint, k2 bigint, n_words bigint")
+    sets = keyed.join(wanted.hint("shuffle_hash"), ["doc_id", "k1", "k2"]).select("node", "text", "copies").mapInArrow(
+        _sets(n, bands, rows), "node bigint, copies bigint, grams binary, keys binary").groupBy("node").agg(
+        F.first("grams").alias("grams"), F.first("keys").alias("keys"), F.first("copies").alias("copies"))
     found = placed.join(sets, "node").repartition(parts, "bucket", "left", "right").sortWithinPartitions(
         "bucket", "left", "right").mapInArrow(_verify(threshold, bands), "node bigint, n_links bigint, root bigint")
     found = scratch.settle(found, keep=True)
 
     links = found.groupBy("node").agg(F.sum("n_links").alias("links"))
     linked = scratch.settle(components(scratch, found.select(F.col("node").alias("a"), F.col("root").alias("b"))), keep=True)
-    of_class = classes.select("k1", "k2", "node", "copies").join(links, "node", "left").join(linked, "node", "left")
+    # A linked group is named by the smallest doc_id of its classes, and that class stands for it.
+    first = F.min(F.struct("least", "k1", "k2"))
+    named = linked.join(classes.select("node", "least", "k1", "k2"), "node").groupBy("component").agg(first.alias("first"))
+    of_class = classes.select("k1", "k2", "node", "least", "copies").join(links, "node", "left").join(linked, "node", "left").join(
+        named, "component", "left").select("k1", "k2", "least", "copies", "links", F.coalesce("first", F.struct("least", "k1", "k2")).alias("first"))
+    usable = F.col("usable")
     return signed.select("doc_id", "k1", "k2", (F.col("doc_id").isNotNull() & (F.col("n_words") > 0)).alias("usable")).join(
         of_class, ["k1", "k2"], "left").select(
         "doc_id",
-        F.when(F.col("usable"), F.coalesce("component", "node")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("usable"), F.col("node")).otherwise(F.col("doc_id")).alias("copy_id"),
-        F.when(F.col("usable"), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("bigint").alias("n_links"))
+        F.when(usable, F.col("first.least")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(usable, F.col("least")).otherwise(F.col("doc_id")).alias("copy_id"),
+        F.when(usable, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("bigint").alias("n_links"),
+        "k1", "k2", (usable & (F.struct(F.col("doc_id").alias("least"), "k1", "k2") == F.col("first"))).alias("stands"))
 
 
 def representatives(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents that stand for their class: one row of each. Rows without doc_id all stay."""
-    kept = classes.filter(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
-    numbered = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(
-        "_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]))))
-    return numbered.filter("_row = 1").drop("_row").unionByName(docs.filter("doc_id is null"))
+    """The documents that stand for their group, by the result of ``ngram_join``: one row of each.
+
+    Rows that belong to no class, without doc_id or words, all stay. Of equal rows of the class that stands, and of rows with its words and doc_id,
+    one stays, by a hash of the row.
+    """
+    kept = classes.filter("stands").select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    keyed = rows.mapInArrow(
+        _keyed(lambda b: b.column("row").field("text"), once=False),
+        T.StructType([rows.schema["row"], *struct_of("k1 bigint, k2 bigint, n_words bigint").fields])).withColumn(
+        "_id", F.col("row.doc_id").cast("bigint"))
+    classed = F.col("_id").isNotNull() & (F.col("n_words") > 0)
+    same = Window.partitionBy("_id", "_k1", "_k2").orderBy(F.xxhash64(*[F.col(f"row.`{c}`").cast("string") for c in docs.columns]))
+    standing = keyed.filter(classed).select("row", "_id", F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).join(
+        kept, ["_id", "_k1", "_k2"], "left_semi").withColumn("_row", F.row_number().over(same)).filter("_row = 1").select("row.*")
+    return standing.unionByName(keyed.filter(~classed).select("row.*"))
