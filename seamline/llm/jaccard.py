@@ -64,7 +64,7 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _grams(chunk, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n-gram hashes of a chunk with their texts, in text order, and the words' hashes."""
-    words = chunk.hashes()
+    words = chunk.sure_hashes()
     grams, text = ngrams(words, chunk.text, n)
     counts = chunk.counts()
     short = np.flatnonzero((counts > 0) & (counts < n))
@@ -117,7 +117,7 @@ def _keyed(text_of, once: bool):
         seen: set[tuple] = set()
         for batch in batches:
             for chunk in words_of(text_of(batch).cast(pa.string())):
-                k1, k2 = _class_keys(chunk, chunk.hashes())
+                k1, k2 = _class_keys(chunk, chunk.sure_hashes())
                 part = batch.slice(chunk.first, chunk.n_texts)
                 out = pa.record_batch([*part.columns, pa.array(k1), pa.array(k2), pa.array(chunk.counts().astype(np.int64))],
                                       names=[*part.schema.names, "k1", "k2", "n_words"])

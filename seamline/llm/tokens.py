@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
-from seamline.llm.words import Words, mix, words_of
+from seamline.llm.words import digests_of_long, Words, mix, words_of
 
 STORE = 1_000_000
 CHUNK_BYTES = 3 << 20
@@ -88,6 +88,7 @@ class Encoder:
         known: dict[int, str] = {}
         if self.spaced:
             starts, ends, text, keys = self._with_spaces(chunk, keys, known)
+        keys = digests_of_long(chunk.data, starts, ends, keys)
         if not len(keys):
             return np.empty(0, dtype=np.uint32), np.zeros(chunk.n_texts, dtype=np.int64)
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)

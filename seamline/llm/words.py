@@ -5,6 +5,7 @@ A word is a longest run of bytes other than space and 0x09-0x0D. Hashes ignore t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,12 +15,15 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 21
 SLICE_ROWS = 1024  # rows of a column that are copied at a time
+SURE_BYTES = 256  # a polynomial modulo 2^64 tells shorter words apart but by chance
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _EXACT = np.random.default_rng(20_240_601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _EXACT.copy()
 _FOLDED[ord("A"): ord("Z") + 1] = _FOLDED[ord("a"): ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"): ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
@@ -65,7 +69,11 @@ class Words:
         return np.bincount(self.text, minlength=self.n_texts)
 
     def hashes(self, exact: bool = False) -> np.ndarray:
-        """A hash of each word, blind to the case of A-Z unless ``exact``."""
+        """A hash of each word, blind to the case of A-Z unless ``exact``.
+
+        The hash is a polynomial modulo 2^64. Words of about a thousand letters can be made that it does not tell apart;
+        ``sure_hashes`` does.
+        """
         if not len(self.starts):
             return np.empty(0, dtype=np.uint64)
         up, down = _power_tables(len(self.data))
@@ -74,6 +82,22 @@ class Words:
         return mix((total[self.ends] - total[self.starts]) * down[self.starts])
 
 
+    def sure_hashes(self, exact: bool = False) -> np.ndarray:
+        """``hashes``, with a cryptographic digest for words of more than ``SURE_BYTES``."""
+        keys = self.hashes(exact)
+        if not len(keys) or (self.ends - self.starts).max() <= SURE_BYTES:
+            return keys
+        return digests_of_long(self.data if exact else _LOWER[self.data], self.starts, self.ends, keys)
+
+
+def digests_of_long(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The keys, those of spans of more than ``SURE_BYTES`` replaced by a digest of their bytes."""
+    long = np.flatnonzero(ends - starts > SURE_BYTES)
+    for i in long.tolist():
+        keys[i] = int.from_bytes(hashlib.blake2b(data[starts[i]: ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return keys
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

@@ -59,3 +59,34 @@ def test_rows_without_words_or_id_stay(spark):
     langs = sorted(r.lang for r in kept)
     assert langs[:5] == ["a", "b", "c", "d", "e"] and len(langs) == 6
     assert run(spark, rows[:0]) == ([], [])
+
+
+def thue_morse(order, x, y):
+    word = x
+    flip = {x: y, y: x}
+    for _ in range(order):
+        word += "".join(flip[c] for c in word)
+    return word, "".join(flip[c] for c in word)
+
+
+def test_words_that_a_polynomial_does_not_tell_apart(spark):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from seamline.llm.tokens import Encoder
+    from seamline.llm.words import words_of
+
+    one, other = thue_morse(11, "a", "b")
+    chunk = next(words_of(pa.array([f"{one} {other} {one.upper()}"])))
+    keys = chunk.sure_hashes()
+    assert keys[0] != keys[1] and keys[0] == keys[2] and len(set(chunk.sure_hashes(exact=True).tolist())) == 3
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = public_tokenizers.path(name)
+        tokenizer, mine = Tokenizer.from_file(path), Encoder(path, spaced)
+        texts = [one, other, f"x {one} {other}", f" {other}"]
+        ids, at = mine.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[at[k]: at[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    joined, _ = run(spark, [(1, one, "a"), (2, other, "b"), (3, one.upper(), "c")])
+    assert sorted((r.doc_id, r.n_links) for r in joined) == [(1, 1), (2, 0), (3, 1)]
