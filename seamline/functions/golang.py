@@ -71,6 +71,57 @@ LATE_IMPORT = rf"(?s){STATEMENT_END}\s*+(?:var|const|type|func){_END_OF_WORD}.*{
 INCOMPLETE_SPEC = (rf"(?:^|{STATEMENT_END})\s*+(?:var|const)\s++{IDENT}(?:[ \t]*+,\s*+{IDENT})*+[ \t\r]*+(?:;|\n)")
 
 
+# --- which tokens may follow each other -------------------------------------------------------
+#
+# A finite automaton over classes of tokens whose states are the class just read: each entry names what must not come
+# next. It sees a segment with the bracket before it and the one it ends with, comments gone and
+# literals cut down to a quote and a blank, so every two neighbours of a file meet in one segment.
+
+_SPACE, _BLANKS = r"\s*+", r"[ \t]*+"
+
+
+def _word(*names: str) -> str:
+    return rf"{NOT_IN_IDENT}(?:{'|'.join(names)}){_END_OF_WORD}"
+
+
+_OPENS_TYPE = ["func", "map", "struct", "chan", "interface"]
+_ENDS_STATEMENT = ["break", "continue", "fallthrough", "return"]
+_BEGINS_STATEMENT = [k for k in KEYWORDS if k not in (*_OPENS_TYPE, "range")]
+# Operators with an operand on either side that cannot begin one; `<-`, `+`, `-`, `*`, `&`, `!`, `^` and `~` can.
+_BINARY = r"(?:[/%|=>]|<(?!-)|[!*+\-^&]=|&&|&\^)"
+_OPERATOR_END = r"(?:[=*/%&|^<>!~]|(?<!\+)\+|(?<!-)-)"
+_MUST_NOT_FOLLOW = [
+    # A bracket that opens: a binary operator, a comma, a step; a parenthesis or index also a brace.
+    rf"[(\[{{]{_SPACE}(?:{_BINARY}|,|\+\+|--)",
+    rf"[(\[]{_SPACE}\{{",
+    # An operator or a selector's dot: a bracket that closes, a comma, a semicolon; an operator or comma also a binary operator.
+    rf"(?:{_OPERATOR_END}|(?<![0-9.])\.){_SPACE}[)\]}},;]",
+    rf"(?:{_OPERATOR_END}|[,:])\s++{_BINARY}",
+    rf",{_SPACE}[,;]",
+    # A literal: a name or another literal in the same line.
+    rf"""["'`] {_BLANKS}[\p{{L}}\p{{Nd}}_"'`]""",
+    rf"""(?<![\p{{L}}\p{{Nd}}_.])[0-9][0-9a-zA-Z_.]*+[ \t]++[\p{{L}}_"'`]""",
+    # A name, literal or bracket that closes: a word that begins a statement in the same line, but for `} else` and `else if`.
+    rf"""(?<=[\p{{L}}\p{{Nd}}_"'`)\]])(?<!{_word("else")[:-len(_END_OF_WORD)]})[ \t]++{_word(*_BEGINS_STATEMENT)}""",
+    rf"(?:[^}}\s]|\}}[ \t\r]*+\n){_SPACE}{_word('else')}",
+    # Words that need something of their own behind them; a text may end where a directive stands.
+    rf"{_word('else')}{_SPACE}(?!\{{|\z|{_word('if')})",
+    rf"{_word('struct', 'interface', 'select')}{_SPACE}(?!\{{|\z)",
+    rf"{_word('map')}{_SPACE}(?!\[|\z)",
+    rf"{_word('func')}{_SPACE}(?![\p{{L}}_(]|\z)",
+    rf"{_word('goto', 'package')}{_SPACE}(?![\p{{L}}_]|\z)",
+    rf"{_word('default')}{_SPACE}(?!:|\z)",
+    rf"{_word('if')}{_SPACE}[{{}})\],]",
+    # Any keyword: operators that begin no operand, and brackets that close, where no type switch or statement ends.
+    rf"{_word(*KEYWORDS)}{_SPACE}(?:[/%|,]|:?=)",
+    rf"{_word(*[k for k in KEYWORDS if k != 'type'])}{_SPACE}[)\]]",
+    rf"{_word(*[k for k in KEYWORDS if k not in _ENDS_STATEMENT])}{_SPACE}\}}",
+    # Two keywords: only a type, `else if` and `for range`.
+    rf"{_word(*[k for k in KEYWORDS if k not in (*_ENDS_STATEMENT, 'else')])}\s++{_word(*_BEGINS_STATEMENT)}",
+]
+MALFORMED = "|".join(_MUST_NOT_FOLLOW)
+
+
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from seamline.functions import golang as go
 
 FILE_KEY = ["module", "version", "path"]
+#: As many brackets open at once as the language's own parser takes.
+MAX_NESTING = 100_000
 INTERFACE = "{{"  # `prev` of the first row inside an interface body
 KEYWORD_LIST = f" {' '.join(go.KEYWORDS)} "
 DECL_WORDS = "package|import|var|const|type|func"
@@ -73,14 +75,13 @@ def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
     content = F.concat(F.regexp_replace("content", "^\ufeff", ""), F.lit("\n"))
     raw, core = F.col("raw"), F.col("core")
     last = F.right(raw, F.lit(1))
-    may_be_note = (F.contains(raw, F.lit("//go:generate")) | F.contains(raw, F.lit("//line "))
-                   | F.contains(raw, F.lit("/*line ")))
     return (
         (sources.repartition(n, *FILE_KEY) if n else sources)
-        .select("module", "version", "dir", "path",
-                F.posexplode(F.regexp_extract_all(content, F.lit(go.SEGMENT), 0)).alias("pos", "raw"))
+        .select("module", "version", "dir", "path", F.regexp_extract_all(content, F.lit(go.SEGMENT), 0).alias("pieces"))
+        .withColumn("paired", brackets_pair(F.col("pieces")))  # once a file, before its pieces become rows
+        .select("module", "version", "dir", "path", "paired", F.posexplode("pieces").alias("pos", "raw"))
         .withColumn("note", F.when(
-            may_be_note, F.nullif(F.regexp_extract(raw, go.SEGMENT_NOTE, 1), F.lit(""))))
+            _may_be_note(raw), F.nullif(F.regexp_extract(raw, go.SEGMENT_NOTE, 1), F.lit(""))))
         .withColumn("core", F.when(F.col("note").isNotNull(), "note")
                     .when(go.is_bracket(last), last)
                     .when(F.endswith(raw, F.lit('"reflect"')), "reflect")
@@ -90,18 +91,33 @@ def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
         .withColumn("code", F.when(go.is_bracket(core), F.left("code", F.length("code") - 1))
                     .otherwise(F.col("code")))
         .withColumn("head", F.when(core == "(", F.regexp_extract("code", go.CHAIN_AT_END, 0)).otherwise(""))
-        .select("module", "version", "dir", "path", "pos", "note", "core", "code", "head",
+        .select("module", "version", "dir", "path", "paired", "pos", "note", "core", "code", "head",
                 go.newlines(raw).alias("nl"),
                 F.regexp_replace("head", r"\s+", "").alias("chain"),
                 F.when(go.is_bracket(core), F.when(go.is_opener(core), 1).otherwise(-1)).otherwise(0).alias("step")))
 
 
-def _bracket_weight() -> Column:
-    """A number for the kind and depth of a bracket, positive if it opens. All of a file add up to 0
-    if at every depth as many brackets of each kind open as close."""
-    depth = F.when(F.col("step") > 0, F.col("level") + 1).otherwise(F.col("level"))
-    kind = F.translate("core", ")]}", "([{")
-    return F.when(F.col("step") != 0, F.col("step") * F.pmod(F.xxhash64(kind, depth), F.lit(1 << 31)))
+def _may_be_note(raw: Column) -> Column:
+    return (F.contains(raw, F.lit("//go:generate")) | F.contains(raw, F.lit("//line "))
+            | F.contains(raw, F.lit("/*line ")))
+
+
+def brackets_pair(pieces: Column) -> Column:
+    """Whether each closing bracket of a file's pieces closes the last open one of its kind, and none stays open.
+
+    A fold over the pieces, whose state is the brackets open so far, last first; ``!`` where one did not pair or more
+    than ``MAX_NESTING`` are open.
+    """
+    def step(opened: Column, raw: Column) -> Column:
+        last = F.right(raw, F.lit(1))
+        is_note = _may_be_note(raw) & (F.regexp_extract(raw, go.SEGMENT_NOTE, 1) != "")
+        return (
+            F.when((opened == "!") | ~go.is_bracket(last) | is_note, opened)
+            .when(go.is_opener(last), F.when(F.length(opened) < MAX_NESTING, F.concat(last, opened)).otherwise("!"))
+            .when(F.left(opened, F.lit(1)) == F.translate(last, ")]}", "([{"), F.substring(opened, 2, MAX_NESTING))
+            .otherwise("!"))
+
+    return F.aggregate(pieces, F.lit(""), step) == ""
 
 
 def structured(lexed_rows: DataFrame) -> DataFrame:
@@ -123,7 +139,7 @@ def _framed(lexed_rows: DataFrame) -> DataFrame:
 
 def _well_formed() -> Column:
     return ((F.col("file_flags").bitwiseAND(ERROR) == 0) & (F.coalesce("own_package", F.lit("")) != "")
-            & (F.coalesce("balance", F.lit(0)) == 0) & F.coalesce(F.col("last_import") < F.col("first_decl"), F.lit(True)))
+            & F.col("paired") & F.coalesce(F.col("last_import") <= F.col("first_decl"), F.lit(True)))
 
 
 def _with_nesting(rows: DataFrame) -> DataFrame:
@@ -133,14 +149,19 @@ def _with_nesting(rows: DataFrame) -> DataFrame:
         F.when(opens_interface, INTERFACE)
         .when(go.is_bracket(core), core)
         .otherwise(F.nullif(F.regexp_extract(code, r"(\S)\s*+\z", 1), F.lit(""))))
+    # Whether a line ended between the last character and a directive comment behind it.
+    line_ended = F.when((core == "note") & code.rlike(r"\n\s*+\z"), True).when(F.col("tail").isNotNull(), False)
+    prev = F.col("prev")
     return (
         rows.withColumn("tail", tail)
         .select(
             "*",
             (F.sum("nl").over(so_far()) + 1).cast("int").alias("line"),
             (F.sum("step").over(so_far()) - F.col("step")).cast("int").alias("level"),
-            F.last("tail", ignorenulls=True).over(before()).alias("prev"))
-        .drop("nl"))
+            F.last("tail", ignorenulls=True).over(before()).alias("prev"),
+            F.last(line_ended, ignorenulls=True).over(before()).alias("line_ended"))
+        .withColumn("prev", F.when(F.col("line_ended") & ~go.is_opener(prev), F.concat(prev, F.lit("\n"))).otherwise(prev))
+        .drop("nl", "line_ended"))
 
 
 # Bits of ``file_flags``: what occurs anywhere in the file.
@@ -215,7 +236,8 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
     stray = (level == 0) & (
         F.col("text").rlike(rf"{go.STATEMENT_END}\s*+(?!(?:{DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])|;|\z)")
         | (go.is_opener(core) & (rest == "")))
-    error = ((core == "error") | code.rlike(go.STRAY_CHARACTER) | code.rlike(go.DOUBLE_ASSIGNMENT)
+    between = F.concat(F.replace(F.coalesce("prev", F.lit("")), F.lit(INTERFACE), F.lit("{")), code, F.when(go.is_bracket(core), core).otherwise(""))
+    error = ((core == "error") | code.rlike(go.STRAY_CHARACTER) | code.rlike(go.DOUBLE_ASSIGNMENT) | between.rlike(go.MALFORMED)
              | ((level == 0) & F.col("text").rlike(go.INCOMPLETE_SPEC))
              | ((level == 0) & F.contains("text", F.lit("import")) & F.col("text").rlike(go.LATE_IMPORT)) | (level + F.col("step") < 0) | stray
              | F.coalesce(F.col("note_line") == 0, F.lit(False)))
@@ -240,7 +262,6 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
         F.first(first_code, ignorenulls=True).over(whole_file()).alias("own_package"),
         *[F.sum(F.when(F.col("starts") & (level == i), 1).otherwise(0)).over(so_far()).alias(f"ends{i}")
           for i in (0, 1)],
-        F.sum(_bracket_weight()).over(whole_file()).alias("balance"),
         F.min(F.when(F.col("word").isin("var", "const", "type", "func"), F.col("pos"))).over(whole_file()).alias("first_decl"),
         F.max(F.when((level == 0) & F.contains("text", F.lit("import")) & F.col("text").rlike(go.IMPORT), F.col("pos")))
         .over(whole_file()).alias("last_import"),
@@ -254,7 +275,7 @@ def _of_well_formed(framed: DataFrame) -> DataFrame:
         .withColumn("start_line", shifted(F.col("line") - go.newlines(F.col("head"))))
         .withColumn("decl_line", shifted(F.col("stmt_line")))
         .withColumn("line", shifted(F.col("line")))
-        .drop("balance", "first_decl", "last_import", "after_receiver", "text", "word", "head", "note_line", "tail", "step", "shift",
+        .drop("paired", "first_decl", "last_import", "after_receiver", "text", "word", "head", "note_line", "tail", "step", "shift",
               "stmt_line"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.functions import golang as go
+from seamline.operators.segments import FILE_KEY
 
 _BLANK = rf"(?:[ \t\r\n]++|{go.LINE_COMMENT}|{go.BLOCK_COMMENT})*+"
 _TOKEN = "|".join([go.IDENT, go.STRING, go.RAW_STRING, go.RUNE, go.NUMBER, go.OPERATOR, "."])
@@ -24,9 +25,9 @@ def tokens(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")) if partitions is None else partitions
     sources = files.filter((F.col("ext") == ".go") & go.well_encoded(F.col("content")))
-    so_far = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    so_far = W.partitionBy(*FILE_KEY).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     return (
-        (sources.repartition(n, "path") if n else sources)
+        (sources.repartition(n, *FILE_KEY) if n else sources)
         .select("module", "version", "dir", "path",
                 F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), 0)).alias("pos", "raw"))
         .withColumn("tok", F.regexp_replace("raw", rf"(?s)^{_BLANK}", ""))

@@ -219,13 +219,81 @@ def test_conversions_to_type_literals_are_no_calls(files_of):
     assert sorted(rows) == [("d", "T()"), ("e", "F()")]
 
 
-@pytest.mark.parametrize("text", [
+ILL_FORMED = [
     "func init() { x := := 3 }", "func init() { x = = 3 }", "func f() {}\nimport \"fmt\"\nfunc init() {}", "var x\nfunc init() {}",
-    "const x, y\nfunc init() {}", "func init() { x[(]) }", "func init() { f(} ){ }"])
-def test_ill_formed(files_of, text):
-    files = files_of({"m/a/a.go": f"package p\n{text}\n", "m/a/b.go": "package p\nfunc init() { a, b := f(x[1]); c == d; e <= 1 }\n"})
-    assert [r.file_path for r in occurrences(files, ["init"]).collect()] == ["m/a/b.go"]
-    assert [(r.path, r.reason) for r in failures(files).collect()] == [("m/a/a.go", "ill-formed")]
+    "const x, y\nfunc init() {}", "func init() { x[(]) }", "func init() { f(} ){ }",
+    # brackets of two kinds that swap their ends
+    "func init() { a = (b] ; c = [d) }", "func init( { }\n)", "func init() { a[(b] + c[d)] }",
+    # tokens that cannot follow each other
+    "func init() { x = }", "func init() { if a {} else else {} }", "func init() { f(, a) }", "func init() { f(a b.) }",
+    "func init() { x := 3 y }", 'func init() { x := "a" "b" }', "func init() { if {} }", "func init() { a + / b }", "func init() { a, = f() }",
+    "func init() { return if a {} }", "func init() { x if y {} }", "func init() { if a {}\nelse {} }", "func init() { x; else {} }",
+    "func init() { map { } }", "func init() { f(a, , b) }", "func init() { f({1}) }", "func init() { a[{1}] }", "func init() { goto 3 }",
+    "func init() { struct x }", "func init() { for for {} }", "func init() { go }", "func init() { f(return) }", "func init() { x = ; }",
+    "func init() { (* b) = && c }", "func init() { break = 3 }", "func init() { f(!) }", "func init() { if x { } else y() }",
+    "func init() { switch x { default x } }", "func init() { defer }"]
+
+WELL_FORMED = [
+    'import "fmt"\nfunc init() { fmt.Println() }', 'import "fmt"\nvar x = 1\nfunc init() {}', 'import f "fmt"\nimport . "os"\nimport _ "io"\nfunc init() {}',
+    "func init() { x++; y--; a[i]++\n}", "func init() { for { } }", "func init() { for range ch {}; for k := range m {}; for i := range 3 {} }",
+    "func init() { if a := f(); a > 3 && !b { } else if c { } else { } }", "func init() { switch { case a: return; default: } }",
+    "func init() { switch x := y.(type) { case int, *T: break; case func(): fallthrough\ncase map[string]int, chan<- int, <-chan int: } }",
+    "func init() { select { case v, ok := <-c: _ = v; case c <- 1: default: } }", "func init() { go func() {}(); defer func() {}() }",
+    "func init() { return }", "func init() { L: for { break L; continue L }; goto L }", "func f[T ~int | ~string, U any](x ...T) (a, b U) { return }\nfunc init() {}",
+    "type I interface { ~[]int | *T; M(); fmt.Stringer }\nfunc init() {}", 'type S struct { A int `json:"a"`; B, C string "x"; *T; D struct{} }\nfunc init() {}',
+    "func init() { x := []int{1, 2, 3,}; y := [...]int{1: 2}; z := a[:]; w := a[1:]; v := a[:2:3]; f(x...) }",
+    "func init() { m := map[string][]struct{ a int }{\"k\": {{1}, {2}}}; p := &T{}; q := *p; r := -x; s := ^y; t := <-c; u := !v }",
+    "func init() { x &^= 3; x <<= 1; x |= 2; x %= 3; a, b = b, a; x = *p * *q; y := a - -b; z := a & ^b }",
+    "func init() { a := 1.; b := .5; c := 0x1p-2; d := 'x'; e := 1i; f := \"s\"[0]; g := (1) }", "func init() {\n\tx :=\n\t\t3 +\n\t\t4\n\tf(\n\t\ta,\n\t)\n}",
+    "func (t *T) init() { t.\n\tA().\n\tB() }\nfunc init() {}", "var (\n\ta = 3\n\tb, c = f()\n)\nconst (\n\tx = iota\n\ty\n)\nfunc init() {}",
+    "func init() { var x interface{} = nil; var f func(int) (int, error); var c chan struct{}; type local struct{} }",
+    "func init() { if x == (T{1}) { } ; if f(func() {}) { } ; for i := 0; i < 3; i++ { } ; for ; ; { } }",
+    "func f(func(), ...int) func() int\nfunc init() { func() {}(); _ = func() int { return 1 }() }", "func init() { ; }", "func init() { {}; {} }",
+    "type A = B\ntype G[K comparable, V any] struct { m map[K]V }\nfunc (g *G[K, V]) Get() V { return g.m[*new(K)] }\nfunc init() { x := G[int, string]{} }",
+    "func init() {\n\tif a {\n\t} else /* c */ {\n\t}\n\tx := 3 // note\n\ty := \"s\" // note\n\treturn\n}",
+    "func init() {\n//line x.go:5\n\tif a {}\n\tf()\n//line y.go:7\n\tif b {}\n}", "type T struct {\n\tx /*line a.go:1*/ struct /*line a.go:2*/ {}\n}\nfunc init() {}",
+    "func init() { ifx := elsey; returns, ok := gotox.structs; mapped(ok) }", "func init() { 世界 := é.ä; _ = 世界 }",
+    "func init() { x = `a\nb`\n\tif y { } }", "func init() { a := b[i](c)[d].e(f){}.g }", "func init() { print(1, 2, -3, +4, &x, <-y, !z, ^w) }",
+]
+
+
+def test_well_and_ill_formed(files_of):
+    """All in one pass; each file is a module of its own."""
+    texts = {f"{kind}{i}/a/a.go": f"package p\n{text}\n" for kind, list_ in (("good", WELL_FORMED), ("bad", ILL_FORMED)) for i, text in enumerate(list_)}
+    files = files_of(texts)
+    bad = {r.path: r.reason for r in failures(files).collect()}
+    assert bad == {path: "ill-formed" for path in texts if path.startswith("bad")}
+    assert {r.file_path for r in occurrences(files, ["init"]).collect()} == {path for path in texts if path.startswith("good")}
+
+
+def test_a_directive_before_a_declaration(files_of):
+    texts = {
+        "a": "package a\n/*line q.go:50*/func init() {}\n", "b": "package a\n/*line q.go:50:1*/func init() {}\n",
+        "c": "package a\n/*line q.go:50*/var b = f()\n", "d": "package a\nvar x = f(1)\n/*line q.go:50*/func init() {}\nfunc init() {}\n",
+        "e": "package a\nfunc g() {}\n/*line q.go:20*/ /*line r.go:50*/func init() {}\n",
+        "f": "package a\nvar x = a +\n/*line q.go:50*/f()\nvar y = f()\n", "g": "package a\n/*line q.go:50*/import \"reflect\"\nfunc init() {}\n",
+        "h": "package a\nfunc g() {\n\tf(1)\n/*line q.go:50*/New()\n}\n"}
+    rows = occurrences(files_of({f"m/{k}/{k}.go": t for k, t in texts.items()})).collect()
+    got = sorted((r.file_path[2], r.vector, r.line_number, r.variable_name) for r in rows)
+    assert got == [("a", "init", 50, ""), ("b", "init", 50, ""), ("c", "global", 50, "b"), ("d", "global", 2, "x"), ("d", "init", 50, ""),
+                   ("d", "init", 51, ""), ("e", "init", 50, ""), ("f", "global", 51, "y"), ("g", "init", 51, ""), ("g", "reflect", 50, ""),
+                   ("h", "constructor", 50, "")]
+
+
+def test_deep_nesting(files_of):
+    from seamline.operators import segments
+    deep = "package p\nfunc init() { x = " + "(" * 20_000 + "y" + ")" * 20_000 + " }\n"
+    files = files_of({"m/a/a.go": deep, "m/a/b.go": deep.replace("y)", "y]")})
+    assert [r.path for r in failures(files).collect()] == ["m/a/b.go"] and segments.MAX_NESTING == 100_000
+
+
+def test_tokens_of_equal_paths(spark, files_of):
+    from seamline.operators.tokens import tokens
+    text = "package p\n\n\nvar x\n"
+    files = files_of({"m/a.go": text, "n/a.go": text}).withColumn("path", F.lit("a.go"))
+    rows = tokens(files, 1).collect()
+    assert sorted((r.module, r.tok, r.line) for r in rows) == sorted(
+        (m, t, line) for m in "mn" for t, line in (("package", 1), ("p", 1), ("var", 4), ("x", 4)))
 
 
 def test_equal_paths_in_two_modules(files_of):
