@@ -61,6 +61,39 @@ def go_files(docs: DataFrame) -> DataFrame:
     return _files(docs, F.concat(F.lit("f"), sid, suffix), ".go", F.concat_ws("\n", *lines))
 
 
+def text_files(docs: DataFrame) -> DataFrame:
+    """Go files whose names, lines and constructs follow from the words and lines of each document's text.
+
+    The text is a raw string, so every line behind it moves with it; its first word names things, and its numbers of lines
+    and characters are named by line directives. Chains and literals go over several lines.
+    """
+    raw = F.replace(F.coalesce("text", F.lit("")), F.lit("`"), F.lit(""))
+    word = F.concat(F.lower(F.regexp_extract(raw, "[A-Za-z]+", 0)), F.lit("s"))
+    breaks = F.length(raw) - F.length(F.replace(raw, F.lit("\n"), F.lit("")))
+    lines = [
+        F.concat(F.lit("package w_"), "lang"),
+        F.concat(F.lit("var doc = `"), raw, F.lit("`")),
+        F.lit("var found = load.From("),
+        F.concat(F.lit('\t"'), word, F.lit('",')),
+        F.lit(")"),
+        F.lit("func use(c T) {"),
+        F.lit("\tlib."),
+        F.lit('\t\tOpen("a").'),
+        F.concat(F.lit("\t\tNew"), F.initcap(word), F.lit("(c)")),
+        F.concat(F.lit("\tfor i := range "), word, F.lit(" {")),
+        F.lit("\t\texec.Command(`a"),
+        F.lit("b`)"),
+        F.lit("\t}"),
+        F.concat(F.lit("/*line gen.go:"), breaks + 1000, F.lit('*/\texec.Command("b")')),
+        F.concat(F.lit("//line other.go:"), F.length(raw) + 1),
+        F.lit("\tunsafe.Pointer(c)"),
+        F.lit("}"),
+        F.lit("func init() {}"),
+        F.lit(""),
+    ]
+    return _files(docs, F.concat(F.lit("w"), F.col("doc_id").cast("string"), F.lit(".go")), ".go", F.concat_ws("\n", *lines))
+
+
 def asm_files(docs: DataFrame) -> DataFrame:
     dirs = (docs.filter(F.col("lang").isin("en", "de"))
             .select("source", "lang", (F.col("doc_id") % 3).alias("doc_id")).distinct())

@@ -161,6 +161,33 @@ _TOKENS = """2 + 2 + 1 + 1 + 6 + 5 + 10 + 7 + 4 + 1 + 6
   + CASE WHEN id % 9 = 0 THEN 6 ELSE 9 END
   + CASE id % 7 WHEN 0 THEN 9 ELSE 3 END"""
 
+# Files that follow from the text: lines behind the raw string move with its line breaks.
+_TEXT_CORPUS = f"""WITH f AS (
+  SELECT *, 'w' || id || '.go' AS file, replace(coalesce(text, ''), '`', '') AS raw FROM ({_FILE})),
+w AS (
+  SELECT module, version, 'w_' || lang AS pkg, dir || '/' || file AS path, length(raw) AS chars,
+         CAST(length(raw) - length(replace(raw, chr(10), '')) AS INTEGER) AS k,
+         lower(regexp_extract(raw, '[A-Za-z]+')) || 's' AS word FROM f),
+found AS (
+  SELECT *, 'global' AS vector, 3 + k AS line, 'found' AS variable, 'From()' AS method, '' AS pattern FROM w
+  UNION ALL SELECT *, 'constructor', 7 + k, '', 'New' || upper(substr(word, 1, 1)) || substr(word, 2), 'factory function' FROM w
+  UNION ALL SELECT *, 'exec', 11 + k, '', 'exec.Command', '' FROM w
+  UNION ALL SELECT *, 'exec', 1000 + k, '', 'exec.Command', '' FROM w
+  UNION ALL SELECT *, 'unsafe', chars + 1, '', 'unsafe.Pointer', '' FROM w
+  UNION ALL SELECT *, 'init', chars + 3, '', '', '' FROM w)
+SELECT module, version, pkg AS package_name, vector, path AS file_path, CAST(line AS INTEGER) AS line_number, variable AS variable_name,
+       '' AS command, method AS method_invoked, '' AS type_passed, pattern FROM found"""
+
+# Pairs of brackets of a planted file: kind, number, depth, lines.
+_BRACKETS = """
+  SELECT module, version, path, 'round' AS kind,
+         1 + CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 1 END + CASE WHEN id % 11 = 0 THEN 2 ELSE 1 END + 1 + 2 + 1
+         + CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 6 = 0 THEN 1 ELSE 0 END + 1
+         + CASE WHEN id % 8 = 0 THEN 3 ELSE 1 END + CASE WHEN id % 9 = 0 THEN 1 ELSE 2 END
+         + CASE id % 7 WHEN 0 THEN 2 ELSE 1 END + 1 + 1 AS n,
+         CASE WHEN id % 8 = 0 THEN 4 ELSE 2 END AS deepest, 3 AS lines FROM f
+  UNION ALL SELECT module, version, path, 'curly', 6, 1, 8 FROM f"""
+
 _LIST = """lines AS (
   SELECT page_id, url || ' v' || (page_id % 5) AS line FROM pages
   UNION ALL SELECT page_id, url FROM pages
@@ -253,7 +280,10 @@ def oracle_sql() -> dict[str, str]:
             ("exec", "id % 7 = 0", 18, {"method_invoked": "'lib.NewThing'"})])} SELECT * FROM occ""",
         "equal_paths": f"""{_rows([*_of("exec"), *_of("global")])} SELECT * FROM occ
             UNION ALL SELECT module || '-copy', * EXCLUDE (module) FROM occ""",
-        "failures": f"{f} SELECT module, version, path, 'ill-formed' AS reason FROM f WHERE id % 17 < 5",
+        "failures": f"{f} SELECT module, version, path, 'ill-formed' AS reason FROM f WHERE id % 17 < 9",
+        "text_corpus": _TEXT_CORPUS,
+        "bracket_pairs": f"""{f} SELECT module, version, path, kind, CAST(n AS BIGINT) AS n, CAST(deepest AS INTEGER) AS deepest,
+            CAST(lines AS BIGINT) AS lines FROM ({_BRACKETS})""",
         "exec_rules_custom": f"""{_rows([
             ("exec", "id % 8 <> 0", 16, {"method_invoked": "'unsafe.Sizeof'"}),
             ("exec", "id % 7 = 0", 18, {"method_invoked": "'lib.NewThing'"})])} SELECT * FROM occ""",

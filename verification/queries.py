@@ -11,6 +11,7 @@ from seamline import schema
 from seamline.functions import text
 from seamline.operators import registry
 from seamline.operators.assembly import asm_functions
+from seamline.operators.brackets import bracket_counts, bracket_pairs
 from seamline.operators.packages import loc, packages
 from seamline.operators.segments import failures
 from seamline.operators.tokens import tokens
@@ -96,14 +97,22 @@ def equal_paths(spark, sf):
 
 
 def ill_formed_files(spark, sf):
-    """Files that lack a bracket, cross brackets, assign twice, or import too late, by turns of the path's number."""
+    """Files that lack a bracket, cross brackets, assign twice, import too late, swap brackets, or put tokens where none
+    can stand, by turns of the path's number."""
     number = F.regexp_extract("name", "([0-9]+)", 1).try_cast("bigint") % 17
     bad = F.when(number == 0, "}\n").when(number == 1, "func bad() { x[(]) }\n").when(
-        number == 2, "func bad() { x := := 3 }\n").when(number == 3, 'import "late"\n').when(number == 4, "var alone\n")
+        number == 2, "func bad() { x := := 3 }\n").when(number == 3, 'import "late"\n').when(number == 4, "var alone\n").when(
+        number == 5, "func bad() { a = (b] ; c = [d) }\n").when(number == 6, "func bad( { }\n)\n").when(
+        number == 7, "func bad() { x = }\n").when(number == 8, "func bad() { if a {} else else {} }\n")
     files = _files(spark, sf).filter("ext = '.go'")
     return failures(files.withColumn("content", F.concat("content", F.lit("\n"), F.coalesce(bad, F.lit("")))))
 
 
+def text_corpus(spark, sf):
+    """All vectors in files that follow from the words and lines of the texts, with line directives and chains over lines."""
+    return occurrences(planted.text_files(planted.documents(spark, sf)))
+
+
 def summaries(spark, sf):
     """Modules of the corpus, and as many in which nothing is found."""
     modules = planted.modules(spark, sf)
@@ -170,6 +179,8 @@ def queries() -> dict[str, Query]:
         "custom_detectors_and_rules": custom_detectors_and_rules,
         "equal_paths": equal_paths,
         "failures": ill_formed_files,
+        "text_corpus": text_corpus,
+        "bracket_pairs": lambda spark, sf: bracket_counts(bracket_pairs(_files(spark, sf))),
         "exec_rules_custom": custom_exec_rules,
         "line_column": line_column,
         "module_list": module_list,
