@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from seamline import schema
 from seamline.functions import golang as go
 from seamline.operators.assembly import asm_functions
+from seamline.operators.chunks import CHUNK_CHARS
 from seamline.operators.segments import (
     ANY_CHAIN, FILE_KEY, INTERFACE, INTERFACES, METHODS, NEW_CHAIN, OWN_CALL, OWN_NEW, continues_brackets,
-    first_in_group, in_file, lexed, own_statement, statement_text, structured)
+    first_in_group, in_file, own_statement, segments, statement_text)
 
 DIR_KEY = ["module", "version", "dir"]
 TEXT_FIELDS = ["variable_name", "command", "method_invoked", "type_passed", "pattern"]
@@ -51,15 +52,18 @@ class Found:
 
 
 def detect(files: DataFrame, vectors: list[str] | None = None, *, exec_rules: DataFrame | None = None,
-           custom: dict[str, Found] | None = None, partitions: int | None = None) -> DataFrame:
+           custom: dict[str, Found] | None = None, partitions: int | None = None,
+           large_bytes: int | None = None, chunk_chars: int = CHUNK_CHARS, rows: DataFrame | None = None) -> DataFrame:
     """Occurrences of the wanted vectors (all by default), duplicates kept, without package names.
 
-    ``exec_rules(pkg, func)`` replaces the built-in process-starting functions.
+    ``exec_rules(pkg, func)`` replaces the built-in process-starting functions. Files of ``large_bytes`` and more are read in
+    pieces. ``rows`` are the segments of all files, where they are at hand.
     """
     custom = custom or {}
     wanted = [*(schema.VECTOR_NAMES if vectors is None else vectors), *custom]
     by_table = exec_rules is not None and "exec" in wanted
-    rows = structured(lexed(_prefilter(files, wanted, by_table), partitions))
+    if rows is None:
+        rows = segments(_prefilter(files, wanted, by_table), partitions, large_bytes, chunk_chars)
     events = _events(_candidates(rows, wanted, custom, by_table), wanted, custom)
     if {"interface", "global", "reflect"} & set(wanted):
         events = _resolve_by_key(events)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from seamline import schema
 from seamline.operators.detectors import DIR_KEY, TEXT_FIELDS, Found
-from seamline.operators.segments import segments
 
 
 @dataclass(frozen=True)
@@ -36,8 +35,9 @@ def register_detector(name: str, found: Callable[[DataFrame], DataFrame] | Colum
     ``found`` is a condition on the columns of a segment, with ``fields`` for the occurrence columns it
     sets; all such detectors share the one pass of the built-in ones. Or it is a function that gets the
     segments with their calls and declarations and returns the rows found, for detectors with windows
-    or joins of their own; each of these costs another pass. Missing
-    occurrence columns are filled in: the path, the line of the call, and empty text.
+    or joins of their own. Where there is one of these, the segments are settled once and all detectors read
+    them: hashed by module, version and path, so that windows by file need no exchange, and with the columns
+    ``operators.segments.segments`` lists. Missing occurrence columns are filled in: the path, the line of the call, and empty text.
     ``key_columns`` are the occurrence columns that tell two occurrences apart.
     """
     if name in schema.VECTOR_NAMES:
@@ -69,8 +69,9 @@ def conditions(wanted: list[str]) -> dict[str, Found]:
     return {n: Found(d.found, d.fields) for n, d in _DETECTORS.items() if n in wanted and isinstance(d.found, Column)}
 
 
-def run(name: str, files: DataFrame, partitions: int | None = None) -> DataFrame:
-    found = _DETECTORS[name].found(segments(files, partitions))
+def run(name: str, rows: DataFrame) -> DataFrame:
+    """Occurrences that the detector function finds in the segments."""
+    found = _DETECTORS[name].found(rows)
     defaults = {
         "file_path": F.col("path"),
         "line_number": F.col("start_line"),

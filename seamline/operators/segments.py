@@ -17,8 +17,9 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from seamline.functions import golang as go
+from seamline.operators.bounds import settle
+from seamline.operators.chunks import CHUNK_CHARS, FILE_KEY, Running, chunks, scanned
 
-FILE_KEY = ["module", "version", "path"]
 #: As many brackets open at once as the language's own parser takes.
 MAX_NESTING = 100_000
 INTERFACE = "{{"  # `prev` of the first row inside an interface body
@@ -26,26 +27,17 @@ KEYWORD_LIST = f" {' '.join(go.KEYWORDS)} "
 DECL_WORDS = "package|import|var|const|type|func"
 
 
-def by_file(start: int, end: int) -> WindowSpec:
-    """Frame over a file's rows in text order. All frames over files share this order."""
-    return W.partitionBy(*FILE_KEY).orderBy("pos").rowsBetween(start, end)
-
-
 def so_far() -> WindowSpec:
-    return by_file(W.unboundedPreceding, 0)
-
-
-def before() -> WindowSpec:
-    return by_file(W.unboundedPreceding, -1)
-
-
-def whole_file() -> WindowSpec:
-    return by_file(W.unboundedPreceding, W.unboundedFollowing)
+    """Frame over a file's rows up to each, in text order."""
+    return W.partitionBy(*FILE_KEY).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
 
 
-def segments(files: DataFrame, partitions: int | None = None) -> DataFrame:
+def segments(files: DataFrame, partitions: int | None = None, large_bytes: int | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Structured segments of all well-formed Go files.
 
+    Files of ``large_bytes`` and more, where that is given, are cut into pieces of ``chunk_chars`` that lie in as many tasks. The
+    text is then read twice, as each branch takes its files, so it is given only where such files are known to be.
+
     ``files`` has the columns of ``schema.FILES_SCHEMA``. ``partitions`` is the number of hash
     partitions by path; the session's ``spark.sql.shuffle.partitions`` if not given. 16 to 32 MB of
     source per partition keeps the sort in memory. 0 is for a table already bucketed by path, which
@@ -65,21 +57,57 @@ def segments(files: DataFrame, partitions: int | None = None) -> DataFrame:
     * ``ends0`` and ``ends1``, the number of texts so far in which a statement of level 0 or 1 ends;
     * ``file_flags``, what occurs anywhere in the file.
     """
-    return structured(lexed(files, partitions))
+    if large_bytes is None:
+        return structured(lexed(files, partitions))
+    is_large = F.coalesce(F.octet_length("content") >= large_bytes, F.lit(False))
+    in_chunks = structured(lexed_in_chunks(files.filter(is_large), chunk_chars, partitions))
+    return structured(lexed(files.filter(~is_large), partitions)).unionByName(in_chunks)
 
 
 def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """Segments with the properties that depend on their own text only."""
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")) if partitions is None else partitions
+    sources, content = _sources(files)
+    pieces = (
+        (sources.repartition(n, *FILE_KEY) if n else sources)
+        .select("module", "version", "dir", "path", F.regexp_extract_all(content, F.lit(go.SEGMENT), 0).alias("pieces"))
+        .withColumn("paired", open_brackets(F.col("pieces")) == "")  # once a file, before its pieces become rows
+        .select("module", "version", "dir", "path", "paired", F.posexplode("pieces").alias("pos", "raw")))
+    return _lexed_pieces(pieces)
+
+
+def lexed_in_chunks(large: DataFrame, chunk_chars: int = CHUNK_CHARS, partitions: int | None = None) -> DataFrame:
+    """The rows of ``lexed`` with a column ``chunk`` more, for files too large for one task; ``structured`` takes either.
+
+    ``open`` is what is left of the brackets of a piece, a few letters, to be paired across pieces.
+    """
+    n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")) if partitions is None else partitions
+    sources, content = _sources(large)
+    pieces = settle(
+        chunks(sources, content, chunk_chars).repartition(n, *FILE_KEY, "chunk")
+        .select("module", "version", "dir", "path", "chunk", F.regexp_extract_all("text", F.lit(go.SEGMENT), 0).alias("pieces"))
+        .withColumn("open", open_brackets(F.col("pieces")))
+        .select("module", "version", "dir", "path", "chunk", "open", F.posexplode("pieces").alias("at", "raw")))
+    return _lexed_pieces(pieces.withColumn("pos", F.shiftleft(F.col("chunk").cast("bigint"), 32) + F.col("at")).drop("at"))
+
+
+def _all_pair(open_of_pieces: Column) -> Column:
+    """Whether what is left open of the pieces of a file pairs across them."""
+    return open_brackets(F.flatten(F.transform(open_of_pieces, lambda left: F.split(F.reverse(left), "")))) == ""
+
+
+def _sources(files: DataFrame) -> tuple[DataFrame, Column]:
+    """Go files that are text, and their content as it is lexed."""
     sources = files.filter((F.col("ext") == ".go") & go.well_encoded(F.col("content")))
-    content = F.concat(F.regexp_replace("content", "^\ufeff", ""), F.lit("\n"))
+    return sources, F.concat(F.regexp_replace("content", "^\ufeff", ""), F.lit("\n"))
+
+
+def _lexed_pieces(pieces: DataFrame) -> DataFrame:
     raw, core = F.col("raw"), F.col("core")
     last = F.right(raw, F.lit(1))
+    keys = [c for c in ("module", "version", "dir", "path", "chunk", "open", "paired", "pos") if c in pieces.columns]
     return (
-        (sources.repartition(n, *FILE_KEY) if n else sources)
-        .select("module", "version", "dir", "path", F.regexp_extract_all(content, F.lit(go.SEGMENT), 0).alias("pieces"))
-        .withColumn("paired", brackets_pair(F.col("pieces")))  # once a file, before its pieces become rows
-        .select("module", "version", "dir", "path", "paired", F.posexplode("pieces").alias("pos", "raw"))
+        pieces
         .withColumn("note", F.when(
             _may_be_note(raw), F.nullif(F.regexp_extract(raw, go.SEGMENT_NOTE, 1), F.lit(""))))
         .withColumn("core", F.when(F.col("note").isNotNull(), "note")
@@ -91,7 +119,7 @@ def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
         .withColumn("code", F.when(go.is_bracket(core), F.left("code", F.length("code") - 1))
                     .otherwise(F.col("code")))
         .withColumn("head", F.when(core == "(", F.regexp_extract("code", go.CHAIN_AT_END, 0)).otherwise(""))
-        .select("module", "version", "dir", "path", "paired", "pos", "note", "core", "code", "head",
+        .select(*keys, "note", "core", "code", "head",
                 go.newlines(raw).alias("nl"),
                 F.regexp_replace("head", r"\s+", "").alias("chain"),
                 F.when(go.is_bracket(core), F.when(go.is_opener(core), 1).otherwise(-1)).otherwise(0).alias("step")))
@@ -102,22 +130,24 @@ def _may_be_note(raw: Column) -> Column:
             | F.contains(raw, F.lit("/*line ")))
 
 
-def brackets_pair(pieces: Column) -> Column:
-    """Whether each closing bracket of a file's pieces closes the last open one of its kind, and none stays open.
+def open_brackets(pieces: Column) -> Column:
+    """The brackets that do not pair within a text of these pieces, last first; blank if all do.
 
-    A fold over the pieces, whose state is the brackets open so far, last first; ``!`` where one did not pair or more
-    than ``MAX_NESTING`` are open.
+    A fold over the pieces: a closing bracket takes away the open one of its kind that came last, stays where none is open, and
+    gives ``!`` for good where the last is of another kind or more than ``MAX_NESTING`` are open. What is left of two
+    texts, put together, leaves what is left of both.
     """
     def step(opened: Column, raw: Column) -> Column:
-        last = F.right(raw, F.lit(1))
+        last, top = F.right(raw, F.lit(1)), F.left(opened, F.lit(1))
         is_note = _may_be_note(raw) & (F.regexp_extract(raw, go.SEGMENT_NOTE, 1) != "")
         return (
-            F.when((opened == "!") | ~go.is_bracket(last) | is_note, opened)
-            .when(go.is_opener(last), F.when(F.length(opened) < MAX_NESTING, F.concat(last, opened)).otherwise("!"))
-            .when(F.left(opened, F.lit(1)) == F.translate(last, ")]}", "([{"), F.substring(opened, 2, MAX_NESTING))
+            F.when(top == "!", opened).when(raw == "!", "!")
+            .when((raw == "") | ~go.is_bracket(last) | is_note, opened)
+            .when(top == F.when(go.is_closer(last), F.translate(last, ")]}", "([{")).otherwise("none"), F.substring(opened, 2, MAX_NESTING))
+            .when((go.is_opener(last) | (opened == "") | go.is_closer(top)) & (F.length(opened) < MAX_NESTING), F.concat(last, opened))
             .otherwise("!"))
 
-    return F.aggregate(pieces, F.lit(""), step) == ""
+    return F.aggregate(pieces, F.lit(""), step)
 
 
 def structured(lexed_rows: DataFrame) -> DataFrame:
@@ -152,16 +182,16 @@ def _with_nesting(rows: DataFrame) -> DataFrame:
     # Whether a line ended between the last character and a directive comment behind it.
     line_ended = F.when((core == "note") & code.rlike(r"\n\s*+\z"), True).when(F.col("tail").isNotNull(), False)
     prev = F.col("prev")
+    across = {"paired": Running("each", F.col("open"), _all_pair)} if "open" in rows.columns else {}
+    scan = scanned(rows.withColumn("tail", tail), {
+        **across,
+        "lines": Running("sum", F.col("nl")), "nested": Running("sum", F.col("step")),
+        "prev": Running("last_before", F.col("tail")), "line_ended": Running("last_before", line_ended)})
     return (
-        rows.withColumn("tail", tail)
-        .select(
-            "*",
-            (F.sum("nl").over(so_far()) + 1).cast("int").alias("line"),
-            (F.sum("step").over(so_far()) - F.col("step")).cast("int").alias("level"),
-            F.last("tail", ignorenulls=True).over(before()).alias("prev"),
-            F.last(line_ended, ignorenulls=True).over(before()).alias("line_ended"))
+        scan.withColumn("line", (F.col("lines") + 1).cast("int"))
+        .withColumn("level", (F.col("nested") - F.col("step")).cast("int"))
         .withColumn("prev", F.when(F.col("line_ended") & ~go.is_opener(prev), F.concat(prev, F.lit("\n"))).otherwise(prev))
-        .drop("nl", "line_ended"))
+        .drop("nl", "line_ended", "lines", "nested", "open"))
 
 
 # Bits of ``file_flags``: what occurs anywhere in the file.
@@ -254,18 +284,15 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
         OWN_CALL: own_statement(),
     }
     bits = sum((F.when(c, bit).otherwise(0) for bit, c in flags.items()), F.lit(0))
-    return rows.select(
-        "*",
-        *[F.last(c, ignorenulls=True).over(so_far()).alias(k) for k, c in stmt.items()],
-        F.last(stmt["stmt"], ignorenulls=True).over(before()).alias("prev_stmt"),
-        F.last(_line_shift(), ignorenulls=True).over(before()).alias("shift"),
-        F.first(first_code, ignorenulls=True).over(whole_file()).alias("own_package"),
-        *[F.sum(F.when(F.col("starts") & (level == i), 1).otherwise(0)).over(so_far()).alias(f"ends{i}")
-          for i in (0, 1)],
-        F.min(F.when(F.col("word").isin("var", "const", "type", "func"), F.col("pos"))).over(whole_file()).alias("first_decl"),
-        F.max(F.when((level == 0) & F.contains("text", F.lit("import")) & F.col("text").rlike(go.IMPORT), F.col("pos")))
-        .over(whole_file()).alias("last_import"),
-        F.bit_or(bits).over(whole_file()).alias("file_flags"))
+    declares = F.col("word").isin("var", "const", "type", "func")
+    imports = (level == 0) & F.contains("text", F.lit("import")) & F.col("text").rlike(go.IMPORT)
+    return scanned(rows, {
+        **{k: Running("last", c) for k, c in stmt.items()},
+        "prev_stmt": Running("last_before", stmt["stmt"]), "shift": Running("last_before", _line_shift()),
+        "own_package": Running("first", first_code),
+        **{f"ends{i}": Running("sum", F.when(F.col("starts") & (level == i), 1).otherwise(0)) for i in (0, 1)},
+        "first_decl": Running("min", F.when(declares, F.col("pos"))), "last_import": Running("max", F.when(imports, F.col("pos"))),
+        "file_flags": Running("bit_or", bits)})
 
 
 def _of_well_formed(framed: DataFrame) -> DataFrame:
@@ -276,7 +303,7 @@ def _of_well_formed(framed: DataFrame) -> DataFrame:
         .withColumn("decl_line", shifted(F.col("stmt_line")))
         .withColumn("line", shifted(F.col("line")))
         .drop("paired", "first_decl", "last_import", "after_receiver", "text", "word", "head", "note_line", "tail", "step", "shift",
-              "stmt_line"))
+              "stmt_line", "chunk"))
 
 
 def _note_line() -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.operators.bounds import partitions_for, settle
+from seamline.operators.chunks import LARGE_BYTES
 from seamline.operators.packages import file_facts, loc
 from seamline.plans import report
 from seamline.plans.occurrences import occurrences, unique_counts
@@ -34,14 +35,15 @@ class Analysis:
 
     @cached_property
     def occurrences(self) -> DataFrame:
+        total, largest = self.facts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
         return settle(occurrences(
-            self.files, facts=self.facts, exec_rules=self._exec_rules, partitions=self._text_partitions()))
+            self.files, facts=self.facts, exec_rules=self._exec_rules, partitions=self._text_partitions(total),
+            large_bytes=LARGE_BYTES if largest >= LARGE_BYTES else None))
 
-    def _text_partitions(self) -> int:
+    def _text_partitions(self, total: int) -> int:
         """As asked for, else sized by the text, whose volume the facts tell."""
         if self._partitions is not None:
             return self._partitions
-        total = self.facts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         return partitions_for(total, int(self.files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     @cached_property

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from seamline import schema
 from seamline.operators import registry
+from seamline.operators.bounds import settle
+from seamline.operators.chunks import CHUNK_CHARS
 from seamline.operators.detectors import DIR_KEY, detect
 from seamline.operators.packages import packages
+from seamline.operators.segments import segments
 
 
 def occurrences(files: DataFrame, vectors: list[str] | None = None, *,
                 exec_rules: DataFrame | None = None, facts: DataFrame | None = None,
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, large_bytes: int | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row per place where a vector occurs, duplicates kept.
 
     Directories that name no package are not analysed. Names are joined to the few occurrences, not
@@ -21,13 +24,17 @@ def occurrences(files: DataFrame, vectors: list[str] | None = None, *,
     literals called at initialisation carry no package name.
 
     ``facts`` is ``file_facts(files)`` where that is at hand; it saves a scan of the text.
-    ``vectors`` may name registered detectors too; by default all built-in and registered ones run.
+    ``vectors`` may name registered detectors too; by default all built-in and registered ones run. Files of
+    ``large_bytes`` and more, where given, are read in pieces of ``chunk_chars`` by as many tasks.
     """
     names = vectors or [*schema.VECTOR_NAMES, *registry.names()]
     builtin = [v for v in names if v in schema.VECTOR_NAMES]
     custom = registry.conditions(names)
-    found = [detect(files, builtin, exec_rules=exec_rules, custom=custom, partitions=partitions)] if builtin or custom else []
-    found += [registry.run(v, files, partitions) for v in names if v not in schema.VECTOR_NAMES and v not in custom]
+    functions = [v for v in names if v not in schema.VECTOR_NAMES and v not in custom]
+    shared = settle(segments(files, partitions, large_bytes, chunk_chars)) if functions else None
+    found = [detect(files, builtin, exec_rules=exec_rules, custom=custom, partitions=partitions, large_bytes=large_bytes,
+                    chunk_chars=chunk_chars, rows=shared)] if builtin or custom else []
+    found += [registry.run(v, shared) for v in functions]
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)

@@ -236,6 +236,7 @@ def oracle_sql() -> dict[str, str]:
         "tokens": f"""{f} SELECT path, CAST({_TOKENS} AS BIGINT) AS n_tokens, CAST(21 AS INTEGER) AS last_line
             FROM f""",
         "occurrences": f"{_OCC} SELECT * FROM occ",
+        "large_files": f"{_OCC} SELECT * FROM occ",
         "unique_counts": f"{_COUNTS} SELECT * FROM counts",
         "overview": f"{_OVERVIEW} SELECT * FROM overview",
         "density": f"""{_OVERVIEW} SELECT module, version, dependants, loc, {', '.join(

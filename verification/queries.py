@@ -180,6 +180,7 @@ def queries() -> dict[str, Query]:
         "equal_paths": equal_paths,
         "failures": ill_formed_files,
         "text_corpus": text_corpus,
+        "large_files": lambda spark, sf: occurrences(_files(spark, sf), large_bytes=600, chunk_chars=200),
         "bracket_pairs": lambda spark, sf: bracket_counts(bracket_pairs(_files(spark, sf))),
         "exec_rules_custom": custom_exec_rules,
         "line_column": line_column,
