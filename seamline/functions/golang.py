@@ -81,31 +81,20 @@ _SPACE, _BLANKS = r"\s*+", r"[ \t]*+"
 
 
 def _word(*names: str) -> str:
-    return rf"{NOT_IN_IDENT}(?:{'|'.join(names)}){_END_OF_WORD}"
+    return rf"(?:{'|'.join(names)}){_END_OF_WORD}"
 
 
 _OPENS_TYPE = ["func", "map", "struct", "chan", "interface"]
 _ENDS_STATEMENT = ["break", "continue", "fallthrough", "return"]
-_BEGINS_STATEMENT = [k for k in KEYWORDS if k not in (*_OPENS_TYPE, "range")]
+_BEGINS_STATEMENT = _word(*[k for k in KEYWORDS if k not in (*_OPENS_TYPE, "range")])
 # Operators with an operand on either side that cannot begin one; `<-`, `+`, `-`, `*`, `&`, `!`, `^` and `~` can.
 _BINARY = r"(?:[/%|=>]|<(?!-)|[!*+\-^&]=|&&|&\^)"
 _OPERATOR_END = r"(?:[=*/%&|^<>!~]|(?<!\+)\+|(?<!-)-)"
-_MUST_NOT_FOLLOW = [
-    # A bracket that opens: a binary operator, a comma, a step; a parenthesis or index also a brace.
-    rf"[(\[{{]{_SPACE}(?:{_BINARY}|,|\+\+|--)",
-    rf"[(\[]{_SPACE}\{{",
-    # An operator or a selector's dot: a bracket that closes, a comma, a semicolon; an operator or comma also a binary operator.
-    rf"(?:{_OPERATOR_END}|(?<![0-9.])\.){_SPACE}[)\]}},;]",
-    rf"(?:{_OPERATOR_END}|[,:])\s++{_BINARY}",
-    rf",{_SPACE}[,;]",
-    # A literal: a name or another literal in the same line.
-    rf"""["'`] {_BLANKS}[\p{{L}}\p{{Nd}}_"'`]""",
-    rf"""(?<![\p{{L}}\p{{Nd}}_.])[0-9][0-9a-zA-Z_.]*+[ \t]++[\p{{L}}_"'`]""",
-    # A name, literal or bracket that closes: a word that begins a statement in the same line, but for `} else` and `else if`.
-    rf"""(?<=[\p{{L}}\p{{Nd}}_"'`)\]])(?<!{_word("else")[:-len(_END_OF_WORD)]})[ \t]++{_word(*_BEGINS_STATEMENT)}""",
-    rf"(?:[^}}\s]|\}}[ \t\r]*+\n){_SPACE}{_word('else')}",
-    # Words that need something of their own behind them; a text may end where a directive stands.
-    rf"{_word('else')}{_SPACE}(?!\{{|\z|{_word('if')})",
+# What must not follow a keyword. A text may end where a directive stands.
+_AFTER_WORDS = [
+    # Words that need something of their own behind them, and `else` also a brace before it in the same line.
+    rf"(?<!\}}[ \t\r]{{0,1000}})else{_END_OF_WORD}",
+    rf"else{_END_OF_WORD}{_SPACE}(?!\{{|\z|{_word('if')})",
     rf"{_word('struct', 'interface', 'select')}{_SPACE}(?!\{{|\z)",
     rf"{_word('map')}{_SPACE}(?!\[|\z)",
     rf"{_word('func')}{_SPACE}(?![\p{{L}}_(]|\z)",
@@ -117,7 +106,21 @@ _MUST_NOT_FOLLOW = [
     rf"{_word(*[k for k in KEYWORDS if k != 'type'])}{_SPACE}[)\]]",
     rf"{_word(*[k for k in KEYWORDS if k not in _ENDS_STATEMENT])}{_SPACE}\}}",
     # Two keywords: only a type, `else if` and `for range`.
-    rf"{_word(*[k for k in KEYWORDS if k not in (*_ENDS_STATEMENT, 'else')])}\s++{_word(*_BEGINS_STATEMENT)}",
+    rf"{_word(*[k for k in KEYWORDS if k not in (*_ENDS_STATEMENT, 'else')])}\s++{_BEGINS_STATEMENT}",
+]
+_MUST_NOT_FOLLOW = [
+    # A bracket that opens: a binary operator, a comma, a step; a parenthesis or index also a brace.
+    rf"[(\[{{]{_SPACE}(?:{_BINARY}|,|\+\+|--|(?<=[(\[]\s{{0,1000}})\{{)",
+    # An operator or a selector's dot: a bracket that closes, a comma, a semicolon; an operator or comma also a binary operator.
+    rf"(?:{_OPERATOR_END}|(?<![0-9.])\.){_SPACE}[)\]}},;]",
+    rf"(?:{_OPERATOR_END}|[,:])\s++{_BINARY}",
+    rf",{_SPACE}[,;]",
+    # A literal: a name or another literal in the same line.
+    rf"""["'`] {_BLANKS}[\p{{L}}\p{{Nd}}_"'`]""",
+    rf"""[0-9](?<![\p{{L}}\p{{Nd}}_.][0-9])[0-9a-zA-Z_.]*+[ \t]++[\p{{L}}_"'`]""",
+    # A name, literal or bracket that closes: a word that begins a statement in the same line, but for `else if`.
+    rf"""[ \t]++(?<=[\p{{L}}\p{{Nd}}_"'`)\]][ \t]{{1,1000}})(?<!else[ \t]{{1,1000}}){_BEGINS_STATEMENT}""",
+    rf"(?=[b-v])(?<![\p{{L}}\p{{Nd}}_])(?:{'|'.join(_AFTER_WORDS)})",
 ]
 MALFORMED = "|".join(_MUST_NOT_FOLLOW)
 
