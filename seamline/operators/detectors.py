@@ -33,6 +33,7 @@ from seamline.operators.segments import (
     first_in_group, in_file, own_statement, segments, statement_text)
 
 DIR_KEY = ["module", "version", "dir"]
+PLACE = ["path", "pos"]
 TEXT_FIELDS = ["variable_name", "command", "method_invoked", "type_passed", "pattern"]
 
 # A word that must occur in the file text for the vector to occur; checked before the exchange.
@@ -74,7 +75,7 @@ def detect(files: DataFrame, vectors: list[str] | None = None, *, exec_rules: Da
         listed.append(exec_rules.select(_listed_name("exec", F.concat("pkg", F.lit("."), "func")).alias("listed_name")))
     if listed:
         events = _keep_listed(events, listed, ["assembly"] * ("assembly" in wanted) + ["exec"] * by_table)
-    return events.select(*DIR_KEY, "vector", "file_path", "line_number", *TEXT_FIELDS)
+    return events.select(*DIR_KEY, *PLACE, "vector", "file_path", "line_number", *TEXT_FIELDS)
 
 
 def _listed_name(vector: str, *parts) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline import schema
-from seamline.operators.detectors import DIR_KEY, TEXT_FIELDS, Found
+from seamline.operators.detectors import DIR_KEY, PLACE, TEXT_FIELDS, Found
 
 
 @dataclass(frozen=True)
@@ -79,4 +79,4 @@ def run(name: str, rows: DataFrame) -> DataFrame:
     }
     missing = [default.alias(c) for c, default in defaults.items() if c not in found.columns]
     return found.select("*", *missing, F.lit(name).alias("vector")).select(
-        *DIR_KEY, "vector", "file_path", "line_number", *TEXT_FIELDS)
+        *DIR_KEY, *PLACE, "vector", "file_path", "line_number", *TEXT_FIELDS)

@@ -7,10 +7,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamline import schema
 from seamline.operators.bounds import partitions_for, settle
 from seamline.operators.chunks import LARGE_BYTES
 from seamline.operators.packages import file_facts, loc
 from seamline.plans import report
+from seamline.plans.ordering import PAGE_ROWS, detail_pages, in_walk_order
 from seamline.plans.occurrences import occurrences, unique_counts
 from seamline.plans.versions import version_delta
 
@@ -34,11 +36,24 @@ class Analysis:
         return settle(file_facts(self.files))
 
     @cached_property
-    def occurrences(self) -> DataFrame:
+    def placed(self) -> DataFrame:
+        """Occurrences with their places in the tree."""
         total, largest = self.facts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
         return settle(occurrences(
             self.files, facts=self.facts, exec_rules=self._exec_rules, partitions=self._text_partitions(total),
-            large_bytes=LARGE_BYTES if largest >= LARGE_BYTES else None))
+            large_bytes=LARGE_BYTES if largest >= LARGE_BYTES else None, places=True))
+
+    @property
+    def occurrences(self) -> DataFrame:
+        return self.placed.select(schema.OCCURRENCE_COLUMNS)
+
+    @cached_property
+    def ordered(self) -> DataFrame:
+        """Occurrences numbered within their lists, in the order of a walk over the tree."""
+        return in_walk_order(self.placed)
+
+    def detail_pages(self, page_rows: int = PAGE_ROWS) -> DataFrame:
+        return detail_pages(self.ordered, page_rows)
 
     def _text_partitions(self, total: int) -> int:
         """As asked for, else sized by the text, whose volume the facts tell."""

@@ -9,14 +9,15 @@ from seamline import schema
 from seamline.operators import registry
 from seamline.operators.bounds import settle
 from seamline.operators.chunks import CHUNK_CHARS
-from seamline.operators.detectors import DIR_KEY, detect
+from seamline.operators.detectors import DIR_KEY, PLACE, detect
 from seamline.operators.packages import packages
 from seamline.operators.segments import segments
 
 
 def occurrences(files: DataFrame, vectors: list[str] | None = None, *,
                 exec_rules: DataFrame | None = None, facts: DataFrame | None = None,
-                partitions: int | None = None, large_bytes: int | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+                partitions: int | None = None, large_bytes: int | None = None, chunk_chars: int = CHUNK_CHARS,
+                places: bool = False) -> DataFrame:
     """One row per place where a vector occurs, duplicates kept.
 
     Directories that name no package are not analysed. Names are joined to the few occurrences, not
@@ -25,7 +26,8 @@ def occurrences(files: DataFrame, vectors: list[str] | None = None, *,
 
     ``facts`` is ``file_facts(files)`` where that is at hand; it saves a scan of the text.
     ``vectors`` may name registered detectors too; by default all built-in and registered ones run. Files of
-    ``large_bytes`` and more, where given, are read in pieces of ``chunk_chars`` by as many tasks.
+    ``large_bytes`` and more, where given, are read in pieces of ``chunk_chars`` by as many tasks. With ``places`` the
+    rows also have dir, path and pos, by which ``plans.ordering`` puts them in order.
     """
     names = vectors or [*schema.VECTOR_NAMES, *registry.names()]
     builtin = [v for v in names if v in schema.VECTOR_NAMES]
@@ -42,7 +44,7 @@ def occurrences(files: DataFrame, vectors: list[str] | None = None, *,
     return (
         rows.join(packages(files if facts is None else facts), DIR_KEY, "inner")
         .withColumn("package_name", F.when(literal, "").otherwise(F.col("package_name")))
-        .select(schema.OCCURRENCE_COLUMNS))
+        .select(schema.OCCURRENCE_COLUMNS + (["dir", *PLACE] if places else [])))
 
 
 def distinct_key() -> Column:

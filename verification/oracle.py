@@ -217,6 +217,19 @@ _CATALOG = """
   FROM part"""
 
 
+# The corpus in a tree: directories d, d/b and d-b by turns, walked in this order.
+_TREE_FILES = f"""
+  SELECT id, lang, module, version, text, pkg, 'top/' || lang || CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '/b' ELSE '-b' END || '/' || name AS path,
+         name, CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS turn FROM ({_FILES})"""
+_WALK = _rows([(v, c.replace(" AND lang IN ('en', 'de')", " AND false"), line, fields) for v, c, line, fields in _PLANTED]).replace(
+    f"WITH f AS ({_FILES})", f"WITH f AS ({_TREE_FILES})") + """, walked AS (
+  SELECT o.*, row_number() OVER (
+    PARTITION BY o.module, o.version, o.vector
+    ORDER BY f.lang, f.turn, f.name, o.line_number, CASE WHEN o.method_invoked = 'NewOther' THEN 1 ELSE 0 END) AS ordinal
+  FROM occ o JOIN f ON o.module = f.module AND o.version = f.version
+   AND f.path = CASE WHEN o.vector = 'test' THEN left(o.file_path, length(o.file_path) - length(f.pkg) - 1) ELSE o.file_path END)"""
+
+
 def _of(vector: str) -> list[tuple]:
     return [p for p in _PLANTED if p[0] == vector]
 
@@ -283,6 +296,11 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT module || '-copy', * EXCLUDE (module) FROM occ""",
         "failures": f"{f} SELECT module, version, path, 'ill-formed' AS reason FROM f WHERE id % 17 < 9",
         "text_corpus": _TEXT_CORPUS,
+        "walk_order": f"{_WALK} SELECT module, version, vector, ordinal, file_path, line_number, method_invoked FROM walked",
+        "detail_pages": f"""{_WALK} SELECT module, version, vector, CAST((ordinal - 1) // 7 AS BIGINT) AS page,
+              CAST(min(ordinal) AS BIGINT) AS first_ordinal, CAST(count(*) AS BIGINT) AS n,
+              md5(string_agg({_LINE}, chr(10) ORDER BY ordinal)) AS lines_md5
+            FROM walked GROUP BY module, version, vector, (ordinal - 1) // 7""",
         "bracket_pairs": f"""{f} SELECT module, version, path, kind, CAST(n AS BIGINT) AS n, CAST(deepest AS INTEGER) AS deepest,
             CAST(lines AS BIGINT) AS lines FROM ({_BRACKETS})""",
         "exec_rules_custom": f"""{_rows([

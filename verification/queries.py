@@ -17,6 +17,7 @@ from seamline.operators.segments import failures
 from seamline.operators.tokens import tokens
 from seamline.plans.analysis import Analysis
 from seamline.plans.occurrences import occurrences, unique_counts
+from seamline.plans.ordering import in_walk_order
 from seamline.sources import modules as module_side
 from seamline.sources import planted
 
@@ -113,6 +114,26 @@ def text_corpus(spark, sf):
     return occurrences(planted.text_files(planted.documents(spark, sf)))
 
 
+def _tree(spark, sf) -> DataFrame:
+    """The corpus in directories whose order is not that of their paths: d, d/b and d-b."""
+    turn = F.regexp_extract("name", "([0-9]+)", 1).try_cast("bigint") % 3
+    moved = F.concat("dir", F.when(turn == 0, "").when(turn == 1, "/b").otherwise("-b"))
+    return _files(spark, sf).filter("ext = '.go'").withColumn("dir", F.concat(F.lit("top/"), F.substring_index("dir", "/", -1))).withColumn(
+        "dir", moved).withColumn("path", F.concat("dir", F.lit("/"), "name"))
+
+
+def walk_order(spark, sf):
+    return in_walk_order(occurrences(_tree(spark, sf), places=True)).select(
+        "module", "version", "vector", "ordinal", "file_path", "line_number", "method_invoked")
+
+
+def pages(spark, sf):
+    """Pages of seven rows; each is told by its size and the text of its lines."""
+    found = Analysis(_tree(spark, sf)).detail_pages(7)
+    return found.select("module", "version", "vector", "page", "first_ordinal", F.size("entries").cast("bigint").alias("n"), F.md5(
+        F.array_join(F.transform("entries", lambda e: e["line"]), "\n")).alias("lines_md5"))
+
+
 def summaries(spark, sf):
     """Modules of the corpus, and as many in which nothing is found."""
     modules = planted.modules(spark, sf)
@@ -179,6 +200,8 @@ def queries() -> dict[str, Query]:
         "custom_detectors_and_rules": custom_detectors_and_rules,
         "equal_paths": equal_paths,
         "failures": ill_formed_files,
+        "walk_order": walk_order,
+        "detail_pages": pages,
         "text_corpus": text_corpus,
         "large_files": lambda spark, sf: occurrences(_files(spark, sf), large_bytes=600, chunk_chars=200),
         "bracket_pairs": lambda spark, sf: bracket_counts(bracket_pairs(_files(spark, sf))),
