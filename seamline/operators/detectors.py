@@ -54,11 +54,13 @@ class Found:
 
 def detect(files: DataFrame, vectors: list[str] | None = None, *, exec_rules: DataFrame | None = None,
            custom: dict[str, Found] | None = None, partitions: int | None = None,
-           large_bytes: int | None = None, chunk_chars: int = CHUNK_CHARS, rows: DataFrame | None = None) -> DataFrame:
+           large_bytes: int | None = None, chunk_chars: int = CHUNK_CHARS, rows: DataFrame | None = None,
+           listed_assembly: bool = True) -> DataFrame:
     """Occurrences of the wanted vectors (all by default), duplicates kept, without package names.
 
     ``exec_rules(pkg, func)`` replaces the built-in process-starting functions. Files of ``large_bytes`` and more are read in
-    pieces. ``rows`` are the segments of all files, where they are at hand.
+    pieces. ``rows`` are the segments of all files, where they are at hand. Without ``listed_assembly`` every bare call is one
+    of ``assembly``, for the caller to decide.
     """
     custom = custom or {}
     wanted = [*(schema.VECTOR_NAMES if vectors is None else vectors), *custom]
@@ -69,12 +71,13 @@ def detect(files: DataFrame, vectors: list[str] | None = None, *, exec_rules: Da
     if {"interface", "global", "reflect"} & set(wanted):
         events = _resolve_by_key(events)
     listed = []
-    if "assembly" in wanted:
+    by_assembly = "assembly" in wanted and listed_assembly
+    if by_assembly:
         listed.append(asm_functions(files).select(_listed_name("assembly", *DIR_KEY, "name").alias("listed_name")))
     if by_table:
         listed.append(exec_rules.select(_listed_name("exec", F.concat("pkg", F.lit("."), "func")).alias("listed_name")))
     if listed:
-        events = _keep_listed(events, listed, ["assembly"] * ("assembly" in wanted) + ["exec"] * by_table)
+        events = _keep_listed(events, listed, ["assembly"] * by_assembly + ["exec"] * by_table)
     return events.select(*DIR_KEY, *PLACE, "vector", "file_path", "line_number", *TEXT_FIELDS)
 
 

@@ -14,6 +14,7 @@ from seamline.operators.packages import file_facts, loc
 from seamline.plans import report
 from seamline.plans.ordering import PAGE_ROWS, detail_pages, in_walk_order
 from seamline.plans.occurrences import occurrences, unique_counts
+from seamline.plans.shared_texts import shared_occurrences
 from seamline.plans.versions import version_delta
 
 
@@ -23,11 +24,13 @@ class Analysis:
     The text is read twice, whatever is asked for: once for the facts about each file and once for
     the occurrences. Both results are far smaller than the text and are computed once.
 
-    ``modules`` has module, version, dependants; reports without it need no modules.
+    ``modules`` has module, version, dependants; reports without it need no modules. With ``share_texts`` files with equal text
+    are analysed once, which is for several versions of the same modules.
     """
 
     def __init__(self, files: DataFrame, modules: DataFrame | None = None, *,
-                 exec_rules: DataFrame | None = None, partitions: int | None = None):
+                 exec_rules: DataFrame | None = None, partitions: int | None = None, share_texts: bool = False):
+        self._share_texts = share_texts
         self.files, self.modules = files, modules
         self._exec_rules, self._partitions = exec_rules, partitions
 
@@ -38,6 +41,8 @@ class Analysis:
     @cached_property
     def placed(self) -> DataFrame:
         """Occurrences with their places in the tree."""
+        if self._share_texts:
+            return settle(shared_occurrences(self.files, facts=self.facts, exec_rules=self._exec_rules, places=True))
         total, largest = self.facts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
         return settle(occurrences(
             self.files, facts=self.facts, exec_rules=self._exec_rules, partitions=self._text_partitions(total),

@@ -296,6 +296,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT module || '-copy', * EXCLUDE (module) FROM occ""",
         "failures": f"{f} SELECT module, version, path, 'ill-formed' AS reason FROM f WHERE id % 17 < 9",
         "text_corpus": _TEXT_CORPUS,
+        "shared_texts": f"""{_OCC} SELECT * FROM occ
+            UNION ALL SELECT module, version || '-next' AS version, * EXCLUDE (module, version) FROM occ""",
         "walk_order": f"{_WALK} SELECT module, version, vector, ordinal, file_path, line_number, method_invoked FROM walked",
         "detail_pages": f"""{_WALK} SELECT module, version, vector, CAST((ordinal - 1) // 7 AS BIGINT) AS page,
               CAST(min(ordinal) AS BIGINT) AS first_ordinal, CAST(count(*) AS BIGINT) AS n,
@@ -325,6 +327,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE NOT EXISTS (SELECT 1 FROM named d WHERE d.repo_url LIKE 'http://%'
                               AND d.name = n.name AND d.version = n.version)""",
     }
+    out["version_delta_shared"] = out["version_delta"]
     for vector in _NAMES:
         out[f"vec_{vector}"] = f"{_rows([p for p in _PLANTED if p[0] == vector])} SELECT * FROM occ"
     return out

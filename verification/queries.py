@@ -18,6 +18,7 @@ from seamline.operators.tokens import tokens
 from seamline.plans.analysis import Analysis
 from seamline.plans.occurrences import occurrences, unique_counts
 from seamline.plans.ordering import in_walk_order
+from seamline.plans.shared_texts import shared_occurrences
 from seamline.sources import modules as module_side
 from seamline.sources import planted
 
@@ -122,6 +123,18 @@ def _tree(spark, sf) -> DataFrame:
         "dir", moved).withColumn("path", F.concat("dir", F.lit("/"), "name"))
 
 
+def shared_texts(spark, sf):
+    """The corpus in two versions each, with equal texts, of which every text is analysed once."""
+    files = _files(spark, sf)
+    return shared_occurrences(files.unionByName(files.withColumn("version", F.concat("version", F.lit("-next")))))
+
+
+def shared_deltas(spark, sf):
+    order = planted.modules(spark, sf).select("module", "version", F.substring("version", 2, 10).cast("int").alias("version_ord"))
+    return Analysis(_files(spark, sf), _modules(spark, sf), share_texts=True).version_delta(order).withColumn(
+        "delta", F.col("delta").cast("double"))
+
+
 def walk_order(spark, sf):
     return in_walk_order(occurrences(_tree(spark, sf), places=True)).select(
         "module", "version", "vector", "ordinal", "file_path", "line_number", "method_invoked")
@@ -201,6 +214,8 @@ def queries() -> dict[str, Query]:
         "equal_paths": equal_paths,
         "failures": ill_formed_files,
         "walk_order": walk_order,
+        "shared_texts": shared_texts,
+        "version_delta_shared": shared_deltas,
         "detail_pages": pages,
         "text_corpus": text_corpus,
         "large_files": lambda spark, sf: occurrences(_files(spark, sf), large_bytes=600, chunk_chars=200),
