@@ -85,17 +85,17 @@ class Running:
     combine: Callable[[Column], Column] | None = None
 
 
-def scanned(rows: DataFrame, columns: dict[str, Running]) -> DataFrame:
-    """The rows with running values by ``pos`` over their file.
+def scanned(rows: DataFrame, columns: dict[str, Running], key: list[str] = FILE_KEY) -> DataFrame:
+    """The rows with running values by ``pos`` over their file, which ``key`` tells.
 
     Rows with a column ``chunk`` are scanned in two levels and may lie anywhere; others by a window over their file.
     """
     if "chunk" not in rows.columns:
-        return rows.select("*", *[_within(r, FILE_KEY).alias(name) for name, r in columns.items()])
+        return rows.select("*", *[_within(r, key).alias(name) for name, r in columns.items()])
     rows = settle(rows)
-    piece = [*FILE_KEY, "chunk"]
+    piece = [*key, "chunk"]
     summaries = rows.groupBy(*piece).agg(*[_summary(r).alias(name) for name, r in columns.items()])
-    carried = summaries.select(*piece, *[_carried(name, r).alias(f"_{name}") for name, r in columns.items()])
+    carried = summaries.select(*piece, *[_carried(name, r, key).alias(f"_{name}") for name, r in columns.items()])
     own = rows.select("*", *[_within(r, piece).alias(name) for name, r in columns.items() if r.how in ("sum", "last", "last_before")])
     joined = own.join(carried, piece)
     for name, r in columns.items():
@@ -128,9 +128,9 @@ def _summary(r: Running) -> Column:
     }[r.how]()
 
 
-def _carried(name: str, r: Running) -> Column:
+def _carried(name: str, r: Running, key: list[str]) -> Column:
     """What the pieces before give, or all pieces, over the one row of each piece."""
-    order = W.partitionBy(*FILE_KEY).orderBy("chunk")
+    order = W.partitionBy(*key).orderBy("chunk")
     before, whole = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     c = F.col(name)
     return {

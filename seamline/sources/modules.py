@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from seamline import schema
 from seamline.functions import text
+from seamline.operators.chunks import Running, scanned
 
 
 def read_module_list(spark: SparkSession, path: str) -> DataFrame:
@@ -32,6 +33,38 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(schema.CATALOG_SCHEMA).option("multiLine", True).json(path))
 
 
+def read_large_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """What ``read_catalog`` gives, each array read by as many tasks as it has splits.
+
+    The files are read as records that end at a closing brace, which Spark splits anywhere. Whether a brace lies in a text follows from the number
+    of quotes before it, and how deep it lies from the brackets before it outside of texts: both are running sums in two
+    levels, within a split and over the splits. A brace that leads back into the outer array ends an element; the records of an
+    element are put together and parsed on their own. Files that are no array of objects give no rows.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("chunk"),
+        F.monotonically_increasing_id().alias("pos"), F.col("value").alias("text"))
+    # Escapes occur in texts only; without them every quote begins or ends a text.
+    plain = raw.withColumn("plain", F.regexp_replace("text", r"(?s)\\.", ""))
+    quotes = F.length("plain") - F.length(F.replace("plain", F.lit('"'), F.lit("")))
+    told = scanned(plain.withColumn("quotes", quotes.cast("bigint")), {"quoted": Running("sum", F.col("quotes"))}, ["file"])
+    begins_in_text = (F.col("quoted") - F.col("quotes")) % 2 == 1
+    outside = F.regexp_replace(F.concat(F.when(begins_in_text, '"').otherwise(""), "plain"), '(?s)"[^"]*+(?:"|\\z)', "")
+    in_text = F.col("quoted") % 2 == 1
+    count = lambda chars: F.length(outside) - F.length(F.translate(outside, chars, ""))
+    steps = (count("{[") - count("]") - F.when(in_text, 0).otherwise(1)).cast("bigint")
+    placed = scanned(told.select("file", "chunk", "pos", "text", steps.alias("steps"), in_text.alias("in_text")),
+                     {"depth": Running("sum", F.col("steps"))}, ["file"])
+    ends = (F.col("depth") == 1) & ~F.col("in_text")
+    numbered = scanned(placed.withColumn("ends", F.when(ends, 1).otherwise(0).cast("bigint")), {"ended": Running("sum", F.col("ends"))}, ["file"])
+    elements = numbered.groupBy("file", (F.col("ended") - F.col("ends")).alias("element")).agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "pos", "text"))).alias("records"), F.max("ends").alias("whole"))
+    joined = F.concat(F.array_join(F.transform("records", lambda r: r["text"]), "}"), F.lit("}"))
+    element = F.regexp_replace(joined, r"^\ufeff?[\s,\[]*+", "")
+    return with_import_path(elements.filter("whole = 1").select(F.from_json(element, schema.CATALOG_SCHEMA).alias("m")).filter(
+        "m is not null").select("m.*"))
+
+
 def parse_catalog(lines: DataFrame) -> DataFrame:
     """Catalogue rows from a ``json`` column that holds one JSON array of modules per row."""
     rows = F.from_json("json", T.ArrayType(schema.CATALOG_SCHEMA))
