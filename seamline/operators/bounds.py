@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 PARTITION_BYTES = 24 << 20  # of source text; its segments then sort in memory
 
@@ -21,3 +24,13 @@ def settle(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share; a local one only where the session names none, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="seamline-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

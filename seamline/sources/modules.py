@@ -60,7 +60,7 @@ def read_large_catalog(spark: SparkSession, path: str) -> DataFrame:
     elements = numbered.groupBy("file", (F.col("ended") - F.col("ends")).alias("element")).agg(
         F.array_sort(F.collect_list(F.struct("chunk", "pos", "text"))).alias("records"), F.max("ends").alias("whole"))
     joined = F.concat(F.array_join(F.transform("records", lambda r: r["text"]), "}"), F.lit("}"))
-    element = F.regexp_replace(joined, r"^\ufeff?[\s,\[]*+", "")
+    element = F.regexp_replace(joined, r"^\ufeff?[\s,\[\]]*+", "")  # several arrays may follow each other
     return with_import_path(elements.filter("whole = 1").select(F.from_json(element, schema.CATALOG_SCHEMA).alias("m")).filter(
         "m is not null").select("m.*"))
 

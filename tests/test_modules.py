@@ -120,3 +120,18 @@ def test_read_hadoop_tree(spark, tree):
     rows = {(r.module, r.version, r.name): r for r in read_hadoop_tree(spark, str(tree)).collect()}
     assert ("x", "v1", "a.go") in rows and ("y", "v2", "f.go") in rows and ("x", "v1", "asm.S") in rows
     assert rows["x", "v1", "a.go"].dir == f"{tree}/x@v1" and rows["x", "v1", "a.go"].content == "package x\n"
+
+
+def test_shares_by_volume(spark):
+    """A tree with a few large files and many small ones: no share has more than twice the mean, but for a file that has."""
+    from seamline.sources.tree import by_volume
+
+    size = F.when(F.col("id") % 100 == 0, 400_000).when(F.col("id") == 7, 9_000_000).otherwise(1000)
+    listed = spark.range(4000).select(F.lit("m").alias("module"), F.lit("v").alias("version"), (F.col("id") % 3).cast("string").alias("dir"),
+                                      F.concat(F.col("id").cast("string"), F.lit(".go")).alias("name"), size.cast("bigint").alias("size"))
+    shares = by_volume(listed, 8).groupBy("share").agg(F.sum("size").alias("bytes"), F.max("size").alias("largest")).collect()
+    mean = sum(r.bytes for r in shares) / 8
+    assert len(shares) >= 6 and {r.share for r in shares} <= set(range(8))
+    assert all(r.bytes <= 2 * mean or r.bytes - r.largest <= mean for r in shares)
+    placed = by_volume(listed, 8).repartitionById(8, F.col("share")).groupBy(F.spark_partition_id().alias("at")).agg(F.count_distinct("share").alias("n"))
+    assert {r.n for r in placed.collect()} <= set(range(9)) and by_volume(listed.limit(0), 8).count() == 0

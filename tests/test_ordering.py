@@ -53,3 +53,30 @@ def test_distinct_texts_give_the_same(files_of):
         for name in ("panics", "others"):
             registry.unregister_detector(name)
     assert distinct_texts(files).count() < files.filter("ext = '.go'").count() * 0.6
+
+
+def test_a_rerun_of_one_module_leaves_the_others(spark, tmp_path):
+    import os
+
+    from seamline import sinks
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 == 0, "small/x").when(F.col("id") % 10 == 1, "gone").otherwise("large").alias("module"),
+                                    F.lit("v1").alias("version"), F.col("id").alias("n"))
+    modules, path = rows.select("module", "version").distinct(), str(tmp_path / "out")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_by_module(rows, path, modules, ["n"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = lambda module: sorted(os.listdir(f"{path}/module={module}/version=v1"))
+    before = files("large")
+    assert len([f for f in before if f.endswith(".parquet")]) > 1  # a large module is spread over tasks
+    changed = rows.filter("module <> 'gone'").withColumn("n", -F.col("n"))
+    sinks.write_by_module(changed, path, modules.filter("module <> 'large'"), ["n"])
+    assert files("large") == before
+    back = sinks.read_by_module(spark, path, rows.schema)
+    assert back.schema == rows.schema
+    want = {("large", i) for i in range(3000) if i % 10 > 1} | {("small/x", -i) for i in range(0, 3000, 10)}
+    assert {(r.module, r.n) for r in back.collect()} == want and back.count() == len(want)
+    listed = {r.module: r.n_rows for r in sinks.manifest(spark, path).collect()}
+    assert listed == {"large": 2400, "small/x": 300, "gone": 0}

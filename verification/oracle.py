@@ -327,7 +327,10 @@ def oracle_sql() -> dict[str, str]:
             WHERE NOT EXISTS (SELECT 1 FROM named d WHERE d.repo_url LIKE 'http://%'
                               AND d.name = n.name AND d.version = n.version)""",
     }
-    out["version_delta_shared"] = out["version_delta"]
+    # What is written and read back is what was there.
+    out |= {"version_delta_shared": out["version_delta"], "overview_sink": out["overview"], "details_sink": out["module_details"],
+            "json_sink": out["occurrence_json"], "source_tree": out["source_files"],
+            "catalog_sink": f"SELECT * EXCLUDE (module_path) FROM ({_CATALOG})"}
     for vector in _NAMES:
         out[f"vec_{vector}"] = f"{_rows([p for p in _PLANTED if p[0] == vector])} SELECT * FROM occ"
     return out

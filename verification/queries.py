@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline import schema
+from seamline import schema, sinks
 from seamline.functions import text
 from seamline.operators import registry
 from seamline.operators.assembly import asm_functions
+from seamline.operators.bounds import work_folder
 from seamline.operators.brackets import bracket_counts, bracket_pairs
 from seamline.operators.packages import loc, packages
 from seamline.operators.segments import failures
@@ -21,6 +22,7 @@ from seamline.plans.ordering import in_walk_order
 from seamline.plans.shared_texts import shared_occurrences
 from seamline.sources import modules as module_side
 from seamline.sources import planted
+from seamline.sources.tree import read_tree, write_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -159,6 +161,46 @@ def custom_exec_rules(spark, sf):
     return occurrences(_files(spark, sf), ["exec"], exec_rules=rules)
 
 
+def _rerun(spark, df: DataFrame, modules: DataFrame, order=None, fmt="parquet") -> DataFrame:
+    """Written by module, then the first version of each module again, and read back."""
+    path = work_folder(spark, "sink")
+    sinks.write_by_module(df, path, modules, order, fmt)
+    sinks.write_by_module(df, path, modules.filter("version = 'v1'"), order, fmt)
+    return sinks.read_by_module(spark, path, df.schema, fmt)
+
+
+def overview_sink(spark, sf):
+    return _rerun(spark, _analysis(spark, sf).overview(), planted.modules(spark, sf))
+
+
+def details_sink(spark, sf):
+    return _rerun(spark, _analysis(spark, sf).details(), planted.modules(spark, sf), ["ord", "file_path", "line_number"])
+
+
+def json_sink(spark, sf):
+    return _rerun(spark, _analysis(spark, sf).json(), planted.modules(spark, sf), ["json"], "json")
+
+
+def catalog_sink(spark, sf):
+    """Catalogue rows as arrays of up to a thousand in text files, read by splits."""
+    path = work_folder(spark, "catalog")
+    rows = planted.catalog(spark, sf)
+    rows.groupBy(F.floor(F.col("dependents_count") / 1000)).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).select("value").write.text(path)
+    return module_side.read_large_catalog(spark, path)
+
+
+def tree_files(spark, sf):
+    """The corpus as files in directories, read back by the loader."""
+    root = work_folder(spark, "tree").removeprefix("file:")
+    files = _files(spark, sf).withColumn("dir", F.concat(F.lit(root + "/"), "dir"))
+    write_tree(files)
+    roots = files.select("module", "version", F.concat(F.lit(root + "/"), "module", F.lit("@"), "version").alias("root")).distinct()
+    at = len(root) + 2
+    return read_tree(roots).select(
+        "module", "version", F.expr(f"substring(dir, {at})").alias("dir"), F.expr(f"substring(path, {at})").alias("path"), "name", "ext",
+        F.md5("content").alias("content_md5"))
+
+
 def line_column(spark, sf):
     docs = planted.documents(spark, sf)
     half = F.expr("substring(text, 1, cast(length(text) div 2 as int))")
@@ -213,6 +255,11 @@ def queries() -> dict[str, Query]:
         "custom_detectors_and_rules": custom_detectors_and_rules,
         "equal_paths": equal_paths,
         "failures": ill_formed_files,
+        "overview_sink": overview_sink,
+        "details_sink": details_sink,
+        "json_sink": json_sink,
+        "catalog_sink": catalog_sink,
+        "source_tree": tree_files,
         "walk_order": walk_order,
         "shared_texts": shared_texts,
         "version_delta_shared": shared_deltas,
