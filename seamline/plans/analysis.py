@@ -43,10 +43,9 @@ class Analysis:
         """Occurrences with their places in the tree."""
         if self._share_texts:
             return settle(shared_occurrences(self.files, facts=self.facts, exec_rules=self._exec_rules, places=True))
-        total, largest = self.facts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
         return settle(occurrences(
-            self.files, facts=self.facts, exec_rules=self._exec_rules, partitions=self._text_partitions(total),
-            large_bytes=LARGE_BYTES if largest >= LARGE_BYTES else None, places=True))
+            self.files, facts=self.facts, exec_rules=self._exec_rules, partitions=self._text_partitions(),
+            large_bytes=LARGE_BYTES if self._volume[1] >= LARGE_BYTES else None, places=True))
 
     @property
     def occurrences(self) -> DataFrame:
@@ -60,11 +59,16 @@ class Analysis:
     def detail_pages(self, page_rows: int = PAGE_ROWS) -> DataFrame:
         return detail_pages(self.ordered, page_rows)
 
-    def _text_partitions(self, total: int) -> int:
-        """As asked for, else sized by the text, whose volume the facts tell."""
+    @cached_property
+    def _volume(self) -> tuple[int, int]:
+        """Bytes of all text and of the largest file, which the facts tell."""
+        return tuple(self.facts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first())
+
+    def _text_partitions(self) -> int:
+        """As asked for, else sized by the text."""
         if self._partitions is not None:
             return self._partitions
-        return partitions_for(total, int(self.files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return partitions_for(self._volume[0], int(self.files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     @cached_property
     def counts(self) -> DataFrame:
