@@ -13,7 +13,12 @@ The model grows with the corpus, so it is never in one place. Documents are deal
 Each part counts its own n-grams, once each, and sends keys and counts, packed by key range, to the range's bucket. A
 bucket adds up and replies to each part with the totals, a byte or so each, in the order of the part's keys. The part then has
 all counts that its documents ask for, and builds just that piece of the automaton. From order 3 on, a part asks only for
-n-grams whose two shorter ones occur elsewhere too: no other can. Nothing is pruned or sampled.
+n-grams whose two shorter ones occur elsewhere too: no other can. Nothing is pruned or sampled. A request or a reply holds at
+least one n-gram, so there are never more of them than n-grams in the parts; N and V are summed over buckets and come as two rows a part.
+
+A state is the longest context that ends at a position, at most order - 1 words. Long documents are therefore traversed
+in lanes of ``LANE`` tokens that run side by side: each begins order - 1 tokens early, from state 0, and is in the document's own
+state when its first token is scored.
 
 Skew: an n-gram is one entry per part, however frequent; buckets are ranges of a hash. Parts are ranges of a hash of
 the document. What a task holds is one part, or one bucket, which grow with neither the corpus nor any key's share.
@@ -40,6 +45,8 @@ STRENGTH = (500.0, 0.5)
 FOLDS = 10
 PRIOR = 0.1
 PART_BYTES = 6 << 20
+LANE = 512
+_TOKENS, _WORDS = 0, -1  # levels of the replies that carry N and V
 _END, _START = np.uint64(0x8F1BBCDC5A827999), np.uint64(0x6ED9EBA1CA62C1D6)
 
 COUNTED = "bucket int, part int, level int, n bigint, keys binary, counts binary"
@@ -170,9 +177,10 @@ class Part:
         """Takes in the totals that buckets have sent, in the order of what was asked of them."""
         rows = replies.to_pylist()
         for row in rows:
-            if row["level"] == 0:
-                self.all_tokens += row["n"]
-                self.all_words += int(unpack_counts(row["totals"], 1)[0])
+            if row["level"] == _TOKENS:
+                self.all_tokens = row["n"]
+            elif row["level"] == _WORDS:
+                self.all_words = row["n"]
         for level in range(1, len(self.keys) + 1):
             asked = None
             for row in rows:
@@ -202,7 +210,7 @@ class Part:
         for level in levels:
             some, cuts = self.asked(level, buckets)
             keys, own = self.keys[level - 1][some], self.own[level - 1][some]
-            for b in np.flatnonzero(np.diff(cuts)) if level > 1 else range(buckets):
+            for b in np.flatnonzero(np.diff(cuts)):
                 i, j = cuts[b], cuts[b + 1]
                 out.append({"bucket": int(b), "part": part, "level": level, "n": int(j - i),
                             "keys": pack_keys(keys[i:j]), "counts": pack_counts(own[i:j])})
@@ -216,6 +224,7 @@ class Automaton:
 
     def __init__(self, part: Part, strength: tuple[float, ...]):
         order = len(part.keys)
+        self.context = order - 1
         words = len(part.keys[0])
         p = (part.total[0] + PRIOR) / (part.all_tokens + PRIOR * (part.all_words + 1))
         self.base = np.log10(p)
@@ -271,10 +280,21 @@ class Automaton:
         self.target, self.weight = np.concatenate(targets)[by], np.concatenate(weights)[by]
         self.fail_to, self.fail_weight = np.concatenate(self.fail_to), np.concatenate(self.fail_weight)
 
-    def traverse(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log-probability of each document, all of them stepping from left to right together."""
+    def score(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lane: int = LANE) -> np.ndarray:
+        """Log-probability of each document, cut into lanes."""
+        lanes = -(-lengths // lane)
+        doc = np.repeat(np.arange(len(starts)), lanes)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        early = np.minimum(self.context, number * lane)
+        begin = number * lane - early
+        state = np.where(number > 0, 0, self.start)
+        gained = self.traverse(words, starts[doc] + begin, np.minimum(number * lane + lane, lengths[doc]) - begin, state, early)
+        return np.bincount(doc, weights=gained, minlength=len(starts))
+
+    def traverse(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, state: np.ndarray, early: np.ndarray) -> np.ndarray:
+        """Log-probability of each lane from its state, all of them stepping together; the ``early`` tokens only move the state."""
         scores = np.zeros(len(starts))
-        state = np.full(len(starts), self.start, dtype=np.int64)
+        state = state.astype(np.int64)
         order = np.argsort(-lengths, kind="stable")
         sizes = -lengths[order]
         for t in range(int(lengths.max()) if len(lengths) else 0):
@@ -291,7 +311,7 @@ class Automaton:
                 todo = todo[~hit]
                 gained[todo] += self.fail_weight[where[todo]]
                 where[todo] = self.fail_to[where[todo]]
-            scores[active] += gained + self.weight[arc]
+            scores[active] += np.where(t >= early[active], gained + self.weight[arc], 0.0)
             state[active] = self.target[arc]
         return scores
 
@@ -319,7 +339,7 @@ def _count_longer(level: int, buckets: int):
 
 
 def _reply(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """For each part the totals of its keys, in its order, and which of them others have; and the bucket's share of N and V."""
+    """For each part the totals of its keys, in its order, and which of them others have."""
     bucket, level = key[0].as_py(), key[1].as_py()
     rows = rows.to_pylist()
     keys = [unpack_keys(r["keys"]) for r in rows]
@@ -331,15 +351,23 @@ def _reply(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     for row, k in zip(rows, keys):
         mine = inverse[at: at + len(k)]
         at += len(k)
-        if len(k):
-            out.append({"part": row["part"], "level": level, "bucket": bucket, "n": len(k), "totals": pack_counts(total[mine]),
-                        "shared": np.packbits(several[mine]).tobytes()})
-        if level == 1:
-            out.append({"part": row["part"], "level": 0, "bucket": bucket, "n": int(total.sum()),
-                        "totals": pack_counts(np.array([(total > 0).sum()])), "shared": b""})
+        out.append({"part": row["part"], "level": level, "bucket": bucket, "n": len(k), "totals": pack_counts(total[mine]),
+                    "shared": np.packbits(several[mine]).tobytes()})
     return pa.Table.from_pylist(out, schema=_REPLIES)
 
 
+def _volume(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """A bucket's share of N and V: training tokens, and different words among them."""
+    tokens, words = 0, []
+    if key[1].as_py() == 1:
+        for row in rows.to_pylist():
+            counts = unpack_counts(row["counts"], row["n"])
+            tokens += int(counts.sum())
+            words.append(unpack_keys(row["keys"])[counts > 0])
+    return pa.table([pa.array([tokens], pa.int64()), pa.array([len(np.unique(np.concatenate(words))) if words else 0], pa.int64())],
+                    names=["tokens", "words"])
+
+
 def _score(order: int, strength: tuple[float, ...], buckets: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -355,7 +383,7 @@ def _score(order: int, strength: tuple[float, ...], buckets: int):
         n = part.lengths - 1
         base = np.bincount(part.doc[real], weights=automaton.base[word[real]], minlength=len(n))
         known = np.bincount(part.doc[real], weights=part.total[0][word[real]] > 0, minlength=len(n)).astype(np.int64)
-        score = automaton.traverse(word, part.starts + 1, n)
+        score = automaton.score(word, part.starts + 1, n)
         return pa.table([pa.array(part.doc_ids, pa.int64()), pa.array(part.held), pa.array(n, pa.int64()), pa.array(known),
                          pa.array(np.full(len(n), part.all_tokens, dtype=np.int64)), pa.array(base), pa.array(score)], schema=schema)
     return run
@@ -373,7 +401,14 @@ def language_scores(docs: DataFrame, order: int = ORDER, strength: tuple[float,
     def answered(counted: DataFrame) -> DataFrame:
         return counted.groupBy("bucket", "level").applyInArrow(_reply, REPLIES).repartition(parts, "part")
 
-    replies = answered(dealt.groupBy("part").applyInArrow(_count(order, parts), COUNTED))
+    counted = dealt.groupBy("part").applyInArrow(_count(order, parts), COUNTED)
+    volume = counted.groupBy("bucket", "level").applyInArrow(_volume, "tokens bigint, words bigint").agg(
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+    told = volume.select(F.array(F.struct(F.lit(_TOKENS).alias("level"), F.col("tokens").alias("n")),
+                                 F.struct(F.lit(_WORDS).alias("level"), F.col("words").alias("n"))).alias("both"),
+                         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).select("part", F.explode("both").alias("v")).select(
+        "part", "v.level", F.lit(0).alias("bucket"), "v.n", F.lit(None).cast("binary").alias("totals"), F.lit(None).cast("binary").alias("shared"))
+    replies = answered(counted).unionByName(told.repartition(parts, "part"))
     for level in range(3, order + 1):
         longer = dealt.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_count_longer(level, parts), COUNTED)
         replies = replies.unionByName(answered(longer))
