@@ -34,9 +34,10 @@ def license_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")),
                        F.when(number % 500 != 0, (number / 50).cast("bigint").cast("string")),
                        F.when(number % 50 == 0, F.concat(F.lit("LICENSE."), number)).otherwise(F.coalesce(number.cast("string"), F.lit("none"))))
-    files = docs.select(path.alias("path"), "text")
-    found = licenses.inherit(licenses.scan(files, licenses.fit(files)))
-    return found.withColumn("doc_id", F.try_to_number(F.regexp_extract("path", "([0-9]+)$", 1), F.lit("999999999999999999")).cast("bigint"))
+    files = docs.select("doc_id", path.alias("path"), "text")
+    with Scratch(spark) as scratch:
+        scanned = scratch.settle(licenses.scan(files, licenses.fit(files), "doc_id"), keep=True)
+    return licenses.inherit(scanned, "doc_id")
 
 
 def ngram_links(spark: SparkSession, sf: str) -> DataFrame:

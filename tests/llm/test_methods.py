@@ -64,7 +64,7 @@ def test_license_cosine_against_plain_python(spark):
     model = licenses.fit(files)
     split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
     df = Counter(w for t in texts for w in set(split(t)))
-    known = {w for _, t in licenses.TEMPLATES for w in split(t)}
+    known = {w for _, t in licenses.TEMPLATES + licenses.BODIES for w in split(t)}
     idf = lambda w: math.log((1 + len(texts)) / (1 + df[w] * (w in known))) + 1
 
     def cosine(a, b):
@@ -75,7 +75,9 @@ def test_license_cosine_against_plain_python(spark):
     for row in licenses.scan(files, model).collect():
         text = texts[int(row.path)]
         units = [u for u in re.split(r"\n|(?<=[.!?])(?=\s)", text) if split(u)] + [text]
+        units += [u for u in re.split(r"\n\W*\n|(?<=[.!?])(?=\s)", text) if split(u)]
         best = max(cosine(u, t) for u in units for _, t in licenses.TEMPLATES)
+        assert max(cosine(text, t) for _, t in licenses.BODIES) < licenses.BODY_THRESHOLD
         assert (row.own_license is not None) == (best >= licenses.THRESHOLD)
         if row.own_license:
             assert abs(row.own_score - best) < 1e-9
