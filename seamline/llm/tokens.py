@@ -9,7 +9,6 @@ whole. The store of seen pieces is bounded and starts anew when full, which chan
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,13 @@ from seamline.llm.words import digests_of_long, Words, mix, words_of
 STORE = 1_000_000
 CHUNK_BYTES = 3 << 20
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_MARKS = r".,;:!?|*&$%#()\-"
+GROUP = 2000  # parts the model gets as one text
+
+_LETTER, _MARK = 1, 2
+_LATIN = "".join(chr(c) for c in range(0xC0, 0x100) if chr(c) not in "×÷")
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = _LETTER
+_CLASS[[ord(c) for c in ".,;:!?|*&$%#()-"]] = _MARK
 _SPACES = r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
@@ -40,10 +44,10 @@ class Encoder:
         self.parts = Tokenizer(self.tokenizer.model)
         self.parts.pre_tokenizer = WhitespaceSplit()
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        plain = [chr(c) for c in range(0x20, 0x100) if re.match(f"[ {_LETTERS}{_MARKS}]", chr(c))]
-        self.as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in plain}
-        before = " ?" if spaced else ""
-        self.plain = re.compile(f"({before}[{_LETTERS}]+)?({before}[{_MARKS}]+)?")
+        self.byte_chars = np.zeros(256, dtype="<u4")  # the character that stands for each byte
+        for c in (chr(c) for c in range(0x20, 0x100) if _CLASS[c] or chr(c) == " " or chr(c) in _LATIN):
+            for byte, char in zip(c.encode(), level.pre_tokenize_str(c)[0][0]):
+                self.byte_chars[byte] = ord(char)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
@@ -99,7 +103,7 @@ class Encoder:
         if len(self.keys):
             new = self.keys[np.minimum(at, len(self.keys) - 1)] != unique
         if new.any():
-            self._learn(unique[new], at[new], self._pieces(chunk.data, unique[new], starts[first[new]], ends[first[new]], known))
+            self._learn(chunk.data, unique[new], at[new], starts[first[new]], ends[first[new]], known)
             at = np.searchsorted(self.keys, unique)
         slot = self.slots[at][inverse]
         lengths = self.begin[slot + 1] - self.begin[slot]
@@ -150,45 +154,71 @@ class Encoder:
         known[key] = piece
         return key
 
-    def _pieces(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: dict[int, str]) -> list[np.ndarray]:
-        """Ids of each new piece."""
-        out: list[np.ndarray | None] = [None] * len(keys)
-        raw = data.tobytes()
-        plain: list[str] = []
-        owner: list[int] = []
-        for k, (key, i, j) in enumerate(zip(keys.tolist(), starts.tolist(), ends.tolist())):
-            piece = known.get(key) or raw[i:j].decode()
-            m = self.plain.fullmatch(piece)
-            if m is None:
-                out[k] = self.whole(piece)
-                continue
-            for part in m.groups():
-                if part:
-                    plain.append((part if self.spaced else part.lower()).translate(self.as_bytes))
-                    owner.append(k)
-        if plain:
-            groups = [plain[i: i + 2000] for i in range(0, len(plain), 2000)]
-            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.parts.encode_batch_fast(
-                [" ".join(g) for g in groups], add_special_tokens=False)])
-            token_ends = np.cumsum(self.width[ids])
-            sizes = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain))
-            cuts = np.searchsorted(token_ends, np.cumsum(sizes)) + 1
-            owners = np.array(owner)
-            last = np.r_[np.flatnonzero(owners[1:] != owners[:-1]), len(owners) - 1]
-            at = 0
-            for k, end in zip(owners[last].tolist(), cuts[last].tolist()):
-                out[k] = ids[at:end]
-                at = end
-        return out
-
-    def _learn(self, keys: np.ndarray, at: np.ndarray, ids: list[np.ndarray]) -> None:
-        slots = len(self.begin) - 1 + np.arange(len(keys))
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    def _learn(self, data: np.ndarray, keys: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: dict[int, str]) -> None:
+        """Encodes new pieces and stores their ids; ``at``: where their keys go in the sorted ones."""
+        slots = np.empty(len(keys), dtype=np.int64)
+        plain, ids, sizes = self._plain(data, starts, ends)
+        if known:
+            named = np.isin(keys, np.fromiter(known, dtype=np.uint64, count=len(known)))
+            if named[plain].any():
+                keep = ~named[plain]
+                ids = ids[np.repeat(keep, sizes)]
+                plain, sizes = plain[keep], sizes[keep]
+        slots[plain] = len(self.begin) - 1 + np.arange(len(plain))
+        rest = np.setdiff1d(np.arange(len(keys)), plain, assume_unique=True)
+        others = [self.whole(known.get(int(keys[k])) or data[starts[k]: ends[k]].tobytes().decode()) for k in rest]
+        slots[rest] = len(self.begin) - 1 + len(plain) + np.arange(len(rest))
+        sizes = np.r_[sizes, np.fromiter(map(len, others), dtype=np.int64, count=len(others))]
         self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(sizes)]
-        self.pool = np.concatenate([self.pool, *ids])
+        self.pool = np.concatenate([self.pool, ids, *others])
         self.keys = np.insert(self.keys, at, keys)
         self.slots = np.insert(self.slots, at, slots)
 
+    def _plain(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which pieces are letters, then marks, with at most one space before them; their ids, and how many each has.
+
+        The bytes of all pieces are looked at as one column. A piece whose bytes have other classes, or letters behind
+        marks, is left to the whole encoder. Letters and marks are parts of their own, and the model gets many parts at a time.
+        """
+        lengths = ends - starts
+        first = np.cumsum(lengths) - lengths
+        raw = data[np.arange(lengths.sum()) + np.repeat(starts - first, lengths)]
+        if not len(raw):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
+        kind = _CLASS[raw]
+        lead = np.flatnonzero(raw == 0xC3)
+        lead = lead[lead + 1 < len(raw)]
+        second = raw[lead + 1]
+        latin = lead[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]
+        kind[latin] = kind[latin + 1] = _LETTER
+        begins = np.zeros(len(raw), dtype=bool)
+        begins[first] = True
+        if self.spaced:
+            space = first[(raw[first] == 0x20) & (lengths > 1)]
+            kind[space] = kind[space + 1]
+        turn = np.r_[True, kind[1:] != kind[:-1]]
+        wrong = (kind == 0) | (turn & (kind == _LETTER) & ~begins)
+        plain = np.flatnonzero(np.add.reduceat(wrong, first, dtype=np.int64) == 0)
+        if not len(plain):
+            return plain, np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
+        keep = np.zeros(len(lengths), dtype=bool)
+        keep[plain] = True
+        inside = np.repeat(keep, lengths)
+        cut = np.flatnonzero((turn | begins)[inside])  # where parts begin
+        owner = np.repeat(np.arange(len(plain)), lengths[plain])[cut]
+        letters = raw[inside]
+        if not self.spaced:
+            upper = (letters >= 0x41) & (letters <= 0x5A)
+            upper[1:] |= (letters[:-1] == 0xC3) & (letters[1:] >= 0x80) & (letters[1:] <= 0x9E)
+            letters = letters + np.uint8(0x20) * upper
+        text = np.insert(self.byte_chars[letters], cut[1:], 0x20)
+        bounds = np.r_[(cut + np.arange(len(cut)))[::GROUP], len(text) + 1]
+        groups = [text[i: j - 1].tobytes().decode("utf-32-le") for i, j in zip(bounds[:-1], bounds[1:])]
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.parts.encode_batch_fast(groups, add_special_tokens=False)])
+        part_ends = np.searchsorted(np.cumsum(self.width[ids]), np.r_[cut[1:], len(letters)]) + 1
+        last = np.r_[owner[1:] != owner[:-1], True]
+        return plain, ids, np.diff(part_ends[last], prepend=0)
+
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
