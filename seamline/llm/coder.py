@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import numpy as np
 
-LANES = 4096
+LANES = 8192
 LANE_IDS = 128
 
 _SCALE = 22  # order-0 sums are out of 2**22
 _WEIGHTS = 8  # mixing weights are out of 2**8
 _TOTAL = np.uint64(_SCALE + _WEIGHTS)
 _ADD = 24
-_EVERY = 8  # steps between updates of the order-0 sums and of the mixing weights
+_EVERY = 4  # steps between updates of the order-0 sums and of the mixing weights
 _TABLE = 18
 _BUCKET = 6  # order-0 sums are looked up by value in buckets of 2**6
 _TOP = np.uint64(1 << 48)
@@ -55,6 +55,7 @@ class _Model:
     def _settle(self) -> None:
         sums = np.r_[0, np.cumsum(self.counts)]
         self.sums = ((sums << _SCALE) // sums[-1]).astype(np.int32)
+        self.shares = np.diff(self.sums)
         within = np.bincount(self.sums[1:-1] >> _BUCKET, minlength=1 << (_SCALE - _BUCKET))
         self.below = np.r_[0, np.cumsum(within)]
         shares = ((1 << _WEIGHTS) - 4) * self.hits // self.seen
@@ -68,23 +69,25 @@ class _Model:
         entry = self.two_back.take(self.slot)
         self.p2 = (entry >> 4) & 0xFFFFFF
         self.t2 = (entry & 15) * (entry >> 28 == self.one)
-        self.case = self.t1 << 5 | self.t2 << 1 | (self.p1 == self.p2)
+        self.agree = self.p1 == self.p2
+        self.case = self.t1 << 5 | self.t2 << 1 | self.agree
         self.w1, self.w2 = self.share1.take(self.case), self.share2.take(self.case)
         self.w0 = (1 << _WEIGHTS) - self.w1 - self.w2
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each lane's id in the mixture."""
-        low, high = self.sums.take(ids), self.sums.take(ids + 1)
-        start = self.w0 * low + ((self.w1 * (self.p1 < ids) + self.w2 * (self.p2 < ids)) << _SCALE)
-        size = self.w0 * (high - low) + ((self.w1 * (self.p1 == ids) + self.w2 * (self.p2 == ids)) << _SCALE)
+        start = self.w0 * self.sums.take(ids) + ((self.w1 * (self.p1 < ids) + self.w2 * (self.p2 < ids)) << _SCALE)
+        size = self.w0 * self.shares.take(ids) + ((self.w1 * (self.p1 == ids) + self.w2 * (self.p2 == ids)) << _SCALE)
         return start, size
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id whose interval holds each lane's value."""
-        start1, size1 = self.interval(self.p1)
-        start2, size2 = self.interval(self.p2)
-        past1, past2 = value >= start1 + size1, value >= start2 + size2
-        rest = value - ((self.w1 * past1 + self.w2 * past2) << _SCALE)
+        full1, full2 = self.w1 << _SCALE, self.w2 << _SCALE
+        start1 = self.w0 * self.sums.take(self.p1) + full2 * (self.p2 < self.p1)
+        start2 = self.w0 * self.sums.take(self.p2) + full1 * (self.p1 < self.p2)
+        past1 = value >= start1 + self.w0 * self.shares.take(self.p1) + full1 + full2 * self.agree
+        past2 = value >= start2 + self.w0 * self.shares.take(self.p2) + full2 + full1 * self.agree
+        rest = value - full1 * past1 - full2 * past2
         # exact: a quotient is at least 1/256 away from the next integer unless it is one
         ids = self._holding(np.minimum((rest / self.w0).astype(np.int32), (1 << _SCALE) - 1))
         ids = np.where((value >= start1) & ~past1, self.p1, ids)
@@ -107,20 +110,20 @@ class _Model:
 
     def update(self, ids: np.ndarray) -> None:
         hit1, hit2 = self.p1 == ids, (self.p2 == ids) & (self.t2 > 0)
-        self.waiting.append((ids, self.case, hit1 & ~hit2, hit2))
+        self.waiting.append((ids, 3 * self.case + np.maximum(hit1, 2 * hit2)))
         self.one_back[self.one] = np.where(hit1 | (self.t1 > 1), self.p1, ids) << 4 | _TRUST.take(self.t1 + (hit1 << 4))
         self.two_back[self.slot] = (self.one << 28 | np.where(hit2 | (self.t2 > 1), self.p2, ids) << 4
                                     | _TRUST.take(self.t2 + (hit2 << 4)))
         self.one, self.two = ids, self.one
         if len(self.waiting) == _EVERY:
-            every, case, only1, hit2 = (np.concatenate(w) for w in zip(*self.waiting))
+            every, outcome = (np.concatenate(w) for w in zip(*self.waiting))
             self.waiting = []
             if self.counts.sum() + _ADD * len(every) >= 1 << _SCALE:
                 self.counts = (self.counts + 1) >> 1
             self.counts += _ADD * np.bincount(every, minlength=self.alphabet)
-            self.seen += np.bincount(case, minlength=512)
-            self.hits[0] += np.bincount(case[only1], minlength=512)
-            self.hits[1] += np.bincount(case[hit2], minlength=512)
+            outcomes = np.bincount(outcome, minlength=3 * 512).reshape(512, 3)
+            self.seen += outcomes.sum(axis=1)
+            self.hits += outcomes.T[1:]
             if self.seen.max() > 1 << 20:
                 self.seen = (self.seen >> 1) + 4
                 self.hits >>= 1
@@ -150,6 +153,14 @@ def _ready(low: np.ndarray, span: np.ndarray, among: np.ndarray | None) -> np.nd
     return some
 
 
+def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in ascending order, and the rank of each id among them."""
+    if not len(ids):
+        return np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int64)
+    there = np.bincount(ids) > 0
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[ids]
+
+
 def encode(ids: np.ndarray, alphabet: int) -> tuple[bytes, np.ndarray]:
     """The bytes of all lanes, one after another, and how many each lane has."""
     lanes, steps = shape(len(ids))

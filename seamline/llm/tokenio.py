@@ -7,9 +7,10 @@ ids unless the file ends, starts from a fresh model (``coder``) and carries chec
 decodes blocks in parallel, wherever they lie, and fails on a block that does not match its checksums.
 
 File format, little-endian. File: ``SLTF``, version (u32), then blocks. Block: ``SLTB``, documents (u32), ids (u64),
-alphabet (u32), bytes of the deflated tables (u32), bytes of the coded ids (u64), crc32 of the ids as unsigned 32-bit
+different ids (u32), bytes of the deflated tables (u32), bytes of the coded ids (u64), crc32 of the ids as unsigned 32-bit
 integers (u32), crc32 of tables and coded ids (u32); the tables: doc_id of each document (i64), whether it is null (u8),
-number of its ids (u32), bytes of each lane (u32); the coded ids, lane after lane.
+number of its ids (u32), the different ids of the block in ascending order (u32), bytes of each lane (u32); the coded ids,
+lane after lane. What is coded is an id's rank among the different ones, so that a model spends nothing on ids its block lacks.
 
 Defined results: null and empty texts are the end id alone. Rows without doc_id come first and keep a null doc_id; rows
 that share a doc_id follow each other by a hash of their text. An empty table gives no files and no rows. Other
@@ -36,26 +37,26 @@ from seamline.llm.tokens import encoder
 from seamline.llm.words import SLICE_ROWS
 
 END = 2
-BLOCK_IDS = 1 << 20
-FILE_MAGIC, BLOCK_MAGIC, VERSION = b"SLTF", b"SLTB", 1
+BLOCK_IDS = 1 << 21
+FILE_MAGIC, BLOCK_MAGIC, VERSION = b"SLTF", b"SLTB", 2
 _HEADER = struct.Struct("<4sIQIIQII")
 MANIFEST = "file string, block int, at bigint, bytes bigint, ids bigint, documents bigint"
 
 
 def pack_block(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One block: documents by id and length, and their ids one after another."""
-    alphabet = int(ids.max()) + 1 if len(ids) else 1
-    data, lanes = coder.encode(ids.astype(np.int64), alphabet)
+    different, ranks = coder.ranked(ids)
+    data, lanes = coder.encode(ranks, len(different))
     tables = zlib.compress(b"".join([
         np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(), bytes(d is None for d in doc_ids),
-        lengths.astype("<u4").tobytes(), lanes.astype("<u4").tobytes()]), 6)
-    return _HEADER.pack(BLOCK_MAGIC, len(doc_ids), len(ids), alphabet, len(tables), len(data),
+        lengths.astype("<u4").tobytes(), different.astype("<u4").tobytes(), lanes.astype("<u4").tobytes()]), 6)
+    return _HEADER.pack(BLOCK_MAGIC, len(doc_ids), len(ids), len(different), len(tables), len(data),
                         zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(data, zlib.crc32(tables))) + tables + data
 
 
 def unpack_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, lengths and ids of a block; ValueError if its checksums disagree."""
-    magic, documents, n, alphabet, table_bytes, data_bytes, ids_crc, bytes_crc = _HEADER.unpack_from(block)
+    magic, documents, n, different, table_bytes, data_bytes, ids_crc, bytes_crc = _HEADER.unpack_from(block)
     body = block[_HEADER.size: _HEADER.size + table_bytes + data_bytes]
     if magic != BLOCK_MAGIC or len(body) != table_bytes + data_bytes or zlib.crc32(body) != bytes_crc:
         raise ValueError("damaged block")
@@ -63,8 +64,9 @@ def unpack_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     doc_ids = np.frombuffer(tables, dtype="<i8", count=documents).tolist()
     null = tables[8 * documents: 9 * documents]
     lengths = np.frombuffer(tables, dtype="<u4", count=documents, offset=9 * documents).astype(np.int64)
-    lanes = np.frombuffer(tables, dtype="<u4", offset=13 * documents).astype(np.int64)
-    ids = coder.decode(body[table_bytes:], lanes, n, alphabet)
+    ids = np.frombuffer(tables, dtype="<u4", count=different, offset=13 * documents)
+    lanes = np.frombuffer(tables, dtype="<u4", offset=13 * documents + 4 * different).astype(np.int64)
+    ids = ids[coder.decode(body[table_bytes:], lanes, n, different)]
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("block decodes to other ids than were written")
     return [None if z else d for d, z in zip(doc_ids, null)], lengths, ids

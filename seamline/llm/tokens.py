@@ -95,7 +95,10 @@ class Encoder:
         keys = digests_of_long(chunk.data, starts, ends, keys)
         if not len(keys):
             return np.empty(0, dtype=np.uint32), np.zeros(chunk.n_texts, dtype=np.int64)
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        opens = np.r_[True, ordered[1:] != ordered[:-1]]
+        unique, one = ordered[opens], order[opens]  # a place of each key; any will do
         if len(self.keys) + len(unique) > self.store:
             self._clear()
         at = np.searchsorted(self.keys, unique)
@@ -103,9 +106,10 @@ class Encoder:
         if len(self.keys):
             new = self.keys[np.minimum(at, len(self.keys) - 1)] != unique
         if new.any():
-            self._learn(chunk.data, unique[new], at[new], starts[first[new]], ends[first[new]], known)
+            self._learn(chunk.data, unique[new], at[new], starts[one[new]], ends[one[new]], known)
             at = np.searchsorted(self.keys, unique)
-        slot = self.slots[at][inverse]
+        slot = np.empty(len(keys), dtype=np.int64)
+        slot[order] = np.repeat(self.slots[at], np.diff(np.r_[np.flatnonzero(opens), len(keys)]))
         lengths = self.begin[slot + 1] - self.begin[slot]
         ends_at = np.cumsum(lengths)
         place = np.arange(ends_at[-1]) + np.repeat(self.begin[slot] - (ends_at - lengths), lengths)
