@@ -81,26 +81,31 @@ def _writer(directory: str, tokenizer: str, end: int, block_ids: int):
         out, at, rows = None, 0, []
         docs: list[int | None] = []
         held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         size = 0
 
         def flush() -> None:
-            nonlocal out, at, docs, held, size
+            nonlocal out, at, docs, held, lengths, size
             if out is None:
                 out = fs.open_output_stream(part)
                 at = out.write(FILE_MAGIC + struct.pack("<I", VERSION))
-            block = pack_block(docs, np.array([len(h) for h in held]), np.concatenate(held))
+            block = pack_block(docs, np.concatenate(lengths), np.concatenate(held))
             rows.append((f"{directory}/{name}", len(rows), at, len(block), size, len(docs)))
             out.write(block)
             at += len(block)
-            docs, held, size = [], [], 0
+            docs, held, lengths, size = [], [], [], 0
 
         for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             ids, offsets = encode(batch.column(1))
-            for k, doc in enumerate(batch.column(0).to_pylist()):
-                one = np.append(ids[offsets[k]: offsets[k + 1]], np.uint32(end))
-                docs.append(doc)
-                held.append(one)
-                size += len(one)
+            ids, own, names = np.insert(ids, offsets[1:], np.uint32(end)), np.diff(offsets) + 1, batch.column(0).to_pylist()
+            ends, i = np.r_[0, np.cumsum(own)], 0
+            while i < len(own):
+                j = min(int(np.searchsorted(ends, ends[i] + block_ids - size)), len(own))  # fills the block or ends the slice
+                docs += names[i:j]
+                held.append(ids[ends[i]: ends[j]])
+                lengths.append(own[i:j])
+                size += int(ends[j] - ends[i])
+                i = j
                 if size >= block_ids:
                     flush()
         if docs:

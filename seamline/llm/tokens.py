@@ -21,7 +21,7 @@ from seamline.llm.words import digests_of_long, Words, mix, words_of
 STORE = 1_000_000
 CHUNK_BYTES = 3 << 20
 
-GROUP = 2000  # parts the model gets as one text
+GROUP = 200  # parts the model gets as one text
 
 _LETTER, _MARK = 1, 2
 _LATIN = "".join(chr(c) for c in range(0xC0, 0x100) if chr(c) not in "×÷")
@@ -42,6 +42,7 @@ class Encoder:
         self.spaced, self.store = spaced, store
         self.tokenizer = Tokenizer.from_file(path)
         self.parts = Tokenizer(self.tokenizer.model)
+        self.parts.model._resize_cache(0)  # a piece comes here once, so the model's own store only costs
         self.parts.pre_tokenizer = WhitespaceSplit()
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_chars = np.zeros(256, dtype="<u4")  # the character that stands for each byte

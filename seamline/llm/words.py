@@ -40,7 +40,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         inverse = pow(_BASE, -1, 2**64)
-        size = max(n, CHUNK_BYTES)
+        size = max(1 << (n - 1).bit_length(), CHUNK_BYTES)  # doubled, so seldom made anew
         tables = []
         for base in (_BASE, inverse):
             t = np.full(size, base, dtype=np.uint64)
