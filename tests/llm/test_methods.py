@@ -359,6 +359,34 @@ def test_nearest_recall(spark):
     assert len(found) == sum(names % 20 == 0) and hits / (20 * len(found)) >= 0.9
 
 
+def test_lists_of_a_query_follow_from_the_ratio():
+    rng = np.random.default_rng(5)
+    centroids = rng.normal(size=(300, 8))
+    index = ann.Index(centroids, ann.centroid_graph(centroids), 1.0, rng.integers(0, 80, 300), 0.15)
+    kept = wanted = 0
+    for q in rng.normal(size=(50, 8)):
+        visits = set(index.search(q, 400))
+        exact = set(np.flatnonzero(index.ratios(q, 400) <= 0.15 + 1e-9).tolist())
+        assert index.sizes[list(visits)].sum() >= 400 and len(visits) < 150
+        kept, wanted = kept + len(visits & exact), wanted + len(exact)
+    assert kept >= 0.99 * wanted
+    index.ratio = np.inf
+    assert sorted(index.search(centroids[0], 400)) == list(range(300))
+
+
+def test_nearest_recall_where_lists_are_left_out(spark):
+    x = np.random.default_rng(6).normal(size=(6000, 8))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    with Scratch(spark) as scratch:
+        rows = ann.nearest(table, scratch, lambda v: v % 60 == 0, k=10).collect()
+    hits = 0
+    for q in range(0, 6000, 60):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:10].tolist()) & {r.vec_id for r in rows if r.query_id == q})
+    assert hits >= 0.9 * 1000
+
+
 def test_nearest_by_inner_product_with_small_blocks(spark):
     x = clustered(150, 8, 2) * np.random.default_rng(3).uniform(0.1, 4, (150, 1))
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
