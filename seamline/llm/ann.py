@@ -6,7 +6,7 @@ inner product. Centroids come from k-means with a penalty for large lists, fitte
 of the number of vectors, so lists and the share of them that a query visits balance, up to ``MAX_LISTS``, which the sample
 can support; from about a million vectors on lists grow. A vector goes to the list of its
 nearest centroid and, near a boundary, to those of further centroids within ``(1 + CLOSURE)`` times that distance,
-at most ``COPIES``, leaving out a centroid that is nearer to one chosen before than to the vector. A query finds centroids by
+at most ``COPIES``. A query finds centroids by
 best-first search in a graph of centroids held in memory, and its lists by distance: the nearest lists that hold ``LEAST``
 members, and all within a ratio of the last of these. The ratio is measured, not set: a sample of at most ``TRIALS`` vectors
 by hash is compared with every member, and the ratio is the least one at which the lists hold the share
@@ -50,6 +50,7 @@ TRIALS = 500
 #: Members of the lists whose distance the ratio starts from; several times ``K``
 LEAST = 1000
 DEGREE = 16
+STRIDE = 8  # centroids whose neighbours are looked at together
 BLOCK = 2048
 SLICE = 256  # queries whose lists are found at a time
 BUFFER = 200_000
@@ -84,14 +85,15 @@ class Index:
         found: list[tuple[float, int]] = []
         members, far = 0, 0.0  # far: no less than the distance the ratio starts from
         while heap:
-            d, i = heapq.heappop(heap)
-            if members >= least and len(found) >= DEGREE and d > (1.1 + self.ratio) * far:
+            some = [heapq.heappop(heap) for _ in range(min(STRIDE, len(heap)))]
+            if members >= least and len(found) >= DEGREE and some[0][0] > (1.03 + self.ratio) * far:
                 break
-            found.append((d, i))
-            if members < least:
-                far = max(far, d)
-            members += self.sizes[i]
-            reach(self.graph[i])
+            found += some
+            for d, i in some:
+                if members < least:
+                    far = max(far, d)
+                members += self.sizes[i]
+            reach(np.unique(self.graph[[i for _, i in some]]))
         return self.chosen(sorted(found), least)
 
     def chosen(self, by_distance: list[tuple[float, int]], least: int) -> list[int]:
@@ -161,32 +163,21 @@ def centroid_graph(centroids: np.ndarray, degree: int = DEGREE) -> np.ndarray:
 
 def _lists(model, closure: float, copies: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        between: dict[int, np.ndarray] = {}
         for dim, batch in by_dim(batches):
             index = model.value[dim]
             c = index.centroids
-            if dim not in between:
-                between[dim] = np.sqrt(np.maximum((c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * c @ c.T, 0))
             step = max(1, CHUNK_VALUES // len(c))
             for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
                 x = lifted(_matrix(part.column("vector")), index.norm)
                 distance = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * x @ c.T, 0))
                 order = np.argsort(distance, axis=1, kind="stable")[:, :copies]
-                rows, lists = [], []
-                for i, near in enumerate(order):
-                    chosen: list[int] = []
-                    for j in near:
-                        if chosen and (distance[i, j] > (1 + closure) * distance[i, near[0]] + 1e-12
-                                       or any(between[dim][j, k] < distance[i, j] for k in chosen)):
-                            continue
-                        chosen.append(int(j))
-                    rows += [i] * len(chosen)
-                    lists += chosen
-                yield _in_lists(part, rows, lists)
+                near = np.take_along_axis(distance, order, 1)
+                rows, place = np.nonzero(near <= (1 + closure) * near[:, :1] + 1e-12)
+                yield _in_lists(part, rows, order[rows, place])
     return run
 
 
-def _in_lists(batch: pa.RecordBatch, rows: list[int], lists: list[int]) -> pa.RecordBatch:
+def _in_lists(batch: pa.RecordBatch, rows, lists) -> pa.RecordBatch:
     take = pa.array(rows, pa.int64())
     return pa.record_batch([batch.column("dim").take(take), pa.array(lists, pa.int32()), batch.column("vec_id").take(take),
                             batch.column("vector").take(take)], names=["dim", "list", "vec_id", "vector"])
