@@ -254,6 +254,8 @@ def _matrix(column) -> np.ndarray:
 
 def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` best different candidates of each query: largest score, then smallest id."""
+    if not len(query):
+        return query, vec, score
     order = np.lexsort((vec, -score, query))
     query, vec, score = query[order], vec[order], score[order]
     again = np.r_[False, (query[1:] == query[:-1]) & (vec[1:] == vec[:-1])]

@@ -374,6 +374,14 @@ def test_lists_of_a_query_follow_from_the_ratio():
     assert sorted(index.search(centroids[0], 400)) == list(range(300))
 
 
+def test_a_list_that_holds_only_the_query_itself_has_no_candidates():
+    v = np.ones(4).tobytes()
+    rows = {"dim": [4, 4], "list": [0, 0], "block": [0, 0], "queries": [0, 0], "query": [True, False], "vec_id": [20, 20], "vector": [v, v]}
+    assert sum(b.num_rows for b in ann._compare(5)(iter([pa.RecordBatch.from_pydict(rows)]))) == 0
+    none = np.empty(0, dtype=np.int64)
+    assert all(len(a) == 0 for a in ann.best(none, none, none.astype(float), 5))
+
+
 def test_nearest_recall_where_lists_are_left_out(spark):
     x = np.random.default_rng(6).normal(size=(6000, 8))
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
