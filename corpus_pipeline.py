@@ -50,7 +50,7 @@ STAGES = [
     ("best-fit packing", packed_sequences),
 ]
 
-#: No stage can be written in SQL; tests/llm/test_pipeline.py compares with a plain Python version.
+#: No stage can be written in SQL; a test in tests/llm/test_methods.py compares with a plain Python version.
 ORACLE_SQL = None
 
 
