@@ -345,8 +345,9 @@ def _resolve_by_key(events: DataFrame) -> DataFrame:
     """
     vector = F.col("vector")
     fields = [c for c in events.columns if c not in (*FILE_KEY, "key")]
-    # Rows without a key are groups of their own. A group is gathered once, not once for each of its rows.
-    group = F.coalesce("key", F.concat_ws(" ", F.lit("row"), F.col("pos").cast("string"), "vector"))
+    # Rows without a key are decided by themselves and go in groups of near places. A group is gathered once, not once for each of its rows.
+    near = F.shiftright(F.col("pos").cast("bigint"), 6).cast("string")
+    group = F.coalesce("key", F.concat_ws(" ", F.lit("row"), near))
     groups = events.groupBy(*FILE_KEY, group.alias("group")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "vector", *[c for c in fields if c not in ("pos", "vector")]))).alias("rows"),
         F.max(vector == "method").alias("declared"), F.min("stop").alias("stop_at"))

@@ -119,12 +119,29 @@ def _lexed_pieces(pieces: DataFrame) -> DataFrame:
         .withColumn("code", F.when(go.is_bracket(core), F.left("code", F.length("code") - 1))
                     .otherwise(F.col("code")))
         .withColumn("head", F.when(core == "(", F.regexp_extract("code", go.CHAIN_AT_END, 0)).otherwise(""))
-        .select(*keys, "note", "core", "code", "head",
+        .withColumn("chain", F.regexp_replace("head", r"\s+", ""))
+        # What the text alone tells is decided here, as the stage between the windows is near the size that is compiled.
+        .select(*keys, "note", "core", "code", go.newlines(F.col("head")).alias("head_lines"), "chain", _is_bare().alias("bare"),
+                _is_error().alias("error"), F.when(F.col("note").isNotNull(), _note_line()).alias("note_line"),
                 go.newlines(raw).alias("nl"),
-                F.regexp_replace("head", r"\s+", "").alias("chain"),
                 F.when(go.is_bracket(core), F.when(go.is_opener(core), 1).otherwise(-1)).otherwise(0).alias("step")))
 
 
+def _is_bare() -> Column:
+    """Whether the called chain is neither blank nor a keyword nor the name of a function declared here."""
+    chain, code = F.col("chain"), F.col("code")
+    declared = F.contains(code, F.lit("func")) & code.rlike(rf"{go.NOT_IN_IDENT}func\s++{go.IDENT}\s*+\z")
+    keyword = F.contains(F.lit(KEYWORD_LIST), F.concat(F.lit(" "), chain, F.lit(" ")))
+    return (chain != "") & ~declared & ~keyword
+
+
+def _is_error() -> Column:
+    """Whether the text is ill-formed by itself, whatever stands before it."""
+    code = F.col("code")
+    twice = F.contains(code, F.lit("=")) & code.rlike(go.DOUBLE_ASSIGNMENT)
+    return (F.col("core") == "error") | code.rlike(go.STRAY_CHARACTER) | twice
+
+
 def _may_be_note(raw: Column) -> Column:
     return (F.contains(raw, F.lit("//go:generate")) | F.contains(raw, F.lit("//line "))
             | F.contains(raw, F.lit("/*line ")))
@@ -217,7 +234,6 @@ def _with_statement_ends(rows: DataFrame) -> DataFrame:
     word = F.regexp_extract(rest, rf"^({DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])", 1)
     return (
         rows.withColumn("text", F.when(F.col("level") <= 1, statement_text()))
-        .withColumn("note_line", F.when(F.col("note").isNotNull(), _note_line()))
         .withColumn("starts", F.coalesce(text.rlike(go.STATEMENT_END), F.lit(False)))
         .withColumn("rest", F.when(
             F.col("starts"), F.regexp_extract(text, rf"(?s)^.*{go.STATEMENT_END}\s*+(.*)\z", 1)))
@@ -227,10 +243,7 @@ def _with_statement_ends(rows: DataFrame) -> DataFrame:
 def _with_calls(rows: DataFrame) -> DataFrame:
     core, code, level = F.col("core"), F.col("code"), F.col("level")
     chain = F.col("chain")
-    declared_here = code.rlike(rf"{go.NOT_IN_IDENT}func\s++{go.IDENT}\s*+\z")
     after_receiver = (F.col("prev") == ")") & code.rlike(rf"^[ \t]*+{go.IDENT}[ \t]*+\z")
-    keyword = F.contains(F.lit(KEYWORD_LIST), F.concat(F.lit(" "), chain, F.lit(" ")))
-    bare = (chain != "") & ~(declared_here | F.col("after_receiver") | keyword)
     function = F.when(F.contains(F.lit("(["), core) & (F.col("word") == "func"),
                       F.nullif(F.regexp_extract("rest", rf"^func\s++({go.IDENT})\s*+\z", 1), F.lit("")))
     # At the top level, `) Name (` without a statement end in between occurs in methods only.
@@ -239,8 +252,8 @@ def _with_calls(rows: DataFrame) -> DataFrame:
         rows
         .withColumn("selector", F.contains(chain, F.lit(".")))
         .withColumn("after_receiver", F.coalesce(after_receiver, F.lit(False)))
-        .withColumn("is_method", (core == "(") & (level == 0) & F.col("after_receiver") & ~keyword)
-        .withColumn("call_name", F.when(F.col("selector") | bare, F.substring_index(chain, ".", -1)))
+        .withColumn("is_method", (core == "(") & (level == 0) & F.col("after_receiver") & F.col("bare"))
+        .withColumn("call_name", F.when(F.col("selector") | (F.col("bare") & ~F.col("after_receiver")), F.substring_index(chain, ".", -1)))
         .withColumn("func_name", F.coalesce(method, function)))
 
 
@@ -267,7 +280,7 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
         F.col("text").rlike(rf"{go.STATEMENT_END}\s*+(?!(?:{DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])|;|\z)")
         | (go.is_opener(core) & (rest == "")))
     between = F.concat(F.replace(F.coalesce("prev", F.lit("")), F.lit(INTERFACE), F.lit("{")), code, F.when(go.is_bracket(core), core).otherwise(""))
-    error = ((core == "error") | code.rlike(go.STRAY_CHARACTER) | code.rlike(go.DOUBLE_ASSIGNMENT) | between.rlike(go.MALFORMED)
+    error = (F.col("error") | between.rlike(go.MALFORMED)
              | ((level == 0) & F.col("text").rlike(go.INCOMPLETE_SPEC))
              | ((level == 0) & F.contains("text", F.lit("import")) & F.col("text").rlike(go.LATE_IMPORT)) | (level + F.col("step") < 0) | stray
              | F.coalesce(F.col("note_line") == 0, F.lit(False)))
@@ -299,11 +312,11 @@ def _of_well_formed(framed: DataFrame) -> DataFrame:
     shifted = lambda c: (c + F.coalesce("shift", F.lit(0))).cast("int")
     return (
         framed.filter(_well_formed())
-        .withColumn("start_line", shifted(F.col("line") - go.newlines(F.col("head"))))
+        .withColumn("start_line", shifted(F.col("line") - F.col("head_lines")))
         .withColumn("decl_line", shifted(F.col("stmt_line")))
         .withColumn("line", shifted(F.col("line")))
-        .drop("paired", "first_decl", "last_import", "after_receiver", "text", "word", "head", "note_line", "tail", "step", "shift",
-              "stmt_line", "chunk"))
+        .drop("paired", "first_decl", "last_import", "after_receiver", "text", "word", "head_lines", "note_line", "tail", "step", "shift",
+              "stmt_line", "chunk", "bare", "error"))
 
 
 def _note_line() -> Column:
