@@ -89,11 +89,12 @@ _ENDS_STATEMENT = ["break", "continue", "fallthrough", "return"]
 _BEGINS_STATEMENT = _word(*[k for k in KEYWORDS if k not in (*_OPENS_TYPE, "range")])
 # Operators with an operand on either side that cannot begin one; `<-`, `+`, `-`, `*`, `&`, `!`, `^` and `~` can.
 _BINARY = r"(?:[/%|=>]|<(?!-)|[!*+\-^&]=|&&|&\^)"
-_OPERATOR_END = r"(?:[=*/%&|^<>!~]|(?<!\+)\+|(?<!-)-)"
+# What stands before a token is looked at behind it, so that the many characters that begin none are passed at once.
+_OPERATOR_END = r"(?:[=*/%&|^<>!~]|\+(?<!\+\+)|-(?<!--))"
 # What must not follow a keyword. A text may end where a directive stands.
 _AFTER_WORDS = [
     # Words that need something of their own behind them, and `else` also a brace before it in the same line.
-    rf"(?<!\}}[ \t\r]{{0,1000}})else{_END_OF_WORD}",
+    rf"else{_END_OF_WORD}(?<!\}}[ \t\r]{{0,1000}}else)",
     rf"else{_END_OF_WORD}{_SPACE}(?!\{{|\z|{_word('if')})",
     rf"{_word('struct', 'interface', 'select')}{_SPACE}(?!\{{|\z)",
     rf"{_word('map')}{_SPACE}(?!\[|\z)",
@@ -110,23 +111,24 @@ _AFTER_WORDS = [
 ]
 _MUST_NOT_FOLLOW = [
     # A bracket that opens: a binary operator, a comma, a step; a parenthesis or index also a brace.
-    rf"[(\[{{]{_SPACE}(?:{_BINARY}|,|\+\+|--|(?<=[(\[]\s{{0,1000}})\{{)",
+    rf"[(\[{{]{_SPACE}(?:{_BINARY}|,|\+\+|--|\{{(?<=[(\[]\s{{0,1000}}\{{))",
     # An operator or a selector's dot: a bracket that closes, a comma, a semicolon; an operator or comma also a binary operator.
-    rf"(?:{_OPERATOR_END}|(?<![0-9.])\.){_SPACE}[)\]}},;]",
+    rf"(?:{_OPERATOR_END}|\.(?<![0-9.]\.)){_SPACE}[)\]}},;]",
     rf"(?:{_OPERATOR_END}|[,:])\s++{_BINARY}",
     rf",{_SPACE}[,;]",
     # A literal: a name or another literal in the same line.
     rf"""["'`] {_BLANKS}[\p{{L}}\p{{Nd}}_"'`]""",
     rf"""[0-9](?<![\p{{L}}\p{{Nd}}_.][0-9])[0-9a-zA-Z_.]*+[ \t]++[\p{{L}}_"'`]""",
     # A name, literal or bracket that closes: a word that begins a statement in the same line, but for `else if`.
-    rf"""[ \t]++(?<=[\p{{L}}\p{{Nd}}_"'`)\]][ \t]{{1,1000}})(?<!else[ \t]{{1,1000}}){_BEGINS_STATEMENT}""",
-    rf"(?=[b-v])(?<![\p{{L}}\p{{Nd}}_])(?:{'|'.join(_AFTER_WORDS)})",
+    rf"""[ \t]++(?={_BEGINS_STATEMENT})(?<=[\p{{L}}\p{{Nd}}_"'`)\]][ \t]{{1,1000}})(?<!else[ \t]{{1,1000}})""",
+    rf"(?=[b-gimprstv])(?<![\p{{L}}\p{{Nd}}_])(?={_word(*KEYWORDS)})(?:{'|'.join(_AFTER_WORDS)})",
 ]
 MALFORMED = "|".join(_MUST_NOT_FOLLOW)
 
 
 def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    """Line ends of a text. Counted in bytes, which are known; characters would have to be counted, too."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def is_closer(c: Column) -> Column:
@@ -170,4 +172,4 @@ def well_encoded(text: Column) -> Column:
     """What the Go scanner accepts as text: UTF-8, no NUL, a byte-order mark only at the start."""
     return (F.is_valid_utf8(text)
             & ~F.contains(text, F.lit("\0"))
-            & ~F.contains(F.substring(text, 2, 2147483647), F.lit("\ufeff")))
+            & ~(F.contains(text, F.lit("\ufeff")) & F.contains(F.substring(text, 2, 2147483647), F.lit("\ufeff"))))

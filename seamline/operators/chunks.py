@@ -60,7 +60,7 @@ def _then(states: Column, function: Column) -> Column:
 
 def chunks(large: DataFrame, content: Column, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """module, version, dir, path, chunk, text: pieces of each file that begin in code, numbered from 0."""
-    cut = settle(large.select("module", "version", "dir", "path", F.posexplode(_cut(content, chunk_chars)).alias("n", "text")))
+    cut = settle(large.select("module", "version", "dir", "path", F.posexplode_outer(_cut(content, chunk_chars)).alias("n", "text")))
     functions = cut.select(*FILE_KEY, "n", _function(F.col("text")).alias("function"))
     # A few bytes for each piece: the functions of a file are composed in one row.
     composed = functions.groupBy(*FILE_KEY).agg(F.array_sort(F.collect_list(F.struct("n", "function"))).alias("each")).select(

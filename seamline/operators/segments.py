@@ -72,7 +72,7 @@ def lexed(files: DataFrame, partitions: int | None = None) -> DataFrame:
         (sources.repartition(n, *FILE_KEY) if n else sources)
         .select("module", "version", "dir", "path", F.regexp_extract_all(content, F.lit(go.SEGMENT), 0).alias("pieces"))
         .withColumn("paired", open_brackets(F.col("pieces")) == "")  # once a file, before its pieces become rows
-        .select("module", "version", "dir", "path", "paired", F.posexplode("pieces").alias("pos", "raw")))
+        .select("module", "version", "dir", "path", "paired", _each_piece().alias("pos", "raw")))
     return _lexed_pieces(pieces)
 
 
@@ -87,34 +87,39 @@ def lexed_in_chunks(large: DataFrame, chunk_chars: int = CHUNK_CHARS, partitions
         chunks(sources, content, chunk_chars).repartition(n, *FILE_KEY, "chunk")
         .select("module", "version", "dir", "path", "chunk", F.regexp_extract_all("text", F.lit(go.SEGMENT), 0).alias("pieces"))
         .withColumn("open", open_brackets(F.col("pieces")))
-        .select("module", "version", "dir", "path", "chunk", "open", F.posexplode("pieces").alias("at", "raw")))
+        .select("module", "version", "dir", "path", "chunk", "open", _each_piece().alias("at", "raw")))
     return _lexed_pieces(pieces.withColumn("pos", F.shiftleft(F.col("chunk").cast("bigint"), 32) + F.col("at")).drop("at"))
 
 
 def _all_pair(open_of_pieces: Column) -> Column:
     """Whether what is left open of the pieces of a file pairs across them."""
-    return open_brackets(F.flatten(F.transform(open_of_pieces, lambda left: F.split(F.reverse(left), "")))) == ""
+    return _left_open(F.flatten(F.transform(open_of_pieces, lambda left: F.split(F.reverse(left), "")))) == ""
+
+
+def _each_piece() -> Column:
+    """Position and text of each piece, of which no text has none. From the plain ``posexplode`` the optimiser infers a filter on the
+    number of pieces and takes it below the exchange, so that every text would be cut twice."""
+    return F.posexplode_outer("pieces")
 
 
 def _sources(files: DataFrame) -> tuple[DataFrame, Column]:
     """Go files that are text, and their content as it is lexed."""
     sources = files.filter((F.col("ext") == ".go") & go.well_encoded(F.col("content")))
-    return sources, F.concat(F.regexp_replace("content", "^\ufeff", ""), F.lit("\n"))
+    content = F.col("content")
+    return sources, F.concat(F.when(F.startswith(content, F.lit("\ufeff")), F.substring(content, 2, 2147483647)).otherwise(content), F.lit("\n"))
 
 
 def _lexed_pieces(pieces: DataFrame) -> DataFrame:
     raw, core = F.col("raw"), F.col("core")
-    last = F.right(raw, F.lit(1))
+    bracket = _bracket_at_end(raw)
     keys = [c for c in ("module", "version", "dir", "path", "chunk", "open", "paired", "pos") if c in pieces.columns]
     return (
         pieces
         .withColumn("note", F.when(
             _may_be_note(raw), F.nullif(F.regexp_extract(raw, go.SEGMENT_NOTE, 1), F.lit(""))))
         .withColumn("core", F.when(F.col("note").isNotNull(), "note")
-                    .when(go.is_bracket(last), last)
-                    .when(F.endswith(raw, F.lit('"reflect"')), "reflect")
-                    .when(last == "\n", "eof")
-                    .otherwise("error"))
+                    .otherwise(F.coalesce(bracket, F.when(F.endswith(raw, F.lit('"reflect"')), "reflect")
+                                          .when(F.endswith(raw, F.lit("\n")), "eof").otherwise("error"))))
         .withColumn("code", go.blank_literals(raw))
         .withColumn("code", F.when(go.is_bracket(core), F.left("code", F.length("code") - 1))
                     .otherwise(F.col("code")))
@@ -147,24 +152,49 @@ def _may_be_note(raw: Column) -> Column:
             | F.contains(raw, F.lit("/*line ")))
 
 
+def _bracket_at_end(raw: Column, otherwise: Column | None = None) -> Column:
+    """The bracket a piece ends with. Asked for one by one, as the last character of a long piece is only found by counting all."""
+    first, *more = "()[]{}"
+    out = F.when(F.endswith(raw, F.lit(first)), first)
+    for b in more:
+        out = out.when(F.endswith(raw, F.lit(b)), b)
+    return out if otherwise is None else out.otherwise(otherwise)
+
+
+#: How often pairs of neighbours are taken out at once before the brackets that are left are looked at one by one.
+PAIR_ROUNDS = 5
+
+
 def open_brackets(pieces: Column) -> Column:
     """The brackets that do not pair within a text of these pieces, last first; blank if all do.
 
-    A fold over the pieces: a closing bracket takes away the open one of its kind that came last, stays where none is open, and
+    A fold over the brackets: a closing bracket takes away the open one of its kind that came last, stays where none is open, and
     gives ``!`` for good where the last is of another kind or more than ``MAX_NESTING`` are open. What is left of two
-    texts, put together, leaves what is left of both.
+    texts, put together, leaves what is left of both. Pairs of neighbours change nothing, as long as there are too few brackets to nest
+    too deep, and are taken out before.
     """
-    def step(opened: Column, raw: Column) -> Column:
-        last, top = F.right(raw, F.lit(1)), F.left(opened, F.lit(1))
+    def bracket(raw: Column) -> Column:
         is_note = _may_be_note(raw) & (F.regexp_extract(raw, go.SEGMENT_NOTE, 1) != "")
+        own = _bracket_at_end(raw, F.when(raw == "!", "!").otherwise(""))
+        return F.when((own != "") & is_note, "").otherwise(own)
+
+    each = F.array_join(F.transform(pieces, bracket), "")
+    left = each
+    for _ in range(PAIR_ROUNDS):
+        left = F.regexp_replace(left, r"\(\)|\[\]|\{\}", "")
+    return _left_open(F.split(F.when(F.size(pieces) < MAX_NESTING, left).otherwise(each), ""))
+
+
+def _left_open(brackets: Column) -> Column:
+    def step(opened: Column, bracket: Column) -> Column:
+        top = F.left(opened, F.lit(1))
         return (
-            F.when(top == "!", opened).when(raw == "!", "!")
-            .when((raw == "") | ~go.is_bracket(last) | is_note, opened)
-            .when(top == F.when(go.is_closer(last), F.translate(last, ")]}", "([{")).otherwise("none"), F.substring(opened, 2, MAX_NESTING))
-            .when((go.is_opener(last) | (opened == "") | go.is_closer(top)) & (F.length(opened) < MAX_NESTING), F.concat(last, opened))
+            F.when((top == "!") | (bracket == ""), opened).when(bracket == "!", "!")
+            .when(top == F.when(go.is_closer(bracket), F.translate(bracket, ")]}", "([{")).otherwise("none"), F.substring(opened, 2, MAX_NESTING))
+            .when((go.is_opener(bracket) | (opened == "") | go.is_closer(top)) & (F.length(opened) < MAX_NESTING), F.concat(bracket, opened))
             .otherwise("!"))
 
-    return F.aggregate(pieces, F.lit(""), step)
+    return F.aggregate(brackets, F.lit(""), step)
 
 
 def structured(lexed_rows: DataFrame) -> DataFrame:

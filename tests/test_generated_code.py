@@ -42,3 +42,9 @@ def test_rows_without_key_share_groups(files_of):
     resolved = _resolve_by_key(events)
     assert sorted(r.line_number for r in resolved.collect()) == list(range(3, 63))
     assert "shiftright" in resolved._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_text_is_cut_once(files_of):
+    """No filter on the number of pieces is inferred and taken to the scan, where it would cut every text a second time."""
+    plan = occurrences(files_of({"m/a/a.go": TEXT}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1

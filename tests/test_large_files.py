@@ -76,3 +76,17 @@ def test_function_detectors_share_segments(files_of, monkeypatch):
             registry.unregister_detector(name)
     assert rows == [("constructor", 6), ("init", 2), ("one", 3), ("three", 5), ("two", 4)]
     assert len(calls) == 1
+
+
+def test_open_brackets_of_deep_texts(spark, monkeypatch):
+    """Pairs taken out at once leave what the fold over all brackets leaves, and too deep a nest stays one."""
+    def left(pieces):
+        return spark.range(1).select(segments.open_brackets(F.array(*[F.lit(p) for p in pieces]))).first()[0]
+    texts = ["(" * 9 + ")" * 9, "([{" * 4 + "}])" * 4, "([{" * 4 + "}])" * 3, "(" * 8 + "]" + ")" * 7, ")" * 3 + "(" * 3, "[()" * 7]
+    looked_at = [left([f"x{b}" for b in t]) for t in texts]
+    monkeypatch.setattr(segments, "PAIR_ROUNDS", 0)
+    assert looked_at == [left([f"x{b}" for b in t]) for t in texts] == ["", "", "{[(", "!", "((()))", "[" * 7]
+    monkeypatch.setattr(segments, "PAIR_ROUNDS", 5)
+    monkeypatch.setattr(segments, "MAX_NESTING", 3)
+    assert left(["("] * 4 + [")"] * 4) == "!" and left(["(", "(", ")", ")"]) == ""
+    assert left(["(", "//line a:1)", "x", ")"]) == ""
