@@ -17,7 +17,6 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from seamline.functions import golang as go
-from seamline.operators.bounds import settle
 from seamline.operators.chunks import CHUNK_CHARS, FILE_KEY, Running, chunks, scanned
 
 #: As many brackets open at once as the language's own parser takes.
@@ -83,7 +82,7 @@ def lexed_in_chunks(large: DataFrame, chunk_chars: int = CHUNK_CHARS, partitions
     """
     n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")) if partitions is None else partitions
     sources, content = _sources(large)
-    pieces = settle(
+    pieces = (
         chunks(sources, content, chunk_chars).repartition(n, *FILE_KEY, "chunk")
         .select("module", "version", "dir", "path", "chunk", F.regexp_extract_all("text", F.lit(go.SEGMENT), 0).alias("pieces"))
         .withColumn("open", open_brackets(F.col("pieces")))

@@ -90,3 +90,16 @@ def test_open_brackets_of_deep_texts(spark, monkeypatch):
     monkeypatch.setattr(segments, "MAX_NESTING", 3)
     assert left(["("] * 4 + [")"] * 4) == "!" and left(["(", "(", ")", ")"]) == ""
     assert left(["(", "//line a:1)", "x", ")"]) == ""
+
+
+def test_pieces_are_stored_three_times(files_of, monkeypatch):
+    """As cut, and before each of the two scans; the segments of a piece are not stored once more before they are told apart."""
+    from seamline.operators import chunks as module
+    stored, original = [], module.settle
+    counted = lambda df: stored.append(df.columns) or original(df)
+    monkeypatch.setattr(module, "settle", counted)
+    if hasattr(segments, "settle"):
+        monkeypatch.setattr(segments, "settle", counted)
+    files = files_of({"m/a/a.go": "package p\n" + "\n".join(DECLARATIONS[:4]) + "\n"})
+    assert structured(lexed_in_chunks(files, 40, 2)).count() == structured(lexed(files, 2)).count() > 0
+    assert len(stored) == 3
