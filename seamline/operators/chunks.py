@@ -92,11 +92,12 @@ def scanned(rows: DataFrame, columns: dict[str, Running], key: list[str] = FILE_
     """
     if "chunk" not in rows.columns:
         return rows.select("*", *[_within(r, key).alias(name) for name, r in columns.items()])
-    rows = settle(rows)
     piece = [*key, "chunk"]
-    summaries = rows.groupBy(*piece).agg(*[_summary(r).alias(name) for name, r in columns.items()])
+    ends = F.lead(F.lit(True), 1, False).over(W.partitionBy(*piece).orderBy("pos"))
+    own = settle(rows.select("*", *[_in_piece(r, piece).alias(name) for name, r in columns.items() if r.how != "each"], (~ends).alias("_ends")))
+    # The last row of a piece sums it up.
+    summaries = own.filter("_ends").select(*piece, *[_at_end(name, r).alias(name) for name, r in columns.items()])
     carried = summaries.select(*piece, *[_carried(name, r, key).alias(f"_{name}") for name, r in columns.items()])
-    own = rows.select("*", *[_within(r, piece).alias(name) for name, r in columns.items() if r.how in ("sum", "last", "last_before")])
     joined = own.join(carried, piece)
     for name, r in columns.items():
         before = F.col(f"_{name}")
@@ -106,7 +107,7 @@ def scanned(rows: DataFrame, columns: dict[str, Running], key: list[str] = FILE_
             joined = joined.withColumn(name, F.coalesce(F.col(name), before))
         else:
             joined = joined.withColumn(name, before)
-    return joined.drop(*[f"_{name}" for name in columns])
+    return joined.drop("_ends", *[f"_{name}" for name in columns])
 
 
 def _within(r: Running, keys: list[str]) -> Column:
@@ -119,13 +120,17 @@ def _within(r: Running, keys: list[str]) -> Column:
     }[r.how]()
 
 
-def _summary(r: Running) -> Column:
-    place = F.when(r.value.isNotNull(), F.col("pos"))
+def _in_piece(r: Running, piece: list[str]) -> Column:
+    """The running value within a piece, also of those that are of all rows of a file: the last row has that of the piece."""
+    frame = W.partitionBy(*piece).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     return {
-        "sum": lambda: F.sum(r.value), "last": lambda: F.max_by(r.value, place), "last_before": lambda: F.max_by(r.value, place),
-        "first": lambda: F.min_by(r.value, place), "min": lambda: F.min(r.value), "max": lambda: F.max(r.value), "bit_or": lambda: F.bit_or(r.value),
-        "each": lambda: F.max(r.value),
-    }[r.how]()
+        "first": lambda: F.first(r.value, ignorenulls=True).over(frame), "min": lambda: F.min(r.value).over(frame),
+        "max": lambda: F.max(r.value).over(frame), "bit_or": lambda: F.bit_or(r.value).over(frame),
+    }.get(r.how, lambda: _within(r, piece))()
+
+
+def _at_end(name: str, r: Running) -> Column:
+    return r.value if r.how == "each" else F.coalesce(r.value, F.col(name)) if r.how == "last_before" else F.col(name)
 
 
 def _carried(name: str, r: Running, key: list[str]) -> Column:

@@ -126,7 +126,7 @@ def _lexed_pieces(pieces: DataFrame) -> DataFrame:
         .withColumn("chain", F.regexp_replace("head", r"\s+", ""))
         # What the text alone tells is decided here, as the stage between the windows is near the size that is compiled.
         .select(*keys, "note", "core", "code", go.newlines(F.col("head")).alias("head_lines"), "chain", _is_bare().alias("bare"),
-                _is_error().alias("error"), F.when(F.col("note").isNotNull(), _note_line()).alias("note_line"),
+                _is_error().alias("error"), _package_clause().alias("clause"), F.when(F.col("note").isNotNull(), _note_line()).alias("note_line"),
                 go.newlines(raw).alias("nl"),
                 F.when(go.is_bracket(core), F.when(go.is_opener(core), 1).otherwise(-1)).otherwise(0).alias("step")))
 
@@ -139,6 +139,12 @@ def _is_bare() -> Column:
     return (chain != "") & ~declared & ~keyword
 
 
+def _package_clause() -> Column:
+    """The name in a package clause that begins the text, if one does."""
+    code = F.col("code")
+    return F.when(F.contains(code, F.lit("package")), F.regexp_extract(code, rf"^\s*+package\s++({go.IDENT})[ \t\r]*+(?:[;\n]|\z)", 1))
+
+
 def _is_error() -> Column:
     """Whether the text is ill-formed by itself, whatever stands before it."""
     code = F.col("code")
@@ -313,8 +319,7 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
              | ((level == 0) & F.col("text").rlike(go.INCOMPLETE_SPEC))
              | ((level == 0) & F.contains("text", F.lit("import")) & F.col("text").rlike(go.LATE_IMPORT)) | (level + F.col("step") < 0) | stray
              | F.coalesce(F.col("note_line") == 0, F.lit(False)))
-    own_package = F.regexp_extract(code, rf"^\s*+package\s++({go.IDENT})[ \t\r]*+(?:[;\n]|\z)", 1)
-    first_code = F.when((level == 0) & code.rlike(r"\S"), own_package)
+    first_code = F.when((level == 0) & code.rlike(r"\S"), F.coalesce("clause", F.lit("")))
     is_new = F.startswith("call_name", F.lit("New"))
     flags = {
         ERROR: error,
@@ -345,7 +350,7 @@ def _of_well_formed(framed: DataFrame) -> DataFrame:
         .withColumn("decl_line", shifted(F.col("stmt_line")))
         .withColumn("line", shifted(F.col("line")))
         .drop("paired", "first_decl", "last_import", "after_receiver", "text", "word", "head_lines", "note_line", "tail", "step", "shift",
-              "stmt_line", "chunk", "bare", "error"))
+              "stmt_line", "chunk", "bare", "error", "clause"))
 
 
 def _note_line() -> Column:

@@ -9,6 +9,7 @@ from seamline.operators.chunks import chunks
 from seamline.operators.segments import lexed, lexed_in_chunks, structured
 from seamline.plans.occurrences import occurrences
 from tests.test_detectors import CASES, ILL_FORMED, WELL_FORMED
+from tests.test_generated_code import LARGEST_METHOD, method_sizes
 
 DECLARATIONS = [
     'func a() {\n\texec.Command("x")\n\tt.Run()\n}', "var s = `\n}\nfunc init() {}\n}\n`", "/*\n}\nvar hidden = f()\n}\n*/", "func init() {\n\tNew()\n}",
@@ -93,13 +94,25 @@ def test_open_brackets_of_deep_texts(spark, monkeypatch):
 
 
 def test_pieces_are_stored_three_times(files_of, monkeypatch):
-    """As cut, and before each of the two scans; the segments of a piece are not stored once more before they are told apart."""
+    """As cut, and in each of the two scans; the segments of a piece are not stored once more before they are told apart, and no
+    stage that fills a stored table is too large for the JIT compiler."""
     from seamline.operators import chunks as module
     stored, original = [], module.settle
-    counted = lambda df: stored.append(df.columns) or original(df)
+    counted = lambda df: stored.append(max(method_sizes(df))) or original(df)
     monkeypatch.setattr(module, "settle", counted)
     if hasattr(segments, "settle"):
         monkeypatch.setattr(segments, "settle", counted)
     files = files_of({"m/a/a.go": "package p\n" + "\n".join(DECLARATIONS[:4]) + "\n"})
-    assert structured(lexed_in_chunks(files, 40, 2)).count() == structured(lexed(files, 2)).count() > 0
-    assert len(stored) == 3
+    files.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert structured(lexed_in_chunks(files, 40, 2)).count() == structured(lexed(files, 2)).count() > 0
+    finally:
+        files.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(stored) == 3 and max(stored) < LARGEST_METHOD
+
+
+def test_last_rows_sum_up_pieces(files_of):
+    """Each piece is summed up by its last row: no rows are sorted once more to be grouped by piece."""
+    files = files_of({"m/a/a.go": "package p\n" + "\n".join(DECLARATIONS[:4]) + "\n"})
+    plan = structured(lexed_in_chunks(files, 40, 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "Aggregate" not in plan
