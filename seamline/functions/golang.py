@@ -109,7 +109,7 @@ _AFTER_WORDS = [
     # Two keywords: only a type, `else if` and `for range`.
     rf"{_word(*[k for k in KEYWORDS if k not in (*_ENDS_STATEMENT, 'else')])}\s++{_BEGINS_STATEMENT}",
 ]
-_MUST_NOT_FOLLOW = [
+_AFTER_SIGNS = [
     # A bracket that opens: a binary operator, a comma, a step; a parenthesis or index also a brace.
     rf"[(\[{{]{_SPACE}(?:{_BINARY}|,|\+\+|--|\{{(?<=[(\[]\s{{0,1000}}\{{))",
     # An operator or a selector's dot: a bracket that closes, a comma, a semicolon; an operator or comma also a binary operator.
@@ -121,7 +121,13 @@ _MUST_NOT_FOLLOW = [
     rf"""[0-9](?<![\p{{L}}\p{{Nd}}_.][0-9])[0-9a-zA-Z_.]*+[ \t]++[\p{{L}}_"'`]""",
     # A name, literal or bracket that closes: a word that begins a statement in the same line, but for `else if`.
     rf"""[ \t]++(?={_BEGINS_STATEMENT})(?<=[\p{{L}}\p{{Nd}}_"'`)\]][ \t]{{1,1000}})(?<!else[ \t]{{1,1000}})""",
-    rf"(?=[b-gimprstv])(?<![\p{{L}}\p{{Nd}}_])(?={_word(*KEYWORDS)})(?:{'|'.join(_AFTER_WORDS)})",
+]
+# Most characters begin nothing of this and are passed by one look at a table, which a class of single characters is, not one of
+# ranges: first all that a sign, digit or blank begins, then the first letters of keywords, most of which lie within a word.
+_SIGNS = r"""[(\[{=*/%&|^<>!~+\-.,:"'`0123456789 \t]"""
+_MUST_NOT_FOLLOW = [
+    rf"(?={_SIGNS})(?:{'|'.join(_AFTER_SIGNS)})",
+    rf"(?=[bcdefgimprstv])(?<![abcdefghijklmnopqrstuvwxyz])(?<![\p{{L}}\p{{Nd}}_])(?={_word(*KEYWORDS)})(?:{'|'.join(_AFTER_WORDS)})",
 ]
 MALFORMED = "|".join(_MUST_NOT_FOLLOW)
 

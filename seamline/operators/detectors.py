@@ -30,7 +30,7 @@ from seamline.operators.assembly import asm_functions
 from seamline.operators.chunks import CHUNK_CHARS
 from seamline.operators.segments import (
     ANY_CHAIN, FILE_KEY, INTERFACE, INTERFACES, METHODS, NEW_CHAIN, OWN_CALL, OWN_NEW, continues_brackets,
-    first_in_group, in_file, own_statement, segments, statement_text)
+    first_in_group, in_file, may_be_method, own_statement, segments, statement_text)
 
 DIR_KEY = ["module", "version", "dir"]
 PLACE = ["path", "pos"]
@@ -158,7 +158,7 @@ def _conditions(wanted: list[str], custom: dict[str, Found], by_table: bool) ->
         "plugin": lambda: chain == "plugin.Open",
         "exec": lambda: (chain.rlike(r"^[^.]++\.[^.]++\z") if by_table
                          else chain.isin([f"{p}.{f}" for p, f in schema.EXEC_RULES])),
-        "interface": lambda: selector & in_file(METHODS),
+        "interface": lambda: selector & may_be_method(),
         "method": lambda: F.col("is_method"),
         "assembly": lambda: call.isNotNull() & ~selector,
         "global": lambda: _spec_part(),
@@ -349,7 +349,7 @@ def _resolve_by_key(events: DataFrame) -> DataFrame:
     near = F.shiftright(F.col("pos").cast("bigint"), 6).cast("string")
     group = F.coalesce("key", F.concat_ws(" ", F.lit("row"), near))
     groups = events.groupBy(*FILE_KEY, group.alias("group")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "vector", *[c for c in fields if c not in ("pos", "vector")]))).alias("rows"),
+        F.sort_array(F.collect_list(F.struct("pos", "vector", *[c for c in fields if c not in ("pos", "vector")]))).alias("rows"),
         F.max(vector == "method").alias("declared"), F.min("stop").alias("stop_at"))
     within = F.filter("rows", lambda r: F.coalesce(r["pos"] <= F.col("stop_at"), F.lit(True)))
     groups = groups.withColumn("rows", within).withColumn("first_pos", F.col("rows")[0]["pos"]).withColumn(

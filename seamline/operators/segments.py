@@ -127,6 +127,7 @@ def _lexed_pieces(pieces: DataFrame) -> DataFrame:
         # What the text alone tells is decided here, as the stage between the windows is near the size that is compiled.
         .select(*keys, "note", "core", "code", go.newlines(F.col("head")).alias("head_lines"), "chain", _is_bare().alias("bare"),
                 _is_error().alias("error"), _package_clause().alias("clause"), F.when(F.col("note").isNotNull(), _note_line()).alias("note_line"),
+                _name_bit().alias("name_bit"),
                 go.newlines(raw).alias("nl"),
                 F.when(go.is_bracket(core), F.when(go.is_opener(core), 1).otherwise(-1)).otherwise(0).alias("step")))
 
@@ -139,6 +140,13 @@ def _is_bare() -> Column:
     return (chain != "") & ~declared & ~keyword
 
 
+def _name_bit() -> Column:
+    """One of the bits of ``file_flags`` behind those that have names, by the last name of the called chain; NULL if there is none."""
+    name = F.substring_index("chain", ".", -1)
+    place = F.pmod(F.xxhash64(name), F.lit(NAME_BITS)).cast("int") + FIRST_NAME_BIT
+    return F.when(F.col("chain") != "", F.call_function("shiftleft", F.lit(1).cast("bigint"), place))
+
+
 def _package_clause() -> Column:
     """The name in a package clause that begins the text, if one does."""
     code = F.col("code")
@@ -248,12 +256,19 @@ def _with_nesting(rows: DataFrame) -> DataFrame:
 
 # Bits of ``file_flags``: what occurs anywhere in the file.
 ERROR, METHODS, NEW_CHAIN, ANY_CHAIN, INTERFACES, OWN_NEW, OWN_CALL = (1 << i for i in range(7))
+# The bits behind them tell the names of the methods declared in the file, several names to a bit.
+FIRST_NAME_BIT, NAME_BITS = 7, 55
 
 
 def in_file(flag: int) -> Column:
     return F.col("file_flags").bitwiseAND(flag) != 0
 
 
+def may_be_method() -> Column:
+    """Whether the called name may be that of a method declared in the file. If not, it is none; if so, another name may have its bit."""
+    return F.coalesce(F.col("file_flags").bitwiseAND(F.col("name_bit")) != 0, F.lit(False))
+
+
 def first_in_group() -> Column:
     """Whether the text follows an opening bracket or starts the file."""
     return F.coalesce(go.is_opener(F.col("prev")), F.lit(True))
@@ -330,7 +345,7 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
         OWN_NEW: (F.col("call_name") == "New") & own_statement(),
         OWN_CALL: own_statement(),
     }
-    bits = sum((F.when(c, bit).otherwise(0) for bit, c in flags.items()), F.lit(0))
+    bits = sum((F.when(c, bit).otherwise(0) for bit, c in flags.items()), F.when(F.col("is_method"), F.col("name_bit")).otherwise(0))
     declares = F.col("word").isin("var", "const", "type", "func")
     imports = (level == 0) & F.contains("text", F.lit("import")) & F.col("text").rlike(go.IMPORT)
     return scanned(rows, {

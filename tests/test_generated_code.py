@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seamline.operators.detectors import _resolve_by_key, detect
+from seamline.functions import golang
+from seamline.operators.detectors import _candidates, _resolve_by_key, detect
+from seamline.operators.segments import segments
 from seamline.plans.occurrences import occurrences
 
 LARGEST_METHOD = 8000  # HotSpot's limit, in bytes
@@ -48,3 +50,23 @@ def test_every_text_is_cut_once(files_of):
     """No filter on the number of pieces is inferred and taken to the scan, where it would cut every text a second time."""
     plan = occurrences(files_of({"m/a/a.go": TEXT}))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_calls_of_names_no_method_has_are_left_out_before_grouping(spark, files_of):
+    """Of calls in a file with methods only those of their names, or of names with the same bit, are candidates for ``interface``."""
+    calls = "\n".join(f"\tx.Other{i}()" for i in range(200))
+    files = files_of({"m/a/a.go": f"package p\nfunc (t T) Run() {{}}\nfunc f() {{\n\tt.Run()\n\tt.Run().Run()\n{calls}\n}}\n"})
+    candidates = _candidates(segments(files), ["interface"], {}, False).filter("vector = 'interface'")
+    names = [r.call_name for r in candidates.collect()]
+    assert names.count("Run") == 3 and len(names) < 30
+    assert [(r.method_invoked, r.line_number) for r in detect(files, ["interface"]).orderBy("pos").collect()] == [("Run", 4), ("Run", 5), ("Run", 5)]
+
+
+def test_tokens_that_cannot_be_neighbours_are_found_by_their_first_character(spark):
+    """No text that a rule takes for ill-formed is passed by the looks at first characters."""
+    rules = [*golang._AFTER_SIGNS, rf"(?<![\p{{L}}\p{{Nd}}_])(?:{'|'.join(golang._AFTER_WORDS)})"]
+    tokens = [*"()[]{}=*/%&|^<>!~+-.,;:\"'`7xé_\n", " ", "\t", "5 x", "<-", ":=", "&^", *golang.KEYWORDS]
+    texts = [a + blank + b + blank + c for a in tokens for b in tokens for c in ("", "x", ")", "}", "if") for blank in ("", " ")]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        F.col("text").rlike("|".join(rules)).alias("by_rules"), F.col("text").rlike(golang.MALFORMED).alias("found")).collect()
+    assert any(r.found for r in found) and all(r.by_rules == r.found for r in found)
