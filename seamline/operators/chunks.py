@@ -13,7 +13,7 @@ few rows of a file are scanned, and what comes before a piece is added to the ru
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -85,13 +85,18 @@ class Running:
     combine: Callable[[Column], Column] | None = None
 
 
-def scanned(rows: DataFrame, columns: dict[str, Running], key: list[str] = FILE_KEY) -> DataFrame:
-    """The rows with running values by ``pos`` over their file, which ``key`` tells.
+def scanned(rows: DataFrame, columns: dict[str, Running], key: list[str] = FILE_KEY, spent: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with running values by ``pos`` over their file, which ``key`` tells, without the ``spent`` columns.
 
-    Rows with a column ``chunk`` are scanned in two levels and may lie anywhere; others by a window over their file.
+    Rows with a column ``chunk`` are scanned in two levels and may lie anywhere; others by a window over their file. A window takes a
+    row apart and puts it together again column by column, so what it only passes on goes through it as one struct.
     """
     if "chunk" not in rows.columns:
-        return rows.select("*", *[_within(r, key).alias(name) for name, r in columns.items()])
+        passed = [c for c in rows.columns if c not in (*key, "pos", *spent)]
+        values = {name: replace(r, value=F.col(f"_{name}")) for name, r in columns.items()}
+        packed = rows.select(*key, "pos", F.struct(*passed).alias("_passed"), *[r.value.alias(f"_{name}") for name, r in columns.items()])
+        return packed.select(*key, "pos", "_passed", *[_within(r, key).alias(name) for name, r in values.items()]).select(
+            *key, "pos", "_passed.*", *columns)
     piece = [*key, "chunk"]
     ends = F.lead(F.lit(True), 1, False).over(W.partitionBy(*piece).orderBy("pos"))
     own = settle(rows.select("*", *[_in_piece(r, piece).alias(name) for name, r in columns.items() if r.how != "each"], (~ends).alias("_ends")))
@@ -107,7 +112,7 @@ def scanned(rows: DataFrame, columns: dict[str, Running], key: list[str] = FILE_
             joined = joined.withColumn(name, F.coalesce(F.col(name), before))
         else:
             joined = joined.withColumn(name, before)
-    return joined.drop("_ends", *[f"_{name}" for name in columns])
+    return joined.drop("_ends", *[f"_{name}" for name in columns], *spent)
 
 
 def _within(r: Running, keys: list[str]) -> Column:

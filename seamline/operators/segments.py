@@ -123,7 +123,7 @@ def _lexed_pieces(pieces: DataFrame) -> DataFrame:
         .withColumn("code", F.when(go.is_bracket(core), F.left("code", F.length("code") - 1))
                     .otherwise(F.col("code")))
         .withColumn("head", F.when(core == "(", F.regexp_extract("code", go.CHAIN_AT_END, 0)).otherwise(""))
-        .withColumn("chain", F.regexp_replace("head", r"\s+", ""))
+        .withColumn("chain", F.when(F.col("head") == "", "").otherwise(F.regexp_replace("head", r"\s+", "")))
         # What the text alone tells is decided here, as the stage between the windows is near the size that is compiled.
         .select(*keys, "note", "core", "code", go.newlines(F.col("head")).alias("head_lines"), "chain", _is_bare().alias("bare"),
                 _is_error().alias("error"), _package_clause().alias("clause"), F.when(F.col("note").isNotNull(), _note_line()).alias("note_line"),
@@ -157,7 +157,7 @@ def _is_error() -> Column:
     """Whether the text is ill-formed by itself, whatever stands before it."""
     code = F.col("code")
     twice = F.contains(code, F.lit("=")) & code.rlike(go.DOUBLE_ASSIGNMENT)
-    return (F.col("core") == "error") | code.rlike(go.STRAY_CHARACTER) | twice
+    return (F.col("core") == "error") | ((code != "") & code.rlike(go.STRAY_CHARACTER)) | twice
 
 
 def _may_be_note(raw: Column) -> Column:
@@ -246,12 +246,12 @@ def _with_nesting(rows: DataFrame) -> DataFrame:
     scan = scanned(rows.withColumn("tail", tail), {
         **across,
         "lines": Running("sum", F.col("nl")), "nested": Running("sum", F.col("step")),
-        "prev": Running("last_before", F.col("tail")), "line_ended": Running("last_before", line_ended)})
+        "prev": Running("last_before", F.col("tail")), "line_ended": Running("last_before", line_ended)}, spent=("nl", "open"))
     return (
         scan.withColumn("line", (F.col("lines") + 1).cast("int"))
         .withColumn("level", (F.col("nested") - F.col("step")).cast("int"))
         .withColumn("prev", F.when(F.col("line_ended") & ~go.is_opener(prev), F.concat(prev, F.lit("\n"))).otherwise(prev))
-        .drop("nl", "line_ended", "lines", "nested", "open"))
+        .drop("line_ended", "lines", "nested"))
 
 
 # Bits of ``file_flags``: what occurs anywhere in the file.
@@ -279,12 +279,17 @@ def statement_text() -> Column:
     return F.concat(F.when(first_in_group(), ";").otherwise(F.col("prev")), "code")
 
 
+def _may_end_statement(text: Column) -> Column:
+    """Whether there is what every match of ``STATEMENT_END`` ends with."""
+    return F.contains(text, F.lit(";")) | F.contains(text, F.lit("\n"))
+
+
 def _with_statement_ends(rows: DataFrame) -> DataFrame:
     text, rest = F.col("text"), F.col("rest")
     word = F.regexp_extract(rest, rf"^({DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])", 1)
     return (
         rows.withColumn("text", F.when(F.col("level") <= 1, statement_text()))
-        .withColumn("starts", F.coalesce(text.rlike(go.STATEMENT_END), F.lit(False)))
+        .withColumn("starts", F.coalesce(_may_end_statement(text) & text.rlike(go.STATEMENT_END), F.lit(False)))
         .withColumn("rest", F.when(
             F.col("starts"), F.regexp_extract(text, rf"(?s)^.*{go.STATEMENT_END}\s*+(.*)\z", 1)))
         .withColumn("word", F.when((F.col("level") == 0) & (rest != ""), word)))
@@ -327,11 +332,14 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
     stmt = {"stmt": head, "stmt_line": F.col("line") - go.newlines(rest), "stmt_pos": F.col("pos")}
     stmt = {k: F.when((level == 0) & (rest != ""), c) for k, c in stmt.items()}
     stray = (level == 0) & (
-        F.col("text").rlike(rf"{go.STATEMENT_END}\s*+(?!(?:{DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])|;|\z)")
+        (F.col("starts") & F.col("text").rlike(rf"{go.STATEMENT_END}\s*+(?!(?:{DECL_WORDS})(?![\p{{L}}\p{{Nd}}_])|;|\z)"))
         | (go.is_opener(core) & (rest == "")))
     between = F.concat(F.replace(F.coalesce("prev", F.lit("")), F.lit(INTERFACE), F.lit("{")), code, F.when(go.is_bracket(core), core).otherwise(""))
-    error = (F.col("error") | between.rlike(go.MALFORMED)
-             | ((level == 0) & F.col("text").rlike(go.INCOMPLETE_SPEC))
+    # Of two brackets side by side only an opening one can be out of place.
+    alone = (code == "") & go.is_closer(core) & (go.is_closer(F.col("prev")) | go.is_opener(F.col("prev")))
+    specified = F.contains("text", F.lit("var")) | F.contains("text", F.lit("const"))
+    error = (F.col("error") | (~F.coalesce(alone, F.lit(False)) & between.rlike(go.MALFORMED))
+             | ((level == 0) & specified & F.col("text").rlike(go.INCOMPLETE_SPEC))
              | ((level == 0) & F.contains("text", F.lit("import")) & F.col("text").rlike(go.LATE_IMPORT)) | (level + F.col("step") < 0) | stray
              | F.coalesce(F.col("note_line") == 0, F.lit(False)))
     first_code = F.when((level == 0) & code.rlike(r"\S"), F.coalesce("clause", F.lit("")))
@@ -354,7 +362,7 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
         "own_package": Running("first", first_code),
         **{f"ends{i}": Running("sum", F.when(F.col("starts") & (level == i), 1).otherwise(0)) for i in (0, 1)},
         "first_decl": Running("min", F.when(declares, F.col("pos"))), "last_import": Running("max", F.when(imports, F.col("pos"))),
-        "file_flags": Running("bit_or", bits)})
+        "file_flags": Running("bit_or", bits)}, spent=("after_receiver", "text", "word", "note_line", "tail", "step", "bare", "error", "clause"))
 
 
 def _of_well_formed(framed: DataFrame) -> DataFrame:
@@ -364,8 +372,7 @@ def _of_well_formed(framed: DataFrame) -> DataFrame:
         .withColumn("start_line", shifted(F.col("line") - F.col("head_lines")))
         .withColumn("decl_line", shifted(F.col("stmt_line")))
         .withColumn("line", shifted(F.col("line")))
-        .drop("paired", "first_decl", "last_import", "after_receiver", "text", "word", "head_lines", "note_line", "tail", "step", "shift",
-              "stmt_line", "chunk", "bare", "error", "clause"))
+        .drop("paired", "first_decl", "last_import", "head_lines", "shift", "stmt_line", "chunk"))
 
 
 def _note_line() -> Column:

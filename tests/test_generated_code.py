@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import golang
 from seamline.operators.detectors import _candidates, _resolve_by_key, detect
-from seamline.operators.segments import segments
+from seamline.operators.segments import _may_end_statement, segments
 from seamline.plans.occurrences import occurrences
 
 LARGEST_METHOD = 8000  # HotSpot's limit, in bytes
@@ -70,3 +70,24 @@ def test_tokens_that_cannot_be_neighbours_are_found_by_their_first_character(spa
     found = spark.createDataFrame([(t,) for t in texts], "text string").select(
         F.col("text").rlike("|".join(rules)).alias("by_rules"), F.col("text").rlike(golang.MALFORMED).alias("found")).collect()
     assert any(r.found for r in found) and all(r.by_rules == r.found for r in found)
+
+
+def test_windows_over_a_file_pass_the_row_as_one_column(files_of):
+    """What a window only passes on is one struct, which the optimiser leaves whole."""
+    todo, widths = [occurrences(files_of({"m/a/a.go": TEXT}))._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() == "Window" and "_passed" in plan.output().toString():
+            widths.append(plan.child().output().size())
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert len(widths) == 2 and max(widths) < 20
+
+
+def test_looks_that_save_a_rule_pass_nothing_it_would_find(spark):
+    """No statement ends without what is looked for first, and no two brackets of which the second closes are ill-formed."""
+    tokens = ["", *"()[]{}=.,;:\"'`7x_\n", " ", "\t", "5.", "\r\n", "var", "return"]
+    texts = [a + b + c for a in tokens for b in tokens for c in tokens]
+    ends = spark.createDataFrame([(t,) for t in texts], "text string").filter(F.col("text").rlike(golang.STATEMENT_END))
+    assert ends.count() > 100 and ends.filter(~_may_end_statement(F.col("text"))).count() == 0
+    pairs = spark.createDataFrame([(a + b,) for a in "()[]{}" for b in ")]}"], "text string")
+    assert pairs.filter(F.col("text").rlike(golang.MALFORMED)).count() == 0
