@@ -352,38 +352,35 @@ def _resolve_by_key(events: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("pos", "vector", *[c for c in fields if c not in ("pos", "vector")]))).alias("rows"),
         F.max(vector == "method").alias("declared"), F.min("stop").alias("stop_at"))
     within = F.filter("rows", lambda r: F.coalesce(r["pos"] <= F.col("stop_at"), F.lit(True)))
-    groups = groups.withColumn("rows", within).withColumn("first_pos", F.col("rows")[0]["pos"]).withColumn(
-        "pieces", F.transform(F.filter("rows", lambda r: r["piece"].isNotNull()), lambda r: F.struct(
-            r["piece"].alias("piece"), r["line_number"].alias("line_number"))))
-    # Of a specification, an import declaration and a method only what decides them goes on.
-    rows = F.filter("rows", lambda r: ~r["vector"].isin("method", "closing") & (
-        ~r["vector"].isin("global", "reflect") | (r["pos"] == F.col("first_pos"))))
-    events = groups.select(*FILE_KEY, "declared", "first_pos", F.when(
-        F.exists("rows", lambda r: r["vector"] == "global"), F.col("pieces")).alias("pieces"), F.inline(rows))
-    is_global = vector == "global"
-    kept = (
-        F.when(vector.isin("method", "closing"), False)
-        .when(vector == "interface", F.col("declared"))
-        .when(is_global | (vector == "reflect"), F.col("pos") == F.col("first_pos"))
-        .otherwise(True))
-    pieces, value = F.col("pieces"), F.col("value")
+    parts = F.transform(F.filter("rows", lambda r: r["piece"].isNotNull()), lambda r: F.struct(
+        r["piece"].alias("piece"), r["line_number"].alias("line_number")))
+    pieces, value, called = F.col("pieces"), F.col("value"), F.col("called")
     spec = rf"(?s)^\s*+(?:(?:var|const)\s++)?({go.IDENT})[^=]*+="
     # The value starts in the piece with the first `=`; its line is that of the piece's core.
-    value_piece = F.element_at(F.filter(pieces, lambda p: F.contains(p.piece, F.lit("="))), 1)
+    value_piece = F.try_element_at(F.filter(pieces, lambda p: F.contains(p.piece, F.lit("="))), F.lit(1))
     value_text = F.regexp_extract(value_piece.piece, r"(?s)^[^=]*+=\s*+(.*)\z", 1)
-    counts = value.rlike(_PLAIN_CALL) | value.rlike(_LITERAL_CALL) | (
-        value.rlike(_SELECTOR_AT_END) & value.rlike(_OPERAND_CHAIN))
-    called = F.when(value.rlike(_LITERAL_CALL), "anonym func").otherwise(
-        F.concat(F.regexp_extract(value, rf"({go.IDENT})\s*+\(\)\s*\z", 1), F.lit("()")))
+    is_call = value.rlike(_PLAIN_CALL) | (value.rlike(_SELECTOR_AT_END) & value.rlike(_OPERAND_CHAIN))
+    # A specification is decided once, before its group comes apart into rows, of which a filter would decide it again for each rule.
+    groups = (
+        groups.withColumn("rows", within).withColumn("first_pos", F.col("rows")[0]["pos"])
+        .withColumn("pieces", F.when(F.exists("rows", lambda r: r["vector"] == "global"), parts))
+        .withColumn("shape", F.array_join(F.transform(pieces, lambda p: p.piece), ""))
+        .withColumn("value", F.regexp_replace(
+            F.regexp_extract("shape", rf"{spec}\s*+([^,]*+)", 2), r"\b(?:interface|struct)\s*+\{\}", "struct"))
+        .withColumn("called", F.when(value.rlike(_LITERAL_CALL), "anonym func").when(
+            is_call, F.concat(F.regexp_extract(value, rf"({go.IDENT})\s*+\(\)\s*\z", 1), F.lit("()"))))
+        .withColumn("variable", F.when(called.isNotNull(), F.regexp_extract("shape", spec, 1)))
+        .withColumn("value_line", F.when(called.isNotNull(), value_piece.line_number - go.newlines(value_text))))
+    # Of a specification and an import declaration only the first row goes on, and of a method none.
+    rows = F.filter("rows", lambda r: (
+        F.when(r["vector"].isin("method", "closing"), False)
+        .when(r["vector"] == "interface", F.col("declared"))
+        .when(r["vector"] == "global", called.isNotNull() & (r["pos"] == F.col("first_pos")))
+        .when(r["vector"] == "reflect", r["pos"] == F.col("first_pos"))
+        .otherwise(True)))
+    of_global = lambda own, name: F.when(vector == "global", F.col(own)).otherwise(F.col(name))
     return (
-        events.filter(kept)
-        .withColumn("shape", F.when(is_global, F.array_join(F.transform(pieces, lambda p: p.piece), "")))
-        .withColumn("value", F.when(is_global, F.regexp_replace(
-            F.regexp_extract("shape", rf"{spec}\s*+([^,]*+)", 2), r"\b(?:interface|struct)\s*+\{\}", "struct")))
-        .filter(~is_global | counts)
-        .withColumn("method_invoked", F.when(is_global, called).otherwise(F.col("method_invoked")))
-        .withColumn("variable_name", F.when(is_global, F.regexp_extract("shape", spec, 1))
-                    .otherwise(F.col("variable_name")))
-        .withColumn("line_number", F.when(
-            is_global, value_piece.line_number - go.newlines(value_text)).otherwise(F.col("line_number"))
-            .cast("int")))
+        groups.select(*FILE_KEY, "called", "variable", "value_line", F.inline(rows))
+        .withColumn("method_invoked", of_global("called", "method_invoked"))
+        .withColumn("variable_name", of_global("variable", "variable_name"))
+        .withColumn("line_number", of_global("value_line", "line_number").cast("int")))

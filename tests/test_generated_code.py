@@ -83,6 +83,12 @@ def test_windows_over_a_file_pass_the_row_as_one_column(files_of):
     assert len(widths) == 2 and max(widths) < 20
 
 
+def test_a_specification_is_decided_once(files_of):
+    """Its value is not told anew for each rule by a filter behind the rows."""
+    plan = occurrences(files_of({"m/a/a.go": TEXT}), ["global"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\b(?:interface|struct)\s*+\{\}") == 1
+
+
 def test_looks_that_save_a_rule_pass_nothing_it_would_find(spark):
     """No statement ends without what is looked for first, and no two brackets of which the second closes are ill-formed."""
     tokens = ["", *"()[]{}=.,;:\"'`7x_\n", " ", "\t", "5.", "\r\n", "var", "return"]
