@@ -294,6 +294,49 @@ def test_near_duplicates(spark, block):
     assert [(r.n_links, r.component_id, r.kept) for r in rows] == [(links[k], want[k], want[k] == k) for k in range(len(x))]
 
 
+def test_near_duplicates_store_no_copies(spark):
+    """However many cells a vector may have partners in, tables hold it once, and no pair is shuffled."""
+    plans = []
+
+    class Counted(Scratch):
+        def settle(self, df, keep=False):
+            out = super().settle(df, keep)
+            plans.append((out.count(), df._jdf.queryExecution().executedPlan().toString()))
+            return out
+
+    x = np.random.default_rng(5).normal(size=(2000, 16))
+    x[1000:1010] = x[:10] * 3 + 0.01
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with Counted(spark) as scratch:
+        rows = neardup.near_duplicates(table, scratch, cell_rows=20).orderBy("vec_id").collect()
+    assert [r.n_links for r in rows] == ((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()
+    assert max(n for n, _ in plans) <= len(x)
+    paired = [p for _, p in plans if "CartesianProduct" in p]
+    assert len(paired) == 1 and "Exchange" not in paired[0]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_near_duplicates_close_to_the_threshold(spark, kind):
+    """What a product in single precision leaves in doubt is decided in double."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    cosine = 0.95 + np.linspace(-3e-7, 3e-7, len(x))[:, None]
+    x = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * y]).astype(np.float32 if kind == "float" else np.float64)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], f"vec_id bigint, embedding array<{kind}>")
+    with Scratch(spark) as scratch:
+        rows = neardup.near_duplicates(table, scratch, cell_rows=20).orderBy("vec_id").collect()
+    assert 0 < want.sum() < 120 and [r.n_links for r in rows] == want.tolist()
+
+
 def test_vectors_of_two_sizes(spark):
     parts = [clustered(120, dim, dim) for dim in (16, 24)]
     rows = [(1000 * p + k, v.tolist()) for p, x in enumerate(parts) for k, v in enumerate(x)]
