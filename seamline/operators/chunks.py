@@ -59,17 +59,19 @@ def _then(states: Column, function: Column) -> Column:
 
 
 def chunks(large: DataFrame, content: Column, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """module, version, dir, path, chunk, text: pieces of each file that begin in code, numbered from 0."""
-    cut = settle(large.select("module", "version", "dir", "path", F.posexplode_outer(_cut(content, chunk_chars)).alias("n", "text")))
-    functions = cut.select(*FILE_KEY, "n", _function(F.col("text")).alias("function"))
-    # A few bytes for each piece: the functions of a file are composed in one row.
-    composed = functions.groupBy(*FILE_KEY).agg(F.array_sort(F.collect_list(F.struct("n", "function"))).alias("each")).select(
-        *FILE_KEY, F.reverse(F.aggregate("each", F.lit(_CODE), lambda s, e: _then(s, e["function"]))).alias("states"), F.size("each").alias("size"))
-    begins = composed.select(*FILE_KEY, F.posexplode(F.split(F.left("states", F.col("size")), "")).alias("n", "state"))
-    within = W.partitionBy(*FILE_KEY).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    runs = begins.select(*FILE_KEY, "n", (F.sum(F.when(F.col("state") == _CODE, 1).otherwise(0)).over(within) - 1).alias("chunk"))
-    return cut.join(runs, [*FILE_KEY, "n"]).groupBy("module", "version", "dir", "path", "chunk").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda p: p["text"]), "").alias("text"))
+    """module, version, dir, path, chunk, text: pieces of each file that begin in code, numbered from 0.
+
+    All in the row of the file, so that its text is neither stored nor shuffled before the pieces are dealt out.
+    """
+    pieces, starts = F.col("pieces"), F.col("starts")
+    cut = large.select("module", "version", "dir", "path", _cut(content, chunk_chars).alias("pieces"))
+    states = F.reverse(F.aggregate(F.transform(pieces, _function), F.lit(_CODE), _then))
+    begins = F.transform(F.split(F.left(states, F.size(pieces)), ""), lambda state, n: F.when(state == _CODE, n))
+    found = cut.withColumn("starts", F.filter(begins, lambda n: n.isNotNull()))
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(pieces)))
+    joined = F.zip_with(starts, ends, lambda start, end: F.array_join(F.slice(pieces, start + 1, end - start), ""))
+    texts = F.when(F.size(starts) == F.size(pieces), pieces).otherwise(joined)
+    return found.select("module", "version", "dir", "path", F.posexplode_outer(texts).alias("chunk", "text"))
 
 
 @dataclass(frozen=True)
@@ -85,34 +87,48 @@ class Running:
     combine: Callable[[Column], Column] | None = None
 
 
-def scanned(rows: DataFrame, columns: dict[str, Running], key: list[str] = FILE_KEY, spent: tuple[str, ...] = ()) -> DataFrame:
+def scanned(rows: DataFrame, columns: dict[str, Running], key: list[str] = FILE_KEY, spent: tuple[str, ...] = (), store: bool = False) -> DataFrame:
     """The rows with running values by ``pos`` over their file, which ``key`` tells, without the ``spent`` columns.
 
-    Rows with a column ``chunk`` are scanned in two levels and may lie anywhere; others by a window over their file. A window takes a
-    row apart and puts it together again column by column, so what it only passes on goes through it as one struct.
+    Rows with a column ``chunk`` are scanned in two levels, within a piece and over the pieces; others by a window over their file. A window
+    takes a row apart and puts it together again column by column, so what it only passes on goes through it as one struct. The rows are
+    read twice for two levels; they are settled first where ``store`` asks for it, and else made again, as a table of them takes more disk than their text.
     """
-    if "chunk" not in rows.columns:
-        passed = [c for c in rows.columns if c not in (*key, "pos", *spent)]
-        values = {name: replace(r, value=F.col(f"_{name}")) for name, r in columns.items()}
-        packed = rows.select(*key, "pos", F.struct(*passed).alias("_passed"), *[r.value.alias(f"_{name}") for name, r in columns.items()])
-        return packed.select(*key, "pos", "_passed", *[_within(r, key).alias(name) for name, r in values.items()]).select(
-            *key, "pos", "_passed.*", *columns)
+    pieces = "chunk" in rows.columns
+    place = [*key, "chunk", "pos"] if pieces else [*key, "pos"]
+    passed = [c for c in rows.columns if c not in (*place, *spent)]
+    values = {name: replace(r, value=F.col(f"_of_{name}")) for name, r in columns.items()}
+    packed = rows.select(*place, F.struct(*passed).alias("_passed"), *[r.value.alias(f"_of_{name}") for name, r in columns.items()])
+    if not pieces:
+        return packed.select(*place, "_passed", *[_within(r, key).alias(name) for name, r in values.items()]).select(
+            *place, "_passed.*", *columns)
     piece = [*key, "chunk"]
     ends = F.lead(F.lit(True), 1, False).over(W.partitionBy(*piece).orderBy("pos"))
-    own = settle(rows.select("*", *[_in_piece(r, piece).alias(name) for name, r in columns.items() if r.how != "each"], (~ends).alias("_ends")))
+    late = [f"_of_{name}" for name, r in values.items() if r.how in ("each", "last_before")]
+    own = packed.select(*place, "_passed", *late, *[_in_piece(r, piece).alias(name) for name, r in values.items() if r.how != "each"], (~ends).alias("_ends"))
+    if store:
+        own = _settled_as_dealt(own)
     # The last row of a piece sums it up.
-    summaries = own.filter("_ends").select(*piece, *[_at_end(name, r).alias(name) for name, r in columns.items()])
-    carried = summaries.select(*piece, *[_carried(name, r, key).alias(f"_{name}") for name, r in columns.items()])
-    joined = own.join(carried, piece)
-    for name, r in columns.items():
-        before = F.col(f"_{name}")
-        if r.how == "sum":
-            joined = joined.withColumn(name, F.col(name) + F.coalesce(before, F.lit(0)))
-        elif r.how in ("last", "last_before"):
-            joined = joined.withColumn(name, F.coalesce(F.col(name), before))
-        else:
-            joined = joined.withColumn(name, before)
-    return joined.drop("_ends", *[f"_{name}" for name in columns], *spent)
+    summaries = own.filter("_ends").select(*piece, *[_at_end(name, r).alias(name) for name, r in values.items()])
+    carried = settle(summaries.select(*piece, *[_carried(name, r, key).alias(f"_{name}") for name, r in values.items()]))
+    before = {name: F.col(f"_{name}") for name in values}
+    both = {
+        name: F.col(name) + F.coalesce(before[name], F.lit(0)) if r.how == "sum"
+        else F.coalesce(F.col(name), before[name]) if r.how in ("last", "last_before") else before[name]
+        for name, r in values.items()}
+    return own.join(carried, piece).select(*place, "_passed.*", *[c.alias(name) for name, c in both.items()])
+
+
+def _settled_as_dealt(rows: DataFrame) -> DataFrame:
+    """The rows computed once, and known to lie by piece and in order; adaptive execution would leave that unknown, and all rows would be
+    shuffled anew for every join with what their pieces carry."""
+    conf, adaptive = rows.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(adaptive)
+    conf.set(adaptive, "false")
+    try:
+        return settle(rows)
+    finally:
+        conf.set(adaptive, before)
 
 
 def _within(r: Running, keys: list[str]) -> Column:

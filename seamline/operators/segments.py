@@ -82,8 +82,11 @@ def lexed_in_chunks(large: DataFrame, chunk_chars: int = CHUNK_CHARS, partitions
     """
     n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")) if partitions is None else partitions
     sources, content = _sources(large)
+    # Rows that share a path are one text, piece by piece; they lie together already.
+    text = F.array_join(F.array_sort(F.collect_list("text")), "").alias("text")
+    dealt = chunks(sources, content, chunk_chars).repartition(n, *FILE_KEY, "chunk")
     pieces = (
-        chunks(sources, content, chunk_chars).repartition(n, *FILE_KEY, "chunk")
+        dealt.groupBy("module", "version", "dir", "path", "chunk").agg(text)
         .select("module", "version", "dir", "path", "chunk", F.regexp_extract_all("text", F.lit(go.SEGMENT), 0).alias("pieces"))
         .withColumn("open", open_brackets(F.col("pieces")))
         .select("module", "version", "dir", "path", "chunk", "open", _each_piece().alias("at", "raw")))
@@ -246,7 +249,7 @@ def _with_nesting(rows: DataFrame) -> DataFrame:
     scan = scanned(rows.withColumn("tail", tail), {
         **across,
         "lines": Running("sum", F.col("nl")), "nested": Running("sum", F.col("step")),
-        "prev": Running("last_before", F.col("tail")), "line_ended": Running("last_before", line_ended)}, spent=("nl", "open"))
+        "prev": Running("last_before", F.col("tail")), "line_ended": Running("last_before", line_ended)}, spent=("nl", "open"), store=True)
     return (
         scan.withColumn("line", (F.col("lines") + 1).cast("int"))
         .withColumn("level", (F.col("nested") - F.col("step")).cast("int"))

@@ -111,6 +111,48 @@ def test_pieces_are_stored_three_times(files_of, monkeypatch):
     assert len(stored) == 3 and max(stored) < LARGEST_METHOD
 
 
+def test_texts_are_shuffled_once(spark, files_of, monkeypatch):
+    """When the pieces are dealt out. What is stored of them knows how it lies, so that no segments are shuffled for what is carried to them,
+    and but for one table only a row for each piece is stored."""
+    from seamline.operators import chunks as module
+    stored, original = [], module.settle
+    monkeypatch.setattr(module, "settle", lambda df: stored.append(original(df)) or stored[-1])
+    files = files_of({f"m/a{k}/a.go": "package p\n" + "\n".join(DECLARATIONS[:4]) + "\n" for k in range(3)})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = lexed_in_chunks(files, 40, 4)
+        n = rows.count()
+        found = structured(rows)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sizes = [df.count() for df in stored]
+    pieces = rows.select("path", "chunk").distinct().count()
+    assert 3 < pieces < n and sizes == [n, pieces, pieces]
+    assert "SortMergeJoin" in plan
+    shuffled, todo = [], [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                shuffled.append(node.output().toString())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert shuffled and all("_passed" not in columns for columns in shuffled)
+
+
+def test_rows_that_share_a_path_are_one_text(spark, files_of):
+    """In pieces as they were put together before they were dealt out by piece: two package clauses make a file ill-formed."""
+    files = files_of({"m/a/a.go": "package p\nimport (\n\"os/exec\"\n)\nfunc init() {\n\texec.Command(`a`)\n}\nvar x = f()\n"})
+    assert structured(lexed_in_chunks(files, 10, 2)).count() > 0
+    assert structured(lexed_in_chunks(files.unionByName(files), 10, 2)).count() == 0
+
+
 def test_last_rows_sum_up_pieces(files_of):
     """Each piece is summed up by its last row: no rows are sorted once more to be grouped by piece."""
     files = files_of({"m/a/a.go": "package p\n" + "\n".join(DECLARATIONS[:4]) + "\n"})
