@@ -87,12 +87,13 @@ class Running:
     combine: Callable[[Column], Column] | None = None
 
 
-def scanned(rows: DataFrame, columns: dict[str, Running], key: list[str] = FILE_KEY, spent: tuple[str, ...] = (), store: bool = False) -> DataFrame:
+def scanned(rows: DataFrame, columns: dict[str, Running], key: list[str] = FILE_KEY, spent: tuple[str, ...] = (), store: bool = True) -> DataFrame:
     """The rows with running values by ``pos`` over their file, which ``key`` tells, without the ``spent`` columns.
 
     Rows with a column ``chunk`` are scanned in two levels, within a piece and over the pieces; others by a window over their file. A window
     takes a row apart and puts it together again column by column, so what it only passes on goes through it as one struct. The rows are
-    read twice for two levels; they are settled first where ``store`` asks for it, and else made again, as a table of them takes more disk than their text.
+    read twice for two levels, so they are settled first. Without ``store`` they are made again instead, for a second scan of rows that the
+    first has settled, as another table of them would take more disk than their text.
     """
     pieces = "chunk" in rows.columns
     place = [*key, "chunk", "pos"] if pieces else [*key, "pos"]

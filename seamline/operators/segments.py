@@ -249,7 +249,7 @@ def _with_nesting(rows: DataFrame) -> DataFrame:
     scan = scanned(rows.withColumn("tail", tail), {
         **across,
         "lines": Running("sum", F.col("nl")), "nested": Running("sum", F.col("step")),
-        "prev": Running("last_before", F.col("tail")), "line_ended": Running("last_before", line_ended)}, spent=("nl", "open"), store=True)
+        "prev": Running("last_before", F.col("tail")), "line_ended": Running("last_before", line_ended)}, spent=("nl", "open"))
     return (
         scan.withColumn("line", (F.col("lines") + 1).cast("int"))
         .withColumn("level", (F.col("nested") - F.col("step")).cast("int"))
@@ -365,7 +365,7 @@ def _with_file_context(rows: DataFrame) -> DataFrame:
         "own_package": Running("first", first_code),
         **{f"ends{i}": Running("sum", F.when(F.col("starts") & (level == i), 1).otherwise(0)) for i in (0, 1)},
         "first_decl": Running("min", F.when(declares, F.col("pos"))), "last_import": Running("max", F.when(imports, F.col("pos"))),
-        "file_flags": Running("bit_or", bits)}, spent=("after_receiver", "text", "word", "note_line", "tail", "step", "bare", "error", "clause"))
+        "file_flags": Running("bit_or", bits)}, spent=("after_receiver", "text", "word", "note_line", "tail", "step", "bare", "error", "clause"), store=False)
 
 
 def _of_well_formed(framed: DataFrame) -> DataFrame:
